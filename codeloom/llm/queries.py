@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, pieces, shards, simhash, token_files, topk
+from codeloom.llm import decontaminate, language, pieces, secrets, shards, simhash, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shards_query,
+    "op2_language": language.language_query,
     "op3_simhash": simhash.simhash_query,
     "op6_topk": topk.topk_query,
     "op7_pieces": pieces.pieces_query,
+    "op8_secrets": secrets.secrets_query,
     "op9_token_files": token_files.token_files_query,
     "op10_decontamination": decontaminate.decontaminate_query,
 }
@@ -20,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_sharding": shards.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op8_secrets": secrets.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
