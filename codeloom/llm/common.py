@@ -145,6 +145,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def winnow(grams: np.ndarray, w: int) -> np.ndarray:
+    """Positions whose hash is the least of some run of w hashes."""
+    low = sliding_min(grams, w)
+    if not len(low):
+        return np.zeros(0, np.int64)
+    keep = np.zeros(len(grams), bool)
+    for k in range(w):
+        keep[k : k + len(low)] |= grams[k : k + len(low)] == low
+    return np.flatnonzero(keep)
+
+
 SPACE = (0x20, 9, 10, 11, 12, 13)
 #: Bytes of `[^\x20\x09-\x0D]+`.
 PLAIN_WORD = byte_class(set(range(256)) - set(SPACE))

@@ -25,24 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, sliding_min, span_hash, text_view, words
+from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, words
 
 SPAN, K = 13, 6
 WINDOW = SPAN - K + 1
 BLOCK_WORDS = 4_000_000
 
 
-def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """Positions whose hash is the least of some run of w hashes."""
-    low = sliding_min(grams, w)
-    if not len(low):
-        return np.zeros(0, np.int64)
-    keep = np.zeros(len(grams), bool)
-    for k in range(w):
-        keep[k : k + len(low)] |= grams[k : k + len(low)] == low
-    return np.flatnonzero(keep)
-
-
 def _sorted_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which values are in a sorted table."""
     if not len(table):
