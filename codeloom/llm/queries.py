@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, language, pieces, secrets, shards, simhash, token_files, topk
+from codeloom.llm import decontaminate, language, licenses, pieces, secrets, shards, simhash, substrings, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shards_query,
     "op2_language": language.language_query,
     "op3_simhash": simhash.simhash_query,
+    "op4_substrings": substrings.substrings_query,
+    "op5_licenses": licenses.licenses_query,
     "op6_topk": topk.topk_query,
     "op7_pieces": pieces.pieces_query,
     "op8_secrets": secrets.secrets_query,
@@ -21,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_sharding": shards.ORACLE,
+    "op4_substrings": substrings.ORACLE,
     "op6_topk": topk.ORACLE,
     "op8_secrets": secrets.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
