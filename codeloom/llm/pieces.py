@@ -6,8 +6,8 @@ on the agenda until none is left. Symbols that are no piece fall back to bytes.
 
 No merge crosses a pair of characters that no piece contains side by side, so texts are cut before each
 space (no piece has a space after another character; a vocabulary with such pieces is refused) and a chunk
-further at every such pair. Distinct chunks are merged once in a worker, and each new chunk of an Arrow
-batch is encoded and decoded by the sentencepiece library too; a difference raises.
+further at every such pair. Distinct chunks are merged once in a worker; the new chunks of each Arrow batch
+are encoded by the sentencepiece library too, and a difference raises.
 
 Nulls and odd input: a null text is encoded as the empty text (end id only); equal rows are kept; columns
 besides id and text are passed through untouched where the caller selects them; an empty table gives none.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +30,15 @@ from pyspark.sql import types as T
 from codeloom.llm.common import runs, text_view
 
 META = "▁"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 900_000
+#: Up to so many characters the agenda is a list, beyond it a heap.
+SHORT = 48
+NONE = float("-inf")
 #: Longer chunks are worked out each time they occur, so the cache's bytes are bounded.
 CACHE_CHARS = 64
 _CHUNK = re.compile(" +[^ ]*")
+#: Runs of letters with the spaces before them, or single other characters.
+_RUN = re.compile(rf"{META}*[^\W\d_]+|{META}+|[\W\d_]", re.S)
 
 
 class Pieces:
@@ -54,13 +60,25 @@ class Pieces:
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
         self.text = text
         self.side = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one stretch of characters by the agenda of adjacent pairs."""
         scores, n = self.scores, len(symbols)
         sym: list = list(symbols)
+        if n <= SHORT:  # a plain list is the quicker agenda: max() finds the best score, index() the leftmost
+            get = scores.get
+            agenda = [get(a + b, NONE) for a, b in zip(sym, sym[1:], strict=False)]
+            while agenda and (best := max(agenda)) > NONE:
+                i = agenda.index(best)
+                sym[i] += sym.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = get(sym[i] + sym[i + 1], NONE)
+                if i:
+                    agenda[i - 1] = get(sym[i - 1] + sym[i], NONE)
+            return self._ids(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = []
         for i in range(n - 1):
@@ -81,10 +99,12 @@ class Pieces:
                     heapq.heappush(agenda, (-s, i, k, len(sym[i]) + len(sym[k])))
             if (k := left[i]) >= 0 and (s := scores.get(sym[k] + sym[i])) is not None:
                 heapq.heappush(agenda, (-s, k, i, len(sym[k]) + len(sym[i])))
+        return self._ids([s for s in sym if s is not None])
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        """The symbols' ids; one that is no piece is spelled in bytes."""
         out: list[int] = []
-        for s in sym:
-            if s is None:
-                continue
+        for s in symbols:
             if (i := self.ids.get(s)) is not None:
                 out.append(i)
             elif self.bytes:
@@ -93,39 +113,57 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def chunk(self, chunk: str) -> list[int]:
+    def stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch; its decoded text must be the stretch again."""
+        ids = self.parts.get(stretch)
+        if ids is None:
+            own = self.merge(stretch)
+            if self.decode(own) != stretch.replace(META, " "):
+                raise ValueError(f"{stretch[:80]!r} doesn't survive encoding and decoding")
+            ids = array("i", own).tobytes()
+            if len(stretch) <= CACHE_CHARS:
+                self.parts[stretch] = ids
+        return ids
+
+    def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk, stretch by stretch between pairs of characters that no piece has side by side."""
-        side, parts, out, at = self.side, self.parts, [], 0
-        for i in range(1, len(chunk) + 1):
-            if i == len(chunk) or chunk[i - 1 : i + 1] not in side:
-                stretch = chunk[at:i]
-                ids = parts.get(stretch)
-                if ids is None:
-                    ids = self.merge(stretch)
-                    if len(stretch) <= CACHE_CHARS:
-                        parts[stretch] = ids
-                out += ids
-                at = i
-        return out
+        side, out, held = self.side, b"", ""
+        for run in _RUN.findall(chunk):
+            if held and held[-1] + run[0] not in side:
+                out += self.stretch(held)
+                held = run
+            else:
+                held += run
+        return out + self.stretch(held)
 
-    def decode_chunk(self, ids: list[int]) -> str:
-        """Text of a chunk's ids; byte pieces next to each other are one UTF-8 string."""
+    def decode(self, ids: list[int]) -> str:
+        """Text of the ids of a stretch; byte pieces next to each other are one UTF-8 string."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.text[i] for i in ids]).replace(META, " ")
         raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(META, " ").encode() for i in ids)
         return raw.decode("utf-8", "replace")
 
-    def _learn(self, keys: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids and text of chunks, by the agenda, checked against the library."""
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of chunks by the agenda, checked against the library.
+
+        The chunks, joined by spaces, are one text to the library; its ids must be ours in a row.
+        """
         found = {k: self.chunk(META + k.replace(" ", META)) for k in keys}
-        for key, ours, theirs, back in zip(keys, found.values(), self.sp.encode(keys, num_threads=1), self.sp.decode(list(found.values()), num_threads=1), strict=True):
-            if key and (ours != theirs or back != key):
-                raise ValueError(f"encoding differs from the library's at {key[:80]!r}")
-        return {k: (np.array(v, "<i4").tobytes(), self.decode_chunk(v)) for k, v in found.items()}
+        blank = [k for k in keys if not k.strip(" ")]  # these would run into the next
+        for group in ([k for k in keys if k.strip(" ")], *[[k] for k in blank]):
+            ours = self.chunk(META + "-") + b"".join([found[k] for k in group])
+            if array("i", self.sp.encode("-" + "".join([" " + k for k in group]))).tobytes() != ours:
+                raise ValueError("encoding differs from the library's")
+        return found
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """The ids of each text, as little-endian 32-bit integers without the end id, and what they decode to."""
+        """The ids of each text, as little-endian 32-bit integers without the end id, and what they decode to.
+
+        Chunks were decoded when they were met first, and decode to themselves with the space before them.
+        """
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        if len(self.parts) > CACHE_ENTRIES:
+        if len(self.parts) > CACHE_ENTRIES // 2:
             self.parts.clear()
         cut, wanted = [], set()
         for text in texts:
@@ -142,15 +180,12 @@ class Pieces:
         known = cache
         if new := [x for x in wanted if x not in cache]:
             learnt = self._learn(new)
-            cache.update((k, v) for k, v in learnt.items() if len(k) <= CACHE_CHARS)
-            if any(len(k) > CACHE_CHARS for k in new):
+            if max(map(len, new)) <= CACHE_CHARS:
+                cache.update(learnt)
+            else:
+                cache.update((k, v) for k, v in learnt.items() if len(k) <= CACHE_CHARS)
                 known = {**{k: cache[k] for k in wanted if k in cache}, **learnt}
-        ids, back = [], []
-        for chunks in cut:
-            pairs = [known[c] for c in chunks]
-            ids.append(b"".join([p[0] for p in pairs]))
-            back.append("".join([p[1] for p in pairs])[1:])
-        return ids, back
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut], [" ".join(chunks) for chunks in cut]
 
 
 @lru_cache(maxsize=2)
