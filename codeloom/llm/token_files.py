@@ -20,7 +20,7 @@ are kept as rows; an empty table gives empty files; columns besides id and text
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.llm.common import runs, shared_dir, text_view
 
@@ -37,14 +36,54 @@ CACHE_ENTRIES = 400_000
 
 #: A space within white space that the library's pattern could join with its neighbours.
 _JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: The byte-level pre-tokenization of chunks that have Latin-1 characters only.
+_LATIN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"| ?[^\s0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+"
+)
+#: Characters whose class the two libraries could see differently, or that are beyond Latin-1.
+_NOT_LATIN = re.compile("[^\t\n\r -~\xa1-\xff]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Tokens(dict):
+    """Ids of pre-tokens, from the library's own merge model."""
+
+    def __init__(self, model, dtype):
+        super().__init__()
+        self.tokenize, self.code, self.letters = model.tokenize, "H" if dtype.itemsize == 2 else "I", _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        self[word] = out = array(self.code, ids).tobytes()
+        return out
+
+
+class _Chunks(dict):
+    """Ids of a chunk that follows a space (the space is not part of the key)."""
+
+    def __init__(self, encoder: _Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = out = self.encoder.chunk(" " + chunk)
+        return out
 
 
 class _Encoder:
-    """Encode with the tokenizers library, asking it once for each distinct chunk.
+    """Encode with the tokenizers library, asking it once for each distinct pre-token.
 
     Texts are cut before single spaces, where byte-level pre-tokenization always cuts too, so the ids of
-    the chunks in order are the ids of the text. Texts with runs of white space around a space, or with an
-    added token in them, go to the library whole.
+    the chunks in order are the ids of the text. Chunks of Latin-1 characters are cut into pre-tokens here
+    and merged by the library's model; other chunks, texts with runs of white space around a space, and
+    texts with an added token in them go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -53,34 +92,30 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.tokens = _Tokens(self.tok.model, self.dtype)
+        self.chunks = _Chunks(self)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def chunk(self, chunk: str) -> bytes:
+        if _NOT_LATIN.search(chunk):
+            return self.whole(chunk)
+        return b"".join([self.tokens[w] for w in _LATIN.findall(chunk)])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        cut, whole, wanted = {}, [], set()
-        for i, text in enumerate(texts):
+        for cache in (self.tokens, self.chunks):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+        out = []
+        for text in texts:
             if not text:
-                continue
-            if _JOINED_SPACE.search(text) or any(a in text for a in self.added):
-                whole.append(i)
-                continue
-            head, *rest = text.split(" ")
-            rest = [" " + x for x in rest]
-            rest.insert(0, head)
-            cut[i] = rest
-            wanted.update(rest)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        if new := [x for x in wanted if x not in cache]:
-            cache.update(zip(new, self._ask(new), strict=True))
-        for i, chunks in cut.items():
-            out[i] = b"".join([cache[x] for x in chunks])
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                out.append(b"")
+            elif _JOINED_SPACE.search(text) or any(a in text for a in self.added):
+                out.append(self.whole(text))
+            else:
+                head, *rest = text.split(" ")
+                out.append(self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest)))
         return out
 
 
