@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from codeloom.plans import corpus, evaluation
+
+QUERIES = {**evaluation.QUERIES, **corpus.QUERIES}
+ORACLES = {**evaluation.ORACLES, **corpus.ORACLES}
