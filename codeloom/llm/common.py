@@ -18,12 +18,13 @@ RUN_BYTES = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (tests, local sessions) a temporary folder is set as its value.
+    Where that setting is missing (tests, local sessions) the context gets a temporary checkpoint folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/codeloom-{uuid.uuid4().hex}"
 
 
