@@ -44,6 +44,12 @@ def row_key(id_col: str, text_col: str) -> tuple:
     )
 
 
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The documents whose id isn't among the `id`s of `gone`; their columns may have any names."""
+    left, right = docs.alias("_docs"), gone.select("id").distinct().alias("_gone")
+    return left.join(right, F.col(f"_docs.{id_col}").cast("long").eqNullSafe(F.col("_gone.id")), "left_anti")
+
+
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string or binary array, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

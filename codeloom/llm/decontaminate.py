@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, words
+from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, without_ids, words
 
 SPAN, K = 13, 6
 WINDOW = SPAN - K + 1
@@ -174,8 +174,8 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The documents that are not contaminated, with their columns. Ids of contaminated rows leave."""
-    bad = verdict(contamination(docs, benchmark, id_col=id_col, **kw)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = verdict(contamination(docs, benchmark, id_col=id_col, **kw)).where("contaminated").select(F.col("doc_id").alias("id"))
+    return without_ids(docs, id_col, bad)
 
 
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:

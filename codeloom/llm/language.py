@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import runs, text_view
+from codeloom.llm.common import runs, text_view, without_ids
 
 PER_LANG = 160
 LANDMARKS = 160
@@ -166,5 +166,4 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose language is recognised with a score of `least` or more."""
-    bad = predict(docs, model, id_col, text_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return without_ids(docs, id_col, predict(docs, model, id_col, text_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))

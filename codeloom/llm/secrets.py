@@ -124,22 +124,22 @@ def rendered(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """The documents with each stretch covered by spans replaced by `mark`; chars_col, if given, is set anew."""
-    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.col("spans").alias("_spans")).distinct()
-    a, b = row_key(id_col, text_col)
-    both = docs.withColumns({"_ka": a, "_kb": b}).join(found, (F.col("_ka") == F.col("_a")) & (F.col("_kb") == F.col("_b")), "left")
-    text = F.col(text_col)
+    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).select("key_a", "key_b", "spans").distinct()
+    both = docs.select(F.struct("*").alias("doc"), *row_key(id_col, text_col)).join(found, ["key_a", "key_b"], "left")
+    text = F.col("doc").getField(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         more = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
-    done = F.aggregate("_spans", start, step)
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    out = both.withColumn(text_col, clean)
+    done = F.aggregate("spans", start, step)
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    out = both.withColumn("clean", clean)
+    new = {text_col: F.col("clean")}
     if chars_col:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(docs.columns)
+        new[chars_col] = F.length("clean").cast(docs.schema[chars_col].dataType)
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, runs, text_view
+from codeloom.llm.common import materialise, text_view, without_ids
 from codeloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -113,8 +113,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A class without any id keeps none of its rows apart, so they all stay.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, near_duplicates(docs, id_col, text_col).where("id <> component"))
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
