@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import normalise_shape
@@ -74,6 +74,33 @@ def check_rules(rules: Sequence[Rule], max_labels: int = 3) -> Sequence[Rule]:
     return rules
 
 
+def load_rules(spark: SparkSession, path: str, max_labels: int = 3) -> list[Rule]:
+    """Rules of a TOML file with a list `rules`, in order, checked. The file is read whole through Spark."""
+    import tomllib
+
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    rules = []
+    for r in tomllib.loads(text).get("rules", []):
+        known = {"id", "new_codes", "sources", "records", "text", "old_codes", "blocks"}
+        if extra := set(r) - known:
+            raise ValueError(f"rule {r.get('id')} has unknown keys {sorted(extra)}")
+        rules.append(Rule(**{k: tuple(dict.fromkeys(v)) if isinstance(v, list) else v for k, v in r.items()}))
+    return list(check_rules(rules, max_labels))
+
+
+def load_overrides(df: DataFrame, max_labels: int = 3, separator: str = ",") -> DataFrame:
+    """Overrides with distinct new codes; missing columns, repeated keys, or too many or no codes raise."""
+    need = ["source_id", "record_id", "old_label", "new_label"]
+    if missing := [c for c in need if c not in df.columns]:
+        raise ValueError(f"overrides lack {missing}")
+    codes = F.array_distinct(F.filter(F.transform(F.split("new_label", separator), lambda x: F.trim(x)), lambda x: x != ""))
+    out = df.select("source_id", "record_id", "old_label", F.array_join(codes, separator).alias("new_label"), F.size(codes).alias("_n"))
+    bad = out.where(~F.col("_n").between(1, max_labels)).limit(1).collect() or out.groupBy("source_id", "record_id").count().where("count > 1").limit(1).collect()
+    if bad:
+        raise ValueError(f"bad override of {bad[0]['source_id']}, {bad[0]['record_id']}")
+    return out.drop("_n")
+
+
 def apply_rules(df: DataFrame, rules: Sequence[Rule], codes: str = "y_codes", source: str = "source_id", record: str = "record_id", main: Column | None = None) -> DataFrame:
     """The first rule that matches decides; adds `rule` (null where nothing changes)."""
     check_rules(rules)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpointed rows, in spark.checkpoint.dir or, where none is set, in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+    return df.checkpoint()
+
+
 def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Adds `rank` (from 1) in the given order, within each combination of `by`, and running sums.
 
     Rows are range-partitioned by (by, order); each partition works out its own ranks, and the totals of
-    the partitions before it (one small row for each partition and slice) are added by a join.
+    the partitions before it (one small row for each partition and slice) are added by a join. The ranges
+    come from a sample, so the partitioned rows are checkpointed: both uses see the same ranges, even after
+    executors are lost.
     """
     sums = sums or {}
     by = list(by)
@@ -21,6 +32,7 @@ def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | Non
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumns({f"_v_{k}": v for k, v in sums.items()} | {"_one": F.lit(1)})
     d = d.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    d = settled(d)
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     names = {"rank": "_one"} | {k: f"_v_{k}" for k in sums}
     totals = d.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in names.items()])

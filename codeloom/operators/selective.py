@@ -20,8 +20,11 @@ def orient(signal: str, c: Column) -> Column:
 
 
 def curve(df: DataFrame, score: str, correct: str, id_col: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, rank, n, coverage, accuracy, risk) at every rank, surest first."""
-    slim = df.select(*by, F.col(id_col).alias("_id"), F.col(score).alias("_score"), F.col(correct).cast("long").alias("_hit"))
+    """(by, rank, n, coverage, accuracy, risk) at every rank, surest first.
+
+    `correct` may be any figure of a record (a match, a record's F1): `accuracy` is its mean so far.
+    """
+    slim = df.select(*by, F.col(id_col).alias("_id"), F.col(score).alias("_score"), F.col(correct).cast("double").alias("_hit"))
     r = ranked(slim, [F.col("_score").desc(), F.col("_id").asc()], {"hits": F.col("_hit")}, by)
     total = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     joined = r.join(F.broadcast(total), list(by)) if by else r.crossJoin(F.broadcast(total))  # one row a slice
@@ -48,6 +51,14 @@ def rc_curve(points: DataFrame, coverages: Sequence[float], by: Sequence[str] =
     ).withColumnRenamed("wanted", "coverage")
 
 
+def rc_table(df: DataFrame, signals: Sequence[str], metrics: Sequence[str], coverages: Sequence[float], id_col: str) -> DataFrame:
+    """(metric, signal, coverage, n_kept, value): every metric column against every signal, ranked in one job."""
+    figures = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("figure")) for m in metrics]))
+    d = stacked(df, signals, [id_col, *metrics]).withColumn("_m", figures)
+    points = curve(d.select(id_col, "signal", "score", "_m.metric", "_m.figure"), "score", "figure", id_col, ["metric", "signal"])
+    return rc_curve(points, coverages, ["metric", "signal"]).drop("threshold")
+
+
 def coverage_at_threshold(df: DataFrame, score: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col(score) >= threshold).cast("int")).alias("coverage"))
 

@@ -12,6 +12,8 @@ from codeloom.operators import profile as R
 from codeloom.operators import retrieval as T
 from codeloom.operators import scoring as O
 from codeloom.operators import splits as E
+from codeloom.plans import prepare as P
+from codeloom.plans.prepare import Plan, split_counts
 from codeloom.plans.views import ctes, pairs, table, view
 
 QUERIES, ORACLES = {}, {}
@@ -322,6 +324,13 @@ def inject_codebook(spark, sf):
     return A.inject_codebook(d, book, "text", "label", "record_id", 4).groupBy("injected").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
 
 
+@query("prepare_splits")
+def prepare_splits(spark, sf):
+    d = view(spark, sf, "doc_records").drop("split", "lang")
+    plan = Plan(holdout="src5", exclude=("src6",), multi_ratio=0.2, floor=4, decay=0.2, perturb=0.1)
+    return split_counts(P.prepare_splits(d, plan, group=F.lower("text")))
+
+
 @query("perturbation_impact")
 def perturbation_impact(spark, sf):
     return A.perturbation_impact(table(spark, sf, "part"), "p_partkey", "p_name")

@@ -377,10 +377,15 @@ def _signals(spark, sf):
     return view(spark, sf, "eval_records").select("record_id", "correct", F.col("score").cast("double").alias("score"), F.col("n_pred").cast("double").alias("size_entropy"))
 
 
-@query("rc_table", _SIG + "SELECT signal, CAST(c.cov AS DOUBLE) AS coverage, p.rank AS n_kept, round(p.accuracy, 9) AS value FROM p, (SELECT unnest([0.5, 0.8]) AS cov) c WHERE p.rank = greatest(1, CAST(floor(c.cov * p.n) AS BIGINT))")
+@query("rc_table", RECORDS + """, er AS (SELECT *, 2.0::DOUBLE * tp / (n_gold + n_pred) AS f FROM eval_records),
+sig AS (SELECT record_id, correct, f, 'score' AS signal, CAST(score AS DOUBLE) AS s FROM er UNION ALL SELECT record_id, correct, f, 'size_entropy', -CAST(n_pred AS DOUBLE) FROM er),
+m AS (SELECT record_id, signal, s, 'correct' AS metric, CAST(correct AS DOUBLE) AS x FROM sig UNION ALL SELECT record_id, signal, s, 'sample_f1', f FROM sig),
+c AS (SELECT metric, signal, row_number() OVER w AS rank, count(*) OVER (PARTITION BY metric, signal) AS n, sum(x) OVER (PARTITION BY metric, signal ORDER BY s DESC, record_id ROWS UNBOUNDED PRECEDING) AS hits FROM m WINDOW w AS (PARTITION BY metric, signal ORDER BY s DESC, record_id))
+SELECT metric, signal, CAST(k.cov AS DOUBLE) AS coverage, c.rank AS n_kept, round(hits / rank, 9) AS value FROM c, (SELECT unnest([0.5, 0.8]) AS cov) k WHERE c.rank = greatest(1, CAST(floor(k.cov * c.n) AS BIGINT))""")
 def rc_table(spark, sf):
-    points = P.curve(P.stacked(_signals(spark, sf), ["score", "size_entropy"], ["record_id", "correct"]), "score", "correct", "record_id", ["signal"])
-    return rounded(P.rc_curve(points, (0.5, 0.8), ["signal"]).drop("threshold"), "value")
+    d = view(spark, sf, "eval_records")
+    d = d.select("record_id", "correct", F.col("score").cast("double").alias("score"), F.col("n_pred").cast("double").alias("size_entropy"), (2.0 * F.col("tp") / (F.col("n_gold") + F.col("n_pred"))).alias("sample_f1"))
+    return rounded(P.rc_table(d, ["score", "size_entropy"], ["correct", "sample_f1"], (0.5, 0.8), "record_id"), "value")
 
 
 @query("signal_report", _SIG + ", t AS (SELECT signal, (risk + lag(risk) OVER (PARTITION BY signal ORDER BY rank)) / 2 / n AS a, coverage, accuracy FROM p) SELECT signal, round(sum(a), 9) AS aurc, round(coalesce(max(CASE WHEN accuracy >= 0.95 THEN coverage END), 0), 9) AS coverage_at_95, round(coalesce(max(CASE WHEN accuracy >= 0.99 THEN coverage END), 0), 9) AS coverage_at_99 FROM t GROUP BY signal")

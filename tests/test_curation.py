@@ -154,3 +154,40 @@ def test_resume_and_stream_parity(spark, tmp_path):
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, str(tmp_path / "slog"), str(tmp_path / "ck"), score, "id").awaitTermination()
     assert sorted(spark.read.parquet(str(tmp_path / "slog")).collect()) == sorted(spark.read.parquet(str(tmp_path / "log")).collect())
+
+
+def test_rules_and_overrides_from_files(spark, tmp_path):
+    (tmp_path / "r.toml").write_text('[[rules]]\nid = "a"\nsources = ["s"]\ntext = "^foo"\nnew_codes = ["A00.000"]\n')
+    rules = C.load_rules(spark, str(tmp_path / "r.toml"))
+    d = spark.createDataFrame([("s", "1", "foo x", ["B"]), ("s", "2", "bar", ["B"])], "source_id string, record_id string, text string, y_codes array<string>")
+    assert {r.record_id: (r.y_codes, r.rule) for r in C.apply_rules(d, rules).collect()} == {"1": (["A00.000"], "a"), "2": (["B"], None)}
+    schema = "source_id string, record_id string, old_label string, new_label string"
+    assert C.load_overrides(spark.createDataFrame([("s", "1", "B", "A, A,C")], schema)).first().new_label == "A,C"
+    for bad in ([("s", "1", "B", "")], [("s", "1", "B", "A")] * 2):
+        with pytest.raises(ValueError):
+            C.load_overrides(spark.createDataFrame(bad, schema))
+
+
+def test_prepared_splits_augment_train_only(spark):
+    from codeloom.plans.prepare import Plan, prepare_splits
+
+    rows = [(str(i), f"s{i % 3}", f"text {i}", "ABCDEFG"[i % 7]) for i in range(120)]
+    d = spark.createDataFrame(rows, "record_id string, source_id string, text string, label string")
+    out = prepare_splits(d, Plan(sizes={"train": 0.8, "test": 0.2}, holdout="s2", multi_ratio=0.3, floor=20, perturb=0.2)).collect()
+    assert {r.split for r in out} == {"train", "test", "holdout"} and len([r for r in out if r.split == "holdout"]) == 40
+    assert not any(r.synthetic or r.perturbed for r in out if r.split != "train")
+    assert min(sum(r.label == x for r in out if r.split == "train") for x in "ABCDEFG") >= 20
+    assert sum("," in r.label for r in out) > 10
+
+
+def test_scalars_and_literal_harmonisation_run_on_streams(spark, tmp_path):
+    d = spark.createDataFrame([(i, f" Foo.bar {i} ", ["q36.9"]) for i in range(6)], "id long, text string, y_codes array<string>")
+    d.write.parquet(str(tmp_path / "in"))
+
+    def work(x):
+        x = C.harmonise_in_place(x, ["Q36.900"], {})
+        return x.select("id", S.squash_ws(S.dots_to_spaces("text")).alias("t"), S.group_key("text").alias("g"), "label")
+
+    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    work(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(work(spark.read.parquet(str(tmp_path / "in"))).collect())
