@@ -175,6 +175,24 @@ def error_breakdown(df: DataFrame, error: str, words: int = 6) -> DataFrame:
     return df.where(F.col(error).isNotNull()).groupBy(F.array_join(F.slice(F.split(error, " "), 1, words), " ").alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def baseline_summary(df: DataFrame, by: Sequence[str] = (), invalid: str = "n_invalid", error: str = "error", cost: str = "cost", elapsed: str = "latency") -> DataFrame:
+    """One row a slice: exact rate, no-answer and error counts, invalid codes, costs and times, distinct classes."""
+    none = F.size("pred") == 0
+    classes = df.select(*by, F.explode("pred").alias("c")).groupBy(*by).agg(F.countDistinct("c").alias("predicted_classes"))
+    d = df.withColumn("_hit", same_set(df).cast("int")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("exact"), F.count_if(none).alias("no_answer"), F.count_if(F.col(error).isNotNull()).alias("errors"), F.sum(invalid).alias("invalid_codes"),
+        F.avg((F.col(invalid) > 0).cast("int")).alias("invalid_rate"), F.sum(cost).alias("cost_total"), F.avg(cost).alias("cost_mean"), F.sum(elapsed).alias("elapsed_total"), F.avg(elapsed).alias("elapsed_mean"),
+    )
+    return d.join(classes, list(by), "left").na.fill(0, ["predicted_classes"]) if by else d.crossJoin(F.broadcast(classes))  # one row each
+
+
+def per_source_accuracy(df: DataFrame, source: str) -> DataFrame:
+    """n, correct, accuracy and macro F1 of each source and of all, in one pass over the records."""
+    d = with_total(df, source)
+    hits = d.withColumn("_hit", same_set(d).cast("int")).groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("correct"), F.avg("_hit").alias("accuracy"))
+    return hits.join(macro(d, [source]).select(source, "macro_f1"), source)
+
+
 def sample_failures(df: DataFrame, wrong: Column, id_col: str, k: int) -> DataFrame:
     return df.where(wrong).orderBy(id_col).limit(k)
 

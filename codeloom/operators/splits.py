@@ -55,6 +55,11 @@ def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 333
     return df.orderBy(keyed_hash(seed, F.col(id_col)), id_col).limit(want)
 
 
+def single_label_sample(df: DataFrame, id_col: str, codes: str, fraction: float, seed: int = 333) -> DataFrame:
+    """A sample of the rows with exactly one label."""
+    return sample_fraction(df.where(F.size(codes) == 1), id_col, fraction, seed)
+
+
 def stable_batch(df: DataFrame, id_col: str, start: int, n: int, seed: int = 333) -> DataFrame:
     """Rows start .. start+n-1 of a fixed shuffle; batches don't overlap."""
     d = df.withColumn("_h", keyed_hash(seed, F.col(id_col)))

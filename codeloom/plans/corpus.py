@@ -214,6 +214,11 @@ def fraction_sample(spark, sf):
     return E.sample_fraction(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.1)
 
 
+@query("single_label_sample", LONG + ", r AS (SELECT record_id FROM eval_long WHERE is_gold = 1 GROUP BY record_id HAVING count(*) = 1) SELECT record_id FROM r ORDER BY md5(concat('333:', record_id)), record_id LIMIT (SELECT greatest(1, CAST(round_even(count(*) * 0.05, 0) AS BIGINT)) FROM r)")
+def single_label_sample(spark, sf):
+    return E.single_label_sample(pairs(spark, sf), "record_id", "gold", 0.05).select("record_id")
+
+
 @query("stable_batch", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('333:', doc_id)), doc_id) AS r FROM documents) d WHERE r > 50 AND r <= 150")
 def stable_batch(spark, sf):
     return E.stable_batch(table(spark, sf, "documents").select("doc_id"), "doc_id", 50, 100)

@@ -197,6 +197,23 @@ def cost_latency(spark, sf):
     return rounded(M.cost_latency(log, "cost", "latency"), "cost_total", "cost_mean", "latency_mean")
 
 
+@query("baseline_summary", _LOGSQL + """, c AS (SELECT source_id, count(DISTINCT code) AS k FROM eval_long WHERE is_pred = 1 GROUP BY source_id)
+SELECT l.source_id, count(*) AS n, round(avg(correct), 9) AS exact, count(*) FILTER (WHERE n_pred = 0) AS no_answer, count(error) AS errors, CAST(sum(record_id % 3) AS BIGINT) AS invalid_codes, round(avg(CASE WHEN record_id % 3 > 0 THEN 1 ELSE 0 END), 9) AS invalid_rate,
+ round(CAST(sum(cost) AS DOUBLE), 6) AS cost_total, round(CAST(avg(cost) AS DOUBLE), 6) AS cost_mean, round(CAST(sum(latency) AS DOUBLE), 6) AS elapsed_total, round(CAST(avg(latency) AS DOUBLE), 6) AS elapsed_mean, max(k) AS predicted_classes
+FROM score_log l JOIN c ON l.source_id = c.source_id GROUP BY l.source_id""")
+def baseline_summary(spark, sf):
+    log = score_log(spark, sf).select("record_id", F.col("cost").cast("double").alias("cost"), F.col("latency").cast("double").alias("latency"), "error")
+    d = pairs(spark, sf).join(log, "record_id").withColumn("n_invalid", F.col("record_id") % 3)
+    out = rounded(M.baseline_summary(d, ["source_id"]), "exact", "invalid_rate")
+    return out.withColumns({c: F.round(c, 6) for c in ("cost_total", "cost_mean", "elapsed_total", "elapsed_mean")})
+
+
+@query("per_source_accuracy", BOTH + """, r AS (SELECT slice, record_id, CASE WHEN sum(is_gold * is_pred) = sum(is_gold) AND sum(is_gold * is_pred) = sum(is_pred) THEN 1 ELSE 0 END AS hit FROM long GROUP BY 1, 2), a AS (SELECT slice, count(*) AS n, CAST(sum(hit) AS BIGINT) AS correct, round(avg(hit), 9) AS accuracy FROM r GROUP BY slice)
+SELECT a.slice AS source_id, n, correct, accuracy, macro_f1 FROM a JOIN (SELECT slice, """ + _MACRO + " FROM (" + _PER.format("slice, ", "long") + ") c GROUP BY slice) m ON a.slice = m.slice")
+def per_source_accuracy(spark, sf):
+    return rounded(M.per_source_accuracy(pairs(spark, sf), "source_id"), "accuracy", "macro_f1")
+
+
 @query("sample_failures", _LOGSQL + "SELECT record_id, source_id FROM score_log WHERE correct = 0 AND error IS NULL ORDER BY record_id LIMIT 20")
 def sample_failures(spark, sf):
     return M.sample_failures(score_log(spark, sf), (F.col("correct") == 0) & F.col("error").isNull(), "record_id", 20).select("record_id", "source_id")
