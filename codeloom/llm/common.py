@@ -44,10 +44,11 @@ def row_key(id_col: str, text_col: str) -> tuple:
     )
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't among the `id`s of `gone`; their columns may have any names."""
-    left, right = docs.alias("_docs"), gone.select("id").distinct().alias("_gone")
-    return left.join(right, F.col(f"_docs.{id_col}").cast("long").eqNullSafe(F.col("_gone.id")), "left_anti")
+def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> DataFrame:
+    """The documents whose row_key isn't in `gone`; their columns may have any names."""
+    keys = ["key_a", "key_b"]
+    left = docs.select(F.struct("*").alias("doc"), *row_key(id_col, text_col))
+    return left.join(gone.select(*keys).distinct(), keys, "left_anti").select("doc.*")
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

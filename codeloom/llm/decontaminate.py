@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, without_ids, words
+from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, without_rows, words
 
 SPAN, K = 13, 6
 WINDOW = SPAN - K + 1
@@ -117,9 +117,13 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: id, n_words, hit_words (array of word positions), items (sorted array of ids)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, keyed: bool = False) -> DataFrame:
+    """One row per document: id, n_words, hit_words (array of word positions), items (sorted array of ids).
+
+    With `keyed`, the row's key_a and key_b (see common.row_key) come last.
+    """
     spark = docs.sparkSession
+    keys = ["key_a", "key_b"] if keyed else []
     passes = []
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
     for block in blocks_of(benchmark, item_id, item_text, block_words):
@@ -141,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         passes.append(source.mapInArrow(run, "id long, key_a long, key_b long, n_words long, hit_words array<long>, items array<string>"))
     if len(passes) == 1:
-        return passes[0].select("id", "n_words", "hit_words", "items")
+        return passes[0].select("id", "n_words", "hit_words", "items", *keys)
     # Each pass sees every row once: equal rows are counted by the first pass, and all have equal hits.
     times = passes[0].groupBy("key_a", "key_b").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
     spots = [p.select("key_a", "key_b", F.explode("hit_words").alias("w")).distinct().groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set("w")).alias("hit_words")) for p in [_union(passes)]][0]
@@ -149,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     none = F.array().cast("array<long>"), F.array().cast("array<string>")
     out = times.join(spots, ["key_a", "key_b"], "left").join(found, ["key_a", "key_b"], "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select("id", "n_words", F.coalesce("hit_words", none[0]).alias("hit_words"), F.coalesce("items", none[1]).alias("items"))
+    return out.select("id", "n_words", F.coalesce("hit_words", none[0]).alias("hit_words"), F.coalesce("items", none[1]).alias("items"), *keys)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -159,8 +163,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def contaminated(share: int = 20) -> Column:
+    """At least one word in `share` is hit."""
+    n_hit = F.size("hit_words").cast("long")
+    return (n_hit > 0) & (n_hit * share >= F.col("n_words"))
+
+
 def verdict(found: DataFrame, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: at least one word in `share` is hit."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.size("hit_words").cast("long")
     return found.select(
         F.col("id").alias("doc_id"),
@@ -168,14 +178,13 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        contaminated(share).alias("contaminated"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents that are not contaminated, with their columns. Ids of contaminated rows leave."""
-    bad = verdict(contamination(docs, benchmark, id_col=id_col, **kw)).where("contaminated").select(F.col("doc_id").alias("id"))
-    return without_ids(docs, id_col, bad)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents that are not contaminated, with their columns. Other rows with a contaminated row's id stay."""
+    return without_rows(docs, id_col, text_col, contamination(docs, benchmark, id_col, text_col, keyed=True, **kw).where(contaminated()))
 
 
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:

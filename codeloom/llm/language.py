@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import runs, text_view, without_ids
+from codeloom.llm.common import row_key, runs, text_view, without_rows
 
 PER_LANG = 160
 LANDMARKS = 160
@@ -142,8 +142,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model([t for own in texts.values() for t in own], [lang for lang, own in texts.items() for _ in own])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every document."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keys: tuple = ()) -> DataFrame:
+    """(id, lang_pred, score) of every document, then `keys` (columns of longs, see common.row_key)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x vocabulary floats, bounded by 64**3 + 64**2 + 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +153,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for i, j in runs(offs):
                 part = batch.slice(i, j - i)
                 lang, score = fitted.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *part.columns[2:]], ["id", "lang_pred", "score", *part.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keys)
+    return source.mapInArrow(run, ", ".join(["id long, lang_pred string, score double", *(f"{c} long" for c in source.columns[2:])]))
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +167,5 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose language is recognised with a score of `least` or more."""
-    return without_ids(docs, id_col, predict(docs, model, id_col, text_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))
+    found = predict(docs, model, id_col, text_col, row_key(id_col, text_col))
+    return without_rows(docs, id_col, text_col, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, text_view, without_ids
+from codeloom.llm.common import materialise, row_key, text_view
 from codeloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -57,17 +57,18 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple = ()) -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit integer; then `keys` (columns of longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_view(batch.column(1))
             raw = memoryview(data)
             fp = np.array([fingerprint(bytes(raw[a:b])) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keys)
+    return source.mapInArrow(run, ", ".join(["id long, fp long", *(f"{c} long" for c in source.columns[2:])]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -96,24 +97,35 @@ def links(prints: DataFrame) -> DataFrame:
     return around.join(hubs, ["t", "at"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """Adds each distinct fingerprint's class, as `root`."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the least id reachable over links of two bits or fewer."""
     prints = materialise(fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = materialise(nodes)
-    roots = components(links(nodes.select("fp")))
-    classes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = _rooted(materialise(nodes))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     classes = materialise(classes.join(least, "root").select("fp", "component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class stays, the one with the least id; rows that repeat that id are cut to one.
+    """One row of each class stays: the one with the least id, null ids last.
 
-    A class without any id keeps none of its rows apart, so they all stay.
+    Rows with the same id go by hashes of their text, then of all their columns; of wholly equal rows one stays.
     """
-    return without_ids(docs, id_col, near_duplicates(docs, id_col, text_col).where("id <> component"))
+    plain = [F.col(f"`{c}`").cast("string") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    keys = (*row_key(id_col, text_col), F.xxhash64(*plain).alias("key_c"))
+    names = ["key_a", "key_b", "key_c"]
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", *names)
+    nodes = fingerprints(docs, id_col, text_col, keys).groupBy("fp").agg(F.min(order).alias("first"))
+    first = _rooted(materialise(nodes)).groupBy("root").agg(F.min("first").alias("first")).select("first.*").select(*names)
+    rows = docs.select(F.struct("*").alias("doc"), *keys).dropDuplicates(names)
+    return rows.join(first, names, "left_semi").select("doc.*")
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class, the one with the least id."""
+    """Keeps one row of each near-duplicate class, the one with the least id (null ids last)."""
     return simhash.keep_first(docs)
 
 
