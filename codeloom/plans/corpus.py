@@ -317,7 +317,7 @@ def perturb_fraction(spark, sf):
 
 @query("synthetic_multilabel")
 def synthetic_multilabel(spark, sf):
-    d = view(spark, sf, "doc_records").select("record_id", "source_id", "label", F.substring("text", 1, 80).alias("text"))
+    d = view(spark, sf, "doc_records").select("record_id", "source_id", "label", "text")
     n = max(1, round(d.count() * 0.5))
     return A.synthesise(d, n, "label", "record_id", "text", "source_id").drop("y_codes")
 
