@@ -26,64 +26,54 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import runs, shared_dir, text_view
 
 BLOCK_IDS = 1 << 18
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
+#: Longer pieces are worked out each time they occur, so the cache's bytes are bounded.
+CACHE_CHARS = 64
+#: Bytes of text whose pieces are looked up together.
+RUN = 8_000_000
 
-#: A space within white space that the library's pattern could join with its neighbours.
-_JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: The byte-level pre-tokenization of chunks that have Latin-1 characters only.
-_LATIN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
-    r"| ?[^\s0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+"
-)
-#: Characters whose class the two libraries could see differently, or that are beyond Latin-1.
-_NOT_LATIN = re.compile("[^\t\n\r -~\xa1-\xff]")
+#: White space next to white space or at an end, where pieces could differ from the library's pre-tokens.
+_GAPS = r"^[\s\pZ\x{85}\x1c-\x1f]|[\s\pZ\x{85}\x1c-\x1f][\s\pZ\x{85}\x1c-\x1f]|[\s\pZ\x{85}\x1c-\x1f]$"
+# The byte-level pre-tokens of pieces of Latin letters, digits, ASCII signs and line feeds; other pieces are cut by the library.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[\\n!-~{_LETTERS}]*")
+_KINDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{_LETTERS}]+|\\n")
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
-
-
-class _Tokens(dict):
+class _Words(dict):
     """Ids of pre-tokens, from the library's own merge model."""
 
-    def __init__(self, model, dtype):
+    def __init__(self, tok, code: str):
         super().__init__()
-        self.tokenize, self.code, self.letters = model.tokenize, "H" if dtype.itemsize == 2 else "I", _byte_letters()
+        self.tokenize, self.code, cut = tok.model.tokenize, code, tok.pre_tokenizer.pre_tokenize_str
+        self.space = cut(" a")[0][0][0]
+        letters = ["\n", *(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7))]
+        self.letters = {b: w for c in letters for b, w in zip(c.encode(), cut(c)[0][0], strict=True)} | {0x20: self.space}
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = out = array(self.code, ids).tobytes()
-        return out
-
-
-class _Chunks(dict):
-    """Ids of a chunk that follows a space (the space is not part of the key)."""
-
-    def __init__(self, encoder: _Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = out = self.encoder.chunk(" " + chunk)
+        if word.isascii() and word[0] != "\n":
+            own = self.space + word[1:] if word[0] == " " else word
+        else:
+            own = word.encode().decode("latin-1").translate(self.letters)
+        self[word] = out = array(self.code, [t.id for t in self.tokenize(own)]).tobytes()
         return out
 
 
 class _Encoder:
     """Encode with the tokenizers library, asking it once for each distinct pre-token.
 
-    Texts are cut before single spaces, where byte-level pre-tokenization always cuts too, so the ids of
-    the chunks in order are the ids of the text. Chunks of Latin-1 characters are cut into pre-tokens here
-    and merged by the library's model; other chunks, texts with runs of white space around a space, and
-    texts with an added token in them go to the library whole.
+    Texts are cut before each space and line feed; away from other white space the byte-level pre-tokenization
+    cuts there too, so the ids of the pieces in order are the ids of the text. Distinct pieces of an Arrow
+    batch are looked up, pre-tokens of new ones are merged by the library's model, and Arrow puts the ids
+    together. Texts with white space next to white space or with an added token go to the library whole, and
+    so does one other text of each run, to check the rest.
     """
 
     def __init__(self, path: str):
@@ -92,31 +82,78 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.tokens = _Tokens(self.tok.model, self.dtype)
-        self.chunks = _Chunks(self)
+        self.words = _Words(self.tok, "H" if self.dtype.itemsize == 2 else "I")
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        if _NOT_LATIN.search(chunk):
-            return self.whole(chunk)
-        return b"".join([self.tokens[w] for w in _LATIN.findall(chunk)])
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        for cache in (self.tokens, self.chunks):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif _JOINED_SPACE.search(text) or any(a in text for a in self.added):
-                out.append(self.whole(text))
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces: what follows a space, or a line feed with what follows it."""
+        cache, words, plain, kinds = self.pieces, self.words, _PLAIN.fullmatch, _KINDS.findall
+        for held in (cache, words):
+            if len(held) > CACHE_ENTRIES:
+                held.clear()
+        found = list(map(cache.get, pieces))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            p = pieces[i]
+            if p.isascii() and p.isalpha():
+                ids = words[" " + p]
+            elif not p:
+                ids = b""
+            elif plain(p):
+                ids = b"".join([words[w] for w in kinds(p if p[0] == "\n" else " " + p)])
             else:
-                head, *rest = text.split(" ")
-                out.append(self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest)))
-        return out
+                ids = words["\n"] + self.whole(p[1:]) if p[0] == "\n" else self.whole(" " + p)
+            found[i] = ids
+            if len(p) <= CACHE_CHARS:
+                cache[p] = ids
+        return found
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and the number of ids of each text; nulls are empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _GAPS)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        # A line feed before each text: its id makes room for the end id of the text before.
+        marked = pc.replace_substring(pc.binary_join_element_wise("\n", pc.if_else(odd, "", texts), ""), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        flat = lists.flatten().dictionary_encode()
+        pieces = pa.array(self._known(flat.dictionary.to_pylist()), pa.binary()).take(flat.indices)
+        raw, offs = text_view(pieces)
+        ids = np.ascontiguousarray(raw).view(self.dtype).copy()
+        starts = offs[lists.offsets.to_numpy()] // self.dtype.itemsize
+        ids[starts[:-1]] = end
+        ids = np.append(ids[1:], ids[:1])
+        lengths = np.diff(starts)
+        self._check(texts, odd, ids, lengths)
+        return self._whole(texts, odd, ids, lengths, end)
+
+    def _check(self, texts: pa.Array, odd: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The first text that was put together from pieces must have the library's ids."""
+        at = pc.index(odd, False).as_py()
+        if at >= 0:
+            begin = int(lengths[:at].sum())
+            if ids[begin : begin + int(lengths[at]) - 1].tobytes() != self.whole(texts[at].as_py()):
+                raise ValueError("encoding differs from the library's")
+
+    def _whole(self, texts: pa.Array, odd: pa.Array, ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of the texts that go to the library whole in their places."""
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return ids, lengths
+        close = np.array([end], self.dtype)
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        for r in rows.tolist():
+            parts[r] = np.append(np.frombuffer(self.whole(texts[r].as_py()), self.dtype), close)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of the values, `lengths` of them in each, as bytes."""
+    offs = np.concatenate([[0], np.cumsum(lengths)]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 @lru_cache(maxsize=2)
@@ -129,13 +166,11 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            _, offs = text_view(batch.column(1))
-            for i, j in runs(offs):
+            for i, j in runs(text_view(batch.column(1))[1], RUN):
                 part = batch.slice(i, j - i)
-                ids = [x + end for x in enc(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+                ids, n = enc(part.column(1), end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(ids, n)], ["id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "id long, ids binary")
@@ -194,7 +229,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     enc = _encoder(tokenizer_path)
     dtype, size = enc.dtype, enc.tok.get_vocab_size(with_added_tokens=True) + 1
-    encode(docs, tokenizer_path, end_id, id_col, text_col).write.parquet(f"{path}/ids")
+    encode(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.schema("id long, ids binary").parquet(f"{path}/ids")
     counts = sorted(((r["n"], r["token"]) for r in count_ids(ids, dtype).collect()), key=lambda x: (-x[0], x[1]))
     schema = "token long, rank long, n long"
@@ -207,31 +242,39 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         from pyspark import TaskContext
 
         part, block, first, table = TaskContext.get().partitionId(), 0, 0, shared_rank.value
-        held: list[tuple[int | None, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # document ids, token ids, lengths
 
         def flush() -> pa.RecordBatch:
             nonlocal block, first
-            lengths = np.array([len(x) for _, x in held], "<u4")
-            control, data = pack(table[np.concatenate([x for _, x in held])])
-            row = [part, block, first, int(lengths.sum()), [i for i, _ in held], lengths.tobytes(), control, data]
-            block, first = block + 1, first + int(lengths.sum())
+            docs, tokens, lengths = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            control, data = pack(table[tokens])
+            row = [part, block, first, len(tokens), docs, lengths.astype("<u4").tobytes(), control, data]
+            block, first = block + 1, first + len(tokens)
             held.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _BLOCKS.split(", ")])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, pa.binary(), pa.binary(), pa.binary()]
+            arrays = [pa.array([v], k) if k else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v, k in zip(row, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _BLOCKS.split(", ")])
 
-        n = 0
+        waiting = 0
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((i, np.frombuffer(raw.as_py(), dtype)))
-                n += len(held[-1][1])
-                if n >= BLOCK_IDS:
+            raw, offs = text_view(batch.column(1))
+            tokens, at = np.ascontiguousarray(raw).view(dtype), offs // dtype.itemsize
+            i = 0
+            while i < batch.num_rows:
+                j = int(np.searchsorted(at, at[i] + BLOCK_IDS - waiting))  # the documents that fill the block
+                full, j = j <= batch.num_rows, min(j, batch.num_rows)
+                held.append((batch.column(0)[i:j], tokens[at[i] : at[j]], np.diff(at[i : j + 1])))
+                waiting, i = waiting + int(at[j] - at[i]), j
+                if full:
                     yield flush()
-                    n = 0
+                    waiting = 0
         if held:
             yield flush()
 
-    ordered = ids.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("ids"))
-    ordered.mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
+    # Equal rows, and rows of one or no id, are dealt to several parts too; their place in the file tells them apart.
+    placed = ids.withColumns({"h": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place").select("id", "ids")
+    ordered.mapInArrow(run, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,10 +352,12 @@ def test_variable_length_coding():
         assert len(control) == -(-n // 4) and token_files.unpack(control, data, n).tolist() == x[:n].tolist()
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a\n \nb", "   x", "a <|endoftext|> b", "it's  \t x", "don't we'LL 've", "x²³ ½a ªº a\xa0b \xa0 c\x85d", "日本 語　 x", "a\x1c b", "a\n\n\n b\r\n  c"])
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a\n \nb", "   x", "a <|endoftext|> b", "it's  \t x", "don't we'LL 've", "x²³ ½a ªº a\xa0b \xa0 c\x85d", "日本 語　 x", "a\x1c b", "a\n\n\n b\r\n  c", "one\ntwo, it's\n3rd Ünïté.\n\"q\"", "\ud55c\ub77c\u0301x\n" * 30 + "z", ""])
 def test_chunked_encoding_is_the_library_s(text):
     enc = token_files._Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert np.frombuffer(enc([text])[0], enc.dtype).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    ids, n = enc(pa.array([text, None, "x " + text, text]), 0)
+    own, other = enc.tok.encode(text, add_special_tokens=False).ids, enc.tok.encode("x " + text, add_special_tokens=False).ids
+    assert ids.tolist() == [*own, 0, 0, *other, 0, *own, 0] and n.tolist() == [len(own) + 1, 1, len(other) + 1, len(own) + 1]
 
 
 # --- 10 ---
