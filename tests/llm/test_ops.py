@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -266,6 +267,28 @@ def test_topk_ties_nulls_and_few_rows(spark):
     assert topk.topk(df.limit(0), lambda i: i % 20 == 0, 3).count() == 0
 
 
+def test_topk_of_repeated_ids_other_widths_and_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i % 25 if i % 3 else 0, [rng.uniform(-1, 1) * (3e6 if i % 7 == 0 else 1) for _ in range(2 if i % 11 else 3)]) for i in range(90)]
+    vectors = [[math.floor(64 * float(np.float32(x))) for x in v] for _, v in rows]
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True)), j) for b, (j, _) in enumerate(rows) if b != a and len(vectors[b]) == len(vectors[a]))
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near[:7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(tuple(r) for r in topk.topk(df, lambda i: i % 20 == 0, 7).collect()) == Counter(want)
+    with pytest.raises(ValueError):
+        topk.topk(spark.createDataFrame([(0, [1e9, 1e9])], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, 7)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(5)
+    for top in (100, 1 << 28, 1 << 30):
+        a, b = (rng.integers(-top, top, (3, 4)) for _ in range(2))
+        assert topk.products(a.astype(float), b.astype(float)).tolist() == [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
+
+
 # --- 7 ---
 
 
@@ -287,12 +310,30 @@ def test_pieces_match_the_library(spark, odd, none):
     assert pieces.encode_decode(none, path).count() == 0
 
 
-def test_both_agendas_agree(monkeypatch):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    words = ["▁internationalisation", "▁" + "aab" * 30, "▁日本語", "▁x"]
-    short = [pieces.Pieces(path).merge(w) for w in words]
-    monkeypatch.setattr(pieces, "SHORT", 0)
-    assert [pieces.Pieces(path).merge(w) for w in words] == short
+@pytest.mark.parametrize("text", ["  two", "a  b ", "\u2581 x\u2581y", " ", "internationalisation " + "aab" * 300, "\u65e5\u672c\u8a9e \U0001f600\x00 z", "a\n\nb\tc", "<s> </s> <unk> <0x41>", "\u1112\u1161\u11ab " * 3])
+def test_encoding_and_decoding_are_the_library_s(text):
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    ids, n = model.encode(pa.array([text, None, "x " + text, ""]))
+    want = [model.sp.encode(t, add_eos=True) for t in (text, "", "x " + text, "")]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert model.decode(ids, n).to_pylist() == [model.sp.decode(w) for w in want]
+
+
+def test_both_agendas_agree():
+    model, rng = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
+    made = ["".join(rng.choice("abehinorst\u2581\u00e9\u65e5\U0001f600") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    got = model.merge_all(list(dict.fromkeys(made)))
+    assert all(np.frombuffer(got[t], "<i4").tolist() == model.merge(t) for t in made)
+    keys = np.array([rng.randrange(1 << 48) for _ in range(2000)])
+    table = pieces.PairTable(keys, np.arange(2000, dtype=np.int32))
+    assert table.find(keys).tolist() == list(range(2000)) and (table.find(keys ^ 1)[~np.isin(keys ^ 1, keys)] == -1).all()
+
+
+def test_decoding_ids_that_no_text_gives():
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    runs = [[3 + 0xC3, 3 + 0x41, 2], [0, 300, 2], [3 + 0x20, 400, 2], [2], [500, 2]]
+    got = model.decode(np.array([i for r in runs for i in r], np.int32), np.array([len(r) for r in runs]))
+    assert got.to_pylist() == [model.sp.decode(r) for r in runs]
 
 
 # --- 8 ---
@@ -313,6 +354,28 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {1: [], 2: ["weak_secret", "weak_id", "weak_host"], 3: [], 4: ["access", "weak_secret"]}
 
 
+def test_secrets_and_redaction_of_a_text_with_very_many_spans(spark):
+    """Long texts, in one line and in many, against plain Python."""
+    body = [f"é\U0001f600 token = abcdefgh{i} and user=me{i % 7}, pass: abcd" for i in range(3000)]
+    docs = [(1, " ".join(body)), (2, "\n".join(body)), (3, "x" * 5000 + " password=12345678 " + "y" * 9000), (4, "password=12345678"), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assign = re.compile(secrets._ASSIGN)
+    found = {r.id: r for r in secrets.scan(df).collect()}
+    for i, t in docs:
+        assert [(s.start, s.end) for s in found[i].base] == [m.span() for m in assign.finditer(t or "") if len(m[2]) >= 8]
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, t in docs:
+        if t is None:
+            assert clean[i] is None
+            continue
+        out, at = [], 0
+        for s in found[i].spans:
+            if s.start >= at:
+                out += [t[at : s.start], "[SECRET]"]
+            at = max(at, s.end)
+        assert clean[i] == "".join(out) + t[at:]
+
+
 # --- 9 ---
 
 
