@@ -6,17 +6,19 @@ lie; the counts of all blocks are summed, the bin of the k-th is found, and the
 that bin only. When the range is one score wide, the k-th score is known; a last pass keeps every score
 above it, and those equal to it, of which the smallest ids fill the k places.
 
-Scores are whole numbers, so ranges end after ceil(log_BINS(range)) passes. The queries are a stated set;
-their blocks are matched with row blocks by an equi-join on the block's number, so no task holds more than
-one block of either and nothing is broadcast.
-
-Ties: by smaller row id. Ties at the k-th score are cut per block (k smallest ids of a block hold the k
-smallest of all), so a huge group of equal vectors gives at most k rows a block and query.
-
-Nulls and odd input: rows whose vector is null, empty, of another width than the first block's most
-common one, or holds null or non-finite numbers take no part, neither do rows with a null id; repeated
-rows of an id are rows of their own, but an id is asked once (with its least vector) and never meets itself; few rows give fewer than
-k results; an empty table gives none. Vectors too large for exact sums (2**53) raise.
+Scores are whole numbers, so ranges end after ceil(log_BINS(range)) passes. The queries are a stated set.
+Query blocks are dealt to groups of about TOGETHER_QUERIES, row blocks to groups of about TOGETHER_ROWS, and
+each pair of groups meets once, as a cogroup of bounded size; a query's counts are summed over the row blocks
+of the group before they leave the task, so its rows in the shuffle are bins, not blocks. Nothing is broadcast.
+
+Ties: by smaller row id. Ties at the k-th score are cut per group (the k smallest ids of a group hold the k
+smallest of all), so a huge set of equal vectors gives at most k rows a group and query.
+
+Nulls and odd input: rows whose vector is null, empty, or holds null or non-finite numbers take no part,
+neither do rows with a null id. Rows are told apart by their place, not their id: every row of a repeated
+id that is asked for is a query with results of its own, and meets the other rows of its id. Rows meet rows
+of their own width only. Few rows give fewer than k results; an empty table gives none. Sums up to 2**62 are
+exact (large components are multiplied in halves); vectors beyond that have no score in a long, and raise.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ from pyspark.sql.window import Window
 
 from codeloom.llm.common import materialise
 
-BINS = 1024
+BINS = 256
+#: Rows and queries of a block.
 ROWS, QUERIES = 4096, 512
+#: Row blocks and query blocks that meet in one cogroup, on average.
+TOGETHER_ROWS, TOGETHER_QUERIES = 32, 8
+_HALF = 1 << 20
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -53,73 +59,96 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most `size` rows: a number, the ids and the matrix, both as bytes."""
+    """Blocks of at most `size` (key, id, vec, width) rows of one width: a number, keys, ids and the matrix as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         for b in batches:
-            for i in range(0, b.num_rows, size):
-                ids, vec = b.column(0)[i : i + size], b.column(1)[i : i + size]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids.to_numpy().tobytes()], pa.binary()), pa.array([b"".join(vec.to_pylist())], pa.binary())], [name, f"{name}_ids", f"{name}_vecs"])
-                number += 1
+            widths = b.column(3).to_numpy()
+            for w in np.unique(widths).tolist():
+                own = b if (widths == w).all() else b.filter(pa.array(widths == w))
+                for i in range(0, own.num_rows, size):
+                    part = own.slice(i, size)
+                    keys, ids = (part.column(c).to_numpy().tobytes() for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([w], pa.int32()), *[pa.array([x], pa.binary()) for x in (keys, ids, b"".join(part.column(2).to_pylist()))]], [name, "width", "keys", "ids", "vecs"])
+                    number += 1
+
+    return rows.mapInArrow(run, f"{name} long, width int, keys binary, ids binary, vecs binary")
+
 
-    return rows.mapInArrow(run, f"{name} long, {name}_ids binary, {name}_vecs binary")
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products, as 64-bit integers, of rows of whole numbers; they must be below 2**62."""
+    reach = np.sqrt((a * a).sum(axis=1).max(initial=0)) * np.sqrt((b * b).sum(axis=1).max(initial=0))
+    if reach < 1 << 52:
+        return (a @ b.T).astype(np.int64)
+    (ah, al), (bh, bl) = ((np.floor(x / _HALF), x - np.floor(x / _HALF) * _HALF) for x in (a, b))
+    whole = lambda x, y: (x @ y.T).astype(np.int64)
+    return whole(ah, bh) * _HALF * _HALF + (whole(ah, bl) + whole(al, bh)) * _HALF + whole(al, bl)
 
 
-def _scores(batch: pa.RecordBatch, width: int):
-    """Ids of the query and row block of each line, and their score matrix; a query's own id is masked."""
-    for line in batch.to_pylist():
-        q_ids, r_ids = np.frombuffer(line["q_ids"], np.int64), np.frombuffer(line["r_ids"], np.int64)
-        s = np.frombuffer(line["q_vecs"], "<f8").reshape(-1, width) @ np.frombuffer(line["r_vecs"], "<f8").reshape(-1, width).T
-        yield line, q_ids, r_ids, s.astype(np.int64), q_ids[:, None] != r_ids[None, :]
+def _matrix(line: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(line["keys"], np.int64), np.frombuffer(line["ids"], np.int64), np.frombuffer(line["vecs"], "<f8").reshape(-1, line["width"])
+
+
+def _scored(left: pa.Table, right: pa.Table):
+    """For each query block: its line, ids, and (ids, scores, which count) of each row block of its width."""
+    rows = [(line["width"], *_matrix(line)) for line in right.to_pylist()]
+    for line in left.to_pylist():
+        q_keys, q_ids, q = _matrix(line)
+        yield line, q_ids, ((r_ids, products(q, r), q_keys[:, None] != r_keys[None, :]) for w, r_keys, r_ids, r in rows if w == line["width"])
 
 
 def topk(vectors: DataFrame, is_query, k: int, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): the k best rows of each query, by integer inner product."""
+    """(query_id, rank from 1, vec_id, score): the k best rows of each query row, by integer inner product."""
     spark = vectors.sparkSession
     rows = materialise(quantised(vectors, id_col, vec_col, scale))
-    out_schema = "query_id long, rank int, vec_id long, score long"
-    widths = rows.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
-    if not widths:
-        return spark.createDataFrame([], out_schema)
-    width = widths[0]["width"]
-    rows = rows.where(F.col("width") == width).select("id", "vec")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f8").reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((m * m).sum(axis=1)).max(initial=0))])], ["norm"])
-
-    norm = rows.mapInArrow(reach, "norm double").agg(F.max("norm")).first()[0] or 0.0
-    bound = int(norm * norm) + 2  # no score is beyond it
-    if bound >= 1 << 53:
-        raise ValueError("components too large for exact integer scores")
-    row_blocks = materialise(_blocks(rows, ROWS, "r"))
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
-    query_blocks = materialise(_blocks(queries, QUERIES, "q"))
-    # The stated query set meets all rows, block by block: every query block is dealt to every row block.
-    numbers = row_blocks.select(F.col("r").alias("to")).agg(F.collect_list("to").alias("tos"))  # numbers only, one for 4096 rows
-    dealt = query_blocks.join(F.broadcast(numbers)).withColumn("r", F.explode("tos")).drop("tos")
-    pairs = dealt.join(row_blocks, "r").select("q", "q_ids", "q_vecs", "r_ids", "r_vecs")
-
-    n_bins = BINS
+            norms = [float((v * v).sum()) for v in (np.frombuffer(x, "<f8") for x in b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([max(norms, default=0.0)])], ["norm"])
+
+    norm = rows.select("vec").mapInArrow(reach, "norm double").agg(F.max("norm")).first()[0]
+    if norm is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if norm >= 1 << 62:
+        raise ValueError("vectors too large for scores in a long")
+    bound = int(norm * (1 + 1e-9)) + 2  # no score is beyond it
+    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "vec", "width")
+    row_blocks = materialise(_blocks(keyed, ROWS, "r"))
+    query_blocks = materialise(_blocks(keyed.where(is_query(F.col("id"))), QUERIES, "q"))
+    # Groups: enough of them for all cores, and no more in one than fits a task.
+    n_rows, n_queries, cores = row_blocks.count(), query_blocks.count(), spark.sparkContext.defaultParallelism
+    r_groups = max(1, -(-n_rows // TOGETHER_ROWS))
+    q_groups = max(1, -(-n_queries // TOGETHER_QUERIES), min(n_queries, -(-cores // r_groups)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt_rows = row_blocks.select("*", F.pmod(F.xxhash64("r"), F.lit(r_groups)).cast("int").alias("rg")).select("*", every(q_groups, "qg")).groupBy("qg", "rg")
+
+    def meet(state: DataFrame | None, run, schema: str) -> DataFrame:
+        asked = query_blocks if state is None else query_blocks.join(_packed(state), "q")
+        dealt = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(q_groups)).cast("int").alias("qg")).select("*", every(r_groups, "rg")).groupBy("qg", "rg")
+        return dealt.cogroup(dealt_rows).applyInArrow(run, schema)
+
     step = 1
-    while step * n_bins < 2 * bound + 1:
-        step *= n_bins
+    while step * BINS < 2 * bound + 1:
+        step *= BINS
 
     def histogram(step: int, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for line, q_ids, _, s, ok in _scores(batch, width):
-                    low = np.full(len(q_ids), -bound, np.int64) if first else np.frombuffer(line["low"], np.int64)[: len(q_ids)]
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = [np.zeros((4, 0), np.int64)]
+            for line, q_ids, blocks in _scored(left, right):
+                low = np.full(len(q_ids), -bound, np.int64) if first else np.frombuffer(line["low"], np.int64)[: len(q_ids)]
+                base = np.arange(len(q_ids))[:, None] * BINS
+                n = np.zeros(len(q_ids) * BINS, np.int64)
+                for _, s, ok in blocks:
                     at = (s - low[:, None]) // step
-                    inside = ok & (at >= 0) & (at < n_bins)
-                    flat = (np.arange(len(q_ids))[:, None] * n_bins + at)[inside]
-                    n = np.bincount(flat, minlength=len(q_ids) * n_bins)
-                    hot = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hot), line["q"])), pa.array((hot // n_bins).astype(np.int32)), pa.array((hot % n_bins).astype(np.int32)), pa.array(n[hot])], ["q", "at", "bin", "n"])
+                    n += np.bincount((base + at)[ok & (at >= 0) & (at < BINS)], minlength=len(n))
+                hot = np.flatnonzero(n)
+                out.append(np.stack([np.full(len(hot), line["q"]), hot // BINS, hot % BINS, n[hot]]))
+            q, at, bins, n = np.concatenate(out, axis=1)
+            return pa.table({"q": q, "at": at.astype(np.int32), "bin": bins.astype(np.int32), "n": n})
 
         return run
 
@@ -127,10 +156,9 @@ def topk(vectors: DataFrame, is_query, k: int, scale: int = 64, id_col: str = "v
     # rest are above). A query with fewer than k candidates goes on to its least score.
     state = None
     while step >= 1:
-        source = pairs if state is None else pairs.join(_packed(state), "q")
-        counts = source.mapInArrow(histogram(step, state is None), "q long, at int, bin int, n long").groupBy("q", "at", "bin").agg(F.sum("n").alias("n"))
+        counts = meet(state, histogram(step, state is None), "q long, at int, bin int, n long").groupBy("q", "at", "bin").agg(F.sum("n").alias("n"))
         above = F.coalesce(F.sum("n").over(Window.partitionBy("q", "at").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.withColumn("above", above).withColumn("least", F.min("bin").over(Window.partitionBy("q", "at")))
+        counts = counts.withColumn("above", above).withColumn("least", F.min("bin").over(Window.partitionBy("q", "at")))  # at most BINS rows a query
         if state is None:
             counts = counts.withColumn("low", F.lit(-bound).cast("long")).withColumn("need", F.lit(k).cast("long"))
         else:
@@ -140,24 +168,27 @@ def topk(vectors: DataFrame, is_query, k: int, scale: int = 64, id_col: str = "v
         state = materialise(
             counts.where(inside).select("q", "at", (F.col("low") + F.col("bin").cast("long") * step).alias("low"), F.when(short, F.lit(1 << 40)).otherwise(F.col("need") - F.col("above")).cast("long").alias("need"))
         )
-        step //= n_bins
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for line, q_ids, r_ids, s, ok in _scores(batch, width):
-                low = np.frombuffer(line["low"], np.int64)[: len(q_ids)]
-                good = ok & (s >= low[:, None])
-                qi, ri = np.nonzero(good)
-                score = s[qi, ri]
-                # Of the scores equal to the k-th, a block gives its k smallest ids.
-                order = np.lexsort((r_ids[ri], -score, qi))
-                qi, ri, score = qi[order], ri[order], score[order]
-                place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                qi, ri, score = qi[place < k], ri[place < k], score[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(r_ids[ri]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    kept = pairs.join(_packed(state), "q").mapInArrow(keep, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        step //= BINS
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros((5, 0), np.int64)]
+        for line, q_ids, blocks in _scored(left, right):
+            low = np.frombuffer(line["low"], np.int64)[: len(q_ids)]
+            found = [np.zeros((3, 0), np.int64)]
+            for r_ids, s, ok in blocks:
+                qi, ri = np.nonzero(ok & (s >= low[:, None]))
+                found.append(np.stack([qi, r_ids[ri], s[qi, ri]]))
+            qi, ids, score = np.concatenate(found, axis=1)
+            # Of the scores equal to the k-th, a group gives its k smallest ids.
+            order = np.lexsort((ids, -score, qi))
+            qi, ids, score = qi[order], ids[order], score[order]
+            good = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+            qi, ids, score = qi[good], ids[good], score[good]
+            out.append(np.stack([np.full(len(qi), line["q"]), qi, q_ids[qi], ids, score]))
+        return pa.table(dict(zip(("q", "at", "query_id", "vec_id", "score"), np.concatenate(out, axis=1), strict=True)))
+
+    kept = meet(state, keep, "q long, at long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q", "at").orderBy(F.desc("score"), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -165,9 +196,8 @@ def _packed(state: DataFrame) -> DataFrame:
     """(q, low binary): the lows of a query block's queries in order; one without candidates gets the largest."""
 
     def run(key, table):
-        at = table.column("at").to_numpy()
         low = np.full(QUERIES, np.iinfo(np.int64).max // 2, np.int64)
-        low[at] = table.column("low").to_numpy()
+        low[table.column("at").to_numpy()] = table.column("low").to_numpy()
         return pa.table({"q": pa.array([key[0].as_py()]), "low": pa.array([low.tobytes()], pa.binary())})
 
     return state.groupBy("q").applyInArrow(run, "q long, low binary")
@@ -178,10 +208,10 @@ def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
