@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -51,6 +51,20 @@ def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -
     return left.join(gone.select(*keys).distinct(), keys, "left_anti").select("doc.*")
 
 
+def running(values: Column, op, block: int = 256) -> Column:
+    """op of all non-negative integers before each place of an array (0 before the first); op is a sum or a maximum.
+
+    Worked out in blocks, then over the blocks' totals, so the work doesn't grow with the square of the array.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    before = lambda a: F.aggregate(a, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    parts = F.transform(cuts, lambda i: before(F.slice(values, i * block + 1, F.lit(block))))
+    bases = before(F.transform(parts, lambda x: x["at"]))["out"]
+    out = F.flatten(F.zip_with(parts, bases, lambda x, base: F.transform(x["out"], lambda v: op(base, v))))
+    return F.when(F.size(values) > block, out).when(F.size(values) > 0, before(values)["out"]).otherwise(F.array().cast("array<int>"))
+
+
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string or binary array, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

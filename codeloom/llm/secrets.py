@@ -6,7 +6,8 @@ endpoint). They are reported when complementary parts lie in the same scope, tha
 most SCOPE code points apart: an id with a secret, a secret with an id, an endpoint with both. Base spans
 count as parts too (access as id, assign and hex as secret), but are never reported twice.
 
-Positions: a text is split by the pattern and the lengths of gaps and matches are summed up in the row.
+Positions: a text is split by the pattern and the lengths of gaps and matches are summed up in the row, in
+blocks, so that a text with very many matches costs no more than its length and their number.
 The interval join works on bins of SCOPE code points: each bin keeps the first and last start of each
 role, and a weak part asks its own bin and both neighbours. So a document with very many parts costs a row
 for each part, never a row for each pair.
@@ -18,11 +19,12 @@ null ids are kept; an empty table gives none; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, row_key
+from codeloom.llm.common import materialise, row_key, running
 
 SCOPE = 256
 
@@ -31,7 +33,7 @@ SCOPE = 256
 class Pattern:
     """A kind of span: its pattern, the group whose length counts and that length's limits, the part's role.
 
-    `guard` is true of every text that has a match; texts without it aren't split.
+    `guard` is true of every text that has a match, and so is one of `signs`; other texts aren't split.
     """
 
     kind: str
@@ -42,44 +44,48 @@ class Pattern:
     most: int | None = None
     weak: bool = False
     guard: str = ""
+    signs: tuple[str, ...] = ()
 
 
 _SET = r"""["']?\x20*[:=]\x20*["']?"""
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ASSIGN_GUARD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 PATTERNS = (
-    Pattern("assign", "secret", _ASSIGN, 2, 8, guard=_ASSIGN_GUARD),
-    Pattern("access", "id", "AKIA[A-Z0-9]+", 0, 16, guard="AKIA"),
+    Pattern("assign", "secret", _ASSIGN, 2, 8, guard=_ASSIGN_GUARD, signs=(":", "=")),
+    Pattern("access", "id", "AKIA[A-Z0-9]+", 0, 16, guard="AKIA", signs=("AKIA",)),
     Pattern("hex", "secret", "[0-9a-f]{32,}", guard="[0-9a-f]{32}"),
-    Pattern("weak_id", "id", rf"(?i:user(?:name)?|login|account|client_?id|key_?id){_SET}[A-Za-z0-9._@+-]{{3,}}", weak=True, guard=r"""(?i:user|name|login|account|_?id)["']?\x20*[:=]"""),
-    Pattern("weak_contact", "id", r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", weak=True, guard=r"[A-Za-z0-9._+-]@[A-Za-z0-9-]"),
-    Pattern("weak_assign", "secret", _ASSIGN, 2, 4, 7, weak=True, guard=_ASSIGN_GUARD),
-    Pattern("weak_secret", "secret", rf"(?i:pass|pwd|auth|credential|private_?key|signature){_SET}[A-Za-z0-9+/_.=-]{{4,}}", weak=True, guard=r"""(?i:pass|pwd|auth|credential|key|signature)["']?\x20*[:=]"""),
-    Pattern("weak_host", "endpoint", rf"(?i:host|endpoint|server){_SET}[A-Za-z0-9.:/_-]{{4,}}", weak=True, guard=r"""(?i:host|endpoint|server)["']?\x20*[:=]"""),
-    Pattern("weak_url", "endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+""", weak=True, guard="[a-z0-9+.-]://"),
+    Pattern("weak_id", "id", rf"(?i:user(?:name)?|login|account|client_?id|key_?id){_SET}[A-Za-z0-9._@+-]{{3,}}", weak=True, guard=r"""(?i:user|name|login|account|_?id)["']?\x20*[:=]""", signs=(":", "=")),
+    Pattern("weak_contact", "id", r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", weak=True, guard=r"[A-Za-z0-9._+-]@[A-Za-z0-9-]", signs=("@",)),
+    Pattern("weak_assign", "secret", _ASSIGN, 2, 4, 7, weak=True, guard=_ASSIGN_GUARD, signs=(":", "=")),
+    Pattern("weak_secret", "secret", rf"(?i:pass|pwd|auth|credential|private_?key|signature){_SET}[A-Za-z0-9+/_.=-]{{4,}}", weak=True, guard=r"""(?i:pass|pwd|auth|credential|key|signature)["']?\x20*[:=]""", signs=(":", "=")),
+    Pattern("weak_host", "endpoint", rf"(?i:host|endpoint|server){_SET}[A-Za-z0-9.:/_-]{{4,}}", weak=True, guard=r"""(?i:host|endpoint|server)["']?\x20*[:=]""", signs=(":", "=")),
+    Pattern("weak_url", "endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+""", weak=True, guard="[a-z0-9+.-]://", signs=("://",)),
     Pattern("weak_address", "endpoint", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?", weak=True, guard=r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
 )
 BASE = tuple(p for p in PATTERNS if not p.weak)
 WEAK = tuple(p for p in PATTERNS if p.weak)
-_SPANS = "array<struct<start:int,end:int,n:int>>"
+_SPANS = "array<struct<start:int,end:int>>"
+#: Code points that are cut off a text together, so that reaching a place costs no more than that.
+CUT = 4096
 
 
 def spans_of(text: Column, p: Pattern) -> Column:
-    """array<struct<start, end>> of the pattern's leftmost non-overlapping matches that pass, in code points."""
-    found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group))
-    gaps = F.slice(F.split(text, p.regex, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(F.arrays_zip(gaps.alias("g"), found.alias("m")), value, lambda a, v: F.struct(F.length(a["g"]).alias("gap"), F.length(a["m"]).alias("len"), F.length(v).alias("n")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        span = F.struct(start.alias("start"), (start + s["len"]).alias("end"), s["n"].alias("n"))
-        return F.struct((start + s["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    """array<struct<start, end>> of the pattern's leftmost non-overlapping matches that pass, in code points.
 
-    passing = F.filter(F.aggregate(steps, begin, add)["out"], lambda x: (x["n"] >= p.least) & (F.lit(True) if p.most is None else x["n"] <= p.most))
+    The text is split by the pattern; what is before a match is the gaps and matches before it.
+    """
+    found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
+    gaps = F.transform(F.slice(F.split(text, p.regex, -1), F.lit(1), F.size(found)), F.length)
+    own = F.transform(found, lambda m: F.struct(F.length(m).alias("len"), (F.length(F.regexp_extract(m, p.regex, p.group)) if p.group else F.length(m)).alias("n")))
+    before = running(F.zip_with(gaps, own, lambda g, m: g + m["len"]), lambda a, b: a + b)
+    starts = F.zip_with(before, gaps, lambda b, g: b + g)
+    spans = F.zip_with(starts, own, lambda s, m: F.struct(s.alias("start"), (s + m["len"]).alias("end"), m["n"].alias("n")))
+    passing = F.filter(spans, lambda x: (x["n"] >= p.least) & (F.lit(True) if p.most is None else x["n"] <= p.most))
     slim = F.transform(passing, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(p.guard), slim).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    likely = text.rlike(p.guard)
+    if p.signs:
+        likely = reduce(lambda a, b: a | b, [text.contains(x) for x in p.signs]) & likely
+    return F.when(likely, slim).otherwise(F.array().cast(_SPANS))
 
 
 def _labelled(p: Pattern) -> Column:
@@ -127,14 +133,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     found = scan(docs, id_col, text_col).where(F.size("spans") > 0).select("key_a", "key_b", "spans").distinct()
     both = docs.select(F.struct("*").alias("doc"), *row_key(id_col, text_col)).join(found, ["key_a", "key_b"], "left")
     text = F.col("doc").getField(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    done = F.aggregate("spans", start, step)
-    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    # Stretches between spans: from the greatest end so far to the next start, put together from cut pieces.
+    both = both.withColumn("cuts", F.when(F.col("spans").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    both = both.withColumn("ends", running(F.transform("spans", lambda s: s["end"]), F.greatest))
+    piece = lambda i: F.coalesce(F.try_element_at("cuts", i + 1), F.lit(""))
+
+    def between(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+        tail, middle, head = F.substr(piece(i), a % CUT + 1), F.array_join(F.slice("cuts", i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substr(piece(j), F.lit(1), b % CUT)
+        return F.when(i == j, F.substr(piece(i), a % CUT + 1, b - a)).otherwise(F.concat(tail, middle, head))
+
+    kept = F.zip_with("spans", "ends", lambda s, end: F.when(s["start"] >= end, F.concat(between(end, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+    last = F.greatest(F.element_at("ends", -1), F.element_at("spans", -1)["end"])
+    rest = between(last, F.lit(CUT) * F.size("cuts"))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), rest))
     out = both.withColumn("clean", clean)
     new = {text_col: F.col("clean")}
     if chars_col:
