@@ -2,13 +2,15 @@
 
 Of each run of WINDOW consecutive K-word hashes the least is kept as a fingerprint. With K + WINDOW - 1
 equal to the span length (13 words), a document and an item that share a span share the fingerprint which
-that span selects, so joining the fingerprints of both sides misses none. Each joined fingerprint is
-extended: every span around it is looked up and its words compared, so no other words count. An item
-shorter than a span is one window; such items are fingerprinted by their whole length (a window of one).
+that span selects, so joining the fingerprints of both sides misses none. An item shorter than a span is one
+window; such items are fingerprinted by their whole length (a window of one).
 
-The benchmark side is cut into blocks of at most BLOCK_WORDS words (a checked size), each broadcast to the
-tasks that stream the documents. One block is the usual case and then nothing is shuffled; with more, a
-pass is made for each block and the hits meet in one row per document.
+Both sides are fingerprinted where they are read. A bitmap of the benchmark's fingerprints, of FILTER_BITS
+bits whatever its size, is the only broadcast; documents write the fingerprints that pass it, with the words
+around them. Those are joined with the benchmark's by hash and length. Each joined fingerprint is extended:
+the spans around it are joined with the items' spans by a digest (blake2b) of their words, so no other words
+count. Items that share a span are a list with a key of its own, which is made once and joined to documents
+by that key, so a span of many documents and many items makes no pairs of them.
 
 Nulls and odd input: null texts (either side) have no words; an item with a null id still makes words hit
 but is not listed; items of one id count once; repeated documents are kept as rows; empty tables work;
@@ -25,142 +27,145 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, row_key, runs, span_hash, text_view, winnow, without_rows, words
+from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, materialise, mix, row_key, runs, span_hash, text_view, winnow, without_rows, words
 
 SPAN, K = 13, 6
 WINDOW = SPAN - K + 1
-BLOCK_WORDS = 4_000_000
-
-
-def _sorted_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted table."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    return table[np.minimum(at, len(table) - 1)] == values
-
-
-class Index:
-    """Fingerprints and spans of a block of items."""
-
-    def __init__(self, items: list[tuple[str | None, str]]):
-        self.spans: dict[bytes, list[int]] = {}
-        self.names = [None if name is None else str(name) for name, _ in items]
-        short: dict[int, set[bytes]] = {}
-        for at, (_, text) in enumerate(items):
-            own = text.encode().translate(LOWER.tobytes()).translate(_BLANK).split(b" ")
-            own = [x for x in own if x]
-            m = min(SPAN, len(own))
-            for i in range(len(own) - m + 1 if own else 0):
-                span = b" ".join(own[i : i + m])
-                held = self.spans.setdefault(span, [])
-                if not held or held[-1] != at:
-                    held.append(at)
-                short.setdefault(m, set()).add(span)
-        self.tables = {}  # span length: gram length, winnowing window, fingerprints, span hashes
-        for m, spans in short.items():
-            k, w = (K, WINDOW) if m == SPAN else (m, 1)
-            raw = np.frombuffer(b" ".join(spans) + b" ", np.uint8)
-            offs = np.cumsum([0, *(len(s) + 1 for s in spans)])
-            h, _ = _word_hashes(raw, offs)
-            grams = gram_hash(h, k).copy()
-            rows = np.lib.stride_tricks.sliding_window_view(grams, m - k + 1)[::m] if m > k else grams[::m, None]
-            self.tables[m] = (k, w, np.unique(rows.min(axis=1)), np.unique(gram_hash(h, m, np.arange(0, len(h), m))))
-
-
-#: Bytes that are no word become spaces.
-_BLANK = bytes(b if ALNUM_WORD[b] else 0x20 for b in range(256))
-
-
-def _word_hashes(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, first = words(data, offsets, ALNUM_WORD)
-    return span_hash(data, starts, ends), (starts, ends, first)
-
-
-def _hits(data: np.ndarray, offs: np.ndarray, index: Index):
-    """Number of words of each document, the words hit, and the items found in each document."""
-    data = LOWER[data]
-    h, (starts, ends, first) = _word_hashes(data, offs)
-    hit = np.zeros(len(starts) + 1, np.int64)
-    items: dict[int, set[int]] = {}
-    doc_end = np.repeat(first[1:], np.diff(first))
-    for m, (k, w, prints, spans) in index.tables.items():
-        if len(h) < m:
-            continue
-        grams = gram_hash(h, k)
-        low = winnow(grams, w)
-        near = low[_sorted_in(grams[low], prints)]
-        at = np.unique((near[:, None] - np.arange(w)).ravel())
-        at = at[(at >= 0) & (at + m <= len(h))]
-        at = at[at + m <= doc_end[at]]
-        at = at[_sorted_in(gram_hash(h, m, at), spans)]
-        doc = np.searchsorted(first, at, "right") - 1
-        for i, d in zip(at.tolist(), doc.tolist(), strict=True):
-            span = b" ".join([data[a:b].tobytes() for a, b in zip(starts[i : i + m], ends[i : i + m], strict=True)])
-            if (found := index.spans.get(span)) is not None:
-                hit[i] += 1
-                hit[i + m] -= 1
-                items.setdefault(d, set()).update(found)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-    return np.diff(first), covered, first, np.cumsum(hit[:-1]) > 0, items
-
-
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded size, streamed to the driver one block at a time."""
-    block, n = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        n += len(r["t"]) // 2 + 1
-        if n >= block_words:
-            yield block
-            block, n = [], 0
-    yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, keyed: bool = False) -> DataFrame:
+#: Bits of the filter; with more fingerprints than that it lets more through, and the joins still decide.
+FILTER_BITS = 1 << 26
+_U = np.uint64
+
+
+def _slots(prints: np.ndarray, m: int, n_bits: int) -> np.ndarray:
+    """Places of fingerprints of spans of m words in a filter of n_bits, a power of two."""
+    return (mix(prints ^ _U(m * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(n_bits - 1)).astype(np.int64)
+
+
+class _Words:
+    """Lower-cased words of some texts: bytes, byte starts and ends, words before each text, and their hashes."""
+
+    def __init__(self, column: pa.Array):
+        data, offs = text_view(column)
+        self.data = LOWER[data]
+        self.starts, self.ends, self.first = words(self.data, offs, ALNUM_WORD)
+        self.hash = span_hash(self.data, self.starts, self.ends)
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b, joined by spaces."""
+        return b" ".join([self.data[x:y].tobytes() for x, y in zip(self.starts[a:b], self.ends[a:b], strict=True)])
+
+
+def _gram(m: int) -> tuple[int, int]:
+    """Gram length and winnowing window of spans of m words."""
+    return (K, WINDOW) if m == SPAN else (m, 1)
+
+
+def _digest(span: bytes) -> tuple[int, int]:
+    raw = hashlib.blake2b(span, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+_SPANS = ["digest_a", "digest_b"]
+_NEAR = pa.struct([("m", pa.int32()), ("print", pa.int64()), ("place", pa.int64()), ("words", pa.binary())])
+
+
+def item_spans(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(item, m, print, slot, digest_a, digest_b): every window of every item, with the fingerprint that it selects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in runs(text_view(batch.column(1))[1]):
+                w = _Words(batch.column(1)[i:j])
+                out = []
+                for row, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                    m = min(SPAN, b - a)
+                    if not m:
+                        continue
+                    k, width = _gram(m)
+                    grams = gram_hash(w.hash[a:b], k)
+                    for s in range(b - a - m + 1):
+                        own = grams[s : s + width].min()
+                        out.append((i + row, m, int(own.view(np.int64)), int(_slots(np.array([own]), m, filter_bits)[0]), *_digest(w.text(a + s, a + s + m))))
+                rows, *cols = zip(*out, strict=True) if out else [[]] * 6
+                kinds = [pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["item", "m", "print", "slot", *_SPANS])
+
+    source = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    return source.mapInArrow(run, "item string, m int, print long, slot long, digest_a long, digest_b long")
+
+
+def _near(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
+    """(id, key_a, key_b, n_words, near): each document with the fingerprints that pass the filter and the words around them."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for i, j in runs(text_view(batch.column(3))[1]):
+                part = batch.slice(i, j - i)
+                w = _Words(part.column(3))
+                near: list[list] = [[] for _ in range(j - i)]
+                for m in lengths:
+                    if len(w.hash) < m:
+                        continue
+                    k, width = _gram(m)
+                    grams = gram_hash(w.hash, k)
+                    at = winnow(grams, width) if width > 1 else np.arange(len(grams))
+                    slot = _slots(grams[at], m, 8 * len(table))
+                    at = at[table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    low, high = w.first[doc], w.first[doc + 1]
+                    whole = at + k <= high
+                    for p, d, a, b in zip(at[whole].tolist(), doc[whole].tolist(), low[whole].tolist(), high[whole].tolist(), strict=True):
+                        s, e = max(a, p - (m - k)), min(b, p + m)
+                        if e - s >= m:
+                            near[d].append({"m": m, "print": int(grams[p].view(np.int64)), "place": s - a, "words": w.text(s, e)})
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(w.first), pa.int64()), pa.array(near, pa.list_(_NEAR))], ["id", "key_a", "key_b", "n_words", "near"])
+
+    return docs.mapInArrow(run, "id long, key_a long, key_b long, n_words long, near array<struct<m:int,print:long,place:long,words:binary>>")
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key_a, key_b, m, start, digest_a, digest_b): every span of m words in the words around a fingerprint."""
+    for batch in batches:
+        out = []
+        for a, b, m, place, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = near.split(b" ")
+            out += [(a, b, m, place + s, *_digest(b" ".join(own[s : s + m]))) for s in range(len(own) - m + 1)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        cols = zip(*out, strict=True) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key_a", "key_b", "m", "start", *_SPANS])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keyed: bool = False, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: id, n_words, hit_words (array of word positions), items (sorted array of ids).
 
     With `keyed`, the row's key_a and key_b (see common.row_key) come last.
     """
-    spark = docs.sparkSession
-    keys = ["key_a", "key_b"] if keyed else []
-    passes = []
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
-    for block in blocks_of(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                data, offs = text_view(batch.column(1))
-                for i, j in runs(offs):
-                    part = batch.slice(i, j - i)
-                    n, _, first, hit, items = _hits(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], index)
-                    at = np.flatnonzero(hit)
-                    cut = np.searchsorted(at, first)
-                    local = at - np.repeat(first[:-1], np.diff(cut))
-                    spots = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(local, pa.int64()))
-                    names = [sorted({index.names[x] for x in items.get(d, ())} - {None}) for d in range(j - i)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n, pa.int64()), spots, pa.array(names, pa.list_(pa.string()))], ["id", "key_a", "key_b", "n_words", "hit_words", "items"])
-
-        passes.append(source.mapInArrow(run, "id long, key_a long, key_b long, n_words long, hit_words array<long>, items array<string>"))
-    if len(passes) == 1:
-        return passes[0].select("id", "n_words", "hit_words", "items", *keys)
-    # Each pass sees every row once: equal rows are counted by the first pass, and all have equal hits.
-    times = passes[0].groupBy("key_a", "key_b").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
-    spots = [p.select("key_a", "key_b", F.explode("hit_words").alias("w")).distinct().groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set("w")).alias("hit_words")) for p in [_union(passes)]][0]
-    found = _union(passes).select("key_a", "key_b", F.explode("items").alias("i")).groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set("i")).alias("items"))
+    keys = ["key_a", "key_b"]
+    spans = materialise(item_spans(benchmark, item_id, item_text, filter_bits))
+    bits = np.zeros(filter_bits // 8, np.uint8)
+    filled = spans.groupBy(F.shiftright("slot", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, CAST(slot & 7 AS INT))")).alias("bits"))
+    for r in filled.toLocalIterator():  # at most filter_bits / 8 small rows
+        bits[r["at"]] = r["bits"]
+    lengths = sorted(r["m"] for r in spans.select("m").distinct().collect())  # 1 to SPAN
+    source = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    found = materialise(_near(source, lengths, bits))
+
+    prints = spans.select("m", "print").distinct()
+    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*").distinct().join(prints, ["m", "print"], "left_semi")
+    extended = near.select(*keys, "m", "place", "words").mapInArrow(_extend, "key_a long, key_b long, m int, start long, digest_a long, digest_b long").distinct()
+    # Spans with the items that have them; equal lists of items are one.
+    lists = spans.groupBy("m", *_SPANS).agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("list", F.md5(F.to_json("items")))
+    lists = materialise(lists)
+    hits = materialise(extended.join(lists.select("m", *_SPANS, "list"), ["m", *_SPANS]).select(*keys, "m", "start", "list"))
+    reach = F.flatten(F.transform(F.collect_set(F.struct("start", "m")), lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1)))
+    spots = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(reach)).alias("hit_words"))
+    named = hits.select(*keys, "list").distinct().join(lists.select("list", "items").dropDuplicates(["list"]), "list")
+    named = named.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = F.array().cast("array<long>"), F.array().cast("array<string>")
-    out = times.join(spots, ["key_a", "key_b"], "left").join(found, ["key_a", "key_b"], "left")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select("id", "n_words", F.coalesce("hit_words", none[0]).alias("hit_words"), F.coalesce("items", none[1]).alias("items"), *keys)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    out = found.select("id", *keys, "n_words").join(spots.join(named, keys), keys, "left")
+    return out.select("id", "n_words", F.coalesce("hit_words", none[0]).alias("hit_words"), F.coalesce("items", none[1]).alias("items"), *(keys if keyed else []))
 
 
 def contaminated(share: int = 20) -> Column:
