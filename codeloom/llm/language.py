@@ -6,10 +6,11 @@ stand for the kernel, phi(x) = k(x, landmarks) K^(-1/2). Classifier: kernel ridg
 versus the rest, on phi. Scoring: a batch's presence matrix times the landmarks' gives the kernel block, and
 that times the weights gives all scores of the batch.
 
-Letter classes: lower-cased letters a-z have their own class, other letters share 37 classes by code
-point, everything else is class 0. Training rows are a bounded sample: PER_LANG texts of a language (hash
-order, so the same rows however the table is partitioned) and SAMPLE_CHARS in all; documents are always
-scored whole.
+Characters: each lower-cased letter that the training texts hold is itself, other letters are one class, and
+everything else is another. Training rows are a bounded sample of distinct texts: PER_LANG of a language (hash
+order, so the same rows however the table is partitioned) as far as SAMPLE_CHARS, dealt evenly to the languages,
+reach, and one text of a language at least; documents are always scored whole. The model has a column and the
+driver a small row for each language that occurs.
 
 Nulls and odd input: a null text or one without letters is `und` with score 0; a null lang is not learned
 from; with no labelled rows every document is `und`; null ids are held in (not held out); equal rows and
@@ -19,12 +20,12 @@ further columns don't matter; a tie goes to the language first in the alphabet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.common import row_key, runs, text_view, without_rows
 
@@ -34,51 +35,50 @@ SAMPLE_CHARS = 24_000_000
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
-_SIDE = 64
-_GRAMS = _SIDE**3
 BATCH = 256
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of each code point: 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([i for i in range(0x110000) if chr(i).isalpha()])
-    table[letters] = 27 + letters % 37
-    table[0x61:0x7B] = np.arange(1, 27)
-    return table
-
-
-def grams(text: str) -> np.ndarray | None:
-    """Sorted codes of the distinct 1-, 2- and 3-grams of a text; None if it has no letter.
-
-    A code is three classes in base 64; shorter grams lie beyond the 3-grams' codes.
-    """
-    cls = _classes()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)].astype(np.int32)
-    if not cls.any():
-        return None
-    cls = np.concatenate([[0], cls, [0]])
-    seen = np.zeros(_GRAMS, bool)
-    seen[cls[:-2] * (_SIDE * _SIDE) + cls[1:-1] * _SIDE + cls[2:]] = True
-    three = np.flatnonzero(seen)
-    two = np.unique(np.concatenate([three // _SIDE, three % (_SIDE * _SIDE)]))
-    return np.concatenate([three, _GRAMS + two, _GRAMS + _SIDE * _SIDE + np.unique(two % _SIDE)])
+class Grams:
+    """Codes of the distinct 1-, 2- and 3-grams of a text, over the letters of some texts."""
+
+    def __init__(self, texts: list[str]):
+        letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
+        self.side = len(letters) + 2
+        table = np.zeros(0x110000, np.int32)
+        table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
+        table[[ord(c) for c in letters]] = np.arange(2, self.side)
+        self.table = table
+
+    def __call__(self, text: str) -> np.ndarray | None:
+        """Sorted codes; None if the text has no letter. A gram is its characters' numbers in base `side`, the lengths one after another."""
+        side = self.side
+        own = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if not own.any():
+            return None
+        own = np.concatenate([[0], own, [0]]).astype(np.int64)
+        pairs = own[:-1] * side + own[1:]
+        if side**3 <= 1 << 24:
+            seen = np.zeros(side**3, bool)
+            seen[pairs[:-1] * side + own[2:]] = True
+            three = np.flatnonzero(seen)
+        else:
+            three = np.unique(pairs[:-1] * side + own[2:])
+        return np.concatenate([np.unique(own), side + np.unique(pairs), side + side * side + three])
 
 
 class Model:
     """Landmark presence, its vocabulary and the weights from kernel to language scores."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        rows = [(g, y) for g, y in zip(map(grams, texts), langs, strict=True) if g is not None]
+        self.grams = Grams(texts)
+        rows = [(g, y) for g, y in zip(map(self.grams, texts), langs, strict=True) if g is not None]
         self.langs = sorted({y for _, y in rows})
         if not rows:
             return
         by = {y: [g for g, z in rows if z == y] for y in self.langs}
         each = max(1, LANDMARKS // len(self.langs))
         marks = [g for y in self.langs for g in by[y][:each]]
-        vocab = np.unique(np.concatenate(marks))
-        self.at = np.full(_GRAMS + _SIDE * _SIDE + _SIDE, -1, np.int32)
-        self.at[vocab] = np.arange(len(vocab), dtype=np.int32)
+        self.vocab = np.unique(np.concatenate(marks))
         self.marks = self._presence(marks).T.copy() / np.sqrt([len(g) for g in marks], dtype=np.float32)
         k = self._kernel(marks).astype(float)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
@@ -91,10 +91,10 @@ class Model:
         self.weights = (root @ np.linalg.solve(gram, (phi * weight[:, None]).T @ y)).astype(np.float32)
 
     def _presence(self, sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), int(self.at.max()) + 1), np.float32)
+        out = np.zeros((len(sets), len(self.vocab)), np.float32)
         for i, g in enumerate(sets):
-            at = self.at[g]
-            out[i, at[at >= 0]] = 1
+            at = np.minimum(np.searchsorted(self.vocab, g), len(self.vocab) - 1)
+            out[i, at[self.vocab[at] == g]] = 1
         return out
 
     def _kernel(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -103,7 +103,7 @@ class Model:
         return np.concatenate(parts) / np.sqrt([len(g) for g in sets], dtype=np.float32)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        sets = [grams(t) if t else None for t in texts]
+        sets = [self.grams(t) if t else None for t in texts]
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [i for i, g in enumerate(sets) if g is not None]
         if not known or not self.langs:
@@ -124,27 +124,28 @@ def fold(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit on the documents outside the held-out fold with a language.
 
-    Rows come in hash order, per_lang of each language at most. Languages are counted first, so that a
-    hash threshold for each brings about that many rows to the driver, whatever the input's size.
+    Texts come in hash order. Distinct rows of each language are counted first, so that a hash threshold leaves
+    a bounded number of each; those are ranked and cut to the sample, which is all that comes to the driver.
     """
     pool = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold(id_col), F.lit(0)) != 1))
-    counts = {r["lang"]: r["n"] for r in pool.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(text_col)), F.lit(1 << 40))
+    slim = pool.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in slim.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return Model([], [])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.5 * per_lang / n + 30 / n) * (1 << 30))))])
-    rows = pool.where(draw < share[F.col(lang_col)]).select(draw.alias("draw"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.length(text_col).alias("n")).where(F.col("n") <= SAMPLE_CHARS // (2 * per_lang * max(1, len(counts))) + 20_000)
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows.select("draw", "lang", "text").collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
-        own = texts.setdefault(r["lang"], [])
-        if len(own) < per_lang:
-            own.append(r["text"])
-    return Model([t for own in texts.values() for t in own], [lang for lang, own in texts.items() for _ in own])
+    edges = [(lang, int(min(1.0, (1.7 * per_lang + 40) / max(1, n)) * (1 << 40))) for lang, n in counts.items()]
+    few = slim.join(F.broadcast(docs.sparkSession.createDataFrame(edges, "lang string, edge long")), "lang").where("draw < edge")  # a row a language
+    few = few.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumns({"rank": F.row_number().over(order), "before": before}).where((F.col("rank") <= per_lang) & ((F.col("before") + F.length("text") <= SAMPLE_CHARS // len(counts)) | (F.col("rank") == 1)))
+    rows = sorted(few.select("lang", "draw", "text").collect())
+    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keys: tuple = ()) -> DataFrame:
     """(id, lang_pred, score) of every document, then `keys` (columns of longs, see common.row_key)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x vocabulary floats, bounded by 64**3 + 64**2 + 64
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x vocabulary floats, of a sample of SAMPLE_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

@@ -99,6 +99,57 @@ def test_string_kernel_is_the_shared_share_of_grams():
     assert m._kernel([language.grams("abc def")])[0][2] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=1e-6)
 
 
+def test_language_against_a_plain_kernel_ridge(spark):
+    """Sets of n-grams, the kernel by intersections, and the ridge solved again from the model's own sample."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {}
+    build = language.Model
+
+    class Kept(build):
+        def __init__(self, texts, langs):
+            seen["rows"] = (texts, langs)
+            super().__init__(texts, langs)
+
+    language.Model = Kept
+    try:
+        model = language.train(docs)
+    finally:
+        language.Model = build
+    sample, langs = seen["rows"]
+    letters = {c for t in sample for c in t.lower() if c.isalpha()}
+
+    def grams(t):
+        own = " " + "".join(c if c in letters else "\0" if c.isalpha() else " " for c in t.lower()) + " "
+        return {own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    names = sorted(set(langs))
+    sets = [grams(t) for t in sample]
+    marks = [i for y in names for i in [j for j, z in enumerate(langs) if z == y][: max(1, language.LANDMARKS // len(names))]]
+    k = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = np.array([[kernel(s, sets[j]) for j in marks] for s in sets]) @ root
+    y = np.array([[1.0 if z == n else -1.0 for n in names] for z in langs])
+    weight = np.array([len(langs) / (len(names) * langs.count(z)) for z in langs])
+    weights = root @ np.linalg.solve((phi * weight[:, None]).T @ phi + language.RIDGE * len(langs) * np.eye(phi.shape[1]) * values.max() / len(marks) * 1e-2, (phi * weight[:, None]).T @ y)
+    rows = [t for t in texts(spark).values() if t and any(c.isalpha() for c in t)][:60]
+    f = np.array([[kernel(grams(t), sets[j]) for j in marks] for t in rows]) @ weights
+    lang, score = model.predict(rows)
+    e = np.exp(language.SHARPNESS * (f - f.max(axis=1, keepdims=True)))
+    assert np.allclose(score, e.max(axis=1) / e.sum(axis=1), atol=2e-3)
+    assert sum(a == names[b] for a, b in zip(lang, f.argmax(axis=1), strict=True)) >= len(rows) - 1
+
+
+def test_language_sample_is_bounded_whatever_ids_repeat(spark):
+    rows = [(None if i % 2 else 7, f"{'der die das und' if i % 2 else 'the and of to'} {i} {'abcdefghij'[i % 10]}", "de" if i % 2 else "en") for i in range(600)] + [(7, "le la les " * 50000, "fr")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
+    assert model.langs == ["de", "en", "fr"] and len(model.marks[0]) <= 3 * 20
+    same = language.Model(["aa bb", "aa bb"], ["x", "b"])  # a tie goes to the first in the alphabet
+    assert same.predict(["aa bb", "\u65e5\u672c", "12", None])[0][0] == "b" and same.predict(["12", None])[0] == ["und", "und"]
+
+
 # --- 3 ---
 
 
