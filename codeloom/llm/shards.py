@@ -1,6 +1,7 @@
 """Balanced contiguous shards from global byte-size prefix sums.
 
-Rows are range-partitioned by id and sorted within partitions. Each partition's total size (one small row
+Rows are range-partitioned by id, text hash, size and place in the input, so that many rows of one id (or none)
+are several partitions, and sorted within partitions. Each partition's total size (one small row
 a partition) gives it a base; base plus the running sum inside the partition is the row's global prefix.
 The line of all bytes is cut at equal targets, and a row belongs to the shard in which its middle byte
 falls: shards are contiguous in id order and differ from the target by less than one row at either end.
@@ -55,7 +56,8 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
             rows, total = rows + len(size), total + int(size.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(at), pa.array(before)], ["id", "size", "text_crc32", "part", "at", "before"])
 
-    ordered = slim.repartitionByRange("id").sortWithinPartitions("id", "text_crc32", "size")
+    order = ["id", "text_crc32", "size", "place"]
+    ordered = slim.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
     placed = materialise(ordered.mapInArrow(running, "id long, size long, text_crc32 long, part int, at long, before long"))
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
     bases, rows, total = [], 0, 0
