@@ -18,24 +18,32 @@ RUN_BYTES = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (tests, local sessions) the context gets a temporary checkpoint folder.
+    Where that setting is missing, a local session (tests) gets a temporary checkpoint folder; others raise.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/codeloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def row_key(id_col: str, text_col: str) -> tuple:
     """Two columns that tell rows apart by id and whole text (equal rows get equal keys)."""
     return (
