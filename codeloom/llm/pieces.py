@@ -36,11 +36,13 @@ from pyspark.sql import types as T
 from codeloom.llm.common import runs, text_view
 
 META = "▁"
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 300_000
+#: New chunks that are worked out together.
+LEARNED = 40_000
 #: Longer chunks are worked out each time they occur, so the cache's bytes are bounded.
 CACHE_CHARS = 64
 #: Bytes of text whose chunks are looked up together.
-RUN = 8_000_000
+RUN = 3_000_000
 #: Up to so many characters the agendas of a batch's stretches are rows of a matrix; rows of one matrix.
 SHORT, ROWS = 32, 4096
 _SIDE, _GONE, _NONE = 24, -2, np.iinfo(np.int32).max
@@ -239,8 +241,8 @@ class Pieces:
         cache[META] = array("i", [self.end]).tobytes()  # stands for the end of a text
         found = list(map(cache.get, chunks))
         if new := [c for c, ids in zip(chunks, found, strict=True) if ids is None]:
-            learnt = self._learn(new)
-            cache.update(learnt)
+            for i in range(0, len(new), LEARNED):
+                cache.update(self._learn(new[i : i + LEARNED]))
             found = [cache[c] for c in chunks]
             for c in [c for c in new if len(c) > CACHE_CHARS]:
                 del cache[c]
