@@ -123,7 +123,7 @@ def is_valid_code(c) -> Column:
 def parse_predictions(c, separator: str = ",") -> Column:
     """struct(valid, invalid): the output's parts by shape, in order."""
     parts = F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), F.lit(f"\\Q{separator}\\E")), lambda x: F.trim(x)), lambda x: x != "")
-    return F.struct(F.filter(parts, is_valid_code).alias("valid"), F.filter(parts, lambda x: ~is_valid_code(x)).alias("invalid"))
+    return by_shape(parts)
 
 
 def extract_field(c, prefix: str, separator: str = " | ") -> Column:
@@ -180,25 +180,46 @@ def sanitise_key(c) -> Column:
     return F.when(t == "", UNKNOWN).otherwise(t)
 
 
+def padded(c, n: int) -> Column:
+    """A number with zeros in front to n digits; longer ones stay whole."""
+    t = _c(c).cast("string")
+    return F.lpad(t, F.greatest(F.lit(n), F.length(t)), F.lit("0"))
+
+
 def preview(c, n: int) -> Column:
     t = squash_ws(c)
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, max(0, n - 3)), F.lit("..."))).otherwise(t)
 
 
+# Prefixes and pattern of sources that aren't registers, and a fenced JSON block.
+SYNTHETIC_SOURCE, BOOK_PREFIX = "^synthetic_.*multicod", "masterlist_"
+FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
+
 def is_real_source(c) -> Column:
     s = F.coalesce(_c(c), F.lit(""))
-    return (F.trim(s) != "") & ~s.rlike("^synthetic_.*multicod") & ~s.startswith("masterlist_")
+    return (F.trim(s) != "") & ~s.rlike(SYNTHETIC_SOURCE) & ~s.startswith(BOOK_PREFIX)
 
 
 def parse_json_answers(c, most: int = 3) -> Column:
-    """Codes of the last fenced JSON block that parses, else of the last object literal with `codes` or `code`."""
-    schema = "codes array<string>, code string"
-    fenced = F.regexp_extract_all(_c(c), F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
-    bare = F.regexp_extract_all(_c(c), F.lit(r'(\{[^{}]*"codes?"[^{}]*\})'), F.lit(1))
-    read = lambda a: F.filter(F.transform(a, lambda x: F.from_json(x, schema)), lambda s: s["codes"].isNotNull() | s["code"].isNotNull())
-    best = F.coalesce(F.try_element_at(read(fenced), F.lit(-1)), F.try_element_at(read(bare), F.lit(-1)))
-    codes = F.coalesce(best["codes"], F.when(best["code"].isNotNull(), F.array(best["code"])), F.array().cast("array<string>"))
-    return F.slice(F.filter(F.transform(codes, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    """Codes of the last fenced JSON block that parses; without one, of the first object literal that names codes and parses.
+
+    An object literal may hold others, one level deep. A list `codes` with members counts, else a string `code`.
+    """
+    read = lambda a: F.filter(F.transform(a, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
+    fenced = read(F.regexp_extract_all(_c(c), F.lit(FENCED_JSON), F.lit(1)))
+    literals = F.regexp_extract_all(_c(c), F.lit(r"\{(?:[^{}]|\{[^{}]*\})*\}"), F.lit(0))
+    bare = read(F.filter(literals, lambda x: x.contains('"codes"') | x.contains('"code"')))
+    best = F.coalesce(F.try_element_at(fenced, F.lit(-1)), F.try_element_at(bare, F.lit(1)))
+    named = F.try_variant_get(best, "$.codes", "array<string>")
+    legacy = F.trim(F.try_variant_get(best, "$.code", "string"))
+    listed = F.slice(F.filter(F.transform(named, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    return F.when(F.size(named) > 0, listed).when(F.coalesce(legacy, F.lit("")) != "", F.array(legacy)).otherwise(F.array().cast("array<string>"))
+
+
+def by_shape(codes) -> Column:
+    """struct(valid, invalid): codes with the right shape and others, in order."""
+    return F.struct(F.filter(_c(codes), is_valid_code).alias("valid"), F.filter(_c(codes), lambda x: ~is_valid_code(x)).alias("invalid"))
 
 
 def uniform(*key) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,63 +11,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.functions.scalars import keyed_hash, uniform
+from codeloom.functions.scalars import keyed_hash, padded, uniform
 from codeloom.operators.ordering import ranked
 
-# Accented forms of vowels, and rows of a QWERTY keyboard.
-ACCENTS = {"a": "áàâä", "e": "éèêë", "i": "íìîï", "o": "óòôö", "u": "úùûü", "y": "ýÿ"}
+#: Vowels with a grave, an acute, a circumflex or a diaeresis, as far as Latin-1 has them.
+ACCENTS = {v: "".join(c for m in "\u0300\u0301\u0302\u0308" if len(c := unicodedata.normalize("NFC", v + m)) == 1 and ord(c) < 0x100) for v in "aeiouy"}
+# Rows of a QWERTY keyboard.
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
 def _neighbours() -> dict[str, str]:
-    """Keys beside, above and below each key, by column."""
+    """Keys beside each key, and those it touches in the row above and below, each row being half a key to the right."""
     out: dict[str, str] = {}
     for r, row in enumerate(KEY_ROWS):
         for i, ch in enumerate(row):
-            near = [row[j] for j in (i - 1, i + 1) if 0 <= j < len(row)]
-            near += [other[j] for o in (r - 1, r + 1) if 0 <= o < len(KEY_ROWS) for other in [KEY_ROWS[o]] for j in (i,) if j < len(other)]
-            out[ch] = "".join(near)
+            touched = [(r, i - 1), (r, i + 1), (r - 1, i), (r - 1, i + 1), (r + 1, i - 1), (r + 1, i)]
+            out[ch] = "".join(KEY_ROWS[a][b] for a, b in touched if 0 <= a < len(KEY_ROWS) and 0 <= b < len(KEY_ROWS[a]))
     return out
 
 
 NEIGHBOURS = _neighbours()
-Perturbation = Callable[[str, random.Random], str]
+#: A perturbation of text t with two draws in [0, 1): for the place, and for what is put there.
+Perturbation = Callable[[Column, Column, Column], Column]
 
 
-def swap_adjacent(t: str, rng: random.Random) -> str:
-    if len(t) < 2:
-        return t
-    i = rng.randrange(len(t) - 1)
-    return t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+def _at(t: Column, i: Column) -> Column:
+    """The character at place i, from 0."""
+    return t.substr(i + 1, F.lit(1))
 
 
-def delete_char(t: str, rng: random.Random) -> str:
-    if not t:
-        return t
-    i = rng.randrange(len(t))
-    return t[:i] + t[i + 1 :]
+def _draw(u: Column, n: Column) -> Column:
+    return F.floor(u * n).cast("int")
 
 
-def insert_space(t: str, rng: random.Random) -> str:
-    i = rng.randrange(len(t) + 1)
-    return t[:i] + " " + t[i:]
+def swap_adjacent(t: Column, place: Column, _: Column) -> Column:
+    i = _draw(place, F.length(t) - 1)
+    return F.when(F.length(t) < 2, t).otherwise(F.concat(F.left(t, i), _at(t, i + 1), _at(t, i), F.substr(t, i + 3)))
 
 
-def accent_vowel(t: str, rng: random.Random) -> str:
-    at = [i for i, ch in enumerate(t) if ch in ACCENTS]
-    if not at:
-        return t
-    i = rng.choice(at)
-    return t[:i] + rng.choice(ACCENTS[t[i]]) + t[i + 1 :]
+def delete_char(t: Column, place: Column, _: Column) -> Column:
+    i = _draw(place, F.length(t))
+    return F.concat(F.left(t, i), F.substr(t, i + 2))
 
 
-def misspell(t: str, rng: random.Random) -> str:
-    at = [i for i, ch in enumerate(t) if ch.lower() in NEIGHBOURS]
-    if not at:
-        return t
-    i = rng.choice(at)
-    new = rng.choice(NEIGHBOURS[t[i].lower()])
-    return t[:i] + (new.upper() if t[i].isupper() else new) + t[i + 1 :]
+def insert_space(t: Column, place: Column, _: Column) -> Column:
+    i = _draw(place, F.length(t) + 1)
+    return F.concat(F.left(t, i), F.lit(" "), F.substr(t, i + 1))
+
+
+def _exchange(t: Column, place: Column, choice: Column, table: dict[str, str]) -> Column:
+    """One of the characters that the table has becomes one of those it names."""
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    places = F.array_compact(F.transform(chars, lambda x, i: F.when(F.lit("".join(table)).contains(x), i)))
+    i = F.try_element_at(places, _draw(place, F.size(places)) + 1)
+    new = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), _at(t, i))
+    return F.when(F.size(places) == 0, t).otherwise(F.concat(F.left(t, i), _at(new, _draw(choice, F.length(new))), F.substr(t, i + 2)))
+
+
+def accent_vowel(t: Column, place: Column, choice: Column) -> Column:
+    """A lower-case vowel gets an accent."""
+    return _exchange(t, place, choice, ACCENTS)
+
+
+def misspell(t: Column, place: Column, choice: Column) -> Column:
+    """A letter becomes one of its neighbours on the keyboard, in the same case."""
+    return _exchange(t, place, choice, NEIGHBOURS | {k.upper(): v.upper() for k, v in NEIGHBOURS.items()})
 
 
 REGISTRY: dict[str, Perturbation] = {"swap": swap_adjacent, "delete": delete_char, "space": insert_space, "accent": accent_vowel, "misspell": misspell}
@@ -90,24 +99,52 @@ def perturbation_count(length: Column, mean: float, var: float = 0.0, loft: floa
     return F.greatest(F.lit(1), F.least(length, F.rint(n))).cast("int")
 
 
-def perturb(names: Sequence[str], prefix: str | None = None, separator: str = " | "):
-    """Pandas UDF (text, key, k): k perturbations drawn with replacement, of the main field only; seeded by the key."""
-    functions = resolve(names)
+def applied(text: Column, steps: Column, key: Column, names: Sequence[str] = tuple(REGISTRY)) -> Column:
+    """The perturbations named in `steps`, one after the other; the draws of step i (from 1) are keyed by key, i and p or c."""
+    numbered = F.transform(steps, lambda name, i: F.struct(name.alias("name"), (i + 1).alias("i")))
+
+    def step(t: Column, x: Column) -> Column:
+        out = None
+        for n, f in zip(names, resolve(names), strict=True):
+            new = f(t, uniform(key, x["i"], "p"), uniform(key, x["i"], "c"))
+            out = F.when(x["name"] == n, new) if out is None else out.when(x["name"] == n, new)
+        return F.coalesce(out, t)
+
+    return F.aggregate(numbered, text, step)
+
+
+def in_main(text: Column, change: Callable[[Column], Column], prefix: str | None = None, separator: str = " | ") -> Column:
+    """The text with its main field changed: the first part with the prefix (which stays), else the first part."""
+    parts = F.split(text, F.lit(f"\\Q{separator}\\E"), -1)
+    has = F.array_position(F.transform(parts, lambda x: x.startswith(prefix) if prefix else F.lit(False)), True)
+    at = F.greatest(F.lit(1), has).cast("int")
+    skip = F.when(has > 0, len(prefix or "")).otherwise(0)
+    main = F.element_at(parts, at)
+    new = F.concat(F.left(main, skip), change(F.substr(main, skip + 1)))
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == at - 1, new).otherwise(x)), separator)
+
+
+def perturb(names: Sequence[str], text: Column, key: Column, k: Column, prefix: str | None = None, separator: str = " | ") -> Column:
+    """k perturbations of the main field, drawn with replacement; step i's function is drawn by key, i and f."""
+    resolve(names)
+    table = F.array(*map(F.lit, names))
+    steps = F.transform(F.sequence(F.lit(1), k), lambda i: F.element_at(table, _draw(uniform(key, i, "f"), F.lit(len(names))) + 1))
+    new = in_main(text, lambda body: applied(body, steps, key, names), prefix, separator)
+    return F.when(F.coalesce(k, F.lit(0)) > 0, new).otherwise(text)
+
+
+def perturb_with(functions: Sequence[Callable[[str, random.Random], str]]):
+    """Pandas UDF (text, key, k) for a caller's own functions of (text, random.Random): k of them, drawn with replacement, seeded by the key."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def one(text, key, k):
-            if text is None or pd.isna(k) or k <= 0:
+            if text is None or pd.isna(k):
                 return text
             rng = random.Random(key)
-            parts = text.split(separator)
-            at = next((i for i, p in enumerate(parts) if prefix and p.startswith(prefix)), 0)
-            lead = prefix if prefix and parts[at].startswith(prefix) else ""
-            body = parts[at][len(lead) :]
             for _ in range(int(k)):
-                body = rng.choice(functions)(body, rng)
-            parts[at] = lead + body
-            return separator.join(parts)
+                text = rng.choice(functions)(text, rng)
+            return text
 
         for t, key, k in batches:
             yield pd.Series([one(*x) for x in zip(t, key, k, strict=True)], dtype=object)
@@ -142,7 +179,7 @@ def upsample(df: DataFrame, targets: DataFrame, label: str, id_col: str, text: s
     draw = uniform(seed, "p", F.col(id_col), F.col("copy")) < 1 - F.col("n") / F.col("target")
     k = F.when(draw, perturbation_count(F.length(text), mean, key=(seed, F.col(id_col), F.col("copy")))).otherwise(0)
     key = F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col("copy").cast("string"))
-    extra = extra.withColumns({"perturbed": draw, "synthetic": F.lit(True), text: perturb(names)(F.col(text), key, k)}).drop("n", "target", "copy")
+    extra = extra.withColumns({"perturbed": draw, "synthetic": F.lit(True), text: perturb(names, F.col(text), key, k)}).drop("n", "target", "copy")
     return df.withColumns({"perturbed": F.lit(False), "synthetic": F.lit(False)}).unionByName(extra)
 
 
@@ -150,14 +187,32 @@ def perturb_fraction(df: DataFrame, id_col: str, text: str, fraction: float, nam
     """Perturbs about a fraction of the rows (of those that meet `where`) in place; adds `perturbed`."""
     chosen = (uniform(seed, "f", F.col(id_col)) < fraction) & (where if where is not None else F.lit(True))
     k = F.when(chosen, perturbation_count(F.length(text), mean, key=(seed, F.col(id_col)))).otherwise(0)
-    return df.withColumns({"perturbed": chosen, text: perturb(names)(F.col(text), F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), k)})
+    return df.withColumns({"perturbed": chosen, text: perturb(names, F.col(text), F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), k)})
 
 
-def inject_codebook(train: DataFrame, codebook: DataFrame, text: str, label: str, id_col: str, target: int, seed: int = 333) -> DataFrame:
-    """Train with all code-book rows and perturbed extras up to `target` for each label; adds `injected`."""
+def upsample_codebook(codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the code book with perturbed copies up to `target` for each label, and class counts before and after.
+
+    With k, every copy gets k perturbations; else upsample's own.
+    """
+    from codeloom.operators.profile import before_after
+
     counts = codebook.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    extra = upsample(codebook, counts.where(F.col("n") < target).withColumn("target", F.lit(target).cast("long")), label, id_col, text, seed=seed)
-    return train.withColumn("injected", F.lit(False)).unionByName(extra.withColumn("injected", F.lit(True)), allowMissingColumns=True)
+    targets = counts.where(F.col("n") < target).withColumn("target", F.lit(target).cast("long"))
+    if k is None:
+        rows = upsample(codebook, targets, label, id_col, text, seed=seed)
+    else:
+        extra = copies(codebook, targets, label, id_col, seed)
+        key = F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col("copy").cast("string"))
+        extra = extra.withColumns({"perturbed": F.lit(k > 0), "synthetic": F.lit(True), text: perturb(tuple(REGISTRY), F.col(text), key, F.lit(k))}).drop("n", "target", "copy")
+        rows = codebook.withColumns({"perturbed": F.lit(False), "synthetic": F.lit(False)}).unionByName(extra)
+    return rows, before_after(codebook, rows, label)
+
+
+def inject_codebook(train: DataFrame, codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333) -> DataFrame:
+    """Train with all code-book rows and perturbed extras up to `target` for each label; adds `injected`."""
+    rows, _ = upsample_codebook(codebook, text, label, id_col, target, k, seed)
+    return train.withColumn("injected", F.lit(False)).unionByName(rows.withColumn("injected", F.lit(True)), allowMissingColumns=True)
 
 
 def shuffle_labels(df: DataFrame, id_col: str, codes: str, seed: int = 333, separator: str = ",") -> DataFrame:
@@ -167,53 +222,106 @@ def shuffle_labels(df: DataFrame, id_col: str, codes: str, seed: int = 333, sepa
     return out.withColumn("label", F.array_join(codes, separator))
 
 
-def synthesise(df: DataFrame, n: int, label: str, id_col: str, text: str, group: str, sizes: Sequence[int] = (2, 3), seed: int = 333) -> DataFrame:
-    """n synthetic multi-label rows: a group by its share of rows, a size, distinct labels, one row of each label.
+def label_counts(df: DataFrame, label: str = "label", separator: str = ",", least: int = 2, most: int = 3) -> dict[int, int]:
+    """Rows with each number of labels from `least` to `most` (a few numbers, whatever the input)."""
+    n = F.size(F.split(label, F.lit(f"\\Q{separator}\\E")))
+    return {r["k"]: r["n"] for r in df.groupBy(n.alias("k")).agg(F.count(F.lit(1)).alias("n")).where((F.col("k") >= least) & (F.col("k") <= most)).collect()}
+
+
+def synthesise(
+    df: DataFrame, n: int, label: str, id_col: str, text: str, group: str | None = "source_id", most: int = 3, sizes: dict[int, int] | None = None,
+    separators: Sequence[str] = (", ",), prefix: str | None = None, field_separator: str = " | ", name: str = "synthetic_multicod", source: str = "source_id", path: str | None = None, seed: int = 333,
+) -> DataFrame:
+    """n synthetic multi-label rows, each merged from single-label rows of distinct labels.
 
-    Labels and rows are numbered by hash order within their group and found by equi-joins on number, so no
-    group's rows are gathered. Adds provenance: synthetic_source_ids.
+    A row draws its group by its share of rows (`group` None: all rows are one; groups need two labels), its number
+    of labels by `sizes` (observed rows for each number; uniform from 2 to `most` without any), that many distinct
+    labels, each as likely as another, one row of each, and a separator. The main fields (parts with `prefix`, or
+    whole texts) are joined and put into the first row's text. Adds y_codes, label, source, synthetic_source_ids and
+    synthetic_record_ids.
+
+    Groups are drawn by drawing a row, and labels and rows are numbered by hash order within their group, so all
+    lookups are equi-joins on numbers and no group's rows are gathered.
     """
-    labels = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy(group)
-    labels = labels.withColumns({"labels": F.count(F.lit(1)).over(w), "no": F.row_number().over(w.orderBy(keyed_hash(seed, F.col(label))))}).where("labels > 1")
-    groups = labels.groupBy(group).agg(F.sum("rows").alias("rows"), F.max("labels").alias("labels"))
-    run = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
-    groups = groups.withColumns({"hi": F.sum("rows").over(run) / F.sum("rows").over(Window.partitionBy())})  # a row a group
-    groups = groups.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(group)), F.lit(0.0)))
-    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
-    drawn = draws.withColumn("u", uniform(seed, "g", F.col("draw"))).join(F.broadcast(groups), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))  # a row a group, by interval
-    want = F.element_at(F.array(*map(F.lit, sizes)), (F.floor(uniform(seed, "n", F.col("draw")) * len(sizes)) + 1).cast("int"))
-    drawn = drawn.withColumn("want", F.least(want, F.col("labels").cast("int")))
-    # Distinct numbers: a start and a stride that is 1, wrapped around the group's labels.
-    start = F.floor(uniform(seed, "l", F.col("draw")) * F.col("labels")).cast("int")
-    picks = drawn.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("want") - 1))).withColumn("no", ((start + F.col("slot")) % F.col("labels") + 1).cast("int"))
-    chosen = picks.select("draw", "slot", group, "no").join(labels.select(group, "no", label, F.col("rows").alias("of")), [group, "no"])
-    chosen = chosen.withColumn("rank", F.floor(uniform(seed, "r", F.col("draw"), F.col("slot")) * F.col("of")).cast("long") + 1)
-    rows = ranked(df.select(group, label, F.col(id_col).alias("_id"), F.col(text).alias("_t")).withColumn("_h", keyed_hash(seed, F.col("_id"))), [F.col("_h").asc(), F.col("_id").asc()], by=[group, label])
-    parts = chosen.join(rows, [group, label, "rank"]).groupBy("draw", group).agg(F.array_sort(F.collect_list(F.struct("slot", label, "_id", "_t"))).alias("p"))
+    if not separators or "" in separators:
+        raise ValueError("separators must not be empty")
+    g = F.coalesce(F.col(group), F.lit("unknown")) if group else F.lit("any_source")
+    d = df.select(g.alias("_g"), F.col(label).alias("_l"), F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_t"), F.col(source).alias("_src"), (F.col(path) if path else F.lit("")).alias("_path")).withColumn("_h", keyed_hash(seed, F.col("_id")))
+    labels = d.groupBy("_g", "_l").agg(F.count(F.lit(1)).alias("of"))
+    w = Window.partitionBy("_g")  # one row a label
+    labels = labels.withColumns({"labels": F.count(F.lit(1)).over(w), "no": F.row_number().over(w.orderBy(keyed_hash(seed, F.col("_l")), "_l")) - 1}).where("labels > 1")
+    order = [F.col("_h").asc(), F.col("_id").asc()]
+    able = ranked(d.join(labels.select("_g", "labels").distinct(), "_g").select("_g", "labels", "_id", "_h"), order).withColumnRenamed("rank", "row")
+    total = able.count()
+    draws = df.sparkSession.range(n if total else 0).withColumnRenamed("id", "draw")
+    drawn = draws.withColumn("row", _draw(uniform(seed, "g", F.col("draw")), F.lit(total)).cast("long") + 1).join(able, "row").select("draw", "_g", "labels")
+    upper = F.least(F.lit(most), F.col("labels")).cast("int")
+    weights = {k: v for k, v in sorted((sizes or {}).items()) if 2 <= k <= most and v > 0}
+    u = uniform(seed, "n", F.col("draw"))
+    plain = F.lit(2) + _draw(u, upper - 1)
+    if weights:
+        # Of the numbers that the group has labels for, by the rows seen with each.
+        upto = lambda k: F.lit(sum(v for j, v in weights.items() if j <= k))
+        fit = F.array(*[F.struct(upto(k).alias("edge"), F.lit(k).alias("k")) for k in weights])
+        fit = F.filter(fit, lambda x: x["k"] <= upper)
+        drawn_size = F.try_element_at(F.filter(fit, lambda x: u * F.element_at(fit, -1)["edge"] < x["edge"]), F.lit(1))["k"]
+        size = F.when(F.size(fit) > 0, drawn_size).otherwise(plain)
+    else:
+        size = plain
+    # Distinct numbers below `labels`: draw i is below labels - want + i + 1 and takes that bound's last number if it is taken.
+    drawn = drawn.withColumn("want", size)
+    bound = lambda i: F.col("labels").cast("int") - F.col("want") + i
+
+    def pick(have: Column, i: Column) -> Column:
+        new = _draw(uniform(seed, "l", F.col("draw"), i), bound(i))
+        return F.array_append(have, F.when(F.array_contains(have, new), bound(i) - 1).otherwise(new))
+
+    numbers = F.aggregate(F.sequence(F.lit(1), F.col("want")), F.array().cast("array<int>"), pick)
+    picks = drawn.select("draw", "_g", F.explode(numbers).alias("no")).join(labels.select("_g", "no", "_l", "of"), ["_g", "no"])
+    chosen = picks.withColumns({"rank": _draw(uniform(seed, "r", F.col("draw"), F.col("no")), F.col("of")).cast("long") + 1, "slot": keyed_hash(seed, "o", F.col("draw"), F.col("no"))})
+    rows = ranked(d, order, by=["_g", "_l"])
+    parts = chosen.select("draw", "slot", "_g", "_l", "rank").join(rows, ["_g", "_l", "rank"]).groupBy("draw", "_g").agg(F.array_sort(F.collect_list(F.struct("slot", "_l", "_id", "_t", "_src", "_path"))).alias("p"))
     get = lambda name: F.transform("p", lambda x: x[name])
-    return parts.select(
-        F.concat(F.lit("synthetic_"), F.col("draw").cast("string")).alias(id_col), group, get(label).alias("y_codes"), F.array_join(get(label), ",").alias("label"),
-        F.array_join(get("_t"), ", ").alias(text), F.array_join(F.transform("p", lambda x: x["_id"].cast("string")), ",").alias("synthetic_source_ids"),
-    )
 
+    def field(t: Column) -> Column:
+        return t if prefix is None else F.coalesce(F.substr(F.try_element_at(F.filter(F.split(t, F.lit(f"\\Q{field_separator}\\E")), lambda x: x.startswith(prefix)), F.lit(1)), F.lit(len(prefix) + 1)), t)
+
+    between = F.element_at(F.array(*map(F.lit, separators)), _draw(uniform(seed, "s", F.col("draw")), F.lit(len(separators))) + 1)
+    merged = F.aggregate(F.transform(get("_t"), field), F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull(), x).otherwise(F.concat(acc, between, x)))
+    anchor = F.element_at(get("_t"), 1)
+    own = F.concat(F.lit(f"{name}:"), F.col("_g"))
+    several = lambda c: F.array_join(F.array_sort(F.array_distinct(get(c))), "; ")
+    out = [
+        F.concat(own, F.lit(":"), padded("draw", 6)).alias(id_col), own.alias(source), get("_l").alias("y_codes"), F.array_join(get("_l"), ",").alias("label"),
+        (merged if prefix is None else in_main(anchor, lambda _: merged, prefix, field_separator)).alias(text), several("_src").alias("synthetic_source_ids"), F.array_join(get("_id"), ",").alias("synthetic_record_ids"),
+    ]
+    return parts.select(*out, *([several("_path").alias(path)] if path else []))
+
+
+def multilabel_codebook(codebook: DataFrame, n: int, label: str, id_col: str, text: str, seed: int = 333, **kw) -> tuple[DataFrame, DataFrame]:
+    """(rows, cardinalities): n synthetic rows of a code book, from any source, their labels in a drawn order; rows by number of labels."""
+    made = synthesise(codebook, n, label, id_col, text, group=None, name="masterlist_multicod", seed=seed, **kw)
+    made = shuffle_labels(made, id_col, "y_codes", seed)
+    return made, made.groupBy(F.size("y_codes").alias("labels")).agg(F.count(F.lit(1)).alias("n"))
 
-def perturbation_impact(df: DataFrame, id_col: str, text: str, depths: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """(name, depth, similarity, length_change): mean effect of each function at each depth."""
+
+def perturbation_impact(df: DataFrame, id_col: str, text: str, depths: Sequence[int] = (1, 2, 3), ordered_pairs: bool = False) -> DataFrame:
+    """Mean similarity and length change of each function applied `depth` times, or of each ordered pair of functions.
+
+    (name, depth, ...) or (first, second, ...). The texts are changed by Spark; only the similarity is Python's.
+    """
     import difflib
 
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("depth")) for n in REGISTRY for d in depths])
-
-    @F.pandas_udf("similarity double, change long")
-    def effect(t: pd.Series, name: pd.Series, depth: pd.Series, key: pd.Series) -> pd.DataFrame:
-        out = []
-        for text_, n, d, k in zip(t, name, depth, key, strict=True):
-            rng, new = random.Random(k), text_
-            for _ in range(d):
-                new = REGISTRY[n](new, rng)
-            out.append((difflib.SequenceMatcher(None, text_, new, autojunk=False).ratio(), len(new) - len(text_)))
-        return pd.DataFrame(out, columns=["similarity", "change"])
-
-    e = df.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t"), F.explode(table).alias("x")).select("i", "t", "x.*")
-    e = e.withColumn("e", effect("t", "name", "depth", F.concat_ws(":", "i", "name", F.col("depth").cast("string"))))
-    return e.groupBy("name", "depth").agg(F.round(F.avg("e.similarity"), 6).alias("similarity"), F.round(F.avg("e.change"), 6).alias("length_change"))
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    names = list(REGISTRY)
+    if ordered_pairs:
+        plans, by = [([a, b], {"first": a, "second": b}) for a in names for b in names], ["first", "second"]
+    else:
+        plans, by = [([a] * d, {"name": a, "depth": d}) for a in names for d in depths], ["name", "depth"]
+    table = F.array(*[F.struct(F.array(*map(F.lit, steps)).alias("steps"), *[F.lit(v).alias(k) for k, v in tags.items()]) for steps, tags in plans])
+    e = df.where(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t"), F.explode(table).alias("x")).select("i", "t", "x.*")
+    e = e.withColumn("new", applied(F.col("t"), F.col("steps"), F.concat_ws(":", "i", *[F.col(c).cast("string") for c in by])))
+    return e.groupBy(*by).agg(F.round(F.avg(similarity("t", "new")), 6).alias("similarity"), F.round(F.avg(F.length("new") - F.length("t")), 6).alias("length_change"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.scalars import normalise_shape
+from codeloom.functions.scalars import extract_field, normalise_shape
 
 
 def ambiguous(transfer: DataFrame, old: str = "old_code", new: str = "new_code") -> DataFrame:
@@ -102,7 +102,10 @@ def load_overrides(df: DataFrame, max_labels: int = 3, separator: str = ",") ->
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], codes: str = "y_codes", source: str = "source_id", record: str = "record_id", main: Column | None = None) -> DataFrame:
-    """The first rule that matches decides; adds `rule` (null where nothing changes)."""
+    """The first rule that matches decides; adds `rule` (null where nothing changes).
+
+    Text patterns see the main field only: `main`, or the part of column text after `cod: `, or else the whole text.
+    """
     check_rules(rules)
     new = name = None
     for r in rules:
@@ -111,7 +114,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], codes: str = "y_codes", so
             if values:
                 test = test & F.col(col).isin(*values)
         if r.text:
-            test = test & F.coalesce(main if main is not None else F.col("text"), F.lit("")).rlike(r.text)
+            test = test & F.coalesce(main if main is not None else extract_field("text", "cod: "), F.col("text"), F.lit("")).rlike(r.text)
         if r.old_codes:
             test = test & F.arrays_overlap(codes, F.array(*map(F.lit, r.old_codes)))
         if r.blocks:

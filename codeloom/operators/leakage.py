@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.metrics import ratio
+from codeloom.operators.metrics import metric_set, ratio
 
 
 def mark_seen(test: DataFrame, train: DataFrame, key: Column) -> DataFrame:
@@ -14,6 +14,13 @@ def mark_seen(test: DataFrame, train: DataFrame, key: Column) -> DataFrame:
     return test.withColumn("_k", key).join(keys, "_k", "left").withColumn("seen", F.coalesce("_s", F.lit(False))).drop("_k", "_s")
 
 
+def seen_unseen_metrics(test: DataFrame, train: DataFrame, key: Column, **kw) -> DataFrame:
+    """Rows, share of all rows and metric_set of the seen and the unseen test rows."""
+    figures = metric_set(mark_seen(test, train, key), ["seen"], **kw)
+    total = figures.agg(F.sum("n").alias("_all"))
+    return figures.crossJoin(F.broadcast(total)).withColumn("string_rate", ratio(F.col("n"), F.col("_all"))).drop("_all")  # at most two rows and one
+
+
 def label_sources(train: DataFrame, codes: str = "gold", source: str = "source_id") -> DataFrame:
     return train.select(F.explode(codes).alias("code"), F.col(source).alias("source")).groupBy("code").agg(F.collect_set("source").alias("sources"))
 
@@ -25,6 +32,19 @@ def transfer_buckets(test: DataFrame, index: DataFrame, id_col: str, codes: str
     return each.select(id_col, "code", bucket.alias("bucket"))
 
 
+def source_transfer_metrics(test: DataFrame, train: DataFrame, id_col: str, codes: str = "gold", source: str = "source_id", **kw) -> DataFrame:
+    """For each bucket of transfer_buckets: rows that touch it and their share, labels in it and their recall, and the rows' metric_set.
+
+    A row is counted in every bucket that one of its labels is in.
+    """
+    touched = transfer_buckets(test, label_sources(train, codes, source), id_col, codes, source)
+    rows = test.join(touched.select(id_col, "bucket").distinct(), id_col)
+    hit = touched.join(test.select(id_col, "pred"), id_col).groupBy("bucket").agg(F.count(F.lit(1)).alias("true_count"), F.avg(F.array_contains("pred", F.col("code")).cast("int")).alias("recall"))
+    total = test.agg(F.count(F.lit(1)).alias("_all"))
+    figures = metric_set(rows, ["bucket"], **kw).join(hit, "bucket")
+    return figures.crossJoin(F.broadcast(total)).withColumn("sample_rate", ratio(F.col("n"), F.col("_all"))).drop("_all")  # at most three rows and one
+
+
 def holdout_leakage(train: DataFrame, holdout: DataFrame, text: str, codes: str) -> DataFrame:
     """Counts and rates: inputs seen, (input, label) pairs seen, label occurrences and distinct labels seen."""
     mark = lambda df, name, *cols: df.select(*cols).distinct().withColumn(name, F.lit(1))

@@ -9,6 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from codeloom.functions.scalars import sanitise_key
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -70,10 +73,15 @@ def class_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return exploded(df, by).groupBy(*by, "code").agg(F.sum(F.col("is_gold") * F.col("is_pred")).alias("tp"), F.sum("is_gold").alias("gold_total"), F.sum("is_pred").alias("pred_total"))
 
 
-def macro(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def macro(df: DataFrame, by: Sequence[str] = (), universe: Sequence[str] | None = None) -> DataFrame:
+    """Unweighted means over the classes of each slice; with a universe, `_universe` counts the classes and those given."""
     p, r = ratio(F.col("tp"), F.col("pred_total")), ratio(F.col("tp"), F.col("gold_total"))
     per = class_stats(df, by).withColumns({"p": p, "r": r, "f": ratio(2 * F.col("tp"), F.col("gold_total") + F.col("pred_total"))})
-    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("classes"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"))
+    figures = [F.count(F.lit(1)).alias("classes"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1")]
+    if universe is not None:
+        unseen = len(set(universe)) - (F.count_if(F.col("code").isin(*universe)) if universe else F.lit(0))
+        figures.append((F.count(F.lit(1)) + unseen).alias("_universe"))
+    return per.groupBy(*by).agg(*figures)
 
 
 def same_set(df: DataFrame) -> Column:
@@ -85,14 +93,45 @@ def same_string(df: DataFrame, separator: str = ",") -> Column:
     return F.array_join("gold", separator) == F.array_join("pred", separator)
 
 
-def metric_set(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Count, exact-match accuracy, micro and macro figures of each slice."""
-    base = _counts(df).withColumn("_hit", same_set(df).cast("int")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy"), F.sum("_tp").alias("tp"), F.sum("_p").alias("p"), F.sum("_g").alias("g")
-    )
-    base = base.select(*by, "n", "accuracy", ratio(F.col("tp"), F.col("p")).alias("micro_precision"), ratio(F.col("tp"), F.col("g")).alias("micro_recall"), ratio(2 * F.col("tp"), F.col("p") + F.col("g")).alias("micro_f1"))
-    m = macro(df, by)
-    return base.join(m, list(by)) if by else base.crossJoin(F.broadcast(m))  # one row each
+def metric_set(df: DataFrame, by: Sequence[str] = (), multi_label: bool = True, block: int | None = None, universe: Sequence[str] = ()) -> DataFrame:
+    """One row of figures for each slice: n, accuracy, micro, sample and macro figures, diagnostics.
+
+    Several labels are compared as sets; with `multi_label` false the match is of joined strings, and only
+    accuracy and macro figures are given. `block` adds the figures of codes cut to so many characters, as
+    chapter_block_*; all levels are worked out in the same two aggregations. `universe` names classes that
+    count in the Hamming loss even if no record has them.
+    """
+    if block is not None:
+        cut = by_level(df.withColumn("_whole", same_set(df) if multi_label else same_string(df)), {"whole": 1 << 10, "block": block})
+        cut = cut.withColumn("_hit", F.when(F.col("level") == "whole", F.col("_whole")).otherwise(same_set(cut)))
+        figures = metric_set(cut, [*by, "level"], multi_label, universe=[*universe, *sorted({c[:block] for c in universe})])
+        names = [c for c in figures.columns if c not in (*by, "level")]
+        pick = lambda level, prefix: [F.max(F.when(F.col("level") == level, F.col(c))).alias(prefix + c) for c in names]
+        return figures.groupBy(*by).agg(*pick("whole", ""), *[c for c, n in zip(pick("block", "chapter_block_"), names, strict=True) if n != "n"])
+    d = record_scores(df)
+    d = d if "_hit" in df.columns else d.withColumn("_hit", same_set(df) if multi_label else same_string(df))
+    base = [F.count(F.lit(1)).alias("n"), F.avg(F.col("_hit").cast("int")).alias("accuracy")]
+    if multi_label:
+        base += [F.sum(c).alias(c) for c in ("_tp", "_g", "_p")]
+        base += [F.avg(c).alias(f"sample_{c}") for c in ("precision", "recall", "f1", "jaccard")]
+        base += [F.avg("_p").alias("avg_predicted_label_count"), F.avg("_g").alias("avg_true_label_count"), F.avg(F.abs(F.col("_p") - F.col("_g"))).alias("label_count_mae")]
+        base += [F.avg(F.col("_p") - F.col("_tp")).alias("avg_false_positives"), F.avg(F.col("_g") - F.col("_tp")).alias("avg_false_negatives"), F.avg((F.col("_p") == 0).cast("int")).alias("empty_prediction_rate")]
+    m = macro(df, by, universe)
+    base = d.groupBy(*by).agg(*base)
+    both = base.join(m, list(by), "left").na.fill(0) if by else base.crossJoin(F.broadcast(m))  # one row each
+    tp, p, g = F.col("_tp"), F.col("_p"), F.col("_g")
+    out = [*by, "n", "accuracy", F.col("accuracy").alias("exact_match")]
+    if multi_label:
+        loss = ratio(g + p - 2 * tp, F.col("n") * F.col("_universe"))
+        out += [ratio(tp, p).alias("micro_precision"), ratio(tp, g).alias("micro_recall"), ratio(2 * tp, p + g).alias("micro_f1"), ratio(tp, p + g - tp).alias("micro_jaccard")]
+        out += [c for c in base.columns if c.startswith(("sample_", "avg_", "label_count", "empty_"))] + [loss.alias("hamming_loss"), (1 - loss).alias("hamming_score")]
+    return both.select(*out, *[c for c in m.columns if c not in (*by, "_universe")])
+
+
+def per_source_metrics(df: DataFrame, source: str = "source_id", excluded: Sequence[str] = (), total: str = "overall", **kw) -> DataFrame:
+    """metric_set of each source, by its key for metric names, and of all rows; excluded sources only count in the total."""
+    own = F.when(~F.coalesce(F.col(source).isin(*excluded), F.lit(False)) if excluded else F.lit(True), sanitise_key(source))
+    return metric_set(df.withColumn(source, F.explode(F.array_compact(F.array(own, F.lit(total))))), [source], **kw)
 
 
 def with_total(df: DataFrame, column: str, total: str = "overall") -> DataFrame:
@@ -113,15 +152,28 @@ def to_long(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.select(*by, F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))).alias("metric", "value"))
 
 
-# Metric names of the report modes.
-CORE = ("accuracy", "micro_f1", "macro_f1")
-STANDARD = (*CORE, "micro_precision", "micro_recall", "macro_precision", "macro_recall", "n")
+# Metric names of the report modes, and the prefixes that every mode but `all` keeps too.
+CORE = ("accuracy", "exact_match", "macro_f1", "sample_f1", "sample_jaccard", "micro_jaccard", "hamming_loss", "chapter_block_accuracy", "chapter_block_macro_f1", "source_transfer_label_accuracy", "source_transfer_label_recall")
+_PRF = ("precision", "recall", "f1")
+STANDARD = (
+    *CORE, *[f"{a}_{b}" for a in ("macro", "micro") for b in _PRF], "hamming_score", "label_count_mae", "n",
+    "chapter_block_exact_match", *[f"chapter_block_{a}_{b}" for a in ("macro", "micro", "sample") for b in _PRF], "chapter_block_micro_jaccard", "chapter_block_sample_jaccard",
+    *[f"{b}_label_{m}" for b in ("source_transfer", "same_source", "unseen") for m in ("sample_count", "sample_rate", "true_count", "accuracy", "recall", "macro_f1", "chapter_block_accuracy", "chapter_block_macro_f1")],
+    *[f"{b}_{m}" for b in ("seen", "unseen") for m in ("string_count", "string_rate", "accuracy", "exact_match", "macro_f1", "sample_f1", "sample_jaccard")],
+)
+PREFIXES = ("per_source_", "chapter_", "block_")
 
 
-def filter_metrics(long: DataFrame, mode: str = "standard", keep: Sequence[str] = ()) -> DataFrame:
+def filter_metrics(long: DataFrame, mode: str = "standard", save_metric: str | None = None, prefixes: Sequence[str] = PREFIXES) -> DataFrame:
+    """The metrics of a mode, the one that models are saved by, and those of sources and levels (by prefix)."""
     if mode not in ("core", "standard", "all"):
         raise ValueError(f"unknown mode {mode}")
-    return long if mode == "all" else long.where(F.col("metric").isin(*(CORE if mode == "core" else STANDARD), *keep))
+    if mode == "all":
+        return long
+    keep = F.col("metric").isin(*(CORE if mode == "core" else STANDARD), *([save_metric.strip().lower()] if save_metric else []))
+    for p in prefixes:
+        keep = keep | (F.col("metric").startswith(p) & ~F.col("metric").startswith("chapter_block_"))
+    return long.where(keep)
 
 
 def error_pairs(df: DataFrame, id_col: str, n: int = 3) -> DataFrame:
@@ -175,15 +227,17 @@ def error_breakdown(df: DataFrame, error: str, words: int = 6) -> DataFrame:
     return df.where(F.col(error).isNotNull()).groupBy(F.array_join(F.slice(F.split(error, " "), 1, words), " ").alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def baseline_summary(df: DataFrame, by: Sequence[str] = (), invalid: str = "n_invalid", error: str = "error", cost: str = "cost", elapsed: str = "latency") -> DataFrame:
-    """One row a slice: exact rate, no-answer and error counts, invalid codes, costs and times, distinct classes."""
-    none = F.size("pred") == 0
-    classes = df.select(*by, F.explode("pred").alias("c")).groupBy(*by).agg(F.countDistinct("c").alias("predicted_classes"))
-    d = df.withColumn("_hit", same_set(df).cast("int")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("exact"), F.count_if(none).alias("no_answer"), F.count_if(F.col(error).isNotNull()).alias("errors"), F.sum(invalid).alias("invalid_codes"),
+def baseline_summary(df: DataFrame, source: str = "source_id", invalid: str = "n_invalid", error: str = "error", cost: str = "cost", elapsed: str = "latency") -> DataFrame:
+    """One row a source and one for all: the metric set, exact matches, no-answer and error counts and rates, invalid codes, costs, times, classes."""
+    d = with_total(df, source)
+    classes = d.select(source, F.explode("pred").alias("c")).groupBy(source).agg(F.countDistinct("c").alias("predicted_classes"))
+    none, bad = F.size("pred") == 0, F.col(error).isNotNull()
+    rest = d.withColumn("_hit", same_set(d).cast("int")).groupBy(source).agg(
+        F.sum("_hit").alias("exact_matches"), F.count_if(none).alias("no_answer"), F.avg(none.cast("int")).alias("no_answer_rate"), F.count_if(bad).alias("errors"), F.avg(bad.cast("int")).alias("error_rate"), F.sum(invalid).alias("invalid_codes"),
         F.avg((F.col(invalid) > 0).cast("int")).alias("invalid_rate"), F.sum(cost).alias("cost_total"), F.avg(cost).alias("cost_mean"), F.sum(elapsed).alias("elapsed_total"), F.avg(elapsed).alias("elapsed_mean"),
     )
-    return d.join(classes, list(by), "left").na.fill(0, ["predicted_classes"]) if by else d.crossJoin(F.broadcast(classes))  # one row each
+    figures = metric_set(d, [source])
+    return figures.join(rest, source).join(classes, source, "left").na.fill(0, ["predicted_classes"])
 
 
 def per_source_accuracy(df: DataFrame, source: str) -> DataFrame:
@@ -220,11 +274,37 @@ def aliasing_check(metrics: DataFrame, key: str) -> DataFrame:
     return metrics.groupBy(tag.alias("figures")).agg(F.array_sort(F.collect_set(key)).alias("slices")).where(F.size("slices") > 1)
 
 
+def _traced(log: DataFrame) -> Column:
+    """Whether a row of a result log left anything but an error."""
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0 if c in log.columns else F.lit(False)
+    return some("codes") | some("invalid_codes") | (F.coalesce("raw", F.lit("")) != "") | (F.coalesce("cost", F.lit(0.0)) > 0) | (F.coalesce("turns", F.lit(0)) > 0)
+
+
+def _silent(log: DataFrame) -> Column:
+    return (F.coalesce("error", F.lit("")) != "") & ~_traced(log)
+
+
 def scrub(log: DataFrame, id_col: str, line: str) -> DataFrame:
-    """Latest best row of each record: rows that are errors without any trace go; valid codes, then cost, then line decide."""
-    from pyspark.sql.window import Window
+    """The best row of each record: rows that are errors without any trace go; valid codes, then cost, then the earlier line decide.
 
-    traced = (F.size("codes") > 0) | (F.coalesce("raw", F.lit("")) != "") | (F.coalesce("cost", F.lit(0.0)) > 0) | (F.coalesce("turns", F.lit(0)) > 0)
-    kept = log.where(~(F.col("error").isNotNull() & ~traced))
+    log has codes (an array), raw, cost, turns and error, and may have invalid_codes.
+    """
     order = Window.partitionBy(id_col).orderBy(F.desc((F.size("codes") > 0).cast("int")), F.desc(F.coalesce("cost", F.lit(0.0))), line)
-    return kept.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return log.where(~_silent(log)).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+# Reasons of dropped rows, by what the lower-cased error holds; the first that fits counts.
+SILENT_REASONS = {"exit_1": "exit 1", "timeout": "timeout", "unparseable_response": "json", "reported_error": "reported error"}
+
+
+def scrub_audit(log: DataFrame, id_col: str, source: str = "source_id") -> DataFrame:
+    """(kind, key, n): rows read, kept, dropped and repeated, and the dropped ones by reason and by source."""
+    error, reason = F.lower(F.trim("error")), None
+    for name, part in SILENT_REASONS.items():
+        reason = F.when(error.contains(part), name) if reason is None else reason.when(error.contains(part), name)
+    d = log.select(id_col, _silent(log).alias("gone"), reason.otherwise("other").alias("reason"), F.coalesce(source, F.lit("")).alias("source"))
+    total = d.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(id_col).alias("ids"), F.countDistinct(F.when(~F.col("gone"), F.col(id_col))).alias("kept"))
+    rows = {"lines": F.col("lines"), "kept": F.col("kept"), "dropped": F.col("lines") - F.col("kept"), "repeated": F.col("lines") - F.col("ids")}
+    counts = total.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(k).alias("key"), v.alias("n")) for k, v in rows.items()])).alias("x")).select("x.*")
+    each = d.where("gone").select(F.explode(F.array(F.struct(F.lit("reason").alias("kind"), F.col("reason").alias("key")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("key")))).alias("x"))
+    return counts.unionByName(each.groupBy("x.kind", "x.key").agg(F.count(F.lit(1)).alias("n")))

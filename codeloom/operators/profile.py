@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.functions.scalars import extract_field
 from codeloom.operators.metrics import ratio
 
 
@@ -40,22 +41,41 @@ def label_stats(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count_if(F.coalesce(label, F.lit("")) != "").alias("non_empty"), F.countDistinct(F.when(F.col(label) != "", F.col(label))).alias("distinct_labels"))
 
 
-def length_profile(df: DataFrame, text: str, by: Sequence[str], width: int = 500) -> DataFrame:
-    """Histogram of text lengths in bins of `width`."""
-    return df.groupBy(*by, (F.floor(F.length(text) / width) * width).cast("long").alias("from_chars")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length(text)).alias("shortest"), F.max(F.length(text)).alias("longest"))
+def length_profile(df: DataFrame, text: str, by: Sequence[str], width: int = 500, prefix: str | None = None) -> DataFrame:
+    """Histogram of text lengths in bins of `width`; with a prefix, also of the main fields (column `part`)."""
+    parts = [F.struct(F.lit("text").alias("part"), F.length(text).alias("len"))]
+    if prefix is not None:
+        parts.append(F.struct(F.lit("main").alias("part"), F.length(F.coalesce(extract_field(text, prefix), F.col(text))).alias("len")))
+    d = df.select(*by, F.explode(F.array(*parts)).alias("x")).select(*by, "x.part", F.coalesce("x.len", F.lit(0)).alias("len"))
+    keys = [*by, *(["part"] if prefix is not None else [])]
+    return d.groupBy(*keys, (F.floor(F.col("len") / width) * width).cast("long").alias("from_chars")).agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"))
 
 
 def count_summary(counts: DataFrame) -> DataFrame:
     return counts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.median("n").alias("median"), F.avg("n").alias("mean"))
 
 
-def imbalance_profile(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    q = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
-    s = counts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"), F.percentile("n", F.array(*map(F.lit, q))).alias("q"),
+def imbalance_profile(counts: DataFrame, by: str | None = None, total: str = "overall") -> DataFrame:
+    """Distribution of class counts, of each slice and of all rows; quantiles are interpolated, std is the sample's.
+
+    counts: (by, code, n). Classes of all rows are those of the slices added up.
+    """
+    q = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+    if by:
+        counts = counts.withColumn(by, F.explode(F.array(F.col(by), F.lit(total)))).groupBy(by, "code").agg(F.sum("n").alias("n"))
+    keys = [by] if by else []
+    s = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.percentile("n", F.array(*map(F.lit, q))).alias("q"),
         F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") <= 5).alias("upto_5"), F.count_if(F.col("n") <= 10).alias("upto_10"),
     )
-    return s.select(*by, "classes", "rows", "least", "most", "mean", *[F.round(F.col("q")[i], 9).alias(f"p{round(x * 100)}") for i, x in enumerate(q)], "singletons", "upto_5", "upto_10", F.round(F.col("most") / F.col("least"), 9).alias("max_min"), F.round(F.col("most") / F.col("q")[2], 9).alias("max_median"))
+    return s.select(*keys, "classes", "rows", "least", "most", "mean", "std", *[F.round(F.col("q")[i], 9).alias(f"p{round(x * 100)}") for i, x in enumerate(q)], "singletons", "upto_5", "upto_10", F.round(F.col("most") / F.col("least"), 9).alias("max_min"), F.round(F.col("most") / F.col("q")[2], 9).alias("max_median"))
+
+
+def extremes(counts: DataFrame, k: int = 20) -> DataFrame:
+    """(end, place, code, n): the k most and the k least common classes, ties by code."""
+    top = counts.orderBy(F.desc("n"), "code").limit(k).withColumns({"end": F.lit("top"), "place": F.row_number().over(Window.orderBy(F.desc("n"), "code"))})
+    low = counts.orderBy("n", "code").limit(k).withColumns({"end": F.lit("bottom"), "place": F.row_number().over(Window.orderBy("n", "code"))})
+    return top.unionByName(low).select("end", "place", "code", "n")  # k rows each
 
 
 def rank_frequency(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from codeloom.operators.ordering import settled
+
 
 def majority_topk(train: DataFrame, codes: str, k: int) -> DataFrame:
     """(place, code, n): the k most common codes, ties by code."""
@@ -18,10 +21,16 @@ def majority_topk(train: DataFrame, codes: str, k: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "code")))  # k rows
 
 
+def plain(text: Column) -> Column:
+    """Lower-cased text; accented letters of Latin-1 and Latin Extended-A lose their accents."""
+    table = {c: d[0] for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and unicodedata.combining(d[1])}
+    return F.lower(F.translate(text, "".join(table), "".join(table.values())))
+
+
 def terms(text: Column) -> Column:
-    """Lower-cased words of two or more letters or digits, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    """Words of two or more letters or digits of the plain text, and pairs of neighbours."""
+    words = F.regexp_extract_all(plain(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1)), F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1)), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
 
@@ -38,11 +47,12 @@ def tfidf(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_features:
     return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 8192) -> DataFrame:
-    """(query_id, place, vec_id, score): the k nearest candidates of each query.
+def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 4096, together: int = 16) -> DataFrame:
+    """(query_id, place, vec_id, score): the k nearest candidates of each query, which is no candidate of itself.
 
-    Candidates are cut into blocks of `block` rows; each block meets the queries in Arrow batches as one
-    matrix product and gives k rows a query, of which the best k stay. No block grows with the data.
+    Both sides are cut into blocks; query blocks and candidate blocks are dealt to groups of about `together`
+    blocks, and each pair of groups meets once, as a cogroup of bounded size: one matrix product for each pair of
+    blocks, of whose scores a query keeps k. No group grows with the data. Rows without a vector take no part.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,22 +63,34 @@ def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], ["ids", "matrix", "width"])
 
     vectors = F.col(vec).cast(T.ArrayType(T.DoubleType()))
-    blocks = candidates.select(F.col(id_col).cast("long"), vectors).mapInArrow(pack, "ids binary, matrix binary, width int")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
+    def packed(df: DataFrame) -> DataFrame:
+        own = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0))
+        return settled(own.select(F.col(id_col).cast("long"), vectors).mapInArrow(pack, "ids binary, matrix binary, width int").withColumn("no", F.monotonically_increasing_id()))
+
+    asked, blocks = packed(queries), packed(candidates)
+    groups = [max(1, -(-d.count() // together)) for d in (asked, blocks)]
+    own = lambda n, name: F.pmod(F.xxhash64("no"), F.lit(n)).cast("int").alias(name)
+    all_of = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = asked.select("*", own(groups[0], "a")).select("*", all_of(groups[1], "b")).groupBy("a", "b")
+    right = blocks.select("*", own(groups[1], "b")).select("*", all_of(groups[0], "a")).groupBy("a", "b")
+
+    def score(mine: pa.Table, others: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for line in mine.to_pylist():
+            qi, q = np.frombuffer(line["ids"], np.int64), np.frombuffer(line["matrix"], float).reshape(-1, line["width"])
+            for row in others.to_pylist():
+                if row["width"] != line["width"]:
+                    continue
                 ids, m = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], float).reshape(-1, row["width"])
-                qi, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_matrix"], float).reshape(-1, row["width"])
-                s = np.round(q @ m.T, 9)
+                s = np.where(qi[:, None] == ids[None, :], -np.inf, np.round(q @ m.T, 9))
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "vec_id", "score"])
+                best = np.take_along_axis(s, order, 1)
+                good = best > -np.inf
+                out.append((np.broadcast_to(qi[:, None], best.shape)[good], ids[order][good], best[good]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    asked = queries.select(F.col(id_col).cast("long"), vectors).mapInArrow(pack, "ids binary, matrix binary, width int").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
-    # Each block of queries meets each block of candidates once.
-    numbered = blocks.withColumn("one", F.lit(1)).join(asked.withColumn("one", F.lit(1)), ["one", "width"])
-    found = numbered.select("ids", "matrix", "width", "q_ids", "q_matrix").mapInArrow(score, "query_id long, vec_id long, score double")
+    found = left.cogroup(right).applyInArrow(score, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
@@ -98,17 +120,30 @@ def ovr_topk(train: DataFrame, test: DataFrame, codes: Sequence[str], text: str,
     return scored.select(id_col, F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("place", "x")).select(id_col, (F.col("place") + 1).alias("place"), "x.code", (-F.col("x.neg")).alias("score"))
 
 
-def retrieval_eval(df: DataFrame, ks: Sequence[int], gold: str = "gold", ranked: str = "ranked") -> DataFrame:
-    """Coverage, all-in rate, zero, partial and full shares and micro F1 at each k."""
+def retrieval_scores(df: DataFrame, ks: Sequence[int], gold: str = "gold", ranked: str = "ranked") -> DataFrame:
+    """Each record once for each k, with its hits, gold and list sizes, coverage and F1 (a record without gold codes is covered)."""
     d = df.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    hits = F.size(F.array_intersect(gold, F.slice(ranked, F.lit(1), F.col("k"))))
-    d = d.withColumns({"hits": hits, "g": F.size(gold), "r": F.least(F.size(ranked), F.col("k"))})
-    return d.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("hits") / F.sum("g"), 9).alias("coverage"), F.round(F.avg((F.col("hits") == F.col("g")).cast("int")), 9).alias("all_in"),
-        F.round(F.avg((F.col("hits") == 0).cast("int")), 9).alias("none_in"), F.round(F.avg(((F.col("hits") > 0) & (F.col("hits") < F.col("g"))).cast("int")), 9).alias("partial"), F.round(2 * F.sum("hits") / (F.sum("g") + F.sum("r")), 9).alias("micro_f1"),
+    best = F.array_distinct(F.slice(ranked, F.lit(1), F.col("k")))
+    d = d.withColumns({"hits": F.size(F.array_intersect(gold, best)), "g": F.size(F.array_distinct(gold)), "r": F.size(best)})
+    return d.withColumns({"cov": F.when(F.col("g") == 0, 1.0).otherwise(F.col("hits") / F.col("g")), "f1": F.when(F.col("g") + F.col("r") == 0, 0.0).otherwise(2 * F.col("hits") / (F.col("g") + F.col("r")))})
+
+
+def retrieval_eval(df: DataFrame, ks: Sequence[int], gold: str = "gold", ranked: str = "ranked", by: Sequence[str] = ()) -> DataFrame:
+    """Mean and median coverage, all-in rate, zero, partial and full shares, micro F1 and mean F1 of records at each k."""
+    share = lambda c: F.round(F.avg(c.cast("int")), 9)
+    return retrieval_scores(df, ks, gold, ranked).groupBy(*by, "k").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("cov"), 9).alias("coverage"), F.round(F.median("cov"), 9).alias("median_coverage"), share(F.col("hits") == F.col("g")).alias("all_in"),
+        share(F.col("cov") == 0).alias("none_in"), share((F.col("cov") > 0) & (F.col("cov") < 1)).alias("partial"), share(F.col("cov") == 1).alias("full"),
+        F.round(F.coalesce(F.try_divide(2 * F.sum("hits"), F.sum("g") + F.sum("r")), F.lit(0.0)), 9).alias("micro_f1"), F.round(F.avg("f1"), 9).alias("mean_f1"),
     )
 
 
+def coverage_by_size(df: DataFrame, ks: Sequence[int], sizes: Sequence[int], gold: str = "gold", ranked: str = "ranked") -> DataFrame:
+    """Mean coverage at each k (rows) of the records with each number of gold codes (columns size_n)."""
+    d = retrieval_scores(df, ks, gold, ranked)
+    return d.groupBy("k").agg(*[F.round(F.avg(F.when(F.col("g") == n, F.col("cov"))), 9).alias(f"size_{n}") for n in sizes])
+
+
 def recall_at_k(df: DataFrame, ks: Sequence[int], gold: str, ranked: str = "ranked") -> DataFrame:
     d = df.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     return d.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_contains(F.slice(ranked, F.lit(1), F.col("k")), F.col(gold)).cast("int")).alias("recall"))

@@ -41,3 +41,20 @@ def decoded(df: DataFrame, output: str = "raw_output", separator: str = ",") ->
     p = parse_predictions(F.col(output), separator)
     d = df.withColumn("_p", p)
     return d.withColumns({"label": F.array_join("_p.valid", separator), "n_codes": F.size("_p.valid"), "invalid_codes": F.to_json("_p.invalid"), "n_invalid": F.size("_p.invalid")}).drop("_p")
+
+
+def decoded_in_registry(df: DataFrame, registry: DataFrame, id_col: str, output: str = "raw_output", separator: str = ",", code: str = "code") -> DataFrame:
+    """As `decoded`, and a code must also be in the registry to be valid. Ids must be unique.
+
+    Codes are looked up one row each, so the registry is joined as Spark sees fit at its size.
+    """
+    shaped = parse_predictions(F.col(output), separator)
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(output), F.lit("")), F.lit(f"\\Q{separator}\\E")), lambda x: F.trim(x)), lambda x: x != "")
+    each = df.select(F.col(id_col).alias("_id"), shaped.alias("_p"), parts.alias("_parts")).select("_id", F.col("_p.valid").alias("_valid"), F.posexplode("_parts").alias("_at", "_code"))
+    known = registry.select(F.col(code).alias("_code"), F.lit(True).alias("_known")).distinct()
+    each = each.join(known, "_code", "left").withColumn("_good", F.coalesce("_known", F.lit(False)) & F.array_contains("_valid", F.col("_code")))
+    lists = each.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_code", "_good"))).alias("_all"))
+    pick = lambda good: F.transform(F.filter("_all", lambda x: x["_good"] == good), lambda x: x["_code"])
+    none = F.array().cast("array<string>")
+    d = df.join(lists, F.col(id_col) == F.col("_id"), "left").withColumns({"_v": F.coalesce(pick(True), none), "_i": F.coalesce(pick(False), none)})
+    return d.withColumns({"label": F.array_join("_v", separator), "n_codes": F.size("_v"), "invalid_codes": F.to_json("_i"), "n_invalid": F.size("_i")}).drop("_id", "_all", "_v", "_i")

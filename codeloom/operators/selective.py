@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.operators.metrics import ratio
 from codeloom.operators.ordering import ranked
@@ -27,7 +28,7 @@ def curve(df: DataFrame, score: str, correct: str, id_col: str, by: Sequence[str
     slim = df.select(*by, F.col(id_col).alias("_id"), F.col(score).alias("_score"), F.col(correct).cast("double").alias("_hit"))
     r = ranked(slim, [F.col("_score").desc(), F.col("_id").asc()], {"hits": F.col("_hit")}, by)
     total = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = r.join(F.broadcast(total), list(by)) if by else r.crossJoin(F.broadcast(total))  # one row a slice
+    joined = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row without slices
     accuracy = F.col("hits") / F.col("rank")
     return joined.select(*by, F.col("_id").alias(id_col), F.col("_score").alias("score"), "rank", "n", (F.col("rank") / F.col("n")).alias("coverage"), accuracy.alias("accuracy"), (1 - accuracy).alias("risk"))
 
@@ -56,7 +57,20 @@ def rc_table(df: DataFrame, signals: Sequence[str], metrics: Sequence[str], cove
     figures = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("figure")) for m in metrics]))
     d = stacked(df, signals, [id_col, *metrics]).withColumn("_m", figures)
     points = curve(d.select(id_col, "signal", "score", "_m.metric", "_m.figure"), "score", "figure", id_col, ["metric", "signal"])
-    return rc_curve(points, coverages, ["metric", "signal"]).drop("threshold")
+    return rc_curve(points, coverages, ["metric", "signal"])
+
+
+def rc_metric(df: DataFrame, score: str, id_col: str, metric: Column, coverages: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, coverage, n_kept, value): any aggregate expression over the records kept at each coverage.
+
+    Ranks are made without gathering the rows; each kept row is then counted once for each coverage.
+    """
+    r = ranked(df, [F.col(score).desc(), F.col(id_col).asc()], by=by)
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    r = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row without slices
+    r = r.withColumn("coverage", F.explode(F.array(*[F.lit(float(c)) for c in coverages])))
+    keep = F.when(F.col("coverage") >= 1, F.col("_n")).when(F.col("coverage") <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("coverage") * F.col("_n"))))
+    return r.where(F.col("rank") <= keep).groupBy(*by, "coverage").agg(F.count(F.lit(1)).alias("n_kept"), metric.alias("value"))
 
 
 def coverage_at_threshold(df: DataFrame, score: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
@@ -98,16 +112,40 @@ def _search(evaluate, low: float, high: float, rounds: int, width: int) -> float
     return math.sqrt(low * high)
 
 
-def fit_temperature_binary(df: DataFrame, score: str, correct: str, low: float = 0.05, high: float = 50.0, rounds: int = 5, width: int = 32) -> float:
-    """Temperature at which sigmoid(score / T) has the least cross-entropy; 1 where both ends are no better than 1."""
+def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str] = (), low: float = 0.05, high: float = 50.0, rounds: int = 4, width: int = 100) -> dict[tuple, float]:
+    """For each slice the temperature at which sigmoid(score / T) has the least cross-entropy.
 
-    def evaluate(grid):
-        z = lambda t: F.col(score) / F.lit(t)
-        loss = lambda t: F.avg(F.greatest(z(t), F.lit(0.0)) - z(t) * F.col(correct).cast("double") + F.log1p(F.exp(-F.abs(z(t)))))
-        row = df.agg(*[loss(t).alias(f"l{i}") for i, t in enumerate(grid)]).first()
-        return None if row[0] is None else list(row)
+    That is where the gradient changes sign: a grid of temperatures is tried in one job a round, and the next
+    grid lies between the neighbours with other signs. If the ends have the same sign, the temperature is 1.
+    """
 
-    return _search(evaluate, low, high, rounds, width)
+    def gradients(grid: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
+        table = df.sparkSession.createDataFrame([(*k, v) for k, v in grid.items()], df.select(*by).schema.add("_grid", T.ArrayType(T.DoubleType()))) if by else None
+        d = df.join(F.broadcast(table), list(by)) if by else df.withColumn("_grid", F.array(*map(F.lit, grid[()])))  # a row a slice, which the driver holds anyway
+        x, y = F.col(score).cast("double"), F.col(correct).cast("double")
+        cols = [F.avg((1 / (1 + F.exp(-x / F.col("_grid")[i])) - y) * x).alias(f"_{i}") for i in range(width + 1)]
+        return {tuple(r[: len(by)]): list(r[len(by) :]) for r in d.groupBy(*by).agg(*cols).collect() if r[len(by)] is not None}
+
+    slices = [tuple(r) for r in df.select(*by).distinct().collect()] if by else [()]
+    ends = {k: (low, high) for k in slices}
+    out = {k: 1.0 for k in slices}
+    for _ in range(rounds):
+        grid = {k: [a + (b - a) * i / width for i in range(width + 1)] for k, (a, b) in ends.items()}
+        if not grid:
+            break
+        found = gradients(grid)
+        ends = {}
+        for k, g in found.items():
+            if g[0] * g[-1] <= 0:
+                at = max(i for i in range(width) if g[0] * g[i] > 0 or i == 0)
+                ends[k] = (grid[k][at], grid[k][at + 1])
+                out[k] = (ends[k][0] + ends[k][1]) / 2
+    return out
+
+
+def fit_temperature_binary(df: DataFrame, score: str, correct: str, **kw) -> float:
+    """The temperature of all rows together (see fit_temperatures)."""
+    return fit_temperatures(df, score, correct, **kw)[()]
 
 
 def fit_temperature_tokens(df: DataFrame, logits: str, gold: str, low: float = 0.05, high: float = 50.0, rounds: int = 5, width: int = 16) -> tuple[float, float, float]:
@@ -146,24 +184,43 @@ def stacked(df: DataFrame, signals: Sequence[str], keep: Sequence[str]) -> DataF
     return df.select(*keep, F.explode(pairs).alias("_s")).select(*keep, "_s.signal", "_s.score")
 
 
-def signal_report(df: DataFrame, signals: Sequence[str], correct: str, id_col: str) -> DataFrame:
-    """AURC and coverage at 95 and 99 % accuracy of each signal, best first."""
-    points = curve(stacked(df, signals, [id_col, correct]), "score", correct, id_col, ["signal"])
-    return aurc(points, ["signal"]).join(coverage_at_accuracy(points, (0.95, 0.99), ["signal"]), "signal").orderBy("aurc", "signal")
+def signal_report(df: DataFrame, signals: Sequence[str], correct: str, id_col: str, bins: int = 15) -> DataFrame:
+    """AURC, coverage at 95 and 99 % accuracy, calibration error before and after scaling, and the temperature of each signal, best first."""
+    both = stacked(df, signals, [id_col, correct])
+    points = curve(both, "score", correct, id_col, ["signal"])
+    fitted = fit_temperatures(both, "score", correct, ["signal"])
+    t = F.element_at(F.create_map(*[F.lit(x) for k, v in fitted.items() for x in (k[0], v)]), F.col("signal"))
+    stages = F.explode(F.array(F.struct(F.lit("ece_raw").alias("stage"), F.lit(1.0).alias("t")), F.struct(F.lit("ece_calibrated").alias("stage"), t.alias("t"))))
+    d = both.withColumn("_s", stages).select("signal", correct, F.col("_s.stage").alias("stage"), (1 / (1 + F.exp(-F.col("score") / F.col("_s.t")))).alias("_p"))
+    errors = ece(reliability(d, "_p", correct, bins, ["signal", "stage"]), ["signal", "stage"]).groupBy("signal").pivot("stage", ["ece_raw", "ece_calibrated"]).agg(F.max("ece"))
+    out = aurc(points, ["signal"]).join(coverage_at_accuracy(points, (0.95, 0.99), ["signal"]), "signal").join(errors, "signal")
+    return out.withColumn("temperature", t).orderBy("aurc", "signal")
 
 
-def loso_report(df: DataFrame, source: str, score: str, correct: str, id_col: str) -> DataFrame:
-    """Accuracy, AURC, retained accuracy and coverages of each source and pooled."""
+def loso_report(df: DataFrame, source: str, score: str, correct: str, id_col: str, expected: dict[str, float] | None = None) -> DataFrame:
+    """Accuracy, AURC, retained accuracy and coverages of each source and pooled; with expected accuracies, the difference and a verdict."""
     both = df.withColumn("slice", F.explode(F.array(F.col(source), F.lit("pooled"))))
     points = curve(both, score, correct, id_col, ["slice"])
     head = both.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("int")).alias("accuracy"))
-    return head.join(aurc(points, ["slice"]), "slice").join(accuracy_at_coverage(points, (0.8, 0.9), ["slice"]), "slice").join(coverage_at_accuracy(points, (0.95, 0.99), ["slice"]), "slice")
+    out = head.join(aurc(points, ["slice"]), "slice").join(accuracy_at_coverage(points, (0.8, 0.9), ["slice"]), "slice").join(coverage_at_accuracy(points, (0.95, 0.99), ["slice"]), "slice")
+    if not expected:
+        return out
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]), F.col("slice"))
+    return out.withColumns({"delta": F.col("accuracy") - known, "verdict": verdict(F.col("accuracy"), known)})
 
 
-def verdict(value: Column, expected: Column, close: float = 0.01, match: float = 0.001) -> Column:
+def verdict(value: Column, expected: Column, close: float = 0.02, match: float = 0.005) -> Column:
+    """MATCH, CLOSE or DIFFER by the difference; null without an expected value."""
     d = F.abs(value - expected)
-    return F.when(d <= match, "MATCH").when(d <= close, "CLOSE").otherwise("DIFFER")
-
-
-def defer_or_accept(df: DataFrame, score: str, threshold: float) -> DataFrame:
-    return df.withColumn("decision", F.when(F.col(score) >= threshold, "accept").otherwise("review"))
+    return F.when(d < match, "MATCH").when(d < close, "CLOSE").when(d >= close, "DIFFER")
+
+
+def defer_or_accept(df: DataFrame, score: str, threshold: float | None = None, coverage: float | None = None, id_col: str = "record_id") -> DataFrame:
+    """Adds `decision`: accepted are scores from the threshold on, or the surest share of records (one at least, ties by id)."""
+    if (threshold is None) == (coverage is None):
+        raise ValueError("give a threshold or a coverage")
+    if threshold is not None:
+        return df.withColumn("decision", F.when(F.col(score) >= threshold, "accept").otherwise("review"))
+    n = df.count()
+    keep = n if coverage >= 1 else 0 if coverage <= 0 else max(1, int(coverage * n))
+    return ranked(df, [F.col(score).desc(), F.col(id_col).asc()]).withColumn("decision", F.when(F.col("rank") <= keep, "accept").otherwise("review")).drop("rank")

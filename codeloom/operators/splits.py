@@ -52,7 +52,13 @@ def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 333
         raise ValueError("fraction must be in (0, 1]")
     n = df.count()
     want = max(1, round(n * fraction)) if n else 0
-    return df.orderBy(keyed_hash(seed, F.col(id_col)), id_col).limit(want)
+    d = df.withColumn("_h", keyed_hash(seed, F.col(id_col)))
+    return ranked(d, [F.col("_h").asc(), F.col(id_col).asc()]).where(F.col("rank") <= want).drop("_h", "rank")
+
+
+def holdout_eval_sample(held: DataFrame, id_col: str, fraction: float | None, seed: int = 333) -> DataFrame:
+    """A sample of the held-out rows for frequent evaluation; all of them where none is asked for."""
+    return held if fraction is None else sample_fraction(held, id_col, fraction, seed)
 
 
 def single_label_sample(df: DataFrame, id_col: str, codes: str, fraction: float, seed: int = 333) -> DataFrame:
@@ -99,17 +105,30 @@ def exclude_sources(df: DataFrame, sources: Sequence[str], col: str = "source_id
 
 def source_violations(df: DataFrame, forbidden: Sequence[str], holdout: str | None, col: str = "source_id") -> DataFrame:
     """(split, source, n) that shouldn't be: forbidden or held-out sources outside the holdout, others inside it."""
-    outside = (F.col("split") != "holdout") & F.col(col).isin(*forbidden, *([holdout] if holdout else []))
-    inside = (F.col("split") == "holdout") & ~F.col(col).eqNullSafe(F.lit(holdout))
+    outside = ~F.col("split").isin("holdout", "holdout_eval") & F.col(col).isin(*forbidden, *([holdout] if holdout else []))
+    inside = F.col("split").isin("holdout", "holdout_eval") & ~F.col(col).eqNullSafe(F.lit(holdout))
     return df.groupBy("split", col).agg(F.count(F.lit(1)).alias("n")).where(outside | inside)
 
 
-def min_frequency(df: DataFrame, codes: str, k: int, train: Column) -> DataFrame:
-    """Rows of which some code occurs k times or more in train."""
-    common = df.where(train).select(F.explode(codes).alias("code")).groupBy("code").count().where(F.col("count") >= k).select("code")
-    # Codes are few against rows, and rows stay where they are: common codes come as one array a row's codes are checked against.
-    table = common.agg(F.collect_set("code").alias("_common"))
-    return df.crossJoin(F.broadcast(table)).where(F.arrays_overlap(codes, F.col("_common"))).drop("_common")  # one row of class names
+def assert_split_sources(df: DataFrame, forbidden: Sequence[str], holdout: str | None, col: str = "source_id") -> None:
+    """Raises for source_violations, and for a held-out source without rows in the holdout."""
+    if bad := source_violations(df, forbidden, holdout, col).orderBy("split", col).limit(5).collect():
+        raise ValueError(f"sources where they shouldn't be: {[tuple(r) for r in bad]}")
+    if holdout is not None and df.where(F.col("split") == "holdout").isEmpty():
+        raise ValueError(f"the holdout of {holdout!r} is empty")
+
+
+def frequent_codes(df: DataFrame, codes: str, k: int, train: Column) -> DataFrame:
+    """(code, count): the codes that occur k times or more in train."""
+    return df.where(train).select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= k)
+
+
+def min_frequency(df: DataFrame, id_col: str, codes: str, k: int, train: Column) -> DataFrame:
+    """The rows with only those of their codes that are frequent in train, in their order; rows left with none go."""
+    each = df.select(F.col(id_col).alias("_id"), F.posexplode(codes).alias("_at", "code"))
+    kept = each.join(frequent_codes(df, codes, k, train).select("code"), "code", "left_semi")
+    lists = kept.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "code"))), lambda x: x["code"]).alias("_codes"))
+    return df.join(lists, F.col(id_col) == F.col("_id")).withColumn(codes, F.col("_codes")).drop("_id", "_codes")
 
 
 def kfold(group: Column, k: int, seed: int = 333) -> Column:
@@ -129,6 +148,19 @@ def poisson_weight(group: Column, replicate: Column, seed: int = 333) -> Column:
     return out.otherwise(9)
 
 
+def bootstrap(df: DataFrame, group: Column, value: Column, replicates: int, level: float = 0.95, seed: int = 333) -> DataFrame:
+    """(mean, low, high) of a figure with a cluster bootstrap: each replicate weighs whole groups by Poisson(1).
+
+    Rows are summed by group first; only groups are multiplied by the number of replicates.
+    """
+    groups = df.groupBy(group.alias("_g")).agg(F.sum(value.cast("double")).alias("_s"), F.count(value).alias("_n"))
+    each = groups.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(F.col("_g"), F.col("_r"), seed))
+    means = each.groupBy("_r").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))  # one row a replicate
+    tail = (1 - level) / 2
+    ends = means.agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+    return groups.agg((F.sum("_s") / F.sum("_n")).alias("mean")).crossJoin(ends)  # one row each
+
+
 def take_by_reference(df: DataFrame, order: DataFrame, id_col: str, line: str, n: int, drop_source: str | None = None, source: str = "source_id") -> DataFrame:
     """n rows: a source left out, first row of each id, ordered by an outside position (missing ones last)."""
     d = df if drop_source is None else df.where(~F.col(source).eqNullSafe(drop_source))

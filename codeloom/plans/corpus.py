@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
@@ -12,9 +15,12 @@ from codeloom.operators import profile as R
 from codeloom.operators import retrieval as T
 from codeloom.operators import scoring as O
 from codeloom.operators import splits as E
+from codeloom.operators.ordering import shared_folder
 from codeloom.plans import prepare as P
 from codeloom.plans.prepare import Plan, split_counts
 from codeloom.plans.views import ctes, pairs, table, view
+from codeloom.sources import files as I
+from codeloom.streaming.incremental import score_batch
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,9 +112,39 @@ def extract_field(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.extract_field(t, "cod: ").alias("cod"), S.all_fields(t)["seg"].alias("segment"))
 
 
-@query("group_key", "SELECT p_partkey, lower(p_name) AS key FROM part")
+@query("group_key", "SELECT p_partkey, concat(lower(p_name), ' strasse') AS key FROM part")
 def group_key(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", S.group_key(F.concat(F.lit("cod: "), F.translate("p_name", " ", "-"), F.lit(" | age: 3"))).alias("key")).withColumn("key", F.regexp_replace("key", "-", " "))
+    accented = F.translate(F.translate("p_name", " ", "-"), "aeioun", "áèîöůñ")
+    return table(spark, sf, "part").select("p_partkey", S.group_key(F.concat(F.lit("cod: "), accented, F.lit("; Straße | age: 3"))).alias("key"))
+
+
+@query("filter_cardinality", LONG + "SELECT record_id, string_agg(code, ',' ORDER BY code) AS label FROM eval_long WHERE is_gold = 1 GROUP BY record_id HAVING count(*) <= 3")
+def filter_cardinality(spark, sf):
+    d = I.filter_cardinality(pairs(spark, sf).withColumnRenamed("gold", "y_codes"), 3)
+    return d.select("record_id", S.join_label("y_codes").alias("label"))
+
+
+@query("single_label_value", LONG + "SELECT record_id, CASE WHEN count(*) = 1 THEN min(code) END AS value FROM eval_long WHERE is_gold = 1 GROUP BY record_id")
+def single_label_value(spark, sf):
+    return pairs(spark, sf).select("record_id", S.single_label("gold").alias("value"))
+
+
+@query("parent_codes", LONG + "SELECT code, substr(code, 1, 5) AS parent FROM eval_long WHERE is_gold = 1 GROUP BY code")
+def parent_codes(spark, sf):
+    return R.class_counts(pairs(spark, sf), F.col("gold")).select("code", S.parent_code("code").alias("parent"))
+
+
+@query("parse_predictions_registry", BOOK + """SELECT record_id, string_agg(e.code, ',' ORDER BY e.code) FILTER (WHERE b.code IS NOT NULL) AS label, count(b.code) AS n_codes, count(*) - count(b.code) + 1 AS n_invalid
+FROM eval_long e LEFT JOIN codebook b ON e.code = b.code WHERE is_gold = 1 GROUP BY record_id""")
+def parse_predictions_registry(spark, sf):
+    d = pairs(spark, sf).select("record_id", F.concat(F.array_join("gold", " , "), F.lit(",nonsense, ")).alias("raw_output"))
+    d = O.decoded_in_registry(d, view(spark, sf, "codebook"), "record_id")
+    return d.select("record_id", F.nullif("label", F.lit("")).alias("label"), F.col("n_codes").cast("long").alias("n_codes"), F.col("n_invalid").cast("long").alias("n_invalid"))
+
+
+@query("batch_scores", "SELECT c_custkey, upper(c_name) AS raw_output FROM customer")
+def batch_scores(spark, sf):
+    return O.score(table(spark, sf, "customer").select("c_custkey", "c_name"), lambda texts: [t.upper() for t in texts], "c_name", 7).select("c_custkey", "raw_output")
 
 
 @query("squash_ws", r"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS digest FROM documents")
@@ -141,6 +177,16 @@ def parse_json_answers(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(S.parse_json_answers(raw), ",").alias("codes"))
 
 
+@query("answers_by_shape", "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'C02.000' WHEN (conv_id + turn) % 3 = 1 THEN 'A01.000,B02.000' ELSE 'L09.100' END AS valid, CASE WHEN (conv_id + turn) % 3 = 1 THEN 'x1' ELSE '' END AS invalid FROM conversations")
+def answers_by_shape(spark, sf):
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    nested = F.lit('first {"codes": ["C02.000"], "why": {"of": 1}} then {"codes": ["Z99.999"]}')  # the first literal counts
+    four = F.lit('```json\n{"codes": ["A01.000", " x1", "B02.000", "D04.000"], "code": "Z99.999"}\n```')  # three at most
+    legacy = F.lit('```\n{"codes": [], "code": " L09.100 "}\n``` and ```json\n{"codes": [oops}\n```')
+    d = table(spark, sf, "conversations").select("conv_id", "turn", S.by_shape(S.parse_json_answers(F.when(k == 0, nested).when(k == 1, four).otherwise(legacy))).alias("x"))
+    return d.select("conv_id", "turn", F.array_join("x.valid", ",").alias("valid"), F.array_join("x.invalid", ",").alias("invalid"))
+
+
 @query("is_real_source", "SELECT doc_id, source <> 'src0' AND source <> 'src1' AS is_real FROM documents")
 def is_real_source(spark, sf):
     s = F.when(F.col("source") == "src0", "synthetic_x_multicod").when(F.col("source") == "src1", "masterlist_1").otherwise(F.col("source"))
@@ -165,6 +211,15 @@ def ambiguous_transfer(spark, sf):
     return C.ambiguous(both).select("old_code", F.array_join("targets", ",").alias("targets"))
 
 
+SELECTING = (C.Rule("by_text", ("S04.000",), text="^[Dd]"), C.Rule("by_record", ("S05.000",), records=("1", "3", "7"), sources=("src1", "src3", "src7")), C.Rule("same", ("S06.000",), text="never there"))
+
+
+@query("apply_rules_by_text", DOC + "SELECT record_id, CASE WHEN regexp_matches(substr(text, 1, 1), '[Dd]') THEN 'S04.000' WHEN record_id IN ('1', '3', '7') AND source_id IN ('src1', 'src3', 'src7') THEN 'S05.000' ELSE label END AS label FROM doc_records")
+def apply_rules_by_text(spark, sf):
+    d = view(spark, sf, "doc_records").select("record_id", "source_id", F.concat(F.lit("age: 3 | cod: "), F.translate("text", "|", "/"), F.lit(" | sex: D")).alias("text"), F.array("label").alias("y_codes"))
+    return C.apply_rules(d, SELECTING).select("record_id", F.array_join("y_codes", ",").alias("label"))
+
+
 RULES = (C.Rule("by_source", ("S01.000",), sources=("1-URGENT",), blocks=("A00", "A01")), C.Rule("by_code", ("S02.000", "S02.100"), old_codes=("B00.000",)), C.Rule("by_block", ("S03.000",), blocks=("A00", "B00")))
 
 
@@ -238,7 +293,43 @@ def split_source_check(spark, sf):
 @query("min_frequency", DOC + "SELECT record_id FROM doc_records WHERE label IN (SELECT label FROM doc_records WHERE split = 'train' GROUP BY label HAVING count(*) >= 5)")
 def min_frequency(spark, sf):
     d = view(spark, sf, "doc_records").withColumn("y", F.array("label"))
-    return E.min_frequency(d, "y", 5, F.col("split") == "train").select("record_id")
+    return E.min_frequency(d, "record_id", "y", 5, F.col("split") == "train").select("record_id")
+
+
+@query("min_frequency_codes", LONG + """, c AS (SELECT code, count(*) AS n FROM eval_long WHERE is_gold = 1 AND record_id % 5 <> 0 GROUP BY code), k AS (SELECT code FROM c WHERE n >= (SELECT floor(avg(n)) FROM c))
+SELECT record_id, string_agg(code, ',' ORDER BY code) AS label FROM eval_long WHERE is_gold = 1 AND code IN (SELECT code FROM k) GROUP BY record_id""")
+def min_frequency_codes(spark, sf):
+    d, train = pairs(spark, sf), F.expr("record_id % 5 <> 0")
+    least = R.class_counts(d.where(train), F.col("gold")).agg(F.floor(F.avg("n"))).first()[0]
+    return E.min_frequency(d, "record_id", "gold", int(least), train).select("record_id", F.array_join("gold", ",").alias("label"))
+
+
+@query("holdout_eval_sample", "SELECT doc_id FROM documents WHERE source = 'src5' ORDER BY md5(concat('333:', doc_id)), doc_id LIMIT (SELECT greatest(1, CAST(round_even(count(*) * 0.25, 0) AS BIGINT)) FROM documents WHERE source = 'src5')")
+def holdout_eval_sample(spark, sf):
+    _, held = E.partition_holdout(table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id")), "src5")
+    return E.holdout_eval_sample(held, "doc_id", 0.25).select("doc_id")
+
+
+@query("batch_ledger", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('333:', doc_id)), doc_id) AS r FROM documents) d WHERE r <= 150")
+def batch_ledger(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    first = E.ledger(d.limit(0), E.stable_batch(d, "doc_id", 0, 100), "doc_id")
+    return E.ledger(first, E.stable_batch(d, "doc_id", 50, 100), "doc_id")
+
+
+@query("select_ids", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (7, 3, 1, 5)")
+def select_ids(spark, sf):
+    return E.select_ids(table(spark, sf, "orders"), [7, 3, 1, 5, -1], "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+_POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(n + 1))!r} THEN {n}" for n in range(9)) + " ELSE 9 END"
+
+
+@query("bootstrap", f"""WITH g AS (SELECT source AS g, CAST(sum(n_chars) AS DOUBLE) AS s, count(n_chars) AS n FROM documents GROUP BY source), e AS (SELECT g, s, n, r, {{u}} AS u FROM g CROSS JOIN (SELECT unnest(range(1, 41)) AS r) k),
+m AS (SELECT r, sum(({_POISSON}) * s) / sum(({_POISSON}) * n) AS m FROM e GROUP BY r) SELECT round((SELECT sum(s) / sum(n) FROM g), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""".replace("{u}", _U.format("concat('333:', g, ':', r)")))
+def bootstrap(spark, sf):
+    out = E.bootstrap(table(spark, sf, "documents"), F.col("source"), F.col("n_chars"), 40)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("take_reference_order", "SELECT doc_id FROM documents WHERE source <> 'src0' ORDER BY CASE WHEN doc_id % 3 = 0 THEN 1000000000 - doc_id END NULLS LAST, doc_id LIMIT 100")
@@ -282,7 +373,13 @@ def upsample_counts(spark, sf):
     return A.copies(d, t, "label", "record_id").groupBy("record_id", "label").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("upsample")
+# Copies with their numbers, and whether a copy is perturbed.
+_COPIES = _TARGETS + """, r AS (SELECT record_id, g.label, n, target, target - n AS need, row_number() OVER (PARTITION BY g.label ORDER BY md5(concat('333:', record_id)), record_id) AS k FROM doc_records d JOIN g ON d.label = g.label),
+x AS (SELECT record_id, label, n, target, unnest(range(1, need // n + CASE WHEN k <= need % n THEN 1 ELSE 0 END + 1)) AS copy FROM r), y AS (SELECT *, """ + _U.format("concat('333:p:', record_id, ':', copy)") + """ < 1 - n / target::DOUBLE AS perturbed FROM x)
+"""
+
+
+@query("upsample", _COPIES + "SELECT label, count(*) AS n, count(*) FILTER (WHERE synthetic) AS synthetic, count(*) FILTER (WHERE perturbed) AS perturbed FROM (SELECT label, true AS synthetic, perturbed FROM y UNION ALL SELECT label, false, false FROM doc_records) u GROUP BY label")
 def upsample(spark, sf):
     d, t = _targets(spark, sf)
     return A.upsample(d, t, "label", "record_id", "text").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("synthetic").alias("synthetic"), F.count_if("perturbed").alias("perturbed"))
@@ -294,10 +391,17 @@ def before_after_counts(spark, sf):
     return R.before_after(d, d.select("label").unionByName(A.copies(d, t, "label", "record_id").select("label")), "label")
 
 
-@query("prep_summary", _TARGETS + "SELECT (SELECT count(*) FROM doc_records) + (SELECT CAST(sum(target - n) AS BIGINT) FROM g) AS rows, (SELECT CAST(sum(target - n) AS BIGINT) FROM g) AS synthetic, (SELECT count(*) FROM doc_records) AS real")
+@query("balance_report", _TARGETS + """, a AS (SELECT 'before' AS stage, n FROM c UNION ALL SELECT 'after', coalesce(g.target, c.n) FROM c LEFT JOIN g ON c.label = g.label)
+SELECT stage, CAST(sum(n) AS BIGINT) AS rows, count(*) AS classes, min(n) AS least, median(n) AS median, max(n) AS most FROM a GROUP BY stage""")
+def balance_report(spark, sf):
+    d, t = _targets(spark, sf)
+    return P.balance_report(d.select("label"), d.select("label").unionByName(A.copies(d, t, "label", "record_id").select("label")))
+
+
+@query("prep_summary", _COPIES + "SELECT (SELECT count(*) FROM doc_records) + count(*) AS rows, count(*) AS synthetic, count(*) FILTER (WHERE perturbed) AS perturbed, CAST(0 AS BIGINT) AS injected, (SELECT count(*) FROM doc_records) AS real FROM y")
 def prep_summary(spark, sf):
     d, t = _targets(spark, sf)
-    return R.prep_summary(A.upsample(d, t, "label", "record_id", "text").withColumn("injected", F.lit(False))).select("rows", "synthetic", "real")
+    return R.prep_summary(A.upsample(d, t, "label", "record_id", "text").withColumn("injected", F.lit(False)))
 
 
 @query("analytic_upsample", LONG + ", r AS (SELECT record_id, string_agg(code, ',' ORDER BY code) AS label, count(*) AS k FROM eval_long WHERE is_gold = 1 GROUP BY record_id), c AS (SELECT label, k, count(*) AS n FROM r GROUP BY label, k) SELECT CAST(k AS INTEGER) AS labels, CAST(sum(n) AS BIGINT) AS before, CAST(sum(greatest(n, 20)) AS BIGINT) AS after, count(*) FILTER (WHERE n < 20) AS classes_below FROM c GROUP BY k")
@@ -312,27 +416,94 @@ def shuffle_label_order(spark, sf):
 
 @query("perturb_fraction")
 def perturb_fraction(spark, sf):
-    return A.perturb_fraction(view(spark, sf, "doc_records"), "record_id", "text", 0.2, mean=0.02).select("record_id", "perturbed", F.length("text").alias("n_chars"))
-
-
-@query("synthetic_multilabel")
+    return A.perturb_fraction(view(spark, sf, "doc_records"), "record_id", "text", 0.2, mean=0.02).select("record_id", "perturbed", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _step_sql() -> str:
+    """One perturbation of acc in SQL; z is the step's number, k the row's key."""
+    u = lambda tag: _U.format(f"concat(k, ':', z, ':{tag}')")
+    at = lambda n: f"CAST(floor({u('p')} * ({n})) AS BIGINT)"
+    swap = f"CASE WHEN length(acc) < 2 THEN acc ELSE concat(substr(acc, 1, {at('length(acc) - 1')}), substr(acc, {at('length(acc) - 1')} + 2, 1), substr(acc, {at('length(acc) - 1')} + 1, 1), substr(acc, {at('length(acc) - 1')} + 3)) END"
+    delete = f"concat(substr(acc, 1, {at('length(acc)')}), substr(acc, {at('length(acc)')} + 2))"
+    space = f"concat(substr(acc, 1, {at('length(acc) + 1')}), ' ', substr(acc, {at('length(acc) + 1')} + 1))"
+
+    def exchange(kinds: dict[str, str]) -> str:
+        names = "[" + ", ".join(f"'{c}'" for c in kinds) + "]"
+        places = f"list_filter(range(1, length(acc) + 1), lambda i: list_contains({names}, substr(acc, i, 1)))"
+        place = f"({places})[{at('len(' + places + ')')} + 1]"
+        new = f"map([{', '.join(repr(c) for c in kinds)}], [{', '.join(repr(v) for v in kinds.values())}])[substr(acc, {place}, 1)]"
+        return f"CASE WHEN len({places}) = 0 THEN acc ELSE concat(substr(acc, 1, {place} - 1), substr({new}, CAST(floor({u('c')} * length({new})) AS BIGINT) + 1, 1), substr(acc, {place} + 1)) END"
+
+    keys = A.NEIGHBOURS | {a.upper(): b.upper() for a, b in A.NEIGHBOURS.items()}
+    forms = [swap, delete, space, exchange(A.ACCENTS), exchange(keys)]
+    pick = f"CAST(floor({u('f')} * {len(forms)}) AS BIGINT)"
+    return f"CASE {pick} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " ELSE acc END"
+
+
+@query("perturbed_names", f"""WITH RECURSIVE p AS (SELECT p_partkey, p_name AS t, concat('333:', p_partkey) AS k, {_U.format("concat('333:f:', p_partkey)")} < 0.5 AS chosen FROM part),
+n AS (SELECT *, CASE WHEN chosen THEN greatest(1, least(length(t), CAST(round_even(length(t) * 0.2, 0) AS INTEGER))) ELSE 0 END AS steps FROM p),
+r AS (SELECT p_partkey, k, chosen, steps, 0 AS z0, t AS acc FROM n UNION ALL SELECT p_partkey, k, chosen, steps, z, {_step_sql()} FROM (SELECT *, z0 + 1 AS z FROM r WHERE z0 < steps) q)
+SELECT p_partkey, chosen AS perturbed, acc AS name FROM r WHERE z0 = steps""")
+def perturbed_names(spark, sf):
+    return A.perturb_fraction(table(spark, sf, "part"), "p_partkey", "p_name", 0.5, mean=0.2).select("p_partkey", "perturbed", F.col("p_name").alias("name"))
+
+
+_V = lambda key: _U.format(f"concat('333:{key}')")
+_SYNTH = DOC + f""", s AS (SELECT record_id, source_id AS g, label AS l, text AS t, md5(concat('333:', record_id)) AS h FROM doc_records),
+l0 AS (SELECT g, l, count(*) AS of FROM s GROUP BY g, l), l1 AS (SELECT g, l, of, count(*) OVER (PARTITION BY g) AS labels, row_number() OVER (PARTITION BY g ORDER BY md5(concat('333:', l)), l) - 1 AS no FROM l0), lab AS (SELECT * FROM l1 WHERE labels > 1),
+able AS (SELECT row_number() OVER (ORDER BY h, record_id) AS row, s.g, x.labels FROM s JOIN (SELECT DISTINCT g, labels FROM lab) x ON s.g = x.g),
+n AS (SELECT greatest(1, CAST(round_even(count(*) * 0.5, 0) AS BIGINT)) AS n FROM s), d0 AS (SELECT unnest(range(n)) AS draw FROM n),
+d1 AS (SELECT draw, g, labels, least(3, labels) AS most FROM d0 JOIN able ON able.row = CAST(floor({_V("g:', draw, '")} * (SELECT count(*) FROM able)) AS BIGINT) + 1),
+d2 AS (SELECT *, 2 + CAST(floor({_V("n:', draw, '")} * (most - 1)) AS BIGINT) AS want FROM d1),
+d3 AS (SELECT *, CAST(floor({_V("l:', draw, ':1")} * (labels - want + 1)) AS BIGINT) AS a, CAST(floor({_V("l:', draw, ':2")} * (labels - want + 2)) AS BIGINT) AS b0, CAST(floor({_V("l:', draw, ':3")} * (labels - want + 3)) AS BIGINT) AS c0 FROM d2),
+d4 AS (SELECT *, CASE WHEN b0 = a THEN labels - want + 1 ELSE b0 END AS b FROM d3), d5 AS (SELECT *, CASE WHEN c0 = a OR c0 = b THEN labels - want + 2 ELSE c0 END AS c FROM d4),
+pk AS (SELECT draw, g, a AS no FROM d5 UNION ALL SELECT draw, g, b FROM d5 UNION ALL SELECT draw, g, c FROM d5 WHERE want > 2),
+ch AS (SELECT draw, pk.g, l, CAST(floor({_V("r:', draw, ':', pk.no, '")} * of) AS BIGINT) + 1 AS rank, md5(concat('333:o:', draw, ':', pk.no)) AS slot FROM pk JOIN lab ON pk.g = lab.g AND pk.no = lab.no),
+rk AS (SELECT g, l, record_id, t, row_number() OVER (PARTITION BY g, l ORDER BY h, record_id) AS rank FROM s)
+SELECT concat('synthetic_multicod:', ch.g, ':', lpad(CAST(draw AS VARCHAR), CAST(greatest(6, length(CAST(draw AS VARCHAR))) AS INTEGER), '0')) AS record_id, concat('synthetic_multicod:', ch.g) AS source_id, string_agg(ch.l, ',' ORDER BY slot) AS label, string_agg(t, ', ' ORDER BY slot) AS text, ch.g AS synthetic_source_ids, string_agg(record_id, ',' ORDER BY slot) AS synthetic_record_ids
+FROM ch JOIN rk ON ch.g = rk.g AND ch.l = rk.l AND ch.rank = rk.rank GROUP BY draw, ch.g"""
+
+
+@query("synthetic_multilabel", _SYNTH)
 def synthetic_multilabel(spark, sf):
     d = view(spark, sf, "doc_records").select("record_id", "source_id", "label", "text")
     n = max(1, round(d.count() * 0.5))
-    return A.synthesise(d, n, "label", "record_id", "text", "source_id").drop("y_codes")
+    return A.synthesise(d, n, "label", "record_id", "text").drop("y_codes")
 
 
-@query("inject_codebook")
+@query("inject_codebook", ctes("codebook", "doc_records") + "SELECT false AS injected, count(*) AS n, count(DISTINCT label) AS labels FROM doc_records UNION ALL SELECT true, 4 * count(*), count(*) FROM codebook")
 def inject_codebook(spark, sf):
     d = view(spark, sf, "doc_records").select("record_id", "label", "text")
-    book = view(spark, sf, "codebook").select(F.concat(F.lit("book:"), "code").alias("record_id"), F.col("code").alias("label"), F.col("description").alias("text"))
-    return A.inject_codebook(d, book, "text", "label", "record_id", 4).groupBy("injected").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
+    return A.inject_codebook(d, _book(spark, sf), "text", "label", "record_id", 4).groupBy("injected").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
+
+
+def _book(spark, sf):
+    return view(spark, sf, "codebook").select(F.concat(F.lit("book:"), "code").alias("record_id"), F.lit("masterlist_1").alias("source_id"), F.col("code").alias("label"), F.col("description").alias("text"))
+
+
+@query("upsample_codebook", ctes("codebook") + "SELECT code AS label, CAST(1 AS BIGINT) AS before, CAST(3 AS BIGINT) AS after, CAST(2 AS BIGINT) AS delta FROM codebook")
+def upsample_codebook(spark, sf):
+    return A.upsample_codebook(_book(spark, sf), "text", "label", "record_id", 3, k=2)[1]
 
 
-@query("prepare_splits")
+@query("multilabel_codebook", ctes("codebook") + f"""SELECT CAST(want AS INTEGER) AS labels, count(*) AS n FROM (SELECT 2 + CAST(floor({_V("n:', draw, '")} * (least(3, (SELECT count(*) FROM codebook)) - 1)) AS BIGINT) AS want FROM (SELECT unnest(range(500)) AS draw) d) x GROUP BY want""")
+def multilabel_codebook(spark, sf):
+    return A.multilabel_codebook(_book(spark, sf), 500, "label", "record_id", "text")[1]
+
+
+_PREPARED = DOC + f""", d AS (SELECT record_id, label, CASE WHEN source_id = 'src5' THEN 'holdout' WHEN u < 0.9 THEN 'train' WHEN u < 0.9 + 0.05 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_U.format("concat('333:', lower(text))")} AS u FROM doc_records WHERE source_id <> 'src6') z),
+tr AS (SELECT * FROM d WHERE split = 'train'), c AS (SELECT label, count(*) AS n FROM tr GROUP BY label), g AS (SELECT label, n, CAST(round_even(4 * (1 - 0.2 * ln(1 + (1 - (n - 1) / 3.0::DOUBLE)) / ln(2.0::DOUBLE)), 0) AS BIGINT) AS target FROM c WHERE n < 4),
+r AS (SELECT record_id, n, target, target - n AS need, row_number() OVER (PARTITION BY tr.label ORDER BY md5(concat('333:', record_id)), record_id) AS k FROM tr JOIN g ON tr.label = g.label WHERE target > n),
+x AS (SELECT record_id, n, target, unnest(range(1, need // n + CASE WHEN k <= need % n THEN 1 ELSE 0 END + 1)) AS copy FROM r),
+a AS (SELECT split, false AS synthetic, split = 'train' AND {_U.format("concat('333:f:', record_id)")} < 0.1 AS perturbed FROM d UNION ALL SELECT 'train', true, {_U.format("concat('333:p:', record_id, ':', copy)")} < 1 - n / target::DOUBLE FROM x
+  UNION ALL SELECT 'train', true, false FROM (SELECT unnest(range(greatest(1, CAST(round_even(count(*) * 0.2, 0) AS BIGINT)))) FROM tr) s UNION ALL SELECT 'holdout_eval', false, false FROM (SELECT unnest(range(greatest(1, CAST(round_even(count(*) * 0.5, 0) AS BIGINT)))) FROM d WHERE split = 'holdout') s)
+SELECT split, count(*) AS n, count(*) FILTER (WHERE synthetic) AS synthetic, count(*) FILTER (WHERE perturbed) AS perturbed, CAST(0 AS BIGINT) AS injected FROM a GROUP BY split"""
+
+
+@query("prepare_splits", _PREPARED)
 def prepare_splits(spark, sf):
     d = view(spark, sf, "doc_records").drop("split", "lang")
-    plan = Plan(holdout="src5", exclude=("src6",), multi_ratio=0.2, floor=4, decay=0.2, perturb=0.1)
+    plan = Plan(holdout="src5", holdout_eval=0.5, exclude=("src6",), multi_ratio=0.2, floor=4, decay=0.2, perturb=0.1)
     return split_counts(P.prepare_splits(d, plan, group=F.lower("text")))
 
 
@@ -341,6 +512,11 @@ def perturbation_impact(spark, sf):
     return A.perturbation_impact(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
+@query("perturbation_pairs")
+def perturbation_pairs(spark, sf):
+    return A.perturbation_impact(table(spark, sf, "part"), "p_partkey", "p_name", ordered_pairs=True)
+
+
 # --- profiles ------------------------------------------------------------------------------------------------------------
 _COUNTS = DOC + ", c AS (SELECT label AS code, count(*) AS n FROM doc_records GROUP BY label)\n"
 
@@ -374,9 +550,9 @@ def label_vocabulary(spark, sf):
     return R.label_vocabulary(_counts(spark, sf))
 
 
-@query("length_profile", DOC + "SELECT split, CAST(length(text) // 500 * 500 AS BIGINT) AS from_chars, count(*) AS n, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest FROM doc_records GROUP BY 1, 2")
+@query("length_profile", DOC + ", x AS (SELECT split, 'text' AS part, length(text) AS n FROM doc_records UNION ALL SELECT split, 'main', length(string_split(text, ' | ')[1]) FROM doc_records) SELECT split, part, CAST(n // 500 * 500 AS BIGINT) AS from_chars, count(*) AS n, CAST(min(x.n) AS INTEGER) AS shortest, CAST(max(x.n) AS INTEGER) AS longest FROM x GROUP BY 1, 2, 3")
 def length_profile(spark, sf):
-    return R.length_profile(view(spark, sf, "doc_records"), "text", ["split"])
+    return R.length_profile(view(spark, sf, "doc_records"), "text", ["split"], prefix="")
 
 
 @query("count_summary", _COUNTS + "SELECT min(n) AS least, max(n) AS most, median(n) AS median, round(avg(n), 9) AS mean FROM c")
@@ -384,12 +560,28 @@ def count_summary(spark, sf):
     return rounded(R.count_summary(_counts(spark, sf)), "mean")
 
 
-_Q = ", ".join(f"round(quantile_cont(n, {q}), 9) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))
+_Q = ", ".join(f"round(quantile_cont(n, {q}), 9) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
 
 
-@query("imbalance_profile", DOC + f", c AS (SELECT source_id, label AS code, count(*) AS n FROM doc_records GROUP BY 1, 2) SELECT source_id, count(*) AS classes, CAST(sum(n) AS BIGINT) AS rows, min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, {_Q}, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n <= 5) AS upto_5, count(*) FILTER (WHERE n <= 10) AS upto_10, round(max(n)::DOUBLE / min(n), 9) AS max_min, round(max(n) / quantile_cont(n, 0.5), 9) AS max_median FROM c GROUP BY source_id")
+@query("imbalance_profile", DOC + f", b AS (SELECT source_id, label FROM doc_records UNION ALL SELECT 'overall', label FROM doc_records), c AS (SELECT source_id, label AS code, count(*) AS n FROM b GROUP BY 1, 2) SELECT source_id, count(*) AS classes, CAST(sum(n) AS BIGINT) AS rows, min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, round(stddev_samp(n), 6) AS std, {_Q}, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n <= 5) AS upto_5, count(*) FILTER (WHERE n <= 10) AS upto_10, round(max(n)::DOUBLE / min(n), 9) AS max_min, round(max(n) / quantile_cont(n, 0.5), 9) AS max_median FROM c GROUP BY source_id")
 def imbalance_profile(spark, sf):
-    return R.imbalance_profile(R.class_counts(view(spark, sf, "doc_records"), F.array("label"), ["source_id"]), ["source_id"])
+    return R.imbalance_profile(R.class_counts(view(spark, sf, "doc_records"), F.array("label"), ["source_id"]), "source_id")
+
+
+@query("class_extremes", _COUNTS + ", r AS (SELECT 'top' AS \"end\", CAST(row_number() OVER (ORDER BY n DESC, code) AS INTEGER) AS place, code, n FROM c UNION ALL SELECT 'bottom', CAST(row_number() OVER (ORDER BY n, code) AS INTEGER), code, n FROM c) SELECT * FROM r WHERE place <= 20")
+def class_extremes(spark, sf):
+    return R.extremes(_counts(spark, sf))
+
+
+@query("block_distribution_by_split", LONG + ", b AS (SELECT record_id % 3 AS part, substr(code, 1, 3) AS block, count(*) AS n FROM eval_long WHERE is_gold = 1 GROUP BY 1, 2), r AS (SELECT part, block, n, round(n / sum(n) OVER (PARTITION BY part), 9) AS share, CAST(row_number() OVER (PARTITION BY part ORDER BY n DESC, block) AS INTEGER) AS place FROM b) SELECT * FROM r WHERE place <= 7")
+def block_distribution_by_split(spark, sf):
+    return rounded(R.block_distribution(pairs(spark, sf).withColumn("part", F.col("record_id") % 3), F.col("gold"), by=["part"], top=7), "share")
+
+
+@query("validate_labels", DOC + "SELECT count(*) AS non_empty, count(DISTINCT label) AS distinct_labels, CAST(CASE WHEN count(DISTINCT label) = 1 THEN 1 ELSE 0 END AS INTEGER) AS warnings FROM doc_records")
+def validate_labels(spark, sf):
+    d = view(spark, sf, "doc_records")
+    return R.label_stats(d, "label").withColumn("warnings", F.lit(len(R.validate_labels(d, ["record_id", "text"], "label"))))
 
 
 @query("concentration", _COUNTS + ", r AS (SELECT n, row_number() OVER (ORDER BY n, code) AS up, row_number() OVER (ORDER BY n DESC, code) AS down FROM c) SELECT count(*) AS classes, CAST(sum(n) AS BIGINT) AS rows, round(2 * sum(up * n) / (count(*) * sum(n))::DOUBLE - (count(*) + 1) / count(*)::DOUBLE, 9) AS gini, " + ", ".join(f"round(sum(CASE WHEN down <= {t} THEN n ELSE 0 END)::DOUBLE / sum(n), 9) AS top_{t}" for t in (10, 100, 1000)) + ", count(*) FILTER (WHERE n < 10) AS below_10, count(*) FILTER (WHERE n < 50) AS below_50 FROM r")
@@ -440,7 +632,7 @@ def hierarchy_nodes(spark, sf):
     return _tree(spark, sf)
 
 
-@query("tree_stats", _TREE + "SELECT level, count(*) AS nodes, max(children) AS max_branching FROM tree GROUP BY level")
+@query("tree_stats", _TREE + "SELECT level, count(*) AS nodes, max(children) AS max_branching FROM (SELECT level, children FROM tree UNION ALL SELECT 'total', children FROM tree) t GROUP BY level")
 def tree_stats(spark, sf):
     return H.tree_stats(_tree(spark, sf))
 
@@ -460,9 +652,27 @@ def cross_map(spark, sf):
     return H.cross_map(view(spark, sf, "codebook"))
 
 
-@query("codebook_documents", ctes("codebook") + "SELECT substr(code, 1, 3) AS node, concat(string_agg(DISTINCT description, '; ' ORDER BY description), ' | ', string_agg(DISTINCT cause, '; ' ORDER BY cause), ' | ', string_agg(DISTINCT category, '; ' ORDER BY category)) AS text FROM codebook GROUP BY 1")
+@query("cross_counts", ctes("codebook") + "SELECT substr(code, 1, 1) AS chapter, substr(code, 1, 3) AS block, category, count(DISTINCT code) AS codes FROM codebook GROUP BY 1, 2, 3")
+def cross_counts(spark, sf):
+    return H.cross_counts(view(spark, sf, "codebook"))
+
+
+_VALUES = "string_agg(DISTINCT {0}, '; ' ORDER BY {0})"
+_BOOKTEXT = "SELECT {n} AS level, substr(code, 1, {n}) AS node, concat_ws(' | ', concat(substr(code, 1, {n}), ': ', {head}), concat('Cause: ', " + _VALUES.format("cause") + "){rest}, concat('HistCat: ', " + _VALUES.format("histcat") + ")) AS text FROM codebook GROUP BY 1, 2"
+
+
+@query("codebook_documents", ctes("codebook") + " UNION ALL ".join(_BOOKTEXT.format(n=n, head=_VALUES.format("category" if n == 1 else "description"), rest="" if n == 1 else ", concat('Category: ', " + _VALUES.format("category") + ")") for n in (1, 3, 7)))
 def codebook_documents(spark, sf):
-    return H.documents(view(spark, sf, "codebook"), 3)
+    book = view(spark, sf, "codebook")
+    frames = [H.documents(book, n).select(F.lit(n).alias("level"), "node", "text") for n in (1, 3, 7)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query("load_codebook", ctes("codebook") + "SELECT code, description FROM codebook")
+def load_codebook(spark, sf):
+    book = view(spark, sf, "codebook").select("code", "description")
+    raw = book.select(F.concat(F.lit(" "), "code", F.lit("\t")).alias("code"), F.regexp_replace("description", " ", "\n").alias("description"))
+    return I.load_codebook(raw.unionByName(raw.select(F.lit("A00").alias("code"), "description")), ["code", "description"])
 
 
 @query("attach_description", BOOK + ", c AS (SELECT code, count(*) AS n FROM eval_long WHERE is_gold = 1 GROUP BY code) SELECT c.code, n, description FROM c LEFT JOIN codebook b ON c.code = b.code")
@@ -470,12 +680,23 @@ def attach_description(spark, sf):
     return H.attach_description(R.class_counts(pairs(spark, sf), F.col("gold")), view(spark, sf, "codebook"))
 
 
-@query("beam_narrow")
+def _beam_sql(beam: int, choices: int) -> str:
+    """Five levels of the search, a CTE each."""
+    out = [_TREE.rstrip(), "kid AS (SELECT parent, node AS child, count(*) OVER (PARTITION BY parent) AS n FROM tree)", "q AS (SELECT r_regionkey AS query_id FROM region)", "s0 AS (SELECT query_id, 'root' AS node, 1 AS place FROM q)"]
+    score = "(CAST(('0x' || substr(md5(concat('beam:', s.query_id, ':', child)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    for i in range(5):
+        out.append(f"e{i} AS (SELECT query_id, child, place, n, row_number() OVER (PARTITION BY query_id, node ORDER BY {score} DESC, child) AS c FROM s{i} s JOIN kid ON s.node = kid.parent)")
+        out.append(f"f{i} AS (SELECT query_id, child, min((place, c)) AS o FROM e{i} WHERE c <= {choices} OR n = 1 GROUP BY 1, 2)")
+        out.append(f"s{i + 1} AS (SELECT * FROM (SELECT query_id, child AS node, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM f{i}) x WHERE place <= {beam})")
+    return ", ".join(out) + " SELECT query_id, node AS code, CAST(place AS INTEGER) AS place FROM s5"
+
+
+@query("beam_narrow", _beam_sql(3, 2))
 def beam_narrow(spark, sf):
     tree = _tree(spark, sf)
     q = table(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"))
     scores = tree.select("node", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("query_id")).select("query_id", "node", S.uniform("beam", F.col("query_id"), F.col("node")).alias("score"))
-    return H.beam_narrow(q, tree, scores, 3, 2).withColumn("score", F.round("score", 6))
+    return H.beam_narrow(q, tree, scores, 3, 2)
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------------
@@ -486,23 +707,24 @@ def majority_topk(spark, sf):
     return T.majority_topk(pairs(spark, sf), "gold", 10)
 
 
-@query("tfidf", """WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM conversations), e AS (SELECT conv_id * 1000 + turn AS id, term, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM e GROUP BY term HAVING count(*) >= 2),
+@query("tfidf", """WITH b AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]{2,}') AS w FROM conversations),
+t AS (SELECT id, unnest(w) AS term FROM b UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) FROM b WHERE len(w) > 1), e AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM e GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
 w AS (SELECT id, e.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS w FROM e JOIN d ON e.term = d.term), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) SELECT w.id, term, round(w / norm, 6) AS weight FROM w JOIN n ON w.id = n.id""")
 def tfidf(spark, sf):
     d = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
-    return T.tfidf(d, "id", "text", 2, grams=words).withColumn("weight", F.round("weight", 6))
+    return T.tfidf(d, "id", "text", 2, max_features=500).withColumn("weight", F.round("weight", 6))
 
 
 _COS = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) + 1e-9 AS n FROM v),
-s AS (SELECT q.vec_id AS query_id, q.label AS query_label, c.vec_id, c.label, round(list_dot_product(q.e, c.e) / (q.n * c.n), 9) AS score FROM u q JOIN u c ON c.vec_id < 50 AND q.vec_id >= 50),
+s AS (SELECT q.vec_id AS query_id, q.label AS query_label, c.vec_id, c.label, round(list_dot_product(q.e, c.e) / (q.n * c.n), 9) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS place FROM s)
 """
 
 
 def _cosine(spark, sf):
     e = table(spark, sf, "embeddings")
-    return T.cosine_topk(e.where("vec_id >= 50"), e.where("vec_id < 50"), 5)
+    return T.cosine_topk(e.where("vec_id % 50 = 0"), e, 5)  # a stated query set against all rows
 
 
 @query("cosine_topk", _COS + "SELECT query_id, place, vec_id, round(score, 6) AS score FROM r WHERE place <= 5")
@@ -521,13 +743,109 @@ def recall_at_k(spark, sf):
     return rounded(T.recall_at_k(_ranked(spark, sf), (1, 3, 5), "gold"), "recall")
 
 
-@query("retrieval_eval", _COS + """, x AS (SELECT k, query_id, CASE WHEN bool_or(label = query_label) THEN 1 ELSE 0 END AS hit, count(*) AS r FROM r, (SELECT unnest([1, 3, 5]) AS k) ks WHERE place <= k GROUP BY 1, 2)
-SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(sum(hit)::DOUBLE / count(*), 9) AS coverage, round(avg(hit), 9) AS all_in, round(avg(1 - hit), 9) AS none_in, 0.0::DOUBLE AS partial, round(2 * sum(hit)::DOUBLE / (count(*) + sum(r)), 9) AS micro_f1 FROM x GROUP BY k""")
+_SETS = _COS + """, gl AS (SELECT vec_id AS query_id, label AS code FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT vec_id, (label + 1) % 10 FROM embeddings WHERE vec_id % 100 = 0), ks AS (SELECT unnest([1, 3, 5]) AS k),
+rl AS (SELECT DISTINCT k, query_id, label AS code FROM r, ks WHERE place <= k), x AS (SELECT q.k, q.query_id, q.g, q.rr, coalesce(h.hits, 0) AS hits FROM (SELECT ks.k, a.query_id, a.g, b.rr FROM ks, (SELECT query_id, count(*) AS g FROM gl GROUP BY 1) a JOIN (SELECT k, query_id, count(*) AS rr FROM rl GROUP BY 1, 2) b ON a.query_id = b.query_id WHERE b.k = ks.k) q
+  LEFT JOIN (SELECT k, rl.query_id, count(*) AS hits FROM rl JOIN gl ON rl.query_id = gl.query_id AND rl.code = gl.code GROUP BY 1, 2) h ON q.k = h.k AND q.query_id = h.query_id)
+"""
+
+
+def _gold_sets(spark, sf):
+    """One label for each query, and another for every second."""
+    own = F.col("gold").cast("int")
+    return _ranked(spark, sf).withColumns({"gold": F.when(F.col("query_id") % 100 == 0, F.array(own, ((own + 1) % 10).cast("int"))).otherwise(F.array(own)), "ranked": F.col("ranked").cast("array<int>")})
+
+
+@query("retrieval_eval", _SETS + """SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(hits::DOUBLE / g), 9) AS coverage, round(median(hits::DOUBLE / g), 9) AS median_coverage, round(avg(CASE WHEN hits = g THEN 1 ELSE 0 END), 9) AS all_in, round(avg(CASE WHEN hits = 0 THEN 1 ELSE 0 END), 9) AS none_in, round(avg(CASE WHEN hits > 0 AND hits < g THEN 1 ELSE 0 END), 9) AS partial,
+ round(avg(CASE WHEN hits = g THEN 1 ELSE 0 END), 9) AS "full", round(2 * sum(hits)::DOUBLE / (sum(g) + sum(rr)), 9) AS micro_f1, round(avg(2 * hits::DOUBLE / (g + rr)), 9) AS mean_f1 FROM x GROUP BY k""")
 def retrieval_eval(spark, sf):
-    return T.retrieval_eval(_ranked(spark, sf).withColumn("gold", F.array("gold")), (1, 3, 5))
+    return T.retrieval_eval(_gold_sets(spark, sf), (1, 3, 5))
+
+
+@query("coverage_by_size", _SETS + "SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN g = 1 THEN hits::DOUBLE / g END), 9) AS size_1, round(avg(CASE WHEN g = 2 THEN hits::DOUBLE / g END), 9) AS size_2 FROM x GROUP BY k")
+def coverage_by_size(spark, sf):
+    return T.coverage_by_size(_gold_sets(spark, sf), (1, 3, 5), (1, 2))
 
 
 @query("ovr_topk")
 def ovr_topk(spark, sf):
     d = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
     return T.ovr_topk(d.where("id % 2 = 0"), d.where("id % 2 = 1"), ["assistant", "user"], "text", "role", "id", 2)
+
+
+# --- sources and sinks, on files written from the given tables ---------------------------------------------------------------
+
+
+def _written(spark, df, kind: str) -> str:
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    I.write_by_extension(df, f"{path}.{kind}")
+    return f"{path}.{kind}"
+
+
+def _register(spark, sf):
+    """Customers as a register: name, segment code, two more code columns, nation as sex, age, own id where even."""
+    code = F.concat(F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.col("c_custkey") % 5 + 1).cast("int")), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(".000"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("z99."), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))).otherwise("nan")
+    d = table(spark, sf, "customer").orderBy("c_custkey")
+    return d.select(F.regexp_replace("c_name", "#", ".").alias("name"), code.alias("code"), F.when(F.col("c_custkey") % 7 == 0, None).otherwise(code).alias("first"), other.alias("second"), (F.col("c_nationkey") % 3).cast("string").alias("sex"), (F.col("c_custkey") % 90 / 2).cast("string").alias("age"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("own"))
+
+
+MAPPING = I.Mapping(text=0, code=1, codes=(2, 3), sex=4, sex_map={"0": "F", "1": "M"}, age=5, record_id=6)
+_REGISTER = """WITH r AS (SELECT c_custkey AS c, replace(c_name, '#', ' ') AS name, concat(substr('ABCDE', CAST(c_custkey % 5 AS INTEGER) + 1, 1), lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0'), '.000') AS code, c_custkey % 90 / 2.0::DOUBLE AS age, CASE c_nationkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE 'unknown' END AS sex FROM customer)
+SELECT 'cust' AS source_id, concat('k', c) AS record_id, concat('cod: ', name, ' | age: ', CASE WHEN age = floor(age) THEN CAST(CAST(age AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', age), '0+$', '') END, ' | sex: ', sex) AS text,
+ CASE WHEN c % 7 = 0 AND c % 3 = 0 THEN concat('Z99.', lpad(CAST(c % 1000 AS VARCHAR), 3, '0')) WHEN c % 3 = 0 THEN concat(code, ',Z99.', lpad(CAST(c % 1000 AS VARCHAR), 3, '0')) ELSE code END AS label FROM r"""
+
+
+@query("load_register", _REGISTER)
+def load_register(spark, sf):
+    path = _written(spark, _register(spark, sf), "csv")
+    return I.load_source(spark, I.Source("cust", path, MAPPING)).select("source_id", "record_id", "text", "label")
+
+
+@query("canonical_records", _REGISTER.replace("WITH r AS", "WITH all_r AS (WITH r AS", 1) + ") SELECT source_id, record_id, text, label FROM all_r UNION ALL SELECT 'again', record_id, text, label FROM all_r")
+def canonical_records(spark, sf):
+    path = _written(spark, _register(spark, sf), "tsv")
+    swapped = I.Mapping(text=1)  # replaced by the caller's mapping of this source
+    return I.build_canonical(spark, [I.Source("cust", path, MAPPING), I.Source("again", path, swapped), I.Source("off", "nowhere", MAPPING, enabled=False)], mappings={"again": MAPPING}).select("source_id", "record_id", "text", "label")
+
+
+@query("register_row_numbers", "SELECT count(*) - 3 AS n, count(*) - 3 AS ids, CAST(0 AS BIGINT) AS least, count(*) - 4 AS most FROM customer")
+def register_row_numbers(spark, sf):
+    path = _written(spark, _register(spark, sf).repartition(5), "csv")
+    plain = I.Mapping(text=0, code=1, skip_rows=(0, 3, 9))
+    d = I.load_source(spark, I.Source("cust", path, plain)).select(F.substring_index("record_id", ":", -1).cast("long").alias("i"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i").alias("ids"), F.min("i").alias("least"), F.max("i").alias("most"))
+
+
+@query("scoring_input", "SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS own, count(*) FILTER (WHERE c_custkey % 2 = 1) AS filled, count(*) AS ids FROM customer")
+def scoring_input(spark, sf):
+    d = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("k"), F.col("c_custkey").cast("string"))).otherwise(" ").alias("record_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("text"))
+    back = I.read_scoring_input(spark, _written(spark, d, "jsonl"))
+    return back.agg(F.count("text").alias("n"), F.count_if(F.col("record_id").startswith("k")).alias("own"), F.count_if(F.col("record_id").rlike("^row-[0-9]{6}$")).alias("filled"), F.countDistinct("record_id").alias("ids"))
+
+
+@query("tolerant_json", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_name END AS name FROM customer WHERE c_custkey % 5 <> 0")
+def tolerant_json(spark, sf):
+    c = F.col("c_custkey")
+    line = F.when(c % 5 == 0, F.lit("{broken")).when(c % 3 == 0, F.to_json(F.struct(c.alias("id")))).otherwise(F.to_json(F.struct(c.alias("id"), F.col("c_name").alias("name"))))
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    return I.read_jsonl_tolerant(spark, path, "id long, name string", {"name": "none"})
+
+
+@query("stored_by_fingerprint", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM customer")
+def stored_by_fingerprint(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("split"))
+    settings = {"seed": 333, "log": "any"}
+    root, key = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", I.fingerprint([{"path": sf}], settings, ["log"])
+    I.materialise_by_fingerprint(lambda: d, root, key, spark, ("train", "test"), settings, ["log"])
+    return I.materialise_by_fingerprint(lambda: d.limit(0), root, key, spark, ("train", "test"), settings | {"log": "other"}, ["log"]).select("c_custkey", "split")
+
+
+@query("resumed_scores", "SELECT c_custkey, lower(c_name) AS out FROM customer")
+def resumed_scores(spark, sf):
+    log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    d = table(spark, sf, "customer").select("c_custkey", "c_name")
+    score = lambda x: x.select("c_custkey", F.lower("c_name").alias("out"))
+    for part in (d.where("c_custkey % 3 = 0"), d, d):
+        score_batch(part, log, score, "c_custkey")
+    return spark.read.parquet(log)

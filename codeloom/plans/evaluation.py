@@ -75,10 +75,14 @@ JOIN (SELECT {0}, """ + _MACRO + " FROM (" + _PER.format("{0}, ", "{1}") + ") c
 _FIGURES = ("accuracy", "micro_precision", "micro_recall", "micro_f1", "macro_precision", "macro_recall", "macro_f1")
 
 
+def _core(figures, key):
+    return rounded(figures.select(key, "n", "classes", *_FIGURES), *_FIGURES)
+
+
 @query("metrics_by_source", BOTH + _SET.format("slice", "long"))
 def metrics_by_source(spark, sf):
     d = M.with_total(pairs(spark, sf).withColumnRenamed("source_id", "slice"), "slice")
-    return rounded(M.metric_set(d, ["slice"]), *_FIGURES)
+    return _core(M.metric_set(d, ["slice"]), "slice")
 
 
 _LEVELS = LONG + ", long AS (SELECT record_id, level, substr(code, 1, len) AS code, max(is_gold) AS is_gold, max(is_pred) AS is_pred FROM eval_long CROSS JOIN (SELECT * FROM (VALUES ('chapter', 1), ('block', 3), ('category', 5)) t(level, len)) t GROUP BY record_id, level, substr(code, 1, len))\n"
@@ -87,17 +91,60 @@ _LEVELS = LONG + ", long AS (SELECT record_id, level, substr(code, 1, len) AS co
 @query("metrics_by_level", _LEVELS + _SET.format("level", "long"))
 def metrics_by_level(spark, sf):
     d = M.by_level(pairs(spark, sf), {"chapter": 1, "block": 3, "category": 5})
-    return rounded(M.metric_set(d, ["level"]), *_FIGURES)
+    return _core(M.metric_set(d, ["level"]), "level")
+
+
+def _full(key: str, long: str) -> str:
+    """SELECT of the whole metric set of each `key` of a long table (key, record_id, code, is_gold, is_pred)."""
+    share = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END"
+    row = f"(SELECT {key}, record_id, CAST(sum(is_gold * is_pred) AS BIGINT) AS tp, CAST(sum(is_pred) AS BIGINT) AS p, CAST(sum(is_gold) AS BIGINT) AS g FROM {long} GROUP BY {key}, record_id)"
+    figures = {
+        "accuracy": "avg(CASE WHEN tp = g AND tp = p THEN 1 ELSE 0 END)", "exact_match": "avg(CASE WHEN tp = g AND tp = p THEN 1 ELSE 0 END)",
+        "micro_precision": share("sum(tp)", "sum(p)"), "micro_recall": share("sum(tp)", "sum(g)"), "micro_f1": share("2 * sum(tp)", "sum(p) + sum(g)"), "micro_jaccard": share("sum(tp)", "sum(p) + sum(g) - sum(tp)"),
+        "sample_precision": f"avg({share('tp', 'p')})", "sample_recall": f"avg({share('tp', 'g')})", "sample_f1": f"avg({share('2 * tp', 'g + p')})", "sample_jaccard": f"avg({share('tp', 'g + p - tp')})",
+        "avg_predicted_label_count": "avg(p)", "avg_true_label_count": "avg(g)", "label_count_mae": "avg(abs(p - g))", "avg_false_positives": "avg(p - tp)", "avg_false_negatives": "avg(g - tp)",
+        "empty_prediction_rate": "avg(CASE WHEN p = 0 THEN 1 ELSE 0 END)", "hamming_loss": "sum(g + p - 2 * tp)::DOUBLE / (count(*) * max(u.k))", "hamming_score": "1 - sum(g + p - 2 * tp)::DOUBLE / (count(*) * max(u.k))",
+    }
+    base = ", ".join(f"round({v}, 9) AS {k}" for k, v in figures.items())
+    return f"""SELECT a.*, m.classes, m.macro_precision, m.macro_recall, m.macro_f1 FROM (SELECT r.{key}, count(*) AS n, {base} FROM {row} r JOIN (SELECT {key}, count(DISTINCT code) AS k FROM {long} GROUP BY {key}) u ON r.{key} = u.{key} GROUP BY r.{key}) a
+JOIN (SELECT {key}, {_MACRO} FROM ({_PER.format(key + ", ", long)}) c GROUP BY {key}) m ON a.{key} = m.{key}"""
+
+
+FULL_NAMES = ["n", "accuracy", "exact_match", *[f"micro_{x}" for x in ("precision", "recall", "f1", "jaccard")], *[f"sample_{x}" for x in ("precision", "recall", "f1", "jaccard")], "avg_predicted_label_count", "avg_true_label_count", "label_count_mae", "avg_false_positives", "avg_false_negatives", "empty_prediction_rate", "hamming_loss", "hamming_score", "classes", "macro_precision", "macro_recall", "macro_f1"]
+
+
+def _with_blocks(key: str, long: str) -> str:
+    """_full of the codes and, as chapter_block_*, of their first three characters."""
+    cut = f"(SELECT {key}, record_id, substr(code, 1, 3) AS code, max(is_gold) AS is_gold, max(is_pred) AS is_pred FROM {long} GROUP BY 1, 2, 3) cut"
+    return f"SELECT w.*, {', '.join(f'b.{x} AS chapter_block_{x}' for x in FULL_NAMES if x != 'n')} FROM ({_full(key, long)}) w JOIN ({_full(key, cut)}) b ON w.{key} = b.{key}"
+
+
+def allround(df, *but):
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
 
 
-@query("metrics_long_core", BOTH + ", s AS (" + _SET.format("slice", "long") + ") SELECT slice, 'accuracy' AS metric, CAST(accuracy AS DOUBLE) AS value FROM s UNION ALL SELECT slice, 'micro_f1', CAST(micro_f1 AS DOUBLE) FROM s UNION ALL SELECT slice, 'macro_f1', CAST(macro_f1 AS DOUBLE) FROM s")
+@query("metrics_long_core", BOTH + ", s AS (" + _full("slice", "long") + ") " + " UNION ALL ".join(f"SELECT slice, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM s" for x in FULL_NAMES if x in M.CORE or x == "micro_f1"))
 def metrics_long_core(spark, sf):
-    return M.filter_metrics(M.to_long(metrics_by_source(spark, sf), ["slice"]), "core")
+    d = M.with_total(pairs(spark, sf).withColumnRenamed("source_id", "slice"), "slice")
+    return allround(M.filter_metrics(M.to_long(M.metric_set(d, ["slice"]), ["slice"]), "core", save_metric=" Micro_F1 "))
+
+
+@query("per_source_metrics", LONG + ", long AS (SELECT record_id, regexp_replace(source_id, '[^A-Za-z0-9_-]', '_', 'g') AS source_id, code, is_gold, is_pred FROM eval_long WHERE source_id <> '5-LOW' UNION ALL SELECT record_id, 'overall', code, is_gold, is_pred FROM eval_long)\n" + _with_blocks("source_id", "long"))
+def per_source_metrics(spark, sf):
+    return allround(M.per_source_metrics(pairs(spark, sf), excluded=["5-LOW"], block=3))
+
+
+@query("single_label_metrics", LONG + """, o AS (SELECT record_id, source_id, string_agg(code, ',' ORDER BY code) FILTER (WHERE is_gold = 1) AS g, string_agg(code, ',' ORDER BY code DESC) FILTER (WHERE is_pred = 1) AS p FROM eval_long GROUP BY 1, 2),
+a AS (SELECT source_id, count(*) AS n, round(avg(CASE WHEN g = p THEN 1 ELSE 0 END), 9) AS accuracy, round(avg(CASE WHEN g = p THEN 1 ELSE 0 END), 9) AS exact_match FROM o GROUP BY source_id)
+SELECT a.*, m.classes, m.macro_precision, m.macro_recall, m.macro_f1 FROM a JOIN (SELECT source_id, """ + _MACRO + " FROM (" + _PER.format("source_id, ", "eval_long") + ") c GROUP BY source_id) m ON a.source_id = m.source_id")
+def single_label_metrics(spark, sf):
+    d = pairs(spark, sf).withColumn("pred", F.sort_array("pred", asc=False))  # another order is another string
+    return allround(M.metric_set(d, ["source_id"], multi_label=False))
 
 
 @query("metrics_excluding", LONG + ", long AS (SELECT record_id, 'all' AS slice, code, is_gold, is_pred FROM eval_long UNION ALL SELECT record_id, 'without', code, is_gold, is_pred FROM eval_long WHERE source_id <> '5-LOW')\n" + _SET.format("slice", "long"))
 def metrics_excluding(spark, sf):
-    return rounded(M.metrics_excluding(pairs(spark, sf), "source_id", "5-LOW"), *_FIGURES)
+    return _core(M.metrics_excluding(pairs(spark, sf), "source_id", "5-LOW"), "slice")
 
 
 @query("aliasing_check", LONG + "SELECT concat(least(s, concat('copy of ', s)), ';', greatest(s, concat('copy of ', s))) AS slices FROM (SELECT DISTINCT source_id AS s FROM eval_long UNION SELECT 'overall') x")
@@ -197,15 +244,16 @@ def cost_latency(spark, sf):
     return rounded(M.cost_latency(log, "cost", "latency"), "cost_total", "cost_mean", "latency_mean")
 
 
-@query("baseline_summary", _LOGSQL + """, c AS (SELECT source_id, count(DISTINCT code) AS k FROM eval_long WHERE is_pred = 1 GROUP BY source_id)
-SELECT l.source_id, count(*) AS n, round(avg(correct), 9) AS exact, count(*) FILTER (WHERE n_pred = 0) AS no_answer, count(error) AS errors, CAST(sum(record_id % 3) AS BIGINT) AS invalid_codes, round(avg(CASE WHEN record_id % 3 > 0 THEN 1 ELSE 0 END), 9) AS invalid_rate,
- round(CAST(sum(cost) AS DOUBLE), 6) AS cost_total, round(CAST(avg(cost) AS DOUBLE), 6) AS cost_mean, round(CAST(sum(latency) AS DOUBLE), 6) AS elapsed_total, round(CAST(avg(latency) AS DOUBLE), 6) AS elapsed_mean, max(k) AS predicted_classes
-FROM score_log l JOIN c ON l.source_id = c.source_id GROUP BY l.source_id""")
+@query("baseline_summary", _LOGSQL + ", long AS (SELECT record_id, source_id, code, is_gold, is_pred FROM eval_long UNION ALL SELECT record_id, 'overall', code, is_gold, is_pred FROM eval_long), f AS (" + _full("source_id", "long") + """), both_log AS (SELECT * FROM score_log UNION ALL SELECT * REPLACE ('overall' AS source_id) FROM score_log),
+c AS (SELECT source_id, count(DISTINCT code) AS k FROM long WHERE is_pred = 1 GROUP BY source_id), l AS (
+SELECT l.source_id, CAST(sum(correct) AS BIGINT) AS exact_matches, count(*) FILTER (WHERE n_pred = 0) AS no_answer, round(avg(CASE WHEN n_pred = 0 THEN 1 ELSE 0 END), 9) AS no_answer_rate, count(error) AS errors, round(avg(CASE WHEN error IS NULL THEN 0 ELSE 1 END), 9) AS error_rate,
+ CAST(sum(record_id % 3) AS BIGINT) AS invalid_codes, round(avg(CASE WHEN record_id % 3 > 0 THEN 1 ELSE 0 END), 9) AS invalid_rate, round(CAST(sum(cost) AS DOUBLE), 6) AS cost_total, round(CAST(avg(cost) AS DOUBLE), 6) AS cost_mean, round(CAST(sum(latency) AS DOUBLE), 6) AS elapsed_total, round(CAST(avg(latency) AS DOUBLE), 6) AS elapsed_mean
+FROM both_log l GROUP BY l.source_id) SELECT f.*, l.* EXCLUDE (source_id), c.k AS predicted_classes FROM f JOIN l ON f.source_id = l.source_id JOIN c ON f.source_id = c.source_id""")
 def baseline_summary(spark, sf):
     log = score_log(spark, sf).select("record_id", F.col("cost").cast("double").alias("cost"), F.col("latency").cast("double").alias("latency"), "error")
     d = pairs(spark, sf).join(log, "record_id").withColumn("n_invalid", F.col("record_id") % 3)
-    out = rounded(M.baseline_summary(d, ["source_id"]), "exact", "invalid_rate")
-    return out.withColumns({c: F.round(c, 6) for c in ("cost_total", "cost_mean", "elapsed_total", "elapsed_mean")})
+    totals = ("cost_total", "cost_mean", "elapsed_total", "elapsed_mean")
+    return allround(M.baseline_summary(d), *totals).withColumns({c: F.round(c, 6) for c in totals})
 
 
 @query("per_source_accuracy", BOTH + """, r AS (SELECT slice, record_id, CASE WHEN sum(is_gold * is_pred) = sum(is_gold) AND sum(is_gold * is_pred) = sum(is_pred) THEN 1 ELSE 0 END AS hit FROM long GROUP BY 1, 2), a AS (SELECT slice, count(*) AS n, CAST(sum(hit) AS BIGINT) AS correct, round(avg(hit), 9) AS accuracy FROM r GROUP BY slice)
@@ -219,13 +267,33 @@ def sample_failures(spark, sf):
     return M.sample_failures(score_log(spark, sf), (F.col("correct") == 0) & F.col("error").isNull(), "record_id", 20).select("record_id", "source_id")
 
 
-@query("scrub_predictions", _LOGSQL + """, two AS (SELECT record_id, 1 AS line, n_pred, cost, turns, error FROM score_log UNION ALL SELECT record_id, 2, 0, cost + 1, turns, NULL FROM score_log WHERE record_id % 5 = 0),
-k AS (SELECT * FROM two WHERE NOT (error IS NOT NULL AND n_pred = 0 AND cost <= 0 AND turns <= 0)), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN n_pred > 0 THEN 1 ELSE 0 END DESC, cost DESC, line) AS rn FROM k)
-SELECT record_id, line FROM r WHERE rn = 1""")
+_TWO = _LOGSQL + """, two AS (SELECT record_id, source_id, 1 AS line, n_pred, CASE WHEN record_id % 26 = 0 THEN 1 ELSE 0 END AS n_invalid, cost, turns, error FROM score_log UNION ALL SELECT record_id, source_id, 2, 0, 0, cost + 1, turns, NULL FROM score_log WHERE record_id % 5 = 0
+  UNION ALL SELECT record_id, source_id, 3, 0, CASE WHEN record_id % 2 = 0 THEN 1 ELSE 0 END, 0, 0, CASE WHEN record_id % 4 = 0 THEN 'Timeout' WHEN record_id % 4 = 1 THEN 'no JSON' ELSE 'gone' END FROM score_log WHERE record_id % 3 = 0),
+k AS (SELECT *, error IS NOT NULL AND n_pred = 0 AND n_invalid = 0 AND cost <= 0 AND turns <= 0 AS gone FROM two)
+"""
+
+
+def _attempts(spark, sf):
+    """A result log in which records occur again, later with no codes, and last with an error and nothing else."""
+    none, bad = F.array().cast("array<string>"), F.array(F.lit("zz"))
+    log = score_log(spark, sf).withColumns({"codes": F.array_repeat(F.lit("x"), F.col("n_pred").cast("int")), "invalid_codes": F.when(F.col("record_id") % 26 == 0, bad).otherwise(none), "raw": F.lit(""), "line": F.lit(1), "cost": F.col("cost").cast("double"), "turns": F.col("turns").cast("int")})
+    again = log.where("record_id % 5 = 0").withColumns({"codes": none, "invalid_codes": none, "cost": F.col("cost") + 1, "error": F.lit(None).cast("string"), "line": F.lit(2)})
+    k = F.col("record_id") % 4
+    lost = log.where("record_id % 3 = 0").withColumns({"codes": none, "invalid_codes": F.when(F.col("record_id") % 2 == 0, bad).otherwise(none), "cost": F.lit(0.0), "turns": F.lit(0), "error": F.when(k == 0, "Timeout").when(k == 1, "no JSON").otherwise("gone"), "line": F.lit(3)})
+    return log.unionByName(again).unionByName(lost)
+
+
+@query("scrub_predictions", _TWO + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN n_pred > 0 THEN 1 ELSE 0 END DESC, cost DESC, line) AS rn FROM k WHERE NOT gone) SELECT record_id, line FROM r WHERE rn = 1")
 def scrub_predictions(spark, sf):
-    log = score_log(spark, sf).withColumns({"codes": F.array_repeat(F.lit("x"), F.col("n_pred").cast("int")), "raw": F.lit(""), "line": F.lit(1), "cost": F.col("cost").cast("double")})
-    again = log.where("record_id % 5 = 0").withColumns({"codes": F.array().cast("array<string>"), "cost": F.col("cost") + 1, "error": F.lit(None).cast("string"), "line": F.lit(2)})
-    return M.scrub(log.unionByName(again), "record_id", "line").select("record_id", "line")
+    return M.scrub(_attempts(spark, sf), "record_id", "line").select("record_id", "line")
+
+
+@query("scrub_audit", _TWO + """, g AS (SELECT *, CASE WHEN lower(error) LIKE '%timeout%' THEN 'timeout' WHEN lower(error) LIKE '%json%' THEN 'unparseable_response' ELSE 'other' END AS reason FROM k WHERE gone),
+t AS (SELECT count(*) AS lines, count(DISTINCT record_id) AS ids, count(DISTINCT CASE WHEN NOT gone THEN record_id END) AS kept FROM k)
+SELECT 'total' AS kind, 'lines' AS key, lines AS n FROM t UNION ALL SELECT 'total', 'kept', kept FROM t UNION ALL SELECT 'total', 'dropped', lines - kept FROM t UNION ALL SELECT 'total', 'repeated', lines - ids FROM t
+UNION ALL SELECT 'reason', reason, count(*) FROM g GROUP BY reason UNION ALL SELECT 'source', source_id, count(*) FROM g GROUP BY source_id""")
+def scrub_audit(spark, sf):
+    return M.scrub_audit(_attempts(spark, sf), "record_id")
 
 
 @query("pending_only", _LOGSQL + "SELECT record_id FROM score_log WHERE error IS NOT NULL")
@@ -254,11 +322,34 @@ def source_transfer(spark, sf):
     return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.countDistinct("record_id").alias("records"), F.round(F.avg(hit), 9).alias("label_recall"))
 
 
-@query("rare_slice", _SPLIT + """, c AS (SELECT code, count(*) AS n FROM lg WHERE split = 'train' AND is_gold = 1 GROUP BY code),
-r AS (SELECT DISTINCT record_id FROM lg LEFT JOIN c ON lg.code = c.code WHERE split = 'test' AND is_gold = 1 AND coalesce(n, 0) < 10) SELECT record_id FROM r""")
+_TESTLONG = ", tl AS (SELECT record_id, source_id, code, is_gold, is_pred FROM lg WHERE split = 'test')"
+
+
+@query("source_transfer_metrics", _SPLIT + _TESTLONG + """, idx AS (SELECT DISTINCT code, source_id FROM lg WHERE split = 'train' AND is_gold = 1 AND NOT (source_id = '1-URGENT' AND code >= 'C') AND code < 'E'),
+b AS (SELECT t.record_id, t.code, CASE WHEN NOT EXISTS (SELECT 1 FROM idx WHERE idx.code = t.code) THEN 'never' WHEN EXISTS (SELECT 1 FROM idx WHERE idx.code = t.code AND idx.source_id = t.source_id) THEN 'same_source' ELSE 'other_source' END AS bucket, t.is_pred FROM tl t WHERE is_gold = 1),
+long AS (SELECT bucket, tl.record_id, tl.code, is_gold, is_pred FROM tl JOIN (SELECT DISTINCT record_id, bucket FROM b) d ON tl.record_id = d.record_id), f AS (""" + _with_blocks("bucket", "long") + """),
+h AS (SELECT bucket, count(*) AS true_count, round(avg(is_pred), 9) AS recall FROM b GROUP BY bucket)
+SELECT f.*, true_count, recall, round(n::DOUBLE / (SELECT count(DISTINCT record_id) FROM tl), 9) AS sample_rate FROM f JOIN h ON f.bucket = h.bucket""")
+def source_transfer_metrics(spark, sf):
+    train, test = _split(spark, sf)
+    own = F.filter("gold", lambda c: ~((F.col("source_id") == "1-URGENT") & (c >= "C")) & (c < "E"))  # so that every bucket has rows
+    return allround(L.source_transfer_metrics(test, train.withColumn("gold", own), "record_id", block=3))
+
+
+@query("seen_unseen_metrics", _SPLIT + """, keys AS (SELECT record_id, split, min(code) FILTER (WHERE is_gold = 1) || ',' || max(code) FILTER (WHERE is_gold = 1) AS k FROM lg GROUP BY 1, 2),
+m AS (SELECT record_id, EXISTS (SELECT 1 FROM keys t WHERE t.split = 'train' AND t.k = keys.k) AS seen FROM keys WHERE split = 'test'),
+long AS (SELECT seen, lg.record_id, code, is_gold, is_pred FROM lg JOIN m ON lg.record_id = m.record_id), f AS (""" + _full("seen", "long") + ") SELECT f.*, round(n::DOUBLE / sum(n) OVER (), 9) AS string_rate FROM f")
+def seen_unseen_metrics(spark, sf):
+    train, test = _split(spark, sf)
+    return allround(L.seen_unseen_metrics(test, train, F.concat_ws(",", F.array_min("gold"), F.array_max("gold"))))
+
+
+@query("rare_slice", _SPLIT + """, c AS (SELECT code, count(*) AS n FROM lg WHERE split = 'train' AND is_gold = 1 GROUP BY code), k AS (SELECT CAST(floor(avg(n)) AS BIGINT) AS least FROM c),
+r AS (SELECT DISTINCT record_id FROM lg LEFT JOIN c ON lg.code = c.code WHERE split = 'test' AND is_gold = 1 AND coalesce(n, 0) < (SELECT least FROM k)) SELECT record_id FROM r""")
 def rare_slice(spark, sf):
     train, test = _split(spark, sf)
-    return L.rare_slice(test, train, 10, "record_id").select("record_id")
+    least = train.select(F.explode("gold").alias("c")).agg(F.floor(F.count(F.lit(1)) / F.countDistinct("c"))).first()[0]
+    return L.rare_slice(test, train, int(least), "record_id").select("record_id")
 
 
 _DOC = ctes("doc_records")
@@ -362,14 +453,43 @@ def ece(spark, sf):
     return P.ece(P.reliability(_confidence(spark, sf), "conf", "correct"))
 
 
-@query("temperature_binary")
+def _grids(scores: str, by: str = "") -> str:
+    """CTEs that narrow the temperature of table `scores` (by, s, y) in four grids of 100 steps; the last is `temps` (by, t)."""
+    key, on = (f"{by}, ", f"e.{by} = b.{by}") if by else ("", "true")
+    out = [f"b0 AS (SELECT DISTINCT {key}0.05::DOUBLE AS lo, 50.0::DOUBLE AS hi, true AS ok FROM {scores})"]
+    for r in range(1, 5):
+        prev = f"b{r - 1}"
+        out.append(f"""v{r} AS (SELECT {key.replace(by, 'e.' + by) if by else ''}i, any_value(lo + (hi - lo) * i / 100) AS t, avg((1 / (1 + exp(least(700, -s / (lo + (hi - lo) * i / 100)))) - y) * s) AS g FROM {scores} e JOIN {prev} b ON {on} CROSS JOIN (SELECT unnest(range(101)) AS i) r WHERE ok GROUP BY {key.replace(by, 'e.' + by) if by else ''}i)""")
+        part = f"PARTITION BY {by}" if by else ""
+        out.append(f"f{r} AS (SELECT *, first_value(g) OVER ({part} ORDER BY i) AS g0, last_value(g) OVER ({part} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g1 FROM v{r})")
+        out.append(f"a{r} AS (SELECT {key}max(i) AS spot FROM f{r} WHERE i < 100 AND g0 * g1 <= 0 AND (g0 * g > 0 OR i = 0) GROUP BY {by or 'ALL'})")
+        same = f"f.{by} = a.{by} AND " if by else ""
+        out.append(f"b{r} AS (SELECT {'a.' + by + ', ' if by else ''}max(CASE WHEN f.i = spot THEN t END) AS lo, max(CASE WHEN f.i = spot + 1 THEN t END) AS hi, true AS ok FROM a{r} a JOIN f{r} f ON {same}f.i IN (spot, spot + 1) GROUP BY {'a.' + by if by else 'ALL'})")
+    out.append(f"temps AS (SELECT {'b0.' + by + ', ' if by else ''}coalesce(b4.lo + (b4.hi - b4.lo) / 2, 1.0) AS t FROM b0 LEFT JOIN b4 ON {'b0.' + by + ' = b4.' + by if by else 'true'})")
+    return ", ".join(out)
+
+
+@query("temperature_binary", RECORDS + ", e AS (SELECT CAST(score + 10 AS DOUBLE) AS s, correct AS y FROM eval_records), " + _grids("e") + " SELECT (SELECT count(*) FROM e) AS n, round(t, 3) AS temperature FROM temps")
 def temperature_binary(spark, sf):
-    d = view(spark, sf, "eval_records").withColumn("s", F.col("score") + 10)
+    d = view(spark, sf, "eval_records").withColumn("s", (F.col("score") + 10).cast("double"))
     t = P.fit_temperature_binary(d, "s", "correct")
     return d.agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(t), 3))
 
 
-@query("temperature_tokens")
+def _token_grids() -> str:
+    """CTEs of five geometric grids of 16 temperatures; the loss is the mean negative log-likelihood of the gold place."""
+    nll = "avg(ln(list_sum(list_transform(x, lambda v: exp(v / {t} - list_max(x) / {t})))) + list_max(x) / {t} - x[y + 1] / {t})"
+    out = ["z0 AS (SELECT 0.05::DOUBLE AS lo, 50.0::DOUBLE AS hi)"]
+    for r in range(1, 6):
+        grid = "exp(ln(lo) + (ln(hi) - ln(lo)) * i / 15)"
+        out.append(f"n{r} AS (SELECT i, t, {nll.format(t='t')} AS loss FROM e CROSS JOIN (SELECT i, {grid} AS t FROM z{r - 1}, (SELECT unnest(range(16)) AS i) r) g GROUP BY i, t)")
+        out.append(f"m{r} AS (SELECT arg_min(i, (loss, i)) AS spot FROM n{r})")
+        out.append(f"z{r} AS (SELECT max(CASE WHEN i = greatest(0, spot - 1) THEN t END) AS lo, max(CASE WHEN i = least(15, spot + 1) THEN t END) AS hi FROM n{r}, m{r})")
+    out.append("best AS (SELECT sqrt(lo * hi) AS t FROM z5)")
+    return ", ".join(out) + f" SELECT (SELECT count(*) FROM e) AS n, round(t, 3) AS temperature, (SELECT round({nll.format(t='1.0')}, 6) FROM e) AS before, (SELECT round({nll.format(t='b.t')}, 6) FROM e, best b) AS after FROM best"
+
+
+@query("temperature_tokens", "WITH e AS (SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10) AS x, label AS y FROM embeddings), " + _token_grids())
 def temperature_tokens(spark, sf):
     d = table(spark, sf, "embeddings").withColumn("logits", F.transform("embedding", lambda x: x.cast("double") * 10))
     t, before, after = P.fit_temperature_tokens(d, "logits", "label")
@@ -397,17 +517,27 @@ def _signals(spark, sf):
 @query("rc_table", RECORDS + """, er AS (SELECT *, 2.0::DOUBLE * tp / (n_gold + n_pred) AS f FROM eval_records),
 sig AS (SELECT record_id, correct, f, 'score' AS signal, CAST(score AS DOUBLE) AS s FROM er UNION ALL SELECT record_id, correct, f, 'size_entropy', -CAST(n_pred AS DOUBLE) FROM er),
 m AS (SELECT record_id, signal, s, 'correct' AS metric, CAST(correct AS DOUBLE) AS x FROM sig UNION ALL SELECT record_id, signal, s, 'sample_f1', f FROM sig),
-c AS (SELECT metric, signal, row_number() OVER w AS rank, count(*) OVER (PARTITION BY metric, signal) AS n, sum(x) OVER (PARTITION BY metric, signal ORDER BY s DESC, record_id ROWS UNBOUNDED PRECEDING) AS hits FROM m WINDOW w AS (PARTITION BY metric, signal ORDER BY s DESC, record_id))
-SELECT metric, signal, CAST(k.cov AS DOUBLE) AS coverage, c.rank AS n_kept, round(hits / rank, 9) AS value FROM c, (SELECT unnest([0.5, 0.8]) AS cov) k WHERE c.rank = greatest(1, CAST(floor(k.cov * c.n) AS BIGINT))""")
+c AS (SELECT metric, signal, s, row_number() OVER w AS rank, count(*) OVER (PARTITION BY metric, signal) AS n, sum(x) OVER (PARTITION BY metric, signal ORDER BY s DESC, record_id ROWS UNBOUNDED PRECEDING) AS hits FROM m WINDOW w AS (PARTITION BY metric, signal ORDER BY s DESC, record_id))
+SELECT metric, signal, CAST(k.cov AS DOUBLE) AS coverage, c.rank AS n_kept, round(hits / rank, 9) AS value, round(c.s, 9) AS threshold FROM c, (SELECT unnest([0.5, 0.8]) AS cov) k WHERE c.rank = greatest(1, CAST(floor(k.cov * c.n) AS BIGINT))""")
 def rc_table(spark, sf):
     d = view(spark, sf, "eval_records")
     d = d.select("record_id", "correct", F.col("score").cast("double").alias("score"), F.col("n_pred").cast("double").alias("size_entropy"), (2.0 * F.col("tp") / (F.col("n_gold") + F.col("n_pred"))).alias("sample_f1"))
-    return rounded(P.rc_table(d, ["score", "size_entropy"], ["correct", "sample_f1"], (0.5, 0.8), "record_id"), "value")
+    return rounded(P.rc_table(d, ["score", "size_entropy"], ["correct", "sample_f1"], (0.5, 0.8), "record_id"), "value", "threshold")
 
 
-@query("signal_report", _SIG + ", t AS (SELECT signal, (risk + lag(risk) OVER (PARTITION BY signal ORDER BY rank)) / 2 / n AS a, coverage, accuracy FROM p) SELECT signal, round(sum(a), 9) AS aurc, round(coalesce(max(CASE WHEN accuracy >= 0.95 THEN coverage END), 0), 9) AS coverage_at_95, round(coalesce(max(CASE WHEN accuracy >= 0.99 THEN coverage END), 0), 9) AS coverage_at_99 FROM t GROUP BY signal")
+@query("rc_metric", RECORDS + ", c AS (SELECT *, row_number() OVER (ORDER BY score DESC, record_id) AS rank, count(*) OVER () AS k FROM eval_records) SELECT CAST(cov AS DOUBLE) AS coverage, count(*) AS n_kept, round(2.0::DOUBLE * sum(tp) / (sum(n_gold) + sum(n_pred)), 9) AS value FROM c, (SELECT unnest([0.25, 0.5, 1.0]) AS cov) w WHERE rank <= CASE WHEN cov >= 1 THEN k ELSE greatest(1, CAST(floor(cov * k) AS BIGINT)) END GROUP BY cov")
+def rc_metric(spark, sf):
+    micro = 2.0 * F.sum("tp") / (F.sum("n_gold") + F.sum("n_pred"))
+    return rounded(P.rc_metric(view(spark, sf, "eval_records"), "score", "record_id", micro, (0.25, 0.5, 1.0)), "value")
+
+
+@query("signal_report", _SIG + ", t AS (SELECT signal, (risk + lag(risk) OVER (PARTITION BY signal ORDER BY rank)) / 2 / n AS a, coverage, accuracy FROM p), base AS (SELECT signal, round(sum(a), 9) AS aurc, round(coalesce(max(CASE WHEN accuracy >= 0.95 THEN coverage END), 0), 9) AS coverage_at_95, round(coalesce(max(CASE WHEN accuracy >= 0.99 THEN coverage END), 0), 9) AS coverage_at_99 FROM t GROUP BY signal), e AS (SELECT signal, s, correct AS y FROM sig), " + _grids("e", "signal") + """,
+pr AS (SELECT e.signal, st.stage, 1 / (1 + exp(least(700, -s / CASE WHEN st.stage = 'raw' THEN 1.0 ELSE temps.t END))) AS p, y FROM e JOIN temps ON e.signal = temps.signal CROSS JOIN (VALUES ('raw'), ('cal')) st(stage)),
+bins AS (SELECT signal, stage, least(15, greatest(1, ceil(p * 15))) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM pr GROUP BY 1, 2, 3), ec AS (SELECT signal, stage, sum(n * abs(acc - conf)) / sum(n) AS ece FROM bins GROUP BY 1, 2)
+SELECT base.*, round((SELECT ece FROM ec WHERE ec.signal = base.signal AND stage = 'raw'), 6) AS ece_raw, round((SELECT ece FROM ec WHERE ec.signal = base.signal AND stage = 'cal'), 6) AS ece_calibrated, round(temps.t, 3) AS temperature FROM base JOIN temps ON base.signal = temps.signal""")
 def signal_report(spark, sf):
-    return rounded(P.signal_report(_signals(spark, sf), ["score", "size_entropy"], "correct", "record_id"), "coverage_at_95", "coverage_at_99")
+    out = rounded(P.signal_report(_signals(spark, sf), ["score", "size_entropy"], "correct", "record_id"), "coverage_at_95", "coverage_at_99")
+    return out.withColumns({"ece_raw": F.round("ece_raw", 6), "ece_calibrated": F.round("ece_calibrated", 6), "temperature": F.round("temperature", 3)})
 
 
 @query("loso_report", RECORDS + """, sl AS (SELECT record_id, correct, source_id AS slice, score FROM eval_records UNION ALL SELECT record_id, correct, 'pooled', score FROM eval_records),
@@ -415,12 +545,18 @@ c AS (SELECT slice, correct, row_number() OVER w AS rank, count(*) OVER (PARTITI
 p AS (SELECT slice, correct, rank, n, rank::DOUBLE / n AS coverage, hits::DOUBLE / rank AS accuracy, 1 - hits::DOUBLE / rank AS risk FROM c),
 t AS (SELECT *, (risk + lag(risk) OVER (PARTITION BY slice ORDER BY rank)) / 2 / n AS a FROM p)
 SELECT slice, count(*) AS n, round(avg(correct), 9) AS accuracy, round(sum(a), 9) AS aurc, round(arg_max(accuracy, CASE WHEN coverage <= 0.8 + 1e-12 THEN rank END), 9) AS accuracy_at_80, round(arg_max(accuracy, CASE WHEN coverage <= 0.9 + 1e-12 THEN rank END), 9) AS accuracy_at_90,
- round(coalesce(max(CASE WHEN accuracy >= 0.95 THEN coverage END), 0), 9) AS coverage_at_95, round(coalesce(max(CASE WHEN accuracy >= 0.99 THEN coverage END), 0), 9) AS coverage_at_99 FROM t GROUP BY slice""")
+ round(coalesce(max(CASE WHEN accuracy >= 0.95 THEN coverage END), 0), 9) AS coverage_at_95, round(coalesce(max(CASE WHEN accuracy >= 0.99 THEN coverage END), 0), 9) AS coverage_at_99, round(avg(correct) - max(CASE slice WHEN '1-URGENT' THEN 0.2 WHEN '5-LOW' THEN 0.5 END::DOUBLE), 9) AS delta,
+ CASE WHEN max(slice) NOT IN ('1-URGENT', '5-LOW') THEN NULL WHEN abs(avg(correct) - max(CASE slice WHEN '1-URGENT' THEN 0.2 WHEN '5-LOW' THEN 0.5 END::DOUBLE)) < 0.005 THEN 'MATCH' WHEN abs(avg(correct) - max(CASE slice WHEN '1-URGENT' THEN 0.2 WHEN '5-LOW' THEN 0.5 END::DOUBLE)) < 0.02 THEN 'CLOSE' ELSE 'DIFFER' END AS verdict FROM t GROUP BY slice""")
 def loso_report(spark, sf):
-    out = P.loso_report(view(spark, sf, "eval_records"), "source_id", "score", "correct", "record_id")
-    return rounded(out, "accuracy", "accuracy_at_80", "accuracy_at_90", "coverage_at_95", "coverage_at_99")
+    out = P.loso_report(view(spark, sf, "eval_records"), "source_id", "score", "correct", "record_id", {"1-URGENT": 0.2, "5-LOW": 0.5})
+    return rounded(out, "accuracy", "accuracy_at_80", "accuracy_at_90", "coverage_at_95", "coverage_at_99", "delta")
 
 
 @query("defer_or_accept", RECORDS + "SELECT record_id, CASE WHEN score >= -10 THEN 'accept' ELSE 'review' END AS decision FROM eval_records")
 def defer_or_accept(spark, sf):
     return P.defer_or_accept(view(spark, sf, "eval_records"), "score", -10.0).select("record_id", "decision")
+
+
+@query("defer_by_coverage", RECORDS + "SELECT record_id, CASE WHEN row_number() OVER (ORDER BY score DESC, record_id) <= greatest(1, CAST(floor(0.8 * count(*) OVER ()) AS BIGINT)) THEN 'accept' ELSE 'review' END AS decision FROM eval_records")
+def defer_by_coverage(spark, sf):
+    return P.defer_or_accept(view(spark, sf, "eval_records"), "score", coverage=0.8).select("record_id", "decision")

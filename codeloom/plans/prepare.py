@@ -18,6 +18,7 @@ class Plan:
 
     sizes: dict[str, float] = field(default_factory=lambda: {"train": 0.9, "val": 0.05, "test": 0.05})
     holdout: str | None = None
+    holdout_eval: float | None = None
     exclude: tuple[str, ...] = ()
     fraction: float = 1.0
     multi_ratio: float = 0.0
@@ -31,6 +32,17 @@ class Plan:
 PROVENANCE = ("synthetic", "perturbed", "injected")
 
 
+def balance_report(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:
+    """Rows, classes, and least and median class count before and after balancing."""
+    from codeloom.operators.profile import count_summary
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+        return count_summary(counts).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")))).select(F.lit(name).alias("stage"), "rows", "classes", "least", "median", "most")  # one row each
+
+    return one(before, "before").unionByName(one(after, "after"))
+
+
 def balance_policy(train: DataFrame, plan: Plan, id_col: str, text: str, separator: str = ",") -> DataFrame:
     """Raises single-label real classes to the floor and perturbs a fraction of such rows in place."""
     own = train.where(~F.col("synthetic") & ~F.col("label").contains(separator)).drop("synthetic", "perturbed")
@@ -59,7 +71,8 @@ def prepare_splits(df: DataFrame, plan: Plan, id_col: str = "record_id", text: s
     if plan.multi_ratio:
         single = train.where(~F.col("label").contains(","))
         n = max(1, round(single.count() * plan.multi_ratio))
-        made = A.shuffle_labels(A.synthesise(single, n, "label", id_col, text, "source_id", seed=plan.seed), id_col, "y_codes", plan.seed)
+        made = A.synthesise(single, n, "label", id_col, text, "source_id", sizes=A.label_counts(train), seed=plan.seed)
+        made = A.shuffle_labels(made, id_col, "y_codes", plan.seed)
         made = made.withColumns({"split": F.lit("train"), "synthetic": F.lit(True), "perturbed": F.lit(False), "injected": F.lit(False)})
         train = train.unionByName(made, allowMissingColumns=True)
     if plan.floor or plan.perturb:
@@ -69,7 +82,11 @@ def prepare_splits(df: DataFrame, plan: Plan, id_col: str = "record_id", text: s
         train = train.unionByName(extra.withColumn("split", F.lit("train")), allowMissingColumns=True)
     out = train.unionByName(others, allowMissingColumns=True)
     if held is not None:
-        out = out.unionByName(held.withColumns({"split": F.lit("holdout")} | {c: F.lit(False) for c in PROVENANCE}), allowMissingColumns=True)
+        parts = [("holdout", held)]
+        if plan.holdout_eval is not None:
+            parts.append(("holdout_eval", E.holdout_eval_sample(held, id_col, plan.holdout_eval, plan.seed)))
+        for name, part in parts:
+            out = out.unionByName(part.withColumns({"split": F.lit(name)} | {c: F.lit(False) for c in PROVENANCE}), allowMissingColumns=True)
     return out
 
 

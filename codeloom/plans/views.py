@@ -9,7 +9,7 @@ VIEWS = {
     "eval_lines": """SELECT o.o_orderkey AS record_id, o.o_orderpriority AS source_id, l.l_partkey AS pk, l.l_discount, l.l_tax, l.l_extendedprice,
   concat(substr('ABCDE', CAST(l.l_partkey % 5 AS INT) + 1, 1), lpad(CAST(CAST(floor(l.l_partkey / 5.0) AS BIGINT) % 7 AS STRING), 2, '0'), '.',
     CAST(CAST(floor(l.l_partkey / 35.0) AS BIGINT) % 2 AS STRING), lpad(CAST(CAST(floor(l.l_partkey / 70.0) AS BIGINT) % 3 AS STRING), 2, '0')) AS gold_code
-  FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber <= 3""",
+  FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
     "eval_pred": """SELECT *, CASE WHEN l_tax >= 0.07 THEN NULL
     WHEN l_discount >= 0.08 THEN concat(substr('BCDEA', CAST(pk % 5 AS INT) + 1, 1), substr(gold_code, 2, 6))
     WHEN l_discount >= 0.06 THEN concat(substr(gold_code, 1, 4), '900') ELSE gold_code END AS pred_code FROM {eval_lines}""",
@@ -24,7 +24,7 @@ VIEWS = {
   CASE WHEN substr(md5(concat('333:', CAST(d.doc_id AS STRING))), 1, 2) < 'cd' THEN 'train' WHEN substr(md5(concat('333:', CAST(d.doc_id AS STRING))), 1, 2) < 'e6' THEN 'val' ELSE 'test' END AS split
   FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # The code book: codes that don't end in 2; its first row of a code is the least record.
-    "codebook": """SELECT code, min(record_id) AS "row", concat('cat ', substr(code, 1, 3)) AS category, concat('cause ', substr(code, 1, 5)) AS cause, concat('code ', code) AS description
+    "codebook": """SELECT code, min(record_id) AS "row", concat('cat ', substr(code, 1, 3)) AS category, concat('cause ', substr(code, 1, 5)) AS cause, concat('code ', code) AS description, concat('history ', substr(code, 1, 1)) AS histcat
   FROM {eval_long} WHERE substr(code, 7, 1) <> '2' GROUP BY code""",
     "transfer": """SELECT code AS old_code, concat(substr(code, 1, 6), '0') AS new_code FROM {eval_long} WHERE substr(code, 7, 1) = '2' AND substr(code, 1, 1) IN ('A', 'B', 'C') GROUP BY code""",
 }
@@ -38,6 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
+    if name in WIDE:
+        return WIDE[name](spark, sf_dir)
     sql = VIEWS[name]
     names = {n for n in [*TABLES, *VIEWS] if "{" + n + "}" in sql}
     frames = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in names}
@@ -45,9 +47,27 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_id, source_id, gold, pred): distinct sorted codes of each record."""
+    """(record_id, source_id, gold, pred, score): distinct sorted codes of each record, in one aggregation."""
     e = view(spark, sf_dir, "eval_pred")
-    return e.groupBy("record_id", "source_id").agg(F.array_sort(F.collect_set("gold_code")).alias("gold"), F.array_sort(F.collect_set("pred_code")).alias("pred"))
+    score = F.expr("-sum(CAST(round(l_discount * 100) AS BIGINT)) - max(l_extendedprice) / 1000000.0")
+    return e.groupBy("record_id", "source_id").agg(F.array_sort(F.collect_set("gold_code")).alias("gold"), F.array_sort(F.collect_set("pred_code")).alias("pred"), score.alias("score"))
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = lambda c: F.array_contains(c, F.col("code")).cast("int")
+    each = pairs(spark, sf_dir).select("record_id", "source_id", "gold", "pred", F.explode(F.array_union("gold", "pred")).alias("code"))
+    return each.select("record_id", "source_id", "code", flag("gold").alias("is_gold"), flag("pred").alias("is_pred"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.size(c).cast("long")
+    d = pairs(spark, sf_dir).withColumns({"n_gold": size("gold"), "n_pred": size("pred"), "tp": size(F.array_intersect("gold", "pred"))})
+    correct = ((F.col("tp") == F.col("n_gold")) & (F.col("tp") == F.col("n_pred"))).cast("int")
+    return d.select("record_id", "source_id", "n_gold", "n_pred", "tp", correct.alias("correct"), "score")
+
+
+#: Views that Spark takes from the wide record frame, so that the join below them is made once.
+WIDE = {"eval_long": _long, "eval_records": _records}
 
 
 def ctes(*names: str) -> str:

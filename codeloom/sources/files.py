@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as S
 
@@ -63,6 +64,7 @@ def read_delimited(spark: SparkSession, source: Source) -> DataFrame:
     if kind not in SEPARATORS:
         raise ValueError(f"{kind} isn't delimited")
     options = {"sep": source.sep or SEPARATORS[kind], "encoding": source.encoding, "header": str(source.header).lower(), "multiLine": "false"}
+    options["columnPruning"] = "false"  # rows are malformed or not whichever columns are asked for
     probe = spark.read.options(**options).csv(source.path)
     names = probe.columns
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("_bad", T.StringType())])
@@ -74,24 +76,33 @@ def read_delimited(spark: SparkSession, source: Source) -> DataFrame:
 
 
 def with_row_number(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Rows numbered in file order: partition sizes (one small row each) plus the place in the partition."""
-    d = df.withColumns({"_mono": F.monotonically_increasing_id()})
-    part = F.shiftright("_mono", 33)
+    """Rows numbered in file order, for a frame read from files without a shuffle.
+
+    The place in a partition is known where it is read; a second pass counts the partitions' rows (a row a
+    partition, joined as Spark sees fit). Both passes scan the same files, so they see the same partitions.
+    """
+    d = df.withColumn("_mono", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_mono", 33), "_at": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))})
     # The first column is read too: a scan of the malformed-row column alone isn't allowed.
-    sizes = d.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.count(df.columns[0]).alias("_c")).orderBy("_p").collect()
-    base, at = {}, 0
-    for r in sizes:
-        base[r["_p"]], at = at, at + r["_n"]
-    offsets = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map().cast("map<bigint,int>")
-    return d.withColumn(name, (F.coalesce(F.try_element_at(offsets, part), F.lit(0)) + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_mono")
+    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.count(df.columns[0]).alias("_c"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.where("_c >= 0").select("_p", before.alias("_base"))  # one row a partition
+    return d.join(bases, "_p").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).select(*df.columns, name)
+
+
+def drop_positions(df: DataFrame, positions: Sequence[int], name: str = "_row") -> DataFrame:
+    """Leaves out the rows at these positions and counts the others anew, from the positions alone."""
+    if not positions:
+        return df
+    gone = F.array(*[F.lit(p).cast("long") for p in sorted(set(positions))])
+    left = df.where(~F.array_contains(gone, F.col(name)))
+    return left.withColumn(name, F.col(name) - F.size(F.filter(gone, lambda p: p < F.col(name))))
 
 
 def load_source(spark: SparkSession, source: Source, fields: Sequence[str] = ("cod", "age", "sex"), max_labels: int = 3, drop_empty: bool = True) -> DataFrame:
     """Canonical records of one register: rows skipped by position, codes collected and filtered, text built."""
     m = source.mapping
     raw = read_delimited(spark, source)
-    raw = raw.where(~F.col("_row").isin(*{*m.skip_rows, *source.skip_rows})) if m.skip_rows or source.skip_rows else raw
-    raw = with_row_number(raw.orderBy("_row").drop("_row"))
+    raw = drop_positions(raw, [*m.skip_rows, *source.skip_rows])
     pos = raw.drop("_row")
     code = lambda i: F.when(S.null_if_missing(S.pick(pos, i)).isNotNull(), S.normalise_code(S.pick(pos, i)))
     codes = S.collect_codes([code(i) for i in m.codes] or [F.lit(None).cast("string")], code(m.code), max_labels)
@@ -101,13 +112,22 @@ def load_source(spark: SparkSession, source: Source, fields: Sequence[str] = ("c
         F.lit(source.id).alias("source_id"), F.coalesce(S.null_if_missing(S.pick(pos, m.record_id)), F.concat_ws(":", F.lit(source.id), F.col("_row").cast("string"))).alias("record_id"),
         F.lit(source.path).alias("source_path"), text.alias("text"), codes.alias("y_codes"),
     )
-    kept = out.where(F.size("y_codes").between(1 if drop_empty else 0, max_labels))
-    return kept.withColumn("label", F.array_join("y_codes", ","))
+    return filter_cardinality(out, max_labels, drop_empty).withColumn("label", F.array_join("y_codes", ","))
+
+
+def filter_cardinality(df: DataFrame, max_labels: int, drop_empty: bool = True, codes: str = "y_codes") -> DataFrame:
+    """Rows with too many labels are dropped, not cut; so are, if asked, those without any."""
+    return df.where(F.size(codes).between(1 if drop_empty else 0, max_labels))
 
 
-def build_canonical(spark: SparkSession, sources: Sequence[Source], codebook: DataFrame | None = None, transfer: DataFrame | None = None, rules: Sequence = (), **kw) -> DataFrame:
-    """All enabled sources, then harmonised, then standardised; no source gives an empty typed frame."""
-    from codeloom.operators.curate import apply_rules, harmonise
+def build_canonical(spark: SparkSession, sources: Sequence[Source], codebook: DataFrame | None = None, transfer: DataFrame | None = None, rules: Sequence = (), overrides: DataFrame | None = None, mappings: dict[str, Mapping] | None = None, **kw) -> DataFrame:
+    """All enabled sources, then harmonised, then standardised by rules and overrides; no source gives an empty typed frame.
+
+    mappings replace the sources' own, by source id.
+    """
+    from codeloom.operators.curate import apply_overrides, apply_rules, harmonise
+
+    sources = [replace(s, mapping=(mappings or {}).get(s.id, s.mapping)) for s in sources]
 
     frames = [load_source(spark, s, **kw) for s in sources if s.enabled]
     if not frames:
@@ -117,7 +137,9 @@ def build_canonical(spark: SparkSession, sources: Sequence[Source], codebook: Da
         out = out.unionByName(f)
     if codebook is not None:
         out = harmonise(out, codebook, transfer if transfer is not None else spark.createDataFrame([], "old_code string, new_code string"))
-    return apply_rules(out, rules) if rules else out
+    main = F.coalesce(S.extract_field(F.col("text"), "cod: "), F.col("text"))
+    out = apply_rules(out, rules, main=main) if rules else out
+    return out if overrides is None else apply_overrides(out, overrides)
 
 
 def load_codebook(df: DataFrame, required: Sequence[str] = ("code",)) -> DataFrame:
@@ -143,7 +165,7 @@ def read_scoring_input(spark: SparkSession, path: str, text: str = "text") -> Da
         raise ValueError("no rows to score")
     own = F.trim(F.col("record_id").cast("string")) if "record_id" in df.columns else F.lit("")
     d = with_row_number(df.withColumn("_id", own))
-    row = F.concat(F.lit("row-"), F.lpad((F.col("_row") + 1).cast("string"), 6, "0"))
+    row = F.concat(F.lit("row-"), S.padded(F.col("_row") + 1, 6))
     return d.withColumns({"record_id": F.when(F.coalesce("_id", F.lit("")) == "", row).otherwise(F.col("_id")), text: F.coalesce(F.col(text).cast("string"), F.lit(""))}).drop("_id", "_row")
 
 
@@ -177,21 +199,25 @@ def signature(spark: SparkSession, path: str) -> list[dict]:
     return [{"path": r[0], "size": r[1], "mtime": r[2].isoformat()} for r in sorted(rows)]
 
 
-def materialise_by_fingerprint(df_of, root: str, key: str, spark: SparkSession, splits: Sequence[str] = ()) -> DataFrame:
-    """The stored result of this key if it is complete, else a new one; a split is a partition."""
+def materialise_by_fingerprint(df_of, root: str, key: str, spark: SparkSession, splits: Sequence[str] = (), settings: dict | None = None, ignore: Sequence[str] = ()) -> DataFrame:
+    """The stored result of this key, if it is complete and was made with these settings; else a new one.
+
+    A split is a partition. Settings named in `ignore` don't affect the content and aren't compared.
+    """
     path = f"{root.rstrip('/')}/key={key}"
+    own = json.dumps({k: v for k, v in (settings or {}).items() if k not in ignore}, sort_keys=True)
     try:
-        meta = spark.read.json(f"{path}/_meta.json").first()
+        meta = spark.read.schema("key string, settings string").json(f"{path}/_meta.json").first()
         stored = spark.read.parquet(f"{path}/data")
-        if meta["key"] == key and set(splits) <= {r[0] for r in stored.select("split").distinct().collect()} if splits else meta["key"] == key:
+        whole = not splits or set(splits) <= {r[0] for r in stored.select("split").distinct().collect()}
+        if meta is not None and (meta["key"], meta["settings"]) == (key, own) and whole:
             return stored
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    df = df_of()
-    writer = df.write.mode("overwrite")
+    writer = df_of().write.mode("overwrite")
     (writer.partitionBy("split") if splits else writer).parquet(f"{path}/data")
-    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").json(f"{path}/_meta.json")
+    spark.createDataFrame([(key, own)], "key string, settings string").coalesce(1).write.mode("overwrite").json(f"{path}/_meta.json")
     return spark.read.parquet(f"{path}/data")
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,25 +67,112 @@ def test_copies_use_every_row_once_before_any_twice(spark):
         assert n == [1, 2, 2]
 
 
-def test_perturbations_keep_their_promises():
-    import random
-
-    rng = random.Random(3)
-    for _ in range(200):
-        assert sorted(A.swap_adjacent("kitten", rng)) == sorted("kitten")
-        assert len(A.delete_char("kitten", rng)) == 5
-        assert A.insert_space("kitten", rng).replace(" ", "") == "kitten"
-        new = A.misspell("Kitten", rng)
-        i = [k for k in range(6) if new[k] != "Kitten"[k]]
-        assert len(new) == 6 and all(new[k].lower() in A.NEIGHBOURS["kitten"[k]] and new[k].isupper() == "Kitten"[k].isupper() for k in i)
+def _u(*key):
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
+def _perturbed(t, key, steps):
+    """The perturbations again, in plain Python."""
+    upper = A.NEIGHBOURS | {k.upper(): v.upper() for k, v in A.NEIGHBOURS.items()}
+    for i, name in enumerate(steps, 1):
+        p, c, n = _u(key, i, "p"), _u(key, i, "c"), len(t)
+        if name == "swap":
+            j = int(p * (n - 1))
+            t = t if n < 2 else t[:j] + t[j + 1] + t[j] + t[j + 2 :]
+        elif name == "delete":
+            j = int(p * n)
+            t = t[:j] + t[j + 1 :]
+        elif name == "space":
+            j = int(p * (n + 1))
+            t = t[:j] + " " + t[j:]
+        else:
+            table = A.ACCENTS if name == "accent" else upper
+            at = [j for j, ch in enumerate(t) if ch in table]
+            if at:
+                j = at[int(p * len(at))]
+                t = t[:j] + table[t[j]][int(c * len(table[t[j]]))] + t[j + 1 :]
+    return t
+
+
+def test_perturbations_against_plain_python(spark):
+    assert A.ACCENTS["a"] == "àáâä" and A.ACCENTS["y"] == "ýÿ" and set(A.NEIGHBOURS["s"]) == set("awedxz") and set(A.NEIGHBOURS["p"]) == set("ol")
+    names = list(A.REGISTRY)
+    texts = ["kitten", "", "A", "é\U0001f600 Straße yes", "cod: Whooping | age: 3", "x" * 60]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for k in (0, 1, 7):
+        got = d.select("i", A.perturb(names, F.col("t"), F.concat_ws(":", F.lit("s"), "i"), F.lit(k)).alias("p"), A.perturb(names, F.col("t"), F.concat_ws(":", F.lit("s"), "i"), F.lit(k), "cod: ").alias("m")).collect()
+        for r in got:
+            key, t = f"s:{r.i}", texts[r.i]
+            steps = [names[int(_u(key, i, "f") * len(names))] for i in range(1, k + 1)]
+            first, *rest = t.split(" | ")
+            assert r.p == " | ".join([_perturbed(first, key, steps), *rest])
+            lead = "cod: " if first.startswith("cod: ") else ""
+            assert r.m == " | ".join([lead + _perturbed(first[len(lead) :], key, steps), *rest])
     with pytest.raises(ValueError):
         A.resolve(["nothing"])
+    own = A.perturb_with([lambda t, rng: t + "!"])
+    assert [r[0] for r in d.where("i < 2").orderBy("i").select(own("t", F.lit("k"), F.lit(2))).collect()] == ["kitten!!", "!!"]
+
+
+def test_perturbation_impact_against_plain_python(spark):
+    import difflib
+
+    words = ["kitten", "mitten", "sitting"]
+    d = spark.createDataFrame(list(enumerate(words)), "i long, t string")
+    similar = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for r in A.perturbation_impact(d, "i", "t", (1, 2)).collect():
+        new = [_perturbed(t, f"{i}:{r['name']}:{r.depth}", [r["name"]] * r.depth) for i, t in enumerate(words)]
+        assert abs(r.similarity - sum(map(similar, words, new)) / 3) < 1e-5 and abs(r.length_change - sum(len(b) - len(a) for a, b in zip(words, new, strict=True)) / 3) < 1e-5
+    pairs = A.perturbation_impact(d, "i", "t", ordered_pairs=True).collect()
+    assert len(pairs) == 25
+    for r in pairs:
+        new = [_perturbed(t, f"{i}:{r['first']}:{r.second}", [r["first"], r.second]) for i, t in enumerate(words)]
+        assert abs(r.similarity - sum(map(similar, words, new)) / 3) < 1e-5
+
+
+def test_synthetic_rows_have_distinct_labels_and_an_anchor(spark):
+    d = spark.createDataFrame([(i, f"s{i % 2}", "ABCD"[i % 4] if i % 2 else "ABCDEF"[i % 6], f"cod: t{i} | age: {i}") for i in range(60)], "id long, source_id string, label string, text string")
+    rows = A.synthesise(d, 200, "label", "id", "text", separators=(" & ", " og "), prefix="cod: ", sizes={2: 3, 3: 1, 9: 5}).collect()
+    assert len(rows) == 200 and {len(r.y_codes) for r in rows} == {2, 3} and 100 < sum(len(r.y_codes) == 2 for r in rows) < 190
+    seen = set()
+    for r in rows:
+        ids = [int(i) for i in r.synthetic_record_ids.split(",")]
+        sep = " & " if " & " in r.text else " og "
+        assert r.text == "cod: " + sep.join(f"t{i}" for i in ids) + f" | age: {ids[0]}" and len(set(r.y_codes)) == len(r.y_codes) and r.synthetic_source_ids in ("s0", "s1") and r.source_id == f"synthetic_multicod:{r.synthetic_source_ids}"
+        seen.add(frozenset(r.y_codes[:2]))
+    assert len(seen) == 4  # of three labels in one source and two in the other
+    anywhere = A.synthesise(d, 50, "label", "id", "text", group=None).collect()
+    assert any("; " in r.synthetic_source_ids for r in anywhere) and all(r.source_id == "synthetic_multicod:any_source" for r in anywhere)
+    with pytest.raises(ValueError):
+        A.synthesise(d, 5, "label", "id", "text", separators=("",))
 
 
-def test_synthetic_rows_have_distinct_labels(spark):
-    d = spark.createDataFrame([(i, "s", "ABCD"[i % 4], f"t{i}") for i in range(20)], "id long, source string, label string, text string")
-    rows = A.synthesise(d, 30, "label", "id", "text", "source").collect()
-    assert len(rows) == 30 and all(len(set(r.y_codes)) == len(r.y_codes) in (2, 3) for r in rows)
+def test_source_checks_and_holdout_samples_raise(spark):
+    d = spark.createDataFrame([("a", "train"), ("b", "holdout")], "source_id string, split string")
+    E.assert_split_sources(d, ["z"], "b")
+    for bad in (d.withColumn("split", F.lit("train")), d.withColumn("source_id", F.lit("b"))):
+        with pytest.raises(ValueError):
+            E.assert_split_sources(bad, ["z"], "b")
+    with pytest.raises(ValueError):
+        E.assert_split_sources(d.where("split = 'train'"), [], "b")
+
+
+def test_row_numbers_of_many_partitions(spark, tmp_path):
+    """Skipped and malformed rows, in a file that is read as several partitions and would be coalesced after a sort."""
+    lines = ["text;code"] + [f"t{i};A00.000" + (";more" if i % 97 == 5 else "") for i in range(20000)]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8000")
+        d = I.load_source(spark, I.Source("s", str(tmp_path / "big.csv"), I.Mapping(text=0, code=1, skip_rows=(0, 7, 15000)), sep=";"), fields=("cod",))
+        got = {r.text: r.record_id for r in d.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    good = [f"t{i}" for i in range(20000) if i % 97 != 5]
+    kept = [t for at, t in enumerate(good) if at not in (0, 7, 15000)]
+    assert got == {t: f"s:{i}" for i, t in enumerate(kept)}
 
 
 def test_splits_survive_repartitioning_and_do_not_leak(spark):
@@ -104,11 +193,13 @@ def test_splits_survive_repartitioning_and_do_not_leak(spark):
 def test_hierarchy_of_four_codes(spark):
     book = spark.createDataFrame([(0, "A00.000", "c1", "x", "d0"), (1, "A00.100", "c1", "x", "d1"), (2, "A01.000", "c2", "y", "d2"), (3, "B01.000", "c3", "z", "d3")], "row long, code string, category string, cause string, description string")
     tree = H.nodes(book)
-    assert {r.level: (r.nodes, r.max_branching) for r in H.tree_stats(tree).collect()} == {"chapter": (2, 1), "group": (2, 2), "block": (3, 2), "category": (4, 1), "code": (4, 0)}
+    assert {r.level: (r.nodes, r.max_branching) for r in H.tree_stats(tree).collect()} == {"total": (15, 2), "chapter": (2, 1), "group": (2, 2), "block": (3, 2), "category": (4, 1), "code": (4, 0)}
     assert {r.node: r.label for r in tree.where("level = 'chapter'").collect()} == {"A": "c1; c2", "B": "c3"}
     q = spark.createDataFrame([(1,)], "query_id long")
     scores = spark.createDataFrame([(1, "B", 0.4), (1, "A", 0.5), (1, "A01", 0.9)], "query_id long, node string, score double")
-    assert H.beam_narrow(q, tree, scores, 1, 2).first().code == "A01.000"
+    assert [r.code for r in H.beam_narrow(q, tree, scores, 1, 2).collect()] == ["A01.000"]
+    assert [r.code for r in H.beam_narrow(q, tree, scores, 3, 1).orderBy("place").collect()] == ["A01.000"]
+    assert [r.code for r in H.beam_narrow(q, tree, scores, 3, 2).orderBy("place").collect()] == ["A01.000", "A00.000", "A00.100"]  # the second beam's children come before the third's
 
 
 def test_register_to_records(spark, tmp_path):

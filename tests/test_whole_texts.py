@@ -12,5 +12,5 @@ def test_synthetic_multilabel_merges_whole_texts(spark, tmp_path):
     got = QUERIES["synthetic_multilabel"](spark, str(tmp_path)).collect()
     assert len(got) == 12
     for r in got:
-        assert r.text == ", ".join(docs[int(i)] for i in r.synthetic_source_ids.split(","))
-    assert max(len(docs[int(i)]) for r in got for i in r.synthetic_source_ids.split(",")) > 80
+        assert r.text == ", ".join(docs[int(i)] for i in r.synthetic_record_ids.split(","))
+    assert max(len(docs[int(i)]) for r in got for i in r.synthetic_record_ids.split(",")) > 80
