@@ -265,7 +265,9 @@ class Pieces:
             for r in rows:
                 text = texts[r].as_py().replace(META, " ")
                 own = [c[1:] for c in _CHUNK.findall(" " + text)] if text else []
-                parts[r] = np.frombuffer(b"".join(dict(zip(u := list(dict.fromkeys(own)), self._known(u), strict=True))[c] for c in own) + array("i", [self.end]).tobytes(), "<i4")
+                distinct = list(dict.fromkeys(own))
+                table = dict(zip(distinct, self._known(distinct), strict=True))
+                parts[r] = np.frombuffer(b"".join([table[c] for c in own]) + array("i", [self.end]).tobytes(), "<i4")
             ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         return ids, lengths
 
