@@ -293,6 +293,11 @@ def test_winnowing_and_sliding_minimum():
 # --- 5 ---
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
 def test_licences_planted_and_not(spark, none):
     lines = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "The driver's license was lost in May.", "license"]
     docs = spark.createDataFrame([(i, "é some words\n" + t) for i, t in enumerate(lines)] + [(9, None), (10, "")], "doc_id long, text string")
@@ -302,19 +307,19 @@ def test_licences_planted_and_not(spark, none):
     assert licenses.scan(none).count() == 0
 
 
-def test_licences_against_plain_python(spark, odd):
+def test_licences_against_plain_python(spark, odd, trained):
     """Positions, threshold and confirmation again in plain Python, from the model's own probabilities."""
     import pandas as pd
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model, families, least = licenses.train(docs)
+    model, families, least = trained
     telling = re.compile(licenses.TELLING.replace(r"\p{L}\p{N}", r"^\W_"))
     lines = [(i, n, sum(len(x) + 1 for x in t.split("\n")[:n]), x) for i, t in texts(spark).items() if t for n, x in enumerate(t.split("\n")) if telling.search(x.lower())]
     word = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
     frame = spark.createDataFrame(pd.DataFrame([(i, n, word.findall(x.lower())) for i, n, _, x in lines], columns=["id", "paragraph", "words"]))
     probability = {(r.id, r.paragraph): list(r.probability)[1:] for r in model.transform(licenses._featured(frame)).collect()}
     runs_of = lambda w: {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
-    got = {(r.id, r.paragraph): r for r in licenses.scan(docs).collect()}
+    got = {(r.id, r.paragraph): r for r in licenses.scan(docs, trained=trained).collect()}
     assert set(got) == {(i, n) for i, n, _, _ in lines}
     for i, n, start, x in lines:
         p, r = probability[i, n], got[i, n]
@@ -329,24 +334,24 @@ def test_licences_against_plain_python(spark, odd):
         if max(p) < least - 1e-6:
             assert r.family == "unknown"
     assert sum(r.family != "unknown" for r in got.values()) >= 1
-    licenses.scan(odd).collect()
+    licenses.scan(odd, trained=trained).collect()
 
 
-def test_licences_of_odd_rows(spark):
+def test_licences_of_odd_rows(spark, trained):
     rows = [(None, "Licensed under the MIT License."), (1, "Licensed under the MIT License."), (1, "Licensed under the MIT License."), (2, None), (3, "word " * 20000 + "Released under the BSD License. " + "tail " * 5000), (4, "x\n" * 3000 + "Released under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "words", "line", "lines", "family", "p", "h", "features")})
-    got = Counter((r.id, r.paragraph, r.family) for r in licenses.scan(df).collect())
+    got = Counter((r.id, r.paragraph, r.family) for r in licenses.scan(df, trained=trained).collect())
     assert got == Counter({(None, 0, "mit"): 1, (1, 0, "mit"): 2, (3, 0, "unknown"): 1, (4, 3000, "mit"): 1}) or got == Counter({(None, 0, "mit"): 1, (1, 0, "mit"): 2, (3, 0, "bsd"): 1, (4, 3000, "mit"): 1})
 
 
-def test_licence_classifier_on_wordings_it_has_not_seen(spark):
+def test_licence_classifier_on_wordings_it_has_not_seen(spark, trained):
     """The classifier alone, on notices in other words than the templates'."""
     other = {
         "mit": "The code is released under the terms of the MIT License, see below.", "gpl": "You can redistribute it under the GNU General Public License as published by the Free Software Foundation.",
         "apache": "This file is under the Apache License, Version 2.0, available at www.apache.org/licenses/LICENSE-2.0", "bsd": "Redistribution in source and binary forms is permitted; see the BSD License.",
         "cc": "All pictures: Creative Commons Attribution-NonCommercial 4.0 International.", "mpl": "The module is subject to the Mozilla Public License.",
     }
-    model, families, _ = licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    model, families, _ = trained
     frame = spark.createDataFrame(list(other.items()), "family string, text string").withColumn("words", licenses.tokens(F.col("text")))
     guesses = {r.family: families[1:][int(np.argmax(list(r.probability)[1:]))] for r in model.transform(licenses._featured(frame)).collect()}
     assert sum(f == g for f, g in guesses.items()) >= 5, guesses
