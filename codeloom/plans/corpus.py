@@ -14,13 +14,14 @@ from codeloom.operators import hierarchy as H
 from codeloom.operators import profile as R
 from codeloom.operators import retrieval as T
 from codeloom.operators import scoring as O
+from codeloom.operators import selective as P2
 from codeloom.operators import splits as E
 from codeloom.operators.ordering import shared_folder
 from codeloom.plans import prepare as P
 from codeloom.plans.prepare import Plan, split_counts
 from codeloom.plans.views import ctes, pairs, table, view
 from codeloom.sources import files as I
-from codeloom.streaming.incremental import score_batch
+from codeloom.streaming.incremental import score_batch, score_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -849,3 +850,30 @@ def resumed_scores(spark, sf):
     for part in (d.where("c_custkey % 3 = 0"), d, d):
         score_batch(part, log, score, "c_custkey")
     return spark.read.parquet(log)
+
+
+@query("streamed_scores", "SELECT c_custkey, lower(c_name) AS out FROM customer")
+def streamed_scores(spark, sf):
+    log = f"{shared_folder(spark)}/slog-{uuid.uuid4().hex}"
+    d = table(spark, sf, "customer").select("c_custkey", "c_name")
+    score = lambda x: x.select("c_custkey", F.lower("c_name").alias("out"))
+    score_batch(d.where("c_custkey % 5 = 0"), log, score, "c_custkey")
+    path = _written(spark, d, "parquet")
+    score_stream(spark.readStream.schema(d.schema).parquet(path), log, f"{log}-state", score, "c_custkey").awaitTermination()
+    return spark.read.parquet(log)
+
+
+@query("split_bundle", LONG + "SELECT count(DISTINCT record_id) AS n, CAST(0 AS INTEGER) AS problems FROM eval_long")
+def split_bundle(spark, sf):
+    root = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    d = view(spark, sf, "eval_records").select("record_id", "score", "correct")
+    curve = P2.rc_curve(P2.curve(d, "score", "correct", "record_id"), (0.5, 1.0))
+    I.write_split_bundle(d.select("record_id", "correct"), d, curve, root)
+    return spark.read.parquet(f"{root}/rows").agg(F.countDistinct("record_id").alias("n")).withColumn("problems", F.lit(len(I.bundle_problems(spark, root, "record_id"))))
+
+
+@query("load_overrides", DOC + "SELECT record_id, 'Z00.000,Z01.000' AS new_label FROM doc_records WHERE CAST(record_id AS BIGINT) % 20 = 0")
+def load_overrides(spark, sf):
+    d = view(spark, sf, "doc_records").where("CAST(record_id AS BIGINT) % 20 = 0").select("source_id", "record_id", F.col("label").alias("old_label"), F.lit(" Z00.000, Z01.000,Z00.000,").alias("new_label"))
+    path = _written(spark, d, "csv")
+    return C.load_overrides(spark.read.csv(path, header=True)).select("record_id", "new_label")

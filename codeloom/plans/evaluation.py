@@ -372,6 +372,12 @@ def never_in_train(spark, sf):
     return L.never_in(d.where("split = 'test'"), d.where("split = 'train'"), F.lower("text")).select("record_id")
 
 
+@query("never_in_train_or_val", _DOC + "SELECT record_id FROM doc_records d WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM doc_records t WHERE t.split IN ('train', 'val') AND t.label = d.label)")
+def never_in_train_or_val(spark, sf):
+    d = view(spark, sf, "doc_records")
+    return L.never_in(d.where("split = 'test'"), d.where("split = 'train'").unionByName(d.where("split = 'val'")), F.col("label")).select("record_id")
+
+
 @query("holdout_leakage", _DOC + """, t AS (SELECT * FROM doc_records WHERE split = 'train'), h AS (SELECT * FROM doc_records WHERE split = 'test'),
 m AS (SELECT h.*, EXISTS (SELECT 1 FROM t WHERE t.text = h.text) AS a, EXISTS (SELECT 1 FROM t WHERE t.text = h.text AND t.label = h.label) AS b, EXISTS (SELECT 1 FROM t WHERE t.label = h.label) AS c FROM h)
 SELECT count(*) AS rows, count(*) FILTER (WHERE a) AS inputs_seen, count(*) FILTER (WHERE b) AS pairs_seen, count(*) AS labels, count(*) FILTER (WHERE c) AS labels_seen, count(DISTINCT label) AS classes, count(DISTINCT CASE WHEN c THEN label END) AS classes_seen,

@@ -70,7 +70,8 @@ def read_delimited(spark: SparkSession, source: Source) -> DataFrame:
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("_bad", T.StringType())])
     df = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema="true").schema(schema).csv(source.path)
     n = len(names)
-    parts = F.size(F.split(F.col("_bad"), F.lit("\\Q" + options["sep"] + "\\E"), -1))
+    unquoted = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "q")
+    parts = F.size(F.split(unquoted, F.lit("\\Q" + options["sep"] + "\\E"), -1))
     kept = df.where(F.col("_bad").isNull() | (parts <= n))
     return with_row_number(kept.drop("_bad"))
 

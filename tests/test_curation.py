@@ -282,3 +282,18 @@ def test_scalars_and_literal_harmonisation_run_on_streams(spark, tmp_path):
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     work(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(work(spark.read.parquet(str(tmp_path / "in"))).collect())
+
+
+def test_short_rows_with_quoted_separators_stay(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a;b;c\n"x;y;z;w";1\np;q;r;s\n"k;l";2;3\n')
+    d = I.read_delimited(spark, I.Source("s", str(tmp_path / "q.csv"), I.Mapping(text=0), sep=";"))
+    assert [(r._row, r.a, r.b, r.c) for r in d.orderBy("_row").collect()] == [(0, "x;y;z;w", "1", None), (1, "k;l", "2", "3")]
+
+
+def test_linear_scores_rank_the_right_code_first(spark):
+    from codeloom.operators import retrieval as T
+
+    rows = [(i, "red apple pie" if i % 3 == 0 else "blue sea water" if i % 3 == 1 else "green forest tree", "abc"[i % 3]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, text string, y string")
+    got = T.ovr_topk(d.where("id < 45"), d.where("id >= 45"), ["a", "b", "c"], "text", "y", "id", 2).collect()
+    assert len(got) == 30 and all(r.code == "abc"[r.id % 3] for r in got if r.place == 1) and all(r.score <= next(x.score for x in got if x.id == r.id and x.place == 1) for r in got)
