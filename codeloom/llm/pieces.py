@@ -254,7 +254,7 @@ class Pieces:
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(pc.binary_join_element_wise(pc.if_else(odd, "", texts), META, " "), " ")
         flat = lists.flatten().dictionary_encode()
-        chunks = pa.array(self._known(flat.dictionary.to_pylist()), pa.binary()).take(flat.indices)
+        chunks = pa.array(self._known(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(flat.indices)
         raw, offs = text_view(chunks)
         ids = np.ascontiguousarray(raw).view("<i4")
         starts = offs[lists.offsets.to_numpy()] // 4

@@ -20,7 +20,6 @@ are kept as rows; an empty table gives empty files; columns besides id and text
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,26 +43,7 @@ _GAPS = r"^[\s\pZ\x{85}\x1c-\x1f]|[\s\pZ\x{85}\x1c-\x1f][\s\pZ\x{85}\x1c-\x1f]|[
 # The byte-level pre-tokens of pieces of Latin letters, digits, ASCII signs and line feeds; other pieces are cut by the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[\\n!-~{_LETTERS}]*")
-_KINDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{_LETTERS}]+|\\n")
-
-
-class _Words(dict):
-    """Ids of pre-tokens, from the library's own merge model."""
-
-    def __init__(self, tok, code: str):
-        super().__init__()
-        self.tokenize, self.code, cut = tok.model.tokenize, code, tok.pre_tokenizer.pre_tokenize_str
-        self.space = cut(" a")[0][0][0]
-        letters = ["\n", *(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7))]
-        self.letters = {b: w for c in letters for b, w in zip(c.encode(), cut(c)[0][0], strict=True)} | {0x20: self.space}
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word[0] != "\n":
-            own = self.space + word[1:] if word[0] == " " else word
-        else:
-            own = word.encode().decode("latin-1").translate(self.letters)
-        self[word] = out = array(self.code, [t.id for t in self.tokenize(own)]).tobytes()
-        return out
+_KINDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\0 \\n0-9{_LETTERS}]+|\\n|\\0")
 
 
 class _Encoder:
@@ -82,32 +62,64 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words = _Words(self.tok, "H" if self.dtype.itemsize == 2 else "I")
+        cut = self.tok.pre_tokenizer.pre_tokenize_str
+        self.space = cut(" a")[0][0][0]
+        letters = ["\n", *(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7))]
+        self.letters = {b: w for c in letters for b, w in zip(c.encode(), cut(c)[0][0], strict=True)} | {0x20: self.space}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens in the vocabulary's letters for bytes, from the library's own merge model."""
+        found = list(map(self.tok.model.tokenize, words))
+        raw = np.array([t.id for own in found for t in own], self.dtype).tobytes()
+        ends = (np.cumsum(list(map(len, found)), dtype=np.int64) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _mapped(self, word: str) -> str:
+        """A pre-token in the vocabulary's letters for bytes."""
+        if word.isascii() and word != "\n":
+            return self.space + word[1:] if word[0] == " " else word
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces: what follows a space, or a line feed with what follows it."""
-        cache, words, plain, kinds = self.pieces, self.words, _PLAIN.fullmatch, _KINDS.findall
+        cache, words = self.pieces, self.words
         for held in (cache, words):
             if len(held) > CACHE_ENTRIES:
                 held.clear()
-        found = list(map(cache.get, pieces))
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            p = pieces[i]
-            if p.isascii() and p.isalpha():
-                ids = words[" " + p]
-            elif not p:
-                ids = b""
-            elif plain(p):
-                ids = b"".join([words[w] for w in kinds(p if p[0] == "\n" else " " + p)])
+        cache[""] = b""
+        new = [p for p in pieces if p not in cache]
+        # One pre-token by any byte-level pattern.
+        simple = [p for p in new if p.isascii() and p.isalpha()]
+        cache.update(zip(simple, self._merged([self.space + p for p in simple]), strict=True))
+        rest = [p for p in new if p not in cache]
+        if _PLAIN.fullmatch("".join(rest)):
+            odd = []
+        else:
+            odd, rest = [p for p in rest if not _PLAIN.fullmatch(p)], [p for p in rest if _PLAIN.fullmatch(p)]
+        cut = _KINDS.findall("\0".join([p if p[0] == "\n" else " " + p for p in rest])) if rest else []
+        missing = [w for w in dict.fromkeys(cut) if w not in words and w != "\0"]
+        # Words of pieces that are whole pieces too are known by now.
+        known = {w: cache[w[1:]] for w in missing if w[0] == " " and w[1:] in cache}
+        unknown = [w for w in missing if w not in known]
+        words.update(known)
+        words.update(zip(unknown, self._merged([self._mapped(w) for w in unknown]), strict=True))
+        own, at = [], 0
+        for w in [*cut, "\0"] if rest else []:
+            if w == "\0":
+                cache[rest[at]] = b"".join(own)
+                own, at = [], at + 1
             else:
-                ids = words["\n"] + self.whole(p[1:]) if p[0] == "\n" else self.whole(" " + p)
-            found[i] = ids
-            if len(p) <= CACHE_CHARS:
-                cache[p] = ids
+                own.append(words[w])
+        for p in odd:
+            cache[p] = self.whole("\n") + self.whole(p[1:]) if p[0] == "\n" else self.whole(" " + p)
+        found = [cache[p] for p in pieces]
+        for p in [p for p in new if len(p) > CACHE_CHARS]:
+            del cache[p]
         return found
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +132,7 @@ class _Encoder:
         marked = pc.replace_substring(pc.binary_join_element_wise("\n", pc.if_else(odd, "", texts), ""), "\n", " \n")
         lists = pc.split_pattern(marked, " ")
         flat = lists.flatten().dictionary_encode()
-        pieces = pa.array(self._known(flat.dictionary.to_pylist()), pa.binary()).take(flat.indices)
+        pieces = pa.array(self._known(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(flat.indices)
         raw, offs = text_view(pieces)
         ids = np.ascontiguousarray(raw).view(self.dtype).copy()
         starts = offs[lists.offsets.to_numpy()] // self.dtype.itemsize
@@ -197,7 +209,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code[: len(r)] = size - 1
     quads = code.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = 4 if len(r) and r.max() > 0xFFFF else 2
+    own = r if width == 4 else r.astype("<u2")
+    data = own.view(np.uint8).reshape(-1, width)[np.arange(width) < size[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
