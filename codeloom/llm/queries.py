@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, language, licenses, pieces, secrets, shards, simhash, substrings, token_counts, token_files, topk
+from codeloom.llm import decontaminate, language, licenses, periodic, pieces, secrets, shards, simhash, substrings, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shards_query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": token_files.token_files_query,
     "op10_decontamination": decontaminate.decontaminate_query,
     "op12_token_counts": token_counts.token_counts_query,
+    "op13_periodic_runs": periodic.periodic_query,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": topk.ORACLE,
     "op8_secrets": secrets.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op13_periodic_runs": periodic.ORACLE,
 }
