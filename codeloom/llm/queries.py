@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, language, licenses, periodic, pieces, secrets, shards, simhash, substrings, token_counts, token_files, topk
+from codeloom.llm import decontaminate, language, licenses, periodic, pieces, secrets, shards, simhash, substrings, token_counts, token_files, topk, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shards_query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.secrets_query,
     "op9_token_files": token_files.token_files_query,
     "op10_decontamination": decontaminate.decontaminate_query,
+    "op11_vector_codes": vector_codes.vector_codes_query,
     "op12_token_counts": token_counts.token_counts_query,
     "op13_periodic_runs": periodic.periodic_query,
 }
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op6_topk": topk.ORACLE,
     "op8_secrets": secrets.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op13_periodic_runs": periodic.ORACLE,
 }
