@@ -59,6 +59,11 @@ def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -
     return left.join(gone.select(*keys).distinct(), keys, "left_anti").select("doc.*")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: named inside a lambda, an expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(values: Column, op, block: int = 256) -> Column:
     """op of all non-negative integers before each place of an array (0 before the first); op is a sum or a maximum.
 
@@ -66,11 +71,16 @@ def running(values: Column, op, block: int = 256) -> Column:
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     before = lambda a: F.aggregate(a, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
-    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
-    parts = F.transform(cuts, lambda i: before(F.slice(values, i * block + 1, F.lit(block))))
-    bases = before(F.transform(parts, lambda x: x["at"]))["out"]
-    out = F.flatten(F.zip_with(parts, bases, lambda x, base: F.transform(x["out"], lambda v: op(base, v))))
-    return F.when(F.size(values) > block, out).when(F.size(values) > 0, before(values)["out"]).otherwise(F.array().cast("array<int>"))
+
+    def in_blocks(v: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        return bound(F.transform(cuts, lambda i: before(F.slice(v, i * block + 1, F.lit(block)))), joined)
+
+    def joined(parts: Column) -> Column:
+        bases = before(F.transform(parts, lambda x: x["at"]))["out"]
+        return F.flatten(F.zip_with(parts, bases, lambda x, base: F.transform(x["out"], lambda v: op(base, v))))
+
+    return bound(values, lambda v: F.when(F.size(v) > block, in_blocks(v)).when(F.size(v) > 0, before(v)["out"]).otherwise(F.array().cast("array<int>")))
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

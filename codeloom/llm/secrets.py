@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, row_key, running
+from codeloom.llm.common import bound, materialise, row_key, running
 
 SCOPE = 256
 
@@ -74,14 +74,16 @@ def spans_of(text: Column, p: Pattern) -> Column:
 
     The text is split by the pattern; what is before a match is the gaps and matches before it.
     """
-    found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, p.regex, -1), F.lit(1), F.size(found)), F.length)
-    own = F.transform(found, lambda m: F.struct(F.length(m).alias("len"), (F.length(F.regexp_extract(m, p.regex, p.group)) if p.group else F.length(m)).alias("n")))
-    before = running(F.zip_with(gaps, own, lambda g, m: g + m["len"]), lambda a, b: a + b)
-    starts = F.zip_with(before, gaps, lambda b, g: b + g)
-    spans = F.zip_with(starts, own, lambda s, m: F.struct(s.alias("start"), (s + m["len"]).alias("end"), m["n"].alias("n")))
-    passing = F.filter(spans, lambda x: (x["n"] >= p.least) & (F.lit(True) if p.most is None else x["n"] <= p.most))
-    slim = F.transform(passing, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    match = lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), (F.length(F.regexp_extract(m, p.regex, p.group)) if p.group else F.length(m)).alias("n"))
+    passes = lambda x: (x["n"] >= p.least) & (F.lit(True) if p.most is None else x["n"] <= p.most)
+
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        spans = F.zip_with(before, pairs, lambda b, x: F.when(passes(x), F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["len"]).alias("end"))))
+        return F.filter(spans, lambda x: x.isNotNull())
+
+    cut = lambda found: F.zip_with(F.slice(F.split(text, p.regex, -1), F.lit(1), F.size(found)), found, match)
+    slim = bound(bound(F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)), cut), placed)
     likely = text.rlike(p.guard)
     if p.signs:
         likely = reduce(lambda a, b: a | b, [text.contains(x) for x in p.signs]) & likely
@@ -108,7 +110,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     any_weak = sum((F.size(p.kind) for p in WEAK), F.lit(0)) > 0
     role = F.create_map(*[x for p in PATTERNS for x in (F.lit(p.kind), F.lit(p.role))])
-    parts = found.where(any_weak).select("key_a", "key_b", F.explode(F.array_distinct(labelled(PATTERNS))).alias("s")).select("key_a", "key_b", "s.*").distinct()
+    parts = found.where(any_weak).select("key_a", "key_b", F.explode(F.concat(*[_labelled(p) for p in PATTERNS])).alias("s")).select("key_a", "key_b", "s.*").distinct()
     parts = parts.withColumn("role", role[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / scope).cast("int"))
     bins = parts.groupBy("key_a", "key_b", "bin", "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     weak = parts.where(F.col("kind").startswith("weak_")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
