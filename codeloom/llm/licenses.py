@@ -94,7 +94,8 @@ FALSE_RATE = 0.1
 #: A template that touches a line reaches no further: a line holds a word at least; twice the characters leave room for markers.
 REACH_LINES = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 REACH_CHARS = 2 * max(len(t) for ts in TEMPLATES.values() for t in ts)
-_TOKEN = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
+#: What is no part of a word. Java matches a repeated group by recursion, so words are cut out and not matched.
+_BETWEEN = r"(?<![\p{L}\p{N}])[.-]|[.-](?![\p{L}\p{N}])|[^\p{L}\p{N}.-]"
 
 
 def _words_of(text: str) -> list[str]:
@@ -124,7 +125,7 @@ TELLING = _telling()
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and inner dots and hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+    return F.filter(F.split(F.regexp_replace(F.lower(text), _BETWEEN, " "), " "), lambda x: x != "")
 
 
 def shingles(words: Column, n: int) -> Column:
