@@ -36,6 +36,8 @@ RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
 BATCH = 256
+#: Columns of a presence matrix: a batch takes BATCH + LANDMARKS times so many floats, however large the alphabet.
+COLUMNS = 1 << 13
 
 
 class Grams:
@@ -78,8 +80,12 @@ class Model:
         by = {y: [g for g, z in rows if z == y] for y in self.langs}
         each = max(1, LANDMARKS // len(self.langs))
         marks = [g for y in self.langs for g in by[y][:each]]
-        self.vocab = np.unique(np.concatenate(marks))
-        self.marks = self._presence(marks).T.copy() / np.sqrt([len(g) for g in marks], dtype=np.float32)
+        # The landmarks that hold each gram of theirs, gram by gram.
+        every, own = np.concatenate(marks), np.repeat(np.arange(len(marks), dtype=np.int32), [len(g) for g in marks])
+        order = np.argsort(every, kind="stable")
+        self.vocab, first = np.unique(every[order], return_index=True)
+        self.holders, self.edges = own[order], np.append(first, len(every))
+        self.norms = np.sqrt([len(g) for g in marks], dtype=np.float32)
         k = self._kernel(marks).astype(float)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
         good = values > 1e-6 * values.max()
@@ -90,17 +96,29 @@ class Model:
         gram = (phi * weight[:, None]).T @ phi + RIDGE * len(rows) * np.eye(phi.shape[1]) * values.max() / len(marks) * 1e-2
         self.weights = (root @ np.linalg.solve(gram, (phi * weight[:, None]).T @ y)).astype(np.float32)
 
-    def _presence(self, sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(self.vocab)), np.float32)
-        for i, g in enumerate(sets):
-            at = np.minimum(np.searchsorted(self.vocab, g), len(self.vocab) - 1)
-            out[i, at[self.vocab[at] == g]] = 1
-        return out
-
     def _kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Kernel block of texts against landmarks, as one matrix product a batch."""
-        parts = [self._presence(sets[i : i + BATCH]) @ self.marks for i in range(0, len(sets), BATCH)]
-        return np.concatenate(parts) / np.sqrt([len(g) for g in sets], dtype=np.float32)[:, None]
+        """Kernel block of texts against landmarks: presence matrices of COLUMNS grams that occur, multiplied and added up."""
+        parts = [np.zeros((0, len(self.norms)), np.float32)]
+        for i in range(0, len(sets), BATCH):
+            own = sets[i : i + BATCH]
+            grams, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
+            at = np.minimum(np.searchsorted(self.vocab, grams), len(self.vocab) - 1)
+            known = self.vocab[at] == grams
+            order = np.argsort(at[known], kind="stable")
+            at, row = at[known][order], row[known][order]
+            used, column = np.unique(at, return_inverse=True)
+            shared = np.zeros((len(own), len(self.norms)), np.float32)
+            for c in range(0, len(used), COLUMNS):
+                block, low, high = used[c : c + COLUMNS], *np.searchsorted(column, [c, c + COLUMNS])
+                texts, marks = (np.zeros((n, len(block)), np.float32) for n in shared.shape)
+                texts[row[low:high], column[low:high] - c] = 1
+                n = self.edges[block + 1] - self.edges[block]
+                ends = np.cumsum(n)
+                held = np.repeat(self.edges[block] - ends + n, n) + np.arange(ends[-1])
+                marks[self.holders[held], np.repeat(np.arange(len(block)), n)] = 1
+                shared += texts @ marks.T
+            parts.append(shared / np.sqrt([len(g) for g in own], dtype=np.float32)[:, None])
+        return np.concatenate(parts) / self.norms
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         sets = [self.grams(t) if t else None for t in texts]
@@ -145,7 +163,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keys: tuple = ()) -> DataFrame:
     """(id, lang_pred, score) of every document, then `keys` (columns of longs, see common.row_key)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x vocabulary floats, of a sample of SAMPLE_CHARS characters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the landmarks' grams: three at most for each of SAMPLE_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
