@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.common import ALNUM_WORD, LOWER, gram_hash, materialise, mix, row_key, runs, span_hash, text_view, winnow, without_rows, words
 
@@ -159,8 +160,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lists = spans.groupBy("m", *_SPANS).agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("list", F.md5(F.to_json("items")))
     lists = materialise(lists)
     hits = materialise(extended.join(lists.select("m", *_SPANS, "list"), ["m", *_SPANS]).select(*keys, "m", "start", "list"))
-    reach = F.flatten(F.transform(F.collect_set(F.struct("start", "m")), lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1)))
-    spots = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(reach)).alias("hit_words"))
+    # Of each hit only the words beyond the hits that start before it, so that a word is held once.
+    reach = hits.groupBy(*keys, "start").agg((F.col("start") + F.max("m")).alias("end"))
+    before = F.max("end").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = reach.withColumn("begin", F.greatest("start", F.coalesce(before, F.col("start")))).where("begin < end")
+    spots = fresh.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(F.sequence("begin", F.col("end") - 1)))).alias("hit_words"))
     named = hits.select(*keys, "list").distinct().join(lists.select("list", "items").dropDuplicates(["list"]), "list")
     named = named.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = F.array().cast("array<long>"), F.array().cast("array<string>")
