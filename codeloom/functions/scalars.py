@@ -201,16 +201,69 @@ def is_real_source(c) -> Column:
     return (F.trim(s) != "") & ~s.rlike(SYNTHETIC_SOURCE) & ~s.startswith(BOOK_PREFIX)
 
 
+def _closed(marks: list[tuple[int, str]], strings: bool) -> list[tuple[int, int]]:
+    """(begin, end) of the widest closed brace pairs; with `strings`, braces and quotes inside an object's strings don't count."""
+    opened: list[int] = []
+    found: list[tuple[int, int]] = []
+    quoted = False
+    for at, mark in marks:
+        if mark == '"':
+            quoted = strings and bool(opened) and not quoted
+        elif quoted or mark[0] == "\\":
+            continue
+        elif mark == "{":
+            opened.append(at)
+        elif opened:
+            begin = opened.pop()
+            while found and found[-1][0] > begin:  # inside this one
+                found.pop()
+            found.append((begin, at + 1))
+    return found
+
+
+def _objects(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import json
+    import re
+
+    marks = re.compile(r'\\.|["{}]', re.DOTALL)
+
+    def first(text: str | None) -> str | None:
+        if not text or '"code' not in text:
+            return None
+        found = [(m.start(), m[0]) for m in marks.finditer(text)]
+        for strings in (True, False):
+            for begin, end in _closed(found, strings):
+                own = text[begin:end]
+                if '"codes"' in own or '"code"' in own:
+                    try:
+                        json.loads(own)
+                    except (ValueError, RecursionError):
+                        continue
+                    return own
+        return None
+
+    for s in texts:
+        yield s.map(first)
+
+
+def first_object(c) -> Column:
+    """The first brace-balanced object literal that names codes and parses; null if there is none.
+
+    One pass over braces, quotes and escapes: objects may nest and hold strings with braces. Braces that are never
+    closed don't count; what their stray quotes would hide is looked for again without regard to strings.
+    """
+    return F.pandas_udf(_objects, StringType())(_c(c))
+
+
 def parse_json_answers(c, most: int = 3) -> Column:
     """Codes of the last fenced JSON block that parses; without one, of the first object literal that names codes and parses.
 
-    An object literal may hold others, one level deep. A list `codes` with members counts, else a string `code`.
+    A list `codes` with members counts, else a string `code`.
     """
-    read = lambda a: F.filter(F.transform(a, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
-    fenced = read(F.regexp_extract_all(_c(c), F.lit(FENCED_JSON), F.lit(1)))
-    literals = F.regexp_extract_all(_c(c), F.lit(r"\{(?:[^{}]|\{[^{}]*\})*\}"), F.lit(0))
-    bare = read(F.filter(literals, lambda x: x.contains('"codes"') | x.contains('"code"')))
-    best = F.coalesce(F.try_element_at(fenced, F.lit(-1)), F.try_element_at(bare, F.lit(1)))
+    fenced = F.filter(F.transform(F.regexp_extract_all(_c(c), F.lit(FENCED_JSON), F.lit(1)), lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
+    last = F.try_element_at(fenced, F.lit(-1))
+    bare = F.try_parse_json(first_object(F.when(last.isNull(), _c(c))))
+    best = F.coalesce(last, bare)
     named = F.try_variant_get(best, "$.codes", "array<string>")
     legacy = F.trim(F.try_variant_get(best, "$.code", "string"))
     listed = F.slice(F.filter(F.transform(named, lambda x: F.trim(x)), lambda x: x != ""), 1, most)

@@ -190,28 +190,31 @@ def perturb_fraction(df: DataFrame, id_col: str, text: str, fraction: float, nam
     return df.withColumns({"perturbed": chosen, text: perturb(names, F.col(text), F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), k)})
 
 
-def upsample_codebook(codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333) -> tuple[DataFrame, DataFrame]:
+def upsample_codebook(codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333, names: Sequence[str] = tuple(REGISTRY)) -> tuple[DataFrame, DataFrame]:
     """(rows, counts): the code book with perturbed copies up to `target` for each label, and class counts before and after.
 
-    With k, every copy gets k perturbations; else upsample's own.
+    With k, 1 or more, every copy gets k perturbations; else upsample's own.
     """
     from codeloom.operators.profile import before_after
 
+    if target < 1 or (k is not None and k < 1):
+        raise ValueError("target and perturbations of a copy must be at least 1")
+
     counts = codebook.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     targets = counts.where(F.col("n") < target).withColumn("target", F.lit(target).cast("long"))
     if k is None:
-        rows = upsample(codebook, targets, label, id_col, text, seed=seed)
+        rows = upsample(codebook, targets, label, id_col, text, names, seed=seed)
     else:
         extra = copies(codebook, targets, label, id_col, seed)
         key = F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col("copy").cast("string"))
-        extra = extra.withColumns({"perturbed": F.lit(k > 0), "synthetic": F.lit(True), text: perturb(tuple(REGISTRY), F.col(text), key, F.lit(k))}).drop("n", "target", "copy")
+        extra = extra.withColumns({"perturbed": F.lit(True), "synthetic": F.lit(True), text: perturb(names, F.col(text), key, F.lit(k))}).drop("n", "target", "copy")
         rows = codebook.withColumns({"perturbed": F.lit(False), "synthetic": F.lit(False)}).unionByName(extra)
     return rows, before_after(codebook, rows, label)
 
 
-def inject_codebook(train: DataFrame, codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333) -> DataFrame:
+def inject_codebook(train: DataFrame, codebook: DataFrame, text: str, label: str, id_col: str, target: int, k: int | None = None, seed: int = 333, names: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
     """Train with all code-book rows and perturbed extras up to `target` for each label; adds `injected`."""
-    rows, _ = upsample_codebook(codebook, text, label, id_col, target, k, seed)
+    rows, _ = upsample_codebook(codebook, text, label, id_col, target, k, seed, names)
     return train.withColumn("injected", F.lit(False)).unionByName(rows.withColumn("injected", F.lit(True)), allowMissingColumns=True)
 
 

@@ -139,12 +139,15 @@ def override_mismatches(df: DataFrame, overrides: DataFrame) -> DataFrame:
     return df.join(o, ["source_id", "record_id"]).where("NOT (old_label <=> label)").select("source_id", "record_id", "label", "old_label")
 
 
-def apply_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Exact (source, record) overrides after the rules; an old label that differs raises."""
+def apply_overrides(df: DataFrame, overrides: DataFrame, codes: str = "y_codes", separator: str = ",") -> DataFrame:
+    """Exact (source, record) overrides after the rules, of the label and, where there is such a column, of the codes; an old label that differs raises."""
     twice = overrides.groupBy("source_id", "record_id").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"override given twice: {twice[0][0]}, {twice[0][1]}")
     if bad := override_mismatches(df, overrides).limit(5).collect():
         raise ValueError(f"old labels differ: {[(r['source_id'], r['record_id']) for r in bad]}")
     o = overrides.select("source_id", "record_id", "new_label")
-    return df.join(o, ["source_id", "record_id"], "left").withColumn("label", F.coalesce("new_label", "label")).drop("new_label")
+    out = df.join(o, ["source_id", "record_id"], "left")
+    new = F.filter(F.transform(F.split("new_label", F.lit(f"\\Q{separator}\\E")), lambda x: F.trim(x)), lambda x: x != "")
+    own = {codes: F.when(F.col("new_label").isNotNull(), new).otherwise(F.col(codes))} if codes in df.columns else {}
+    return out.withColumns(own | {"label": F.coalesce("new_label", "label")}).drop("new_label")

@@ -178,6 +178,20 @@ def parse_json_answers(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(S.parse_json_answers(raw), ",").alias("codes"))
 
 
+@query("nested_answers", """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 4 THEN '' ELSE concat('A01.', lpad(CAST(turn % 10 AS VARCHAR), 3, '0')) END AS codes FROM conversations""")
+def nested_answers(spark, sf):
+    """Objects three deep, braces and quotes in strings, whole turns as strings, unclosed braces and quotes around."""
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    code = F.concat(F.lit("A01."), F.lpad((F.col("turn") % 10).cast("string"), 3, "0"))
+    said = F.to_json(F.struct(F.repeat("text", 20).alias("why"), F.lit('a } " { b').alias("note")))
+    deep = F.concat(F.lit('I think " that {"of": {"x": {"y": '), said, F.lit('}}, "codes": ["'), code, F.lit('"]} or {"code": "Z99.999"}'))
+    loose = F.concat(F.lit('open { and "so" {"why": '), said, F.lit(', "code": "'), code, F.lit('"}'))
+    escaped = F.concat(F.lit('{"t": "\\\\", "u": "\\"}", "codes": ["'), code, F.lit('"], "v": {"w": {}}}'))
+    broken = F.lit('{"codes": [} {"code": {"a": ]}} {"nothing": {"codes": {}}')
+    raw = F.when(k == 0, deep).when(k == 1, loose).when(k == 2, escaped).when(k == 3, F.concat(F.lit("}} "), deep)).otherwise(broken)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(S.parse_json_answers(raw), ",").alias("codes"))
+
+
 @query("answers_by_shape", "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'C02.000' WHEN (conv_id + turn) % 3 = 1 THEN 'A01.000,B02.000' ELSE 'L09.100' END AS valid, CASE WHEN (conv_id + turn) % 3 = 1 THEN 'x1' ELSE '' END AS invalid FROM conversations")
 def answers_by_shape(spark, sf):
     k = (F.col("conv_id") + F.col("turn")) % 3
@@ -231,11 +245,11 @@ def apply_rules(spark, sf):
     return C.apply_rules(d, RULES).select("record_id", F.array_join("y_codes", ",").alias("label"), "rule")
 
 
-@query("apply_overrides", DOC + "SELECT record_id, CASE WHEN CAST(record_id AS BIGINT) % 50 = 0 THEN 'Z00.000' ELSE label END AS label FROM doc_records")
+@query("apply_overrides", DOC + "SELECT record_id, CASE WHEN CAST(record_id AS BIGINT) % 50 = 0 THEN 'Z00.000,Y11.100' ELSE label END AS label, CASE WHEN CAST(record_id AS BIGINT) % 50 = 0 THEN 'Z00.000;Y11.100' ELSE label END AS codes FROM doc_records")
 def apply_overrides(spark, sf):
-    d = view(spark, sf, "doc_records").select("source_id", "record_id", "label")
-    o = d.where("CAST(record_id AS BIGINT) % 50 = 0").select("source_id", "record_id", F.col("label").alias("old_label"), F.lit("Z00.000").alias("new_label"))
-    return C.apply_overrides(d, o).select("record_id", "label")
+    d = view(spark, sf, "doc_records").select("source_id", "record_id", "label", F.array("label").alias("y_codes"))
+    o = d.where("CAST(record_id AS BIGINT) % 50 = 0").select("source_id", "record_id", F.col("label").alias("old_label"), F.lit("Z00.000,Y11.100").alias("new_label"))
+    return C.apply_overrides(d, o).select("record_id", "label", F.array_join("y_codes", ";").alias("codes"))
 
 
 @query("override_mismatches", DOC + "SELECT record_id, label FROM doc_records WHERE CAST(record_id AS BIGINT) % 100 = 0")
@@ -508,6 +522,19 @@ def prepare_splits(spark, sf):
     return split_counts(P.prepare_splits(d, plan, group=F.lower("text")))
 
 
+_INJECTED = ctes("codebook") + f""", b AS (SELECT code, description AS t, unnest(range(3)) AS copy FROM codebook),
+s AS (SELECT *, CAST(floor({_U.format("concat('333:book:', code, ':', copy, ':1:p')")} * (length(t) - 1)) AS BIGINT) AS i FROM b)
+SELECT code AS label, sha256(CASE WHEN copy = 0 THEN t ELSE concat(left(t, i), substr(t, i + 2, 1), substr(t, i + 1, 1), substr(t, i + 3)) END) AS digest, copy > 0 AS perturbed, copy > 0 AS synthetic, 'train' AS split FROM s"""
+
+
+@query("prepare_splits_injected", _INJECTED)
+def prepare_splits_injected(spark, sf):
+    """The injected texts themselves: every code-book row and two copies, each with one swap."""
+    d = view(spark, sf, "doc_records").drop("split", "lang")
+    out = P.prepare_splits(d, Plan(inject=3, inject_names=("swap",)), codebook=_book(spark, sf))
+    return out.where("injected").select("label", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "perturbed", "synthetic", "split")
+
+
 @query("perturbation_impact")
 def perturbation_impact(spark, sf):
     return A.perturbation_impact(table(spark, sf, "part"), "p_partkey", "p_name")
@@ -817,6 +844,19 @@ def register_row_numbers(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i").alias("ids"), F.min("i").alias("least"), F.max("i").alias("most"))
 
 
+_NOTED = """concat(chr(39), ' "', text, '" ', chr(10), '; "",', CASE WHEN k = 1 THEN '' ELSE chr(13) || chr(10) || '\\"' END, text)"""
+
+
+@query("quoted_register", f"""SELECT doc_id, k, lang, sha256({_NOTED}) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'a "b' END AS note FROM documents, (SELECT unnest(range(3)) AS k)""")
+def quoted_register(spark, sf):
+    """Whole texts with quotes, separators and line breaks, written and read again in ranges."""
+    d = table(spark, sf, "documents").withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
+    noted = F.expr(_NOTED.replace("text,", "coalesce(text, ''),").replace(", text)", ", coalesce(text, ''))").replace("'\\\"'", "'\\\\\"'"))
+    d = d.select("doc_id", "k", "lang", noted.alias("words"), F.when(F.col("doc_id") % 3 == 0, 'a "b').alias("note"))
+    back = I.read_delimited(spark, I.Source("docs", _written(spark, d, "csv"), I.Mapping(text=3)))
+    return back.select(F.col("doc_id").cast("long"), F.col("k").cast("long"), "lang", F.sha2(F.col("words").cast("binary"), 256).alias("digest"), "note")
+
+
 @query("scoring_input", "SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS own, count(*) FILTER (WHERE c_custkey % 2 = 1) AS filled, count(*) AS ids FROM customer")
 def scoring_input(spark, sf):
     d = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("k"), F.col("c_custkey").cast("string"))).otherwise(" ").alias("record_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("text"))

@@ -14,7 +14,10 @@ from codeloom.operators import splits as E
 
 @dataclass(frozen=True)
 class Plan:
-    """What to hold out, leave out, sample, split, synthesise, balance and inject; the last three in train only."""
+    """What to hold out, leave out, sample, split, synthesise, balance and inject; the last three in train only.
+
+    `inject` is the least number of code-book rows for each label, `inject_steps` how many perturbations a copy gets.
+    """
 
     sizes: dict[str, float] = field(default_factory=lambda: {"train": 0.9, "val": 0.05, "test": 0.05})
     holdout: str | None = None
@@ -26,6 +29,8 @@ class Plan:
     decay: float = 0.0
     perturb: float = 0.0
     inject: int = 0
+    inject_steps: int = 1
+    inject_names: tuple[str, ...] = tuple(A.REGISTRY)
     seed: int = 333
 
 
@@ -78,7 +83,7 @@ def prepare_splits(df: DataFrame, plan: Plan, id_col: str = "record_id", text: s
     if plan.floor or plan.perturb:
         train = balance_policy(train, plan, id_col, text)
     if plan.inject and codebook is not None:
-        extra = A.inject_codebook(codebook.limit(0).select(id_col, "label", text), codebook.select(id_col, "label", text), text, "label", id_col, plan.inject, plan.seed)
+        extra = A.inject_codebook(codebook.limit(0).select(id_col, "label", text), codebook.select(id_col, "label", text), text, "label", id_col, plan.inject, k=plan.inject_steps, seed=plan.seed, names=plan.inject_names)
         train = train.unionByName(extra.withColumn("split", F.lit("train")), allowMissingColumns=True)
     out = train.unionByName(others, allowMissingColumns=True)
     if held is not None:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as S
+from codeloom.sources import delimited
 
 #: The canonical record.
 RECORD = T.StructType([T.StructField(c, T.ArrayType(T.StringType()) if c == "y_codes" else T.StringType()) for c in ("source_id", "record_id", "source_path", "text", "y_codes", "label")])
@@ -56,24 +57,14 @@ def file_type(path: str, given: str | None = None) -> str:
 
 
 def read_delimited(spark: SparkSession, source: Source) -> DataFrame:
-    """All columns as strings. Rows longer than the first are dropped, shorter ones filled with nulls.
+    """All columns as strings, fields as Python's csv reader has them. Rows longer than the first are dropped, shorter ones filled with nulls.
 
     Rows keep their file order in `_row` (from 0 after the header).
     """
     kind = file_type(source.path, source.file_type)
     if kind not in SEPARATORS:
         raise ValueError(f"{kind} isn't delimited")
-    options = {"sep": source.sep or SEPARATORS[kind], "encoding": source.encoding, "header": str(source.header).lower(), "multiLine": "false"}
-    options["columnPruning"] = "false"  # rows are malformed or not whichever columns are asked for
-    probe = spark.read.options(**options).csv(source.path)
-    names = probe.columns
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("_bad", T.StringType())])
-    df = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema="true").schema(schema).csv(source.path)
-    n = len(names)
-    unquoted = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "q")
-    parts = F.size(F.split(unquoted, F.lit("\\Q" + options["sep"] + "\\E"), -1))
-    kept = df.where(F.col("_bad").isNull() | (parts <= n))
-    return with_row_number(kept.drop("_bad"))
+    return delimited.read(spark, source.path, source.sep or SEPARATORS[kind], source.encoding, source.header)
 
 
 def with_row_number(df: DataFrame, name: str = "_row") -> DataFrame:
@@ -157,7 +148,7 @@ def read_scoring_input(spark: SparkSession, path: str, text: str = "text") -> Da
     if kind == "txt":
         df = spark.read.text(path).withColumnRenamed("value", text)
     elif kind in SEPARATORS:
-        df = spark.read.options(sep=SEPARATORS[kind], header="true").csv(path)
+        df = delimited.read(spark, path, SEPARATORS[kind])
     else:
         df = spark.read.parquet(path) if kind == "parquet" else spark.read.json(path)
     if text not in df.columns:
@@ -165,7 +156,8 @@ def read_scoring_input(spark: SparkSession, path: str, text: str = "text") -> Da
     if df.isEmpty():
         raise ValueError("no rows to score")
     own = F.trim(F.col("record_id").cast("string")) if "record_id" in df.columns else F.lit("")
-    d = with_row_number(df.withColumn("_id", own))
+    d = df.withColumn("_id", own)
+    d = d if kind in SEPARATORS else with_row_number(d)
     row = F.concat(F.lit("row-"), S.padded(F.col("_row") + 1, 6))
     return d.withColumns({"record_id": F.when(F.coalesce("_id", F.lit("")) == "", row).otherwise(F.col("_id")), text: F.coalesce(F.col(text).cast("string"), F.lit(""))}).drop("_id", "_row")
 
@@ -173,7 +165,8 @@ def read_scoring_input(spark: SparkSession, path: str, text: str = "text") -> Da
 def write_by_extension(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     kind = file_type(path)
     if kind in SEPARATORS:
-        df.write.mode(mode).options(sep=SEPARATORS[kind], header="true").csv(path)
+        # Quotes are doubled and white space is kept, as other csv readers expect.
+        df.write.mode(mode).options(sep=SEPARATORS[kind], header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     elif kind == "parquet":
         df.write.mode(mode).parquet(path)
     else:
