@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def on_slices(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with a frame of one row a slice; a null slice meets the null slice. Without slices, right is one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))  # one row
+    own = right.withColumnsRenamed({c: f"_on_{c}" for c in by})
+    test = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in by])
+    return left.join(own, test, how).drop(*[f"_on_{c}" for c in by])
+
+
 def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Adds `rank` (from 1) in the given order, within each combination of `by`, and running sums.
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.operators.metrics import ratio
-from codeloom.operators.ordering import ranked
+from codeloom.operators.ordering import on_slices, ranked, settled
+
+#: Slices whose grids are broadcast; beyond them they are joined.
+SLICES = 10_000
 
 
 def orient(signal: str, c: Column) -> Column:
@@ -28,16 +31,20 @@ def curve(df: DataFrame, score: str, correct: str, id_col: str, by: Sequence[str
     slim = df.select(*by, F.col(id_col).alias("_id"), F.col(score).alias("_score"), F.col(correct).cast("double").alias("_hit"))
     r = ranked(slim, [F.col("_score").desc(), F.col("_id").asc()], {"hits": F.col("_hit")}, by)
     total = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row without slices
+    joined = on_slices(r, total, by)
     accuracy = F.col("hits") / F.col("rank")
     return joined.select(*by, F.col("_id").alias(id_col), F.col("_score").alias("score"), "rank", "n", (F.col("rank") / F.col("n")).alias("coverage"), accuracy.alias("accuracy"), (1 - accuracy).alias("risk"))
 
 
-def aurc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _area() -> Column:
     """Trapezoids of the risk over coverage; with steps of 1/n that is the mean risk less half the ends."""
     n = F.max("n")
     ends = F.sum(F.when((F.col("rank") == 1) | (F.col("rank") == F.col("n")), F.col("risk") / 2).otherwise(0.0)) + F.when(n == 1, F.max("risk") / 2).otherwise(0.0)
-    return points.groupBy(*by).agg(F.round((F.sum("risk") - ends) / n, 9).alias("aurc"))
+    return F.round((F.sum("risk") - ends) / n, 9).alias("aurc")
+
+
+def aurc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return points.groupBy(*by).agg(_area())
 
 
 def rc_curve(points: DataFrame, coverages: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -67,8 +74,7 @@ def rc_metric(df: DataFrame, score: str, id_col: str, metric: Column, coverages:
     """
     r = ranked(df, [F.col(score).desc(), F.col(id_col).asc()], by=by)
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row without slices
-    r = r.withColumn("coverage", F.explode(F.array(*[F.lit(float(c)) for c in coverages])))
+    r = on_slices(r, total, by).withColumn("coverage", F.explode(F.array(*[F.lit(float(c)) for c in coverages])))
     keep = F.when(F.col("coverage") >= 1, F.col("_n")).when(F.col("coverage") <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("coverage") * F.col("_n"))))
     return r.where(F.col("rank") <= keep).groupBy(*by, "coverage").agg(F.count(F.lit(1)).alias("n_kept"), metric.alias("value"))
 
@@ -77,15 +83,21 @@ def coverage_at_threshold(df: DataFrame, score: str, threshold: float, by: Seque
     return df.groupBy(*by).agg(F.avg((F.col(score) >= threshold).cast("int")).alias("coverage"))
 
 
+def _coverages_at(targets: Sequence[float]) -> list[Column]:
+    return [F.coalesce(F.max(F.when(F.col("accuracy") >= t, F.col("coverage"))), F.lit(0.0)).alias(f"coverage_at_{round(t * 100)}") for t in targets]
+
+
+def _accuracies_at(coverages: Sequence[float]) -> list[Column]:
+    return [F.max_by("accuracy", F.when(F.col("coverage") <= c + 1e-12, F.col("rank"))).alias(f"accuracy_at_{round(c * 100)}") for c in coverages]
+
+
 def coverage_at_accuracy(points: DataFrame, targets: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The largest coverage at which the accuracy is still the target, 0 if there is none."""
-    cols = [F.coalesce(F.max(F.when(F.col("accuracy") >= t, F.col("coverage"))), F.lit(0.0)).alias(f"coverage_at_{round(t * 100)}") for t in targets]
-    return points.groupBy(*by).agg(*cols)
+    return points.groupBy(*by).agg(*_coverages_at(targets))
 
 
 def accuracy_at_coverage(points: DataFrame, coverages: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    cols = [F.max_by("accuracy", F.when(F.col("coverage") <= c + 1e-12, F.col("rank"))).alias(f"accuracy_at_{round(c * 100)}") for c in coverages]
-    return points.groupBy(*by).agg(*cols)
+    return points.groupBy(*by).agg(*_accuracies_at(coverages))
 
 
 def reliability(df: DataFrame, confidence: str, correct: str, bins: int = 15, by: Sequence[str] = ()) -> DataFrame:
@@ -112,18 +124,24 @@ def _search(evaluate, low: float, high: float, rounds: int, width: int) -> float
     return math.sqrt(low * high)
 
 
-def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str] = (), low: float = 0.05, high: float = 50.0, rounds: int = 4, width: int = 100) -> dict[tuple, float]:
+def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str] = (), low: float = 0.05, high: float = 50.0, rounds: int = 8, width: int = 16) -> dict[tuple, float]:
     """For each slice the temperature at which sigmoid(score / T) has the least cross-entropy.
 
     That is where the gradient changes sign: a grid of temperatures is tried in one job a round, and the next
     grid lies between the neighbours with other signs. If the ends have the same sign, the temperature is 1.
+    Equal scores are counted first and the counts settled, so that a round reads only those. The driver holds a
+    number a slice, as its result does.
     """
+    x, y, n = F.col("_x"), F.col("_y"), F.col("_w")
+    slim = df.select(*by, F.col(score).cast("double").alias("_x"), F.col(correct).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    slim = settled(slim.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_w")))
 
     def gradients(grid: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
-        table = df.sparkSession.createDataFrame([(*k, v) for k, v in grid.items()], df.select(*by).schema.add("_grid", T.ArrayType(T.DoubleType()))) if by else None
-        d = df.join(F.broadcast(table), list(by)) if by else df.withColumn("_grid", F.array(*map(F.lit, grid[()])))  # a row a slice, which the driver holds anyway
-        x, y = F.col(score).cast("double"), F.col(correct).cast("double")
-        cols = [F.avg((1 / (1 + F.exp(-x / F.col("_grid")[i])) - y) * x).alias(f"_{i}") for i in range(width + 1)]
+        d = slim.withColumn("_grid", F.array(*map(F.lit, grid[()]))) if not by else None
+        if by:
+            table = df.sparkSession.createDataFrame([(*k, v) for k, v in grid.items()], T.StructType([*df.select(*by).schema.fields, T.StructField("_grid", T.ArrayType(T.DoubleType()))]))
+            d = on_slices(slim, F.broadcast(table) if len(grid) <= SLICES else table, by)
+        cols = [F.sum(n * (1 / (1 + F.exp(-x / F.col("_grid")[i])) - y) * x).alias(f"_{i}") for i in range(width + 1)]
         return {tuple(r[: len(by)]): list(r[len(by) :]) for r in d.groupBy(*by).agg(*cols).collect() if r[len(by)] is not None}
 
     slices = [tuple(r) for r in df.select(*by).distinct().collect()] if by else [()]
@@ -186,23 +204,23 @@ def stacked(df: DataFrame, signals: Sequence[str], keep: Sequence[str]) -> DataF
 
 def signal_report(df: DataFrame, signals: Sequence[str], correct: str, id_col: str, bins: int = 15) -> DataFrame:
     """AURC, coverage at 95 and 99 % accuracy, calibration error before and after scaling, and the temperature of each signal, best first."""
-    both = stacked(df, signals, [id_col, correct])
+    both = settled(stacked(df, signals, [id_col, correct]))  # read by the curve, the temperatures and the calibration errors
     points = curve(both, "score", correct, id_col, ["signal"])
     fitted = fit_temperatures(both, "score", correct, ["signal"])
     t = F.element_at(F.create_map(*[F.lit(x) for k, v in fitted.items() for x in (k[0], v)]), F.col("signal"))
     stages = F.explode(F.array(F.struct(F.lit("ece_raw").alias("stage"), F.lit(1.0).alias("t")), F.struct(F.lit("ece_calibrated").alias("stage"), t.alias("t"))))
     d = both.withColumn("_s", stages).select("signal", correct, F.col("_s.stage").alias("stage"), (1 / (1 + F.exp(-F.col("score") / F.col("_s.t")))).alias("_p"))
     errors = ece(reliability(d, "_p", correct, bins, ["signal", "stage"]), ["signal", "stage"]).groupBy("signal").pivot("stage", ["ece_raw", "ece_calibrated"]).agg(F.max("ece"))
-    out = aurc(points, ["signal"]).join(coverage_at_accuracy(points, (0.95, 0.99), ["signal"]), "signal").join(errors, "signal")
+    out = points.groupBy("signal").agg(_area(), *_coverages_at((0.95, 0.99))).join(errors, "signal")
     return out.withColumn("temperature", t).orderBy("aurc", "signal")
 
 
 def loso_report(df: DataFrame, source: str, score: str, correct: str, id_col: str, expected: dict[str, float] | None = None) -> DataFrame:
     """Accuracy, AURC, retained accuracy and coverages of each source and pooled; with expected accuracies, the difference and a verdict."""
-    both = df.withColumn("slice", F.explode(F.array(F.col(source), F.lit("pooled"))))
+    both = settled(df.select(F.explode(F.array(F.col(source), F.lit("pooled"))).alias("slice"), score, correct, id_col))
     points = curve(both, score, correct, id_col, ["slice"])
     head = both.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("int")).alias("accuracy"))
-    out = head.join(aurc(points, ["slice"]), "slice").join(accuracy_at_coverage(points, (0.8, 0.9), ["slice"]), "slice").join(coverage_at_accuracy(points, (0.95, 0.99), ["slice"]), "slice")
+    out = on_slices(head, points.groupBy("slice").agg(_area(), *_accuracies_at((0.8, 0.9)), *_coverages_at((0.95, 0.99))), ["slice"])
     if not expected:
         return out
     known = F.try_element_at(F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]), F.col("slice"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.scalars import keyed_hash, uniform
-from codeloom.operators.ordering import ranked
+from codeloom.operators.selection import between
 
 
 def split_of(draw: Column, sizes: dict[str, float]) -> Column:
@@ -47,13 +47,10 @@ def assert_no_group_leak(df: DataFrame, group: Column) -> None:
 
 
 def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 333) -> DataFrame:
-    """max(1, round(N f)) rows, by hash order (halves round to even)."""
+    """max(1, round(N f)) rows, by hash order (halves round to even). Rows are counted and filtered, never sorted."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    n = df.count()
-    want = max(1, round(n * fraction)) if n else 0
-    d = df.withColumn("_h", keyed_hash(seed, F.col(id_col)))
-    return ranked(d, [F.col("_h").asc(), F.col(id_col).asc()]).where(F.col("rank") <= want).drop("_h", "rank")
+    return between(df, keyed_hash(seed, F.col(id_col)), F.greatest(F.lit(1), F.rint(F.col("_n") * fraction)))
 
 
 def holdout_eval_sample(held: DataFrame, id_col: str, fraction: float | None, seed: int = 333) -> DataFrame:
@@ -68,8 +65,10 @@ def single_label_sample(df: DataFrame, id_col: str, codes: str, fraction: float,
 
 def stable_batch(df: DataFrame, id_col: str, start: int, n: int, seed: int = 333) -> DataFrame:
     """Rows start .. start+n-1 of a fixed shuffle; batches don't overlap."""
-    d = df.withColumn("_h", keyed_hash(seed, F.col(id_col)))
-    return ranked(d, [F.col("_h").asc(), F.col(id_col).asc()]).where((F.col("rank") > start) & (F.col("rank") <= start + n)).drop("_h", "rank")
+    if start < 0 or n < 1:
+        raise ValueError("a batch has a row or more, from 0 on")
+    # A start beyond the rows leaves nothing: the last row isn't beyond itself.
+    return between(df, keyed_hash(seed, F.col(id_col)), F.lit(start + n), F.lit(start) if start else None)
 
 
 def ledger(old: DataFrame, batch: DataFrame, id_col: str) -> DataFrame:
@@ -78,11 +77,8 @@ def ledger(old: DataFrame, batch: DataFrame, id_col: str) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, strata: str, id_col: str, fraction: float, seed: int = 333) -> DataFrame:
-    """round(N f) rows of each stratum, by hash order; ranks are worked out by ranges, so a stratum may be huge."""
-    sizes = df.groupBy(strata).agg(F.rint(F.count(F.lit(1)) * fraction).cast("long").alias("_want"))
-    d = df.withColumn("_h", keyed_hash(seed, F.col(id_col)))
-    r = ranked(d, [F.col("_h").asc(), F.col(id_col).asc()], by=[strata])
-    return r.join(sizes, strata).where(F.col("rank") <= F.col("_want")).drop("_h", "rank", "_want")
+    """round(N f) rows of each stratum (null is one), by hash order; a stratum may be huge."""
+    return between(df, keyed_hash(seed, F.col(id_col)), F.rint(F.col("_n") * fraction), by=[strata])
 
 
 def partition_holdout(df: DataFrame, source: str, col: str = "source_id") -> tuple[DataFrame, DataFrame]:

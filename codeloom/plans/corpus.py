@@ -294,6 +294,12 @@ def stable_batch(spark, sf):
     return E.stable_batch(table(spark, sf, "documents").select("doc_id"), "doc_id", 50, 100)
 
 
+@query("null_stratum_sample", "SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY md5(concat('333:', doc_id)), doc_id) AS r, count(*) OVER (PARTITION BY s) AS n FROM (SELECT doc_id, nullif(nullif(source, 'src0'), 'src1') AS s FROM documents) e) d WHERE r <= round_even(n * 0.3, 0)")
+def null_stratum_sample(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.nullif(F.nullif("source", F.lit("src0")), F.lit("src1")).alias("s"))
+    return E.stratified_sample(d, "s", "doc_id", 0.3)
+
+
 @query("stratified_sample", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('333:', doc_id)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) d WHERE r <= round_even(n * 0.1, 0)")
 def stratified_sample(spark, sf):
     return E.stratified_sample(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 0.1)

@@ -8,6 +8,7 @@ from codeloom.functions import scalars as S
 from codeloom.operators import leakage as L
 from codeloom.operators import metrics as M
 from codeloom.operators import selective as P
+from codeloom.operators.ordering import on_slices
 from codeloom.plans.views import ctes, pairs, table, view
 
 QUERIES, ORACLES = {}, {}
@@ -558,6 +559,38 @@ def loso_report(spark, sf):
     return rounded(out, "accuracy", "accuracy_at_80", "accuracy_at_90", "coverage_at_95", "coverage_at_99", "delta")
 
 
+# --- slices of null ------------------------------------------------------------------------------------------------------
+_NULLED = RECORDS + """, nl AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, code, is_gold, is_pred FROM eval_long),
+nr AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, score, correct, n_gold, n_pred, tp FROM eval_records)
+"""
+
+
+def _nulled(d):
+    return d.withColumn("slice", F.nullif("source_id", F.lit("5-LOW"))).drop("source_id")
+
+
+@query("null_slice_metrics", _NULLED + """, k AS (SELECT slice, code, sum(is_gold * is_pred) AS tp, sum(is_gold) AS g, sum(is_pred) AS p FROM nl GROUP BY slice, code),
+m AS (SELECT slice, count(*) AS classes, round(avg(2.0::DOUBLE * tp / (g + p)), 9) AS macro_f1 FROM k GROUP BY slice)
+SELECT r.slice, count(*) AS n, round(avg(correct), 9) AS accuracy, round(2.0::DOUBLE * sum(tp) / (sum(n_gold) + sum(n_pred)), 9) AS micro_f1, max(classes) AS classes, max(macro_f1) AS macro_f1,
+ round(sum(n_gold + n_pred - 2 * tp)::DOUBLE / count(*) / max(classes), 9) AS hamming_loss, round(avg(abs(n_gold - n_pred)), 9) AS count_mae, CAST(sum(correct) AS BIGINT) AS correct FROM nr r JOIN m ON r.slice IS NOT DISTINCT FROM m.slice GROUP BY r.slice""")
+def null_slice_metrics(spark, sf):
+    d = _nulled(pairs(spark, sf))
+    figures = M.metric_set(d, ["slice"]).select("slice", "n", "accuracy", "micro_f1", "classes", "macro_f1")
+    more = M.diagnostics(d, ["slice"]).select("slice", "hamming_loss", "count_mae")
+    hits = M.per_source_accuracy(d, "slice").where("coalesce(slice, '') <> 'overall'").select("slice", "correct")
+    return rounded(on_slices(on_slices(figures, more, ["slice"]), hits, ["slice"]), "accuracy", "micro_f1", "macro_f1", "hamming_loss", "count_mae")
+
+
+@query("null_slice_curves", _NULLED + """, c AS (SELECT slice, row_number() OVER w AS rank, count(*) OVER (PARTITION BY slice) AS n, sum(correct) OVER (PARTITION BY slice ORDER BY score DESC, record_id ROWS UNBOUNDED PRECEDING) AS hits FROM nr WINDOW w AS (PARTITION BY slice ORDER BY score DESC, record_id)),
+q AS (SELECT slice, rank, n, rank::DOUBLE / n AS coverage, hits::DOUBLE / rank AS accuracy, 1 - hits::DOUBLE / rank AS risk FROM c),
+t AS (SELECT *, (risk + lag(risk) OVER (PARTITION BY slice ORDER BY rank)) / 2 / n AS a FROM q)
+SELECT slice, round(sum(a), 9) AS aurc, round(arg_max(accuracy, CASE WHEN coverage <= 0.8 + 1e-12 THEN rank END), 9) AS accuracy_at_80, round(coalesce(max(CASE WHEN accuracy >= 0.5 THEN coverage END), 0), 9) AS coverage_at_50 FROM t GROUP BY slice""")
+def null_slice_curves(spark, sf):
+    points = P.curve(_nulled(view(spark, sf, "eval_records")), "score", "correct", "record_id", ["slice"])
+    out = on_slices(P.aurc(points, ["slice"]), P.accuracy_at_coverage(points, (0.8,), ["slice"]), ["slice"])
+    return rounded(on_slices(out, P.coverage_at_accuracy(points, (0.5,), ["slice"]), ["slice"]), "accuracy_at_80", "coverage_at_50")
+
+
 @query("defer_or_accept", RECORDS + "SELECT record_id, CASE WHEN score >= -10 THEN 'accept' ELSE 'review' END AS decision FROM eval_records")
 def defer_or_accept(spark, sf):
     return P.defer_or_accept(view(spark, sf, "eval_records"), "score", -10.0).select("record_id", "decision")
