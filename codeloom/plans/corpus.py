@@ -21,7 +21,8 @@ from codeloom.plans import prepare as P
 from codeloom.plans.prepare import Plan, split_counts
 from codeloom.plans.views import ctes, pairs, table, view
 from codeloom.sources import files as I
-from codeloom.streaming.incremental import score_batch, score_stream
+from codeloom.sources import store
+from codeloom.streaming.incremental import read_log, score_batch, score_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -888,25 +889,39 @@ def stored_by_fingerprint(spark, sf):
     return I.materialise_by_fingerprint(lambda: d.limit(0), root, key, spark, ("train", "test"), settings | {"log": "other"}, ["log"]).select("c_custkey", "split")
 
 
+@query("stored_by_source", "SELECT 'a' AS source, c_custkey AS k, 'one' AS made FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'b', c_custkey, 'two' FROM customer WHERE c_custkey % 3 = 1")
+def stored_by_source(spark, sf):
+    """Two sources stored, one of them changed: only that one is made again."""
+    root, c = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", table(spark, sf, "customer")
+    make = lambda name, i, made: lambda: c.where(F.col("c_custkey") % 3 == i).select(F.lit(name).alias("source"), F.col("c_custkey").alias("k"), F.lit(made).alias("made"))
+    store.kept_by_source(spark, root, {"a": ("f1", make("a", 0, "one")), "b": ("f1", make("b", 1, "one"))})
+    return store.kept_by_source(spark, root, {"a": ("f1", make("a", 0, "two")), "b": ("f2", make("b", 1, "two"))})
+
+
 @query("resumed_scores", "SELECT c_custkey, lower(c_name) AS out FROM customer")
 def resumed_scores(spark, sf):
+    """Repeated and missing ids among the requests, and three runs."""
     log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     d = table(spark, sf, "customer").select("c_custkey", "c_name")
+    odd = d.unionByName(d.where("c_custkey % 4 = 0")).unionByName(d.where("c_custkey % 7 = 0").withColumn("c_custkey", F.lit(None).cast("long")))
     score = lambda x: x.select("c_custkey", F.lower("c_name").alias("out"))
-    for part in (d.where("c_custkey % 3 = 0"), d, d):
+    for part in (odd.where("c_custkey % 3 = 0"), odd, odd):
         score_batch(part, log, score, "c_custkey")
-    return spark.read.parquet(log)
+    return read_log(spark, log)
 
 
 @query("streamed_scores", "SELECT c_custkey, lower(c_name) AS out FROM customer")
 def streamed_scores(spark, sf):
+    """A batch, then a stream that is stopped and started again over repeated requests."""
     log = f"{shared_folder(spark)}/slog-{uuid.uuid4().hex}"
     d = table(spark, sf, "customer").select("c_custkey", "c_name")
     score = lambda x: x.select("c_custkey", F.lower("c_name").alias("out"))
     score_batch(d.where("c_custkey % 5 = 0"), log, score, "c_custkey")
-    path = _written(spark, d, "parquet")
-    score_stream(spark.readStream.schema(d.schema).parquet(path), log, f"{log}-state", score, "c_custkey").awaitTermination()
-    return spark.read.parquet(log)
+    path = f"{log}-requests"
+    for part in (d.where("c_custkey % 2 = 0"), d.unionByName(d.where("c_custkey % 3 = 0"))):
+        part.write.mode("append").parquet(path)
+        score_stream(spark.readStream.schema(d.schema).parquet(path), log, f"{log}-state", score, "c_custkey").awaitTermination()
+    return read_log(spark, log)
 
 
 @query("split_bundle", LONG + "SELECT count(DISTINCT record_id) AS n, CAST(0 AS INTEGER) AS problems FROM eval_long")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as S
-from codeloom.sources import delimited
+from codeloom.sources import delimited, store
 
 #: The canonical record.
 RECORD = T.StructType([T.StructField(c, T.ArrayType(T.StringType()) if c == "y_codes" else T.StringType()) for c in ("source_id", "record_id", "source_path", "text", "y_codes", "label")])
@@ -194,25 +194,8 @@ def signature(spark: SparkSession, path: str) -> list[dict]:
 
 
 def materialise_by_fingerprint(df_of, root: str, key: str, spark: SparkSession, splits: Sequence[str] = (), settings: dict | None = None, ignore: Sequence[str] = ()) -> DataFrame:
-    """The stored result of this key, if it is complete and was made with these settings; else a new one.
-
-    A split is a partition. Settings named in `ignore` don't affect the content and aren't compared.
-    """
-    path = f"{root.rstrip('/')}/key={key}"
-    own = json.dumps({k: v for k, v in (settings or {}).items() if k not in ignore}, sort_keys=True)
-    try:
-        meta = spark.read.schema("key string, settings string").json(f"{path}/_meta.json").first()
-        stored = spark.read.parquet(f"{path}/data")
-        whole = not splits or set(splits) <= {r[0] for r in stored.select("split").distinct().collect()}
-        if meta is not None and (meta["key"], meta["settings"]) == (key, own) and whole:
-            return stored
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    writer = df_of().write.mode("overwrite")
-    (writer.partitionBy("split") if splits else writer).parquet(f"{path}/data")
-    spark.createDataFrame([(key, own)], "key string, settings string").coalesce(1).write.mode("overwrite").json(f"{path}/_meta.json")
-    return spark.read.parquet(f"{path}/data")
+    """The stored result of this key, if one was committed with these settings; else a new one (see store.kept)."""
+    return store.kept(spark, root, key, df_of, settings, splits, ignore)
 
 
 def write_split_bundle(predictions: DataFrame, rows: DataFrame, curves: DataFrame, root: str) -> None:

@@ -9,7 +9,7 @@ from codeloom.operators import curate as C
 from codeloom.operators import hierarchy as H
 from codeloom.operators import splits as E
 from codeloom.sources import files as I
-from codeloom.streaming.incremental import score_batch, score_stream
+from codeloom.streaming.incremental import read_log, score_batch, score_stream
 
 
 def values(spark, column, *rows):
@@ -244,7 +244,7 @@ def test_resume_and_stream_parity(spark, tmp_path):
     d.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, str(tmp_path / "slog"), str(tmp_path / "ck"), score, "id").awaitTermination()
-    assert sorted(spark.read.parquet(str(tmp_path / "slog")).collect()) == sorted(spark.read.parquet(str(tmp_path / "log")).collect())
+    assert sorted(read_log(spark, str(tmp_path / "slog")).collect()) == sorted(read_log(spark, str(tmp_path / "log")).collect())
 
 
 def test_rules_and_overrides_from_files(spark, tmp_path):
