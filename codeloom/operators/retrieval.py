@@ -95,29 +95,11 @@ def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
     return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
 
-def ovr_topk(train: DataFrame, test: DataFrame, codes: Sequence[str], text: str, label: str, id_col: str, k: int, features: int = 1 << 12) -> DataFrame:
-    """(id, place, code, score): linear one-versus-rest scores of a bounded list of codes.
+def ovr_topk(train: DataFrame, test: DataFrame, codes: Sequence[str], text: str, label: str, id_col: str, k: int, features: int = 1 << 12, **kw) -> DataFrame:
+    """(id, place, code, score): linear one-versus-rest scores of a bounded list of codes over TF-IDF terms, all fitted in the same passes."""
+    from codeloom.operators import linear
 
-    One fit for each code on a cached feature column; scores of all codes are compared in the row.
-    """
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import HashingTF
-
-    tf = HashingTF(numFeatures=features, inputCol="_terms", outputCol="features")
-    ready = lambda d: tf.transform(d.withColumn("_terms", terms(F.col(text)))).drop("_terms")
-    fitted = ready(train).select("features", label).cache()
-    scored = ready(test).select(id_col, "features")
-    dots = []
-    for c in codes:
-        m = LinearSVC(maxIter=10, regParam=0.01).fit(fitted.withColumn("label", (F.col(label) == c).cast("double")))
-        m = m.setPredictionCol(f"_p_{len(dots)}").setRawPredictionCol(f"_s_{len(dots)}")
-        scored = m.transform(scored).drop(f"_p_{len(dots)}")
-        dots.append(c)
-    fitted.unpersist()
-    from pyspark.ml.functions import vector_to_array
-
-    pairs = F.array(*[F.struct((-F.round(vector_to_array(f"_s_{i}")[1], 6)).alias("neg"), F.lit(c).alias("code")) for i, c in enumerate(dots)])
-    return scored.select(id_col, F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("place", "x")).select(id_col, (F.col("place") + 1).alias("place"), "x.code", (-F.col("x.neg")).alias("score"))
+    return linear.topk(test, linear.fit(train, codes, text, label, features, **kw), text, id_col, k)
 
 
 def retrieval_scores(df: DataFrame, ks: Sequence[int], gold: str = "gold", ranked: str = "ranked") -> DataFrame:

@@ -114,10 +114,10 @@ def extract_field(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.extract_field(t, "cod: ").alias("cod"), S.all_fields(t)["seg"].alias("segment"))
 
 
-@query("group_key", "SELECT p_partkey, concat(lower(p_name), ' strasse') AS key FROM part")
+@query("group_key", "SELECT p_partkey, concat(lower(p_name), ' strasse fin e angstrom σ ss ø') AS key FROM part")
 def group_key(spark, sf):
     accented = F.translate(F.translate("p_name", " ", "-"), "aeioun", "áèîöůñ")
-    return table(spark, sf, "part").select("p_partkey", S.group_key(F.concat(F.lit("cod: "), accented, F.lit("; Straße | age: 3"))).alias("key"))
+    return table(spark, sf, "part").select("p_partkey", S.group_key(F.concat(F.lit("cod: "), accented, F.lit("; Straße ﬁn E\u0301__ÅNGSTRO\u0308M ς ẞ Ø | age: 3"))).alias("key"))
 
 
 @query("filter_cardinality", LONG + "SELECT record_id, string_agg(code, ',' ORDER BY code) AS label FROM eval_long WHERE is_gold = 1 GROUP BY record_id HAVING count(*) <= 3")
@@ -801,6 +801,14 @@ def coverage_by_size(spark, sf):
     return T.coverage_by_size(_gold_sets(spark, sf), (1, 3, 5), (1, 2))
 
 
+@query("ovr_topk_codes")
+def ovr_topk_codes(spark, sf):
+    """All codes of the training documents at once."""
+    d = view(spark, sf, "doc_records").select("record_id", "label", "text", "split")
+    codes = [r[0] for r in d.where("split = 'train'").select("label").distinct().orderBy("label").collect()]
+    return T.ovr_topk(d.where("split = 'train'"), d.where("split <> 'train'"), codes, "text", "label", "record_id", 3, 1 << 11, passes=20)
+
+
 @query("ovr_topk")
 def ovr_topk(spark, sf):
     d = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")

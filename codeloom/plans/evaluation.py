@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
+from codeloom.operators import intervals as V
 from codeloom.operators import leakage as L
 from codeloom.operators import metrics as M
 from codeloom.operators import selective as P
@@ -559,6 +562,33 @@ def loso_report(spark, sf):
     return rounded(out, "accuracy", "accuracy_at_80", "accuracy_at_90", "coverage_at_95", "coverage_at_99", "delta")
 
 
+# --- intervals -----------------------------------------------------------------------------------------------------------
+_DRAW = "(CAST(('0x' || substr(md5(concat('333:', gkey, ':', r)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _poisson() -> str:
+    """Poisson(1) by inversion, as the operator has it."""
+    edge, out = 0.0, "CASE "
+    for n in range(9):
+        edge += math.exp(-1) / math.factorial(n)
+        out += f"WHEN u < {edge!r} THEN {n} "
+    return out + "ELSE 9 END"
+
+
+@query("metric_intervals", RECORDS + f""", q AS (SELECT record_id, source_id, CAST(record_id % 97 AS VARCHAR) AS gkey, correct, n_gold, n_pred, tp, 2.0::DOUBLE * tp / (n_gold + n_pred) AS f FROM eval_records),
+sg AS (SELECT source_id, gkey, sum(tp) AS tp, sum(n_gold) AS g, sum(n_pred) AS p, sum(correct) AS hits, sum(f) AS f, count(*) AS n FROM q GROUP BY source_id, gkey),
+cg AS (SELECT source_id, CAST(record_id % 97 AS VARCHAR) AS gkey, code, sum(is_gold * is_pred) AS tp, sum(is_gold) AS g, sum(is_pred) AS p FROM eval_long GROUP BY 1, 2, 3),
+u AS (SELECT gkey, r, CASE WHEN r = 0 THEN -1.0 ELSE {_DRAW} END AS u FROM (SELECT DISTINCT gkey FROM sg), (SELECT unnest(range(41)) AS r)),
+w AS (SELECT gkey, r, CASE WHEN r = 0 THEN 1 ELSE {_poisson()} END AS w FROM u),
+v AS (SELECT source_id, r, sum(w * hits) / sum(w * n) AS accuracy, 2 * sum(w * tp) / sum(w * (g + p)) AS micro_f1, sum(w * f) / sum(w * n) AS sample_f1 FROM (SELECT * REPLACE (CAST(hits AS DOUBLE) AS hits, CAST(tp AS DOUBLE) AS tp) FROM sg) JOIN w USING (gkey) WHERE w > 0 GROUP BY source_id, r),
+m AS (SELECT source_id, r, avg(f) AS macro_f1 FROM (SELECT source_id, r, code, 2.0::DOUBLE * sum(w * tp) / sum(w * (g + p)) AS f FROM cg JOIN w USING (gkey) WHERE w > 0 GROUP BY source_id, r, code) GROUP BY source_id, r),
+l AS (SELECT source_id, r, 'accuracy' AS figure, accuracy AS v FROM v UNION ALL SELECT source_id, r, 'micro_f1', micro_f1 FROM v UNION ALL SELECT source_id, r, 'sample_f1', sample_f1 FROM v UNION ALL SELECT source_id, r, 'macro_f1', macro_f1 FROM m)
+SELECT source_id, figure, round(max(CASE WHEN r = 0 THEN v END), 9) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 9) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 9) AS high FROM l GROUP BY source_id, figure""")
+def metric_intervals(spark, sf):
+    out = V.metric_intervals(pairs(spark, sf), F.col("record_id") % 97, 40, by=["source_id"])
+    return rounded(out, "value", "low", "high")
+
+
 # --- slices of null ------------------------------------------------------------------------------------------------------
 _NULLED = RECORDS + """, nl AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, code, is_gold, is_pred FROM eval_long),
 nr AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, score, correct, n_gold, n_pred, tp FROM eval_records)
