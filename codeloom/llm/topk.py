@@ -9,7 +9,8 @@ above it, and those equal to it, of which the smallest ids fill the k places.
 Scores are whole numbers, so ranges end after ceil(log_BINS(range)) passes. The queries are a stated set.
 Query blocks are dealt to groups of about TOGETHER_QUERIES, row blocks to groups of about TOGETHER_ROWS, and
 each pair of groups meets once, as a cogroup of bounded size; a query's counts are summed over the row blocks
-of the group before they leave the task, so its rows in the shuffle are bins, not blocks. Nothing is broadcast.
+of the group before they leave the task, so its rows in the shuffle are bins, not blocks. Components travel as the
+narrowest integers that hold a block's. Nothing is broadcast.
 
 Ties: by smaller row id. Ties at the k-th score are cut per group (the k smallest ids of a group hold the k
 smallest of all), so a huge set of equal vectors gives at most k rows a group and query.
@@ -37,8 +38,8 @@ from codeloom.llm.common import materialise
 BINS = 256
 #: Rows and queries of a block.
 ROWS, QUERIES = 4096, 512
-#: Row blocks and query blocks that meet in one cogroup, on average.
-TOGETHER_ROWS, TOGETHER_QUERIES = 32, 8
+#: Row blocks and query blocks that meet in one cogroup, on average: the rows travel once for about 100,000 queries.
+TOGETHER_ROWS, TOGETHER_QUERIES = 32, 200
 _HALF = 1 << 20
 
 
@@ -72,10 +73,18 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
                 for i in range(0, own.num_rows, size):
                     part = own.slice(i, size)
                     keys, ids = (part.column(c).to_numpy().tobytes() for c in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([w], pa.int32()), *[pa.array([x], pa.binary()) for x in (keys, ids, b"".join(part.column(2).to_pylist()))]], [name, "width", "keys", "ids", "vecs"])
+                    kind, vecs = narrowed(np.frombuffer(b"".join(part.column(2).to_pylist()), "<f8"))
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([w], pa.int32()), pa.array([kind]), *[pa.array([x], pa.binary()) for x in (keys, ids, vecs)]], [name, "width", "kind", "keys", "ids", "vecs"])
                     number += 1
 
-    return rows.mapInArrow(run, f"{name} long, width int, keys binary, ids binary, vecs binary")
+    return rows.mapInArrow(run, f"{name} long, width int, kind string, keys binary, ids binary, vecs binary")
+
+
+def narrowed(values: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers as bytes of the narrowest type that holds them all, and the type."""
+    reach = np.abs(values).max(initial=0)
+    kind = next((k for k, most in (("<i1", 2**7), ("<i2", 2**15), ("<i4", 2**31)) if reach < most), "<f8")
+    return kind, values.astype(kind).tobytes()
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,7 +98,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _matrix(line: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(line["keys"], np.int64), np.frombuffer(line["ids"], np.int64), np.frombuffer(line["vecs"], "<f8").reshape(-1, line["width"])
+    return np.frombuffer(line["keys"], np.int64), np.frombuffer(line["ids"], np.int64), np.frombuffer(line["vecs"], line["kind"]).reshape(-1, line["width"]).astype("<f8")
 
 
 def _scored(left: pa.Table, right: pa.Table):

@@ -582,3 +582,10 @@ def test_decontamination_in_blocks_and_short_items(spark, odd, none):
 
 def test_materialised_rows_come_back(spark):
     assert materialise(spark.range(5)).count() == 5
+
+
+def test_narrowest_integers_hold_a_block():
+    for reach, kind in ((127, "<i1"), (128, "<i2"), (32768, "<i4"), (2.0**31, "<f8"), (2.0**60, "<f8")):
+        x = np.array([0.0, -1.0, reach, -reach])
+        got, raw = topk.narrowed(x)
+        assert got == kind and np.frombuffer(raw, got).astype(float).tolist() == x.tolist()
