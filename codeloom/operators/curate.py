@@ -28,15 +28,16 @@ def harmonise(df: DataFrame, codebook: DataFrame, transfer: DataFrame, codes: st
     """Shape, transfer and check each code; rows with an unknown code, none or too many are dropped.
 
     Codes are looked up one row each, so the code book is joined as Spark sees fit at its size; order is
-    kept and repeats go. `key` must be unique.
+    kept and repeats go. Lists are known by key and codes together, so rows of one key, or of none, keep their own.
     """
-    each = df.select(key, F.posexplode(codes).alias("pos", "raw")).withColumn("code", normalise_shape(F.upper(F.trim("raw"))))
+    lists = df.select(F.col(key).alias("_key"), F.col(codes).alias("_own")).distinct()
+    each = lists.select("_key", "_own", F.posexplode("_own").alias("pos", "raw")).withColumn("code", normalise_shape(F.upper(F.trim("raw"))))
     moved = each.join(transfer.select(F.col("old_code").alias("code"), "new_code"), "code", "left").withColumn("final", F.coalesce("new_code", "code"))
     known = moved.join(codebook.select(F.col("code").alias("final"), F.lit(True).alias("known")).distinct(), "final", "left")
-    back = known.groupBy(key).agg(F.every(F.coalesce("known", F.lit(False))).alias("_all"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "final"))), lambda x: x["final"])).alias("_codes"))
+    back = known.groupBy("_key", "_own").agg(F.every(F.coalesce("known", F.lit(False))).alias("_all"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "final"))), lambda x: x["final"])).alias("_codes"))
     good = back.where("_all AND size(_codes) > 0" + (f" AND size(_codes) <= {max_labels}" if max_labels else ""))
-    out = df.drop(codes).join(good.select(key, F.col("_codes").alias(codes)), key)
-    return out.withColumn("label", F.array_join(codes, ","))
+    out = df.join(good.select("_key", "_own", "_codes"), F.col(key).eqNullSafe(F.col("_key")) & (F.col(codes) == F.col("_own")))
+    return out.drop(codes, "_key", "_own").withColumnRenamed("_codes", codes).withColumn("label", F.array_join(codes, ","))
 
 
 def harmonise_in_place(df: DataFrame, codebook: Sequence[str], transfer: dict[str, str], codes: str = "y_codes") -> DataFrame:
@@ -70,10 +71,19 @@ def check_rules(rules: Sequence[Rule], max_labels: int = 3) -> Sequence[Rule]:
             raise ValueError(f"rule {r.id} has no selector")
         if not 0 < len(set(r.new_codes)) == len(r.new_codes) <= max_labels:
             raise ValueError(f"rule {r.id} needs 1 to {max_labels} distinct codes")
-        re.compile(r.text or "")
+        _compiled(r.text or "")
     return rules
 
 
+def _compiled(pattern: str) -> None:
+    """Raises for a pattern that doesn't compile where rules run, which is Java; without a session Python's rules stand in."""
+    spark = SparkSession.getActiveSession()
+    try:
+        re.compile(pattern) if spark is None else spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:
+        raise ValueError(f"bad pattern {pattern!r}: {e}") from e
+
+
 def load_rules(spark: SparkSession, path: str, max_labels: int = 3) -> list[Rule]:
     """Rules of a TOML file with a list `rules`, in order, checked. The file is read whole through Spark."""
     import tomllib

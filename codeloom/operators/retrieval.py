@@ -52,7 +52,7 @@ def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
 
     Both sides are cut into blocks; query blocks and candidate blocks are dealt to groups of about `together`
     blocks, and each pair of groups meets once, as a cogroup of bounded size: one matrix product for each pair of
-    blocks, of whose scores a query keeps k. No group grows with the data. Rows without a vector take no part.
+    blocks. A query keeps k scores of a group. No group grows with the data. Rows without a vector take no part.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +77,18 @@ def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
 
     def score(mine: pa.Table, others: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        rows = [(r["width"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"], float).reshape(-1, r["width"])) for r in others.to_pylist()]
         for line in mine.to_pylist():
             qi, q = np.frombuffer(line["ids"], np.int64), np.frombuffer(line["matrix"], float).reshape(-1, line["width"])
-            for row in others.to_pylist():
-                if row["width"] != line["width"]:
-                    continue
-                ids, m = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], float).reshape(-1, row["width"])
-                s = np.where(qi[:, None] == ids[None, :], -np.inf, np.round(q @ m.T, 9))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                good = best > -np.inf
-                out.append((np.broadcast_to(qi[:, None], best.shape)[good], ids[order][good], best[good]))
+            best, names = np.zeros((len(qi), 0)), np.zeros((len(qi), 0), np.int64)
+            for width, ids, m in rows:
+                if width == line["width"]:
+                    s = np.where(qi[:, None] == ids[None, :], -np.inf, np.round(q @ m.T, 9))
+                    s, own = np.concatenate([best, s], axis=1), np.concatenate([names, np.broadcast_to(ids, s.shape)], axis=1)
+                    order = np.lexsort((own, -s), axis=1)[:, :k]
+                    best, names = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+            good = best > -np.inf
+            out.append((np.broadcast_to(qi[:, None], best.shape)[good], names[good], best[good]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = left.cogroup(right).applyInArrow(score, "query_id long, vec_id long, score double")

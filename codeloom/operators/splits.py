@@ -120,11 +120,15 @@ def frequent_codes(df: DataFrame, codes: str, k: int, train: Column) -> DataFram
 
 
 def min_frequency(df: DataFrame, id_col: str, codes: str, k: int, train: Column) -> DataFrame:
-    """The rows with only those of their codes that are frequent in train, in their order; rows left with none go."""
-    each = df.select(F.col(id_col).alias("_id"), F.posexplode(codes).alias("_at", "code"))
+    """The rows with only those of their codes that are frequent in train, in their order; rows left with none go.
+
+    Lists are known by id and codes together, so rows of one id, or of none, keep their own.
+    """
+    lists = df.select(F.col(id_col).alias("_id"), F.col(codes).alias("_own")).distinct()
+    each = lists.select("_id", "_own", F.posexplode("_own").alias("_at", "code"))
     kept = each.join(frequent_codes(df, codes, k, train).select("code"), "code", "left_semi")
-    lists = kept.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "code"))), lambda x: x["code"]).alias("_codes"))
-    return df.join(lists, F.col(id_col) == F.col("_id")).withColumn(codes, F.col("_codes")).drop("_id", "_codes")
+    lists = kept.groupBy("_id", "_own").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "code"))), lambda x: x["code"]).alias("_codes"))
+    return df.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(codes) == F.col("_own"))).withColumn(codes, F.col("_codes")).drop("_id", "_own", "_codes")
 
 
 def kfold(group: Column, k: int, seed: int = 333) -> Column:

@@ -45,6 +45,22 @@ def test_rules_are_checked():
         C.check_rules([C.Rule("a", ("X",), sources=("s",)), C.Rule("a", ("X",), sources=("s",))])
 
 
+def test_patterns_are_checked_where_they_run(spark):
+    C.check_rules([C.Rule("a", ("X",), text=r"\p{L}++\h")])  # Java's, not Python's
+    with pytest.raises(ValueError):
+        C.check_rules([C.Rule("a", ("X",), text=r"(?P<x>a)")])  # Python's, not Java's
+
+
+def test_rows_of_one_id_keep_their_own_codes(spark):
+    d = spark.createDataFrame([(1, ["A09.001"]), (1, ["Q36.9", "A09.001"]), (None, ["Q36.900"]), (None, ["A09.001"]), (2, ["Z"]), (3, None)], "record_id long, y_codes array<string>")
+    book = spark.createDataFrame([("A09.001",), ("Q36.900",)], "code string")
+    moves = spark.createDataFrame([], "old_code string, new_code string")
+    got = sorted(((r.record_id, r.label) for r in C.harmonise(d, book, moves).collect()), key=str)
+    assert got == sorted([(1, "A09.001"), (1, "Q36.900,A09.001"), (None, "Q36.900"), (None, "A09.001")], key=str)
+    left = sorted(((r.record_id, r.y_codes) for r in E.min_frequency(d, "record_id", "y_codes", 2, F.lit(True)).collect()), key=str)
+    assert left == sorted([(1, ["A09.001"]), (1, ["A09.001"]), (None, ["A09.001"])], key=str)
+
+
 def test_override_mismatch_raises(spark):
     d = spark.createDataFrame([("s", "1", "A")], "source_id string, record_id string, label string")
     o = spark.createDataFrame([("s", "1", "B", "C")], "source_id string, record_id string, old_label string, new_label string")
