@@ -54,3 +54,25 @@ def test_temperatures_of_null_slices_and_repeated_scores(spark):
 
     gradient = lambda t: sum((1 / (1 + math.exp(-x / t)) - y) * x for _, x, y in rows)
     assert gradient(found["a",] - 1e-3) * gradient(found["a",] + 1e-3) < 0
+
+
+def test_ranks_and_sums_across_partitions_slices_and_batches(spark):
+    from codeloom.operators import ordering
+
+    rows = [(i, "abc"[i % 7 % 3] if i % 11 else None, i * 37 % 101, float(i % 5) if i % 13 else None) for i in range(700)]
+    d = spark.createDataFrame(rows, "id long, s string, k long, v double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+        for parts, few in ((1, 10**6), (6, 10**6), (6, 0)):
+            ordering.BASES = few
+            for by in ([], ["s"]):
+                got = {r.id: (r.rank, r.total) for r in ordering.ranked(d, [F.col("k").desc(), F.col("id").asc()], {"total": F.col("v")}, by, parts).collect()}
+                want, seen = {}, {}
+                for i, s, _, v in sorted(rows, key=lambda r: (-r[2], r[0])):
+                    n, t = seen.get(s if by else 0, (0, 0.0))
+                    seen[s if by else 0] = want[i] = (n + 1, t + (v or 0.0))
+                assert got == want
+    finally:
+        ordering.BASES = 100_000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
