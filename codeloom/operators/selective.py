@@ -124,7 +124,7 @@ def _search(evaluate, low: float, high: float, rounds: int, width: int) -> float
     return math.sqrt(low * high)
 
 
-def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str] = (), low: float = 0.05, high: float = 50.0, rounds: int = 8, width: int = 16) -> dict[tuple, float]:
+def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str] = (), low: float = 0.05, high: float = 50.0, rounds: int = 5, width: int = 48) -> dict[tuple, float]:
     """For each slice the temperature at which sigmoid(score / T) has the least cross-entropy.
 
     That is where the gradient changes sign: a grid of temperatures is tried in one job a round, and the next
