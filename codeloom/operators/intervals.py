@@ -14,11 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from codeloom.operators.metrics import exploded, record_scores, same_set
-from codeloom.operators.ordering import on_slices
+from codeloom.operators.ordering import on_slices, settled
 from codeloom.operators.splits import poisson_weight
 
 
@@ -66,3 +70,60 @@ def overlaps(table: DataFrame, slices: str) -> DataFrame:
     best = table.groupBy("figure").agg(F.max_by("low", "value").alias("_low"), F.max("value").alias("_value"))  # a row a figure
     out = on_slices(table, best, ["figure"])
     return out.withColumn("distinct", (F.col("high") < F.col("_low")) & (F.col("value") < F.col("_value"))).drop("_low", "_value").select(slices, *[c for c in table.columns if c != slices], "distinct")
+
+
+def _sorted_areas(by: Sequence[str], replicates: int):
+    """For one slice's rows of one range: the risks added up, the first risk and the rows drawn, of each replicate."""
+
+    def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_score", "descending"), ("_id", "ascending")])
+        n = replicates + 1
+        weights = rows.column("_weights").combine_chunks().flatten().to_numpy().reshape(-1, n)
+        hit = rows.column("_hit").to_numpy()
+        drawn0, hits0 = np.zeros(n), np.zeros(n)
+        at = before.column("_r").to_numpy()
+        drawn0[at], hits0[at] = before.column("_drawn").to_numpy(), before.column("_hits").to_numpy()
+        risks, first = np.zeros(n), np.zeros(n)
+        for r in range(n):  # a row that is drawn w times has w ranks, one after the other
+            again = np.repeat(hit, weights[:, r])
+            if len(again):
+                risk = 1 - (hits0[r] + np.cumsum(again)) / (drawn0[r] + np.arange(1, len(again) + 1))
+                risks[r], first[r] = risk.sum(), risk[0] if drawn0[r] == 0 else 0.0
+        keys = {c: pa.concat_arrays([rows.column(c).combine_chunks().slice(0, 1)] * n) for c in by}
+        return pa.table({**keys, "_r": pa.array(np.arange(n, dtype=np.int32)), "_risks": risks, "_first": first, "_drawn": weights.sum(0, dtype=np.int64), "_hits": hit @ weights})
+
+    return run
+
+
+def aurc_intervals(df: DataFrame, score: str, correct: str, id_col: str, group: Column, replicates: int = 40, level: float = 0.95, by: Sequence[str] = (), seed: int = 333) -> DataFrame:
+    """(by, value, low, high): the area under the risk-coverage curve and the ends of its interval.
+
+    A figure of the order of the rows, so sums by group don't do. Rows (score, correct, id and a byte for each
+    replicate's weight) are range-partitioned by slice and score; what each range draws and hits is added up over the
+    ranges before it, and each range then adds up its own risks, replicate by replicate. No row is multiplied in a
+    shuffle, and no task holds more than one range.
+
+    Rows without a score or figure are left out; ties go by id; null slices and null groups are slices and groups;
+    a replicate that draws no row has no area; no rows give no rows (without slices, one row of nulls).
+    """
+    keys = list(by)
+    key = F.coalesce(group.cast("string"), F.lit(""))
+    weight = lambda r: F.when(r == 0, 1).otherwise(poisson_weight(F.col("_g"), r, seed)).cast("tinyint")  # noqa: E731  (replicate 0 is the rows as they are)
+    slim = df.select(*keys, F.col(score).cast("double").alias("_score"), F.col(correct).cast("double").alias("_hit"), F.col(id_col).alias("_id"), key.alias("_g"))
+    slim = slim.where("_score IS NOT NULL AND _hit IS NOT NULL")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[F.col(c).asc() for c in keys], F.col("_score").desc(), F.col("_id").asc()]
+    placed = settled(slim.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    weighted = placed.withColumn("_weights", F.transform(F.sequence(F.lit(0), F.lit(replicates)), weight)).drop("_g")
+    each = weighted.select("_part", *keys, "_hit", F.posexplode("_weights").alias("_r", "_w"))
+    totals = each.groupBy("_part", *keys, "_r").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_hit")).alias("_h"))
+    earlier = Window.partitionBy(*keys, "_r").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = totals.select("_part", *keys, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("double").alias("_drawn"), F.coalesce(F.sum("_h").over(earlier), F.lit(0.0)).alias("_hits"))
+    fields = [*df.select(*keys).schema.fields, T.StructField("_r", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("_risks", "_first")], T.StructField("_drawn", T.LongType()), T.StructField("_hits", T.DoubleType())]
+    areas = weighted.groupBy("_part", *keys).cogroup(before.groupBy("_part", *keys)).applyInArrow(_sorted_areas(keys, replicates), T.StructType(fields))
+    n = F.sum("_drawn")
+    ends = (F.sum("_first") + 1 - F.sum("_hits") / n) / 2
+    area = areas.groupBy(*keys, "_r").agg(F.when(n > 0, F.round((F.sum("_risks") - ends) / n, 9)).alias("_v"))
+    tail = (1 - level) / 2
+    limits = [F.percentile(F.when(F.col("_r") > 0, F.col("_v")), F.lit(q)).alias(c) for c, q in (("low", tail), ("high", 1 - tail))]
+    return area.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 0, F.col("_v"))).alias("value"), *limits)  # replicates + 1 rows a slice

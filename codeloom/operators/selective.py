@@ -141,8 +141,13 @@ def fit_temperatures(df: DataFrame, score: str, correct: str, by: Sequence[str]
         if by:
             table = df.sparkSession.createDataFrame([(*k, v) for k, v in grid.items()], T.StructType([*df.select(*by).schema.fields, T.StructField("_grid", T.ArrayType(T.DoubleType()))]))
             d = on_slices(slim, F.broadcast(table) if len(grid) <= SLICES else table, by)
-        cols = [F.sum(n * (1 / (1 + F.exp(-x / F.col("_grid")[i])) - y) * x).alias(f"_{i}") for i in range(width + 1)]
-        return {tuple(r[: len(by)]): list(r[len(by) :]) for r in d.groupBy(*by).agg(*cols).collect() if r[len(by)] is not None}
+        # Temperatures as rows, not as 49 aggregates: those would be too much for one generated method.
+        each = d.select(*by, "_x", "_y", "_w", F.posexplode("_grid").alias("_i", "_t"))
+        sums = each.groupBy(*by, "_i").agg(F.sum(n * (1 / (1 + F.exp(-x / F.col("_t"))) - y) * x).alias("_sum"))
+        out: dict[tuple, list[float]] = {}
+        for r in sums.collect():
+            out.setdefault(tuple(r[: len(by)]), [0.0] * (width + 1))[r["_i"]] = r["_sum"]
+        return out
 
     slices = [tuple(r) for r in df.select(*by).distinct().collect()] if by else [()]
     ends = {k: (low, high) for k in slices}

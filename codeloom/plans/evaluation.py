@@ -589,6 +589,20 @@ def metric_intervals(spark, sf):
     return rounded(out, "value", "low", "high")
 
 
+@query("aurc_intervals", RECORDS + f""", q AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, CAST(record_id % 97 AS VARCHAR) AS gkey, correct, score FROM eval_records),
+u AS (SELECT gkey, r, CASE WHEN r = 0 THEN -1.0 ELSE {_DRAW} END AS u FROM (SELECT DISTINCT gkey FROM q), (SELECT unnest(range(41)) AS r)),
+w AS (SELECT gkey, r, CASE WHEN r = 0 THEN 1 ELSE {_poisson()} END AS w FROM u),
+d AS (SELECT slice, r, record_id, correct, score, unnest(range(w)) AS copy FROM q JOIN w USING (gkey)),
+c AS (SELECT slice, r, row_number() OVER k AS rank, count(*) OVER (PARTITION BY slice, r) AS n, sum(correct) OVER (PARTITION BY slice, r ORDER BY score DESC, record_id, copy ROWS UNBOUNDED PRECEDING) AS hits FROM d WINDOW k AS (PARTITION BY slice, r ORDER BY score DESC, record_id, copy)),
+p AS (SELECT slice, r, rank, n, 1 - hits::DOUBLE / rank AS risk FROM c),
+t AS (SELECT slice, r, (risk + lag(risk) OVER (PARTITION BY slice, r ORDER BY rank)) / 2 / n AS a FROM p),
+v AS (SELECT slice, r, round(sum(a), 9) AS v FROM t GROUP BY slice, r)
+SELECT slice, round(max(CASE WHEN r = 0 THEN v END), 7) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 7) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 7) AS high FROM v GROUP BY slice""")
+def aurc_intervals(spark, sf):
+    out = V.aurc_intervals(_nulled(view(spark, sf, "eval_records")), "score", "correct", "record_id", F.col("record_id") % 97, 40, by=["slice"])
+    return out.select("slice", *[F.round(c, 7).alias(c) for c in ("value", "low", "high")])
+
+
 # --- slices of null ------------------------------------------------------------------------------------------------------
 _NULLED = RECORDS + """, nl AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, code, is_gold, is_pred FROM eval_long),
 nr AS (SELECT record_id, nullif(source_id, '5-LOW') AS slice, score, correct, n_gold, n_pred, tp FROM eval_records)
