@@ -175,14 +175,15 @@ def fit_temperature_tokens(df: DataFrame, logits: str, gold: str, low: float = 0
     """(T, mean loss before, after) for rows of logits and the gold position (from 0); (1, 0, 0) without rows."""
 
     def nll(t):
-        x = F.transform(F.col(logits), lambda v: v.cast("double") / F.lit(t))
-        top = F.array_max(x)
-        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-        return F.avg(F.log(total) + top - F.element_at(x, (F.col(gold) + 1).cast("int")))
+        scaled = F.struct(F.transform(F.col(logits), lambda v: v.cast("double") / t).alias("x"), (F.array_max(logits).cast("double") / t).alias("top"))
+        # The array of one binds its value, which would be worked out again for each logit otherwise.
+        loss = F.transform(F.array(scaled), lambda s: F.log(F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + F.exp(v - s["top"]))) + s["top"] - F.element_at(s["x"], (F.col(gold) + 1).cast("int")))
+        return F.avg(loss[0])
 
     def evaluate(grid):
-        row = df.agg(*[nll(t).alias(f"l{i}") for i, t in enumerate(grid)]).first()
-        return None if row[0] is None else list(row)
+        each = df.select(logits, gold, F.posexplode(F.array(*map(F.lit, grid))).alias("_i", "_t"))
+        found = {r["_i"]: r["loss"] for r in each.groupBy("_i").agg(nll(F.col("_t")).alias("loss")).collect()}
+        return [found[i] for i in range(len(grid))] if found and found[0] is not None else None
 
     t = _search(evaluate, low, high, rounds, width)
     ends = evaluate([1.0, t])
