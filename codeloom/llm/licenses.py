@@ -4,14 +4,14 @@ Paragraphs are the lines of a text, seen with their neighbours up to a blank lin
 TRAIN_WORDS or more words of each template sentence (a family's notices, below), and as the unknown class the
 lines of a bounded sample of the documents themselves that no template matches, near-misses (the templates' words
 in another order) and foils that use the same words without being licences. Features: hashed word 1-, 2- and
-3-grams; classifier: multinomial logistic regression. Calibration: rows are dealt to a fit and a calibration fold
-by hash, and a line counts as licence only if its family's probability is over the least one at which no more than
+3-grams; classifier: multinomial logistic regression. Calibration: unknown rows are dealt to a fit and a calibration
+fold by hash (all others are fitted: a short template is one row), and a line counts as licence only if its family's probability is over the least one at which no more than
 FALSE_RATE of the unknown calibration rows pass; those are rows of the kind that are scored, with a template's
 word in them. Template comparison then confirms, with 3-word shingles (of all words, if fewer), if CONFIRM or more
 of the line's are in the union of that family's templates (several sentences on a line), or of one template's in
 the line (a notice among other words), or of one template's in the line and its neighbours up to a blank line (a
 wrapped notice), if half of those that touch the line are in the union. A line that passes one test but not the
-other is reported with family `unknown`.
+other is reported with family `unknown`; one whose words are those of two families goes to the likelier.
 
 A text that has CONFIRM of a template's shingles has one of the template's telling words, which are worked out from
 the templates; lines without any are unknown without being scored, and aren't listed.
@@ -42,12 +42,16 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD License.",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc": [
         "Licensed under CC BY-NC 4.0.",
@@ -56,22 +60,49 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0).",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "SPDX-License-Identifier: MIT",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
     ],
 }
 # Lines with the same words that are no licences.
@@ -164,7 +195,8 @@ def training_rows(docs: DataFrame, text_col: str = "text", sample_docs: int = SA
     foils = spark.createDataFrame([(t,) for t in FOILS], "text string").select(tokens(F.col("text")).alias("words"))
     turn = F.explode(F.sequence(F.lit(1), F.lit(12)))
     order = F.transform(F.array_sort(F.transform("words", lambda w, i: F.struct(F.xxhash64(w, i, F.col("turn")).alias("h"), w.alias("w")))), lambda x: x["w"])
-    missed = whole.withColumn("turn", turn).select(order.alias("words"))
+    # Words of a short template in another order may be the template.
+    missed = whole.where(n >= TRAIN_WORDS).withColumn("turn", turn).select(order.alias("words"))
     lines = _sampled(docs, text_col, sample_docs).select(F.explode(F.split("text", "\n")).alias("line")).select(tokens(F.col("line")).alias("words")).where(F.size("words") > 0)
     known = F.array(*[F.lit(x) for x in sorted({x for ts in TEMPLATES.values() for t in ts for x in _shingles_of(t)})])
     own = F.array_distinct(F.when(F.size("words") >= 3, shingles(F.col("words"), 3)).otherwise(F.array(F.array_join("words", " "))))
@@ -185,7 +217,7 @@ def train(docs: DataFrame, text_col: str = "text"):
     index = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i)))])
     rows = materialise(training_rows(docs, text_col).select("words", "fold", "telling", index[F.col("family")].alias("label")))
     rows = _featured(rows).coalesce(2).cache()
-    fit = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(rows.where("fold <> 0"))
+    fit = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(rows.where("fold <> 0 OR label <> 0"))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(families) - 1))
     held = fit.transform(rows.where("fold = 0 AND label = 0 AND telling")).agg(F.percentile(best, F.lit(1 - FALSE_RATE)).alias("p")).first()["p"]
     rows.unpersist()
