@@ -79,6 +79,22 @@ def test_files_one_after_the_other_long_fields_and_odd_ends(spark, tmp_path, ran
     assert delimited.read(spark, str(d / "c.csv"), ";").count() == 0 and delimited.read(spark, str(d / "d.csv"), ";").columns == ["_row"]
 
 
+def test_ranges_stay_where_few_files_have_records_that_cross(spark, tmp_path, ranges):
+    d = tmp_path / "mixed"
+    d.mkdir()
+    (d / "a.csv").write_text("t;c\n" + "plain;1\n" * 2000)
+    quoted = ["q\n" * n + "end" for n in range(60)]
+    (d / "b.csv").write_text("t;c\n" + "".join(f'"{q}";2\n' for q in quoted))
+    ranges(1 << 27)  # a range is then a share of what is scanned
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "12")
+    try:
+        rows = delimited.read(spark, str(d), ";").orderBy("_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    assert [(r.t, r.c, r._row) for r in rows] == [(t, c, i) for i, (t, c) in enumerate([*[("plain", "1")] * 2000, *[(q, "2") for q in quoted]])]
+
+
 def test_encodings_names_and_frames_without_header(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("naïve,,x,X\n1,2,3,4\n".encode("latin-1"))
     assert delimited.read(spark, str(tmp_path / "l.csv"), ",", "ISO-8859-1").columns == ["naïve", "_c1", "x2", "X3", "_row"]
