@@ -12,7 +12,10 @@ left out of the interval; no rows give no figures.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import itertools
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,25 +75,57 @@ def overlaps(table: DataFrame, slices: str) -> DataFrame:
     return out.withColumn("distinct", (F.col("high") < F.col("_low")) & (F.col("value") < F.col("_value"))).drop("_low", "_value").select(slices, *[c for c in table.columns if c != slices], "distinct")
 
 
-def _sorted_areas(by: Sequence[str], replicates: int):
+#: Upper edges of the Poisson(1) weights 0 to 8, as in splits.poisson_weight.
+_EDGES = list(itertools.accumulate(math.exp(-1) / math.factorial(n) for n in range(9)))
+
+
+def _weights(groups: pa.Array | pa.ChunkedArray, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's group, groups x replicates + 1 weights): splits.poisson_weight once a group; replicate 0 is the rows as they are."""
+    coded = (groups.combine_chunks() if isinstance(groups, pa.ChunkedArray) else groups).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    draws = np.array([int(hashlib.md5(f"{seed}:{g}:{r}".encode()).hexdigest()[:8], 16) for g in names for r in range(1, replicates + 1)], np.float64) / (1 << 32)
+    drawn = np.searchsorted(_EDGES, draws, side="right").reshape(len(names), replicates)
+    return coded.indices.to_numpy(), np.concatenate([np.ones((len(names), 1), np.int64), drawn], axis=1)
+
+
+def _totals(by: Sequence[str], replicates: int, seed: int, names: Sequence[str]):
+    """Of each batch: rows drawn and hits of each replicate, by part and slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = replicates + 1
+        for b in batches:
+            t = pa.Table.from_batches([b]).append_column("_at", pa.array(np.arange(b.num_rows)))
+            at = t.group_by(["_part", *by]).aggregate([("_at", "list")])
+            for k in range(at.num_rows):
+                rows = t.take(at.column("_at_list")[k].values)
+                own, weights = _weights(rows.column("_g"), replicates, seed)
+                count, hits = np.bincount(own, minlength=len(weights)), np.bincount(own, rows.column("_hit").to_numpy(), len(weights))
+                keys = [pa.concat_arrays([at.column(c).combine_chunks().slice(k, 1)] * n) for c in ("_part", *by)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(n, dtype=np.int32)), pa.array(count @ weights), pa.array(hits @ weights)], names)
+
+    return run
+
+
+def _sorted_areas(by: Sequence[str], replicates: int, seed: int):
     """For one slice's rows of one range: the risks added up, the first risk and the rows drawn, of each replicate."""
 
     def run(rows: pa.Table, before: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_score", "descending"), ("_id", "ascending")])
         n = replicates + 1
-        weights = rows.column("_weights").combine_chunks().flatten().to_numpy().reshape(-1, n)
+        own, weights = _weights(rows.column("_g"), replicates, seed)
         hit = rows.column("_hit").to_numpy()
         drawn0, hits0 = np.zeros(n), np.zeros(n)
         at = before.column("_r").to_numpy()
         drawn0[at], hits0[at] = before.column("_drawn").to_numpy(), before.column("_hits").to_numpy()
-        risks, first = np.zeros(n), np.zeros(n)
+        risks, first, drawn, hits = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
         for r in range(n):  # a row that is drawn w times has w ranks, one after the other
-            again = np.repeat(hit, weights[:, r])
+            again = np.repeat(hit, weights[own, r])
             if len(again):
                 risk = 1 - (hits0[r] + np.cumsum(again)) / (drawn0[r] + np.arange(1, len(again) + 1))
                 risks[r], first[r] = risk.sum(), risk[0] if drawn0[r] == 0 else 0.0
+                drawn[r], hits[r] = len(again), again.sum()
         keys = {c: pa.concat_arrays([rows.column(c).combine_chunks().slice(0, 1)] * n) for c in by}
-        return pa.table({**keys, "_r": pa.array(np.arange(n, dtype=np.int32)), "_risks": risks, "_first": first, "_drawn": weights.sum(0, dtype=np.int64), "_hits": hit @ weights})
+        return pa.table({**keys, "_r": pa.array(np.arange(n, dtype=np.int32)), "_risks": risks, "_first": first, "_drawn": drawn, "_hits": hits})
 
     return run
 
@@ -98,8 +133,8 @@ def _sorted_areas(by: Sequence[str], replicates: int):
 def aurc_intervals(df: DataFrame, score: str, correct: str, id_col: str, group: Column, replicates: int = 40, level: float = 0.95, by: Sequence[str] = (), seed: int = 333) -> DataFrame:
     """(by, value, low, high): the area under the risk-coverage curve and the ends of its interval.
 
-    A figure of the order of the rows, so sums by group don't do. Rows (score, correct, id and a byte for each
-    replicate's weight) are range-partitioned by slice and score; what each range draws and hits is added up over the
+    A figure of the order of the rows, so sums by group don't do. Rows (score, correct, id and group; the weights of
+    the groups are worked out where rows are met) are range-partitioned by slice and score; what each range draws and hits is added up over the
     ranges before it, and each range then adds up its own risks, replicate by replicate. No row is multiplied in a
     shuffle, and no task holds more than one range.
 
@@ -108,19 +143,18 @@ def aurc_intervals(df: DataFrame, score: str, correct: str, id_col: str, group:
     """
     keys = list(by)
     key = F.coalesce(group.cast("string"), F.lit(""))
-    weight = lambda r: F.when(r == 0, 1).otherwise(poisson_weight(F.col("_g"), r, seed)).cast("tinyint")  # noqa: E731  (replicate 0 is the rows as they are)
     slim = df.select(*keys, F.col(score).cast("double").alias("_score"), F.col(correct).cast("double").alias("_hit"), F.col(id_col).alias("_id"), key.alias("_g"))
     slim = slim.where("_score IS NOT NULL AND _hit IS NOT NULL")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*[F.col(c).asc() for c in keys], F.col("_score").desc(), F.col("_id").asc()]
     placed = settled(slim.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    weighted = placed.withColumn("_weights", F.transform(F.sequence(F.lit(0), F.lit(replicates)), weight)).drop("_g")
-    each = weighted.select("_part", *keys, "_hit", F.posexplode("_weights").alias("_r", "_w"))
-    totals = each.groupBy("_part", *keys, "_r").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_hit")).alias("_h"))
+    drawn = T.StructType([T.StructField("_part", T.IntegerType()), *df.select(*keys).schema.fields, T.StructField("_r", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_h", T.DoubleType())])
+    each = placed.select("_part", *keys, "_g", "_hit").mapInArrow(_totals(keys, replicates, seed, drawn.names), drawn)
+    totals = each.groupBy("_part", *keys, "_r").agg(F.sum("_n").alias("_n"), F.sum("_h").alias("_h"))
     earlier = Window.partitionBy(*keys, "_r").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     before = totals.select("_part", *keys, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("double").alias("_drawn"), F.coalesce(F.sum("_h").over(earlier), F.lit(0.0)).alias("_hits"))
     fields = [*df.select(*keys).schema.fields, T.StructField("_r", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("_risks", "_first")], T.StructField("_drawn", T.LongType()), T.StructField("_hits", T.DoubleType())]
-    areas = weighted.groupBy("_part", *keys).cogroup(before.groupBy("_part", *keys)).applyInArrow(_sorted_areas(keys, replicates), T.StructType(fields))
+    areas = placed.groupBy("_part", *keys).cogroup(before.groupBy("_part", *keys)).applyInArrow(_sorted_areas(keys, replicates, seed), T.StructType(fields))
     n = F.sum("_drawn")
     ends = (F.sum("_first") + 1 - F.sum("_hits") / n) / 2
     area = areas.groupBy(*keys, "_r").agg(F.when(n > 0, F.round((F.sum("_risks") - ends) / n, 9)).alias("_v"))

@@ -69,3 +69,14 @@ def test_intervals_without_slices_or_rows(spark):
     assert tuple(got) == pytest.approx(plain(rows, 10)[None], abs=2e-9)
     assert V.aurc_intervals(spark.createDataFrame([], SCHEMA), "score", "hit", "id", F.col("g"), 10).collect() == [(None, None, None)]
     assert V.aurc_intervals(spark.createDataFrame([], SCHEMA), "score", "hit", "id", F.col("g"), 10, by=["slice"]).collect() == []
+
+
+def test_weights_are_drawn_once_a_group(spark):
+    import pyarrow as pa
+
+    groups = [["x", "", "y"][i % 3] for i in range(3000)]
+    own, weights = V._weights(pa.array(groups), 40, 333)
+    assert weights.shape == (3, 41) and [list(weights[i]) for i in own[:3]] == [[1, *(weight(g, r) for r in range(1, 41))] for g in groups[:3]]
+    d = spark.createDataFrame([(i, "s", g, float(i), 1.0) for i, g in enumerate(groups)], SCHEMA)
+    plan = V.aurc_intervals(d, "score", "hit", "id", F.col("g"), 40, by=["slice"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "posexplode" not in plan
