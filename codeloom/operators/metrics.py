@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.scalars import sanitise_key
-from codeloom.operators.ordering import on_slices
+from codeloom.operators.ordering import on_slices, settled
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -311,7 +311,10 @@ def scrub_audit(log: DataFrame, id_col: str, source: str = "source_id") -> DataF
     for name, part in SILENT_REASONS.items():
         reason = F.when(error.contains(part), name) if reason is None else reason.when(error.contains(part), name)
     d = log.select(id_col, _silent(log).alias("gone"), reason.otherwise("other").alias("reason"), F.coalesce(source, F.lit("")).alias("source"))
-    total = d.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(id_col).alias("ids"), F.countDistinct(F.when(~F.col("gone"), F.col(id_col))).alias("kept"))
+    d = settled(d)  # few and narrow columns, read by both counts
+    ids = d.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.max((~F.col("gone")).cast("int")).alias("kept"))
+    known = F.col(id_col).isNotNull()
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.count_if(known).alias("ids"), F.count_if(known & (F.col("kept") == 1)).alias("kept"))
     rows = {"lines": F.col("lines"), "kept": F.col("kept"), "dropped": F.col("lines") - F.col("kept"), "repeated": F.col("lines") - F.col("ids")}
     counts = total.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(k).alias("key"), v.alias("n")) for k, v in rows.items()])).alias("x")).select("x.*")
     each = d.where("gone").select(F.explode(F.array(F.struct(F.lit("reason").alias("kind"), F.col("reason").alias("key")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("key")))).alias("x"))

@@ -280,11 +280,14 @@ k AS (SELECT *, error IS NOT NULL AND n_pred = 0 AND n_invalid = 0 AND cost <= 0
 def _attempts(spark, sf):
     """A result log in which records occur again, later with no codes, and last with an error and nothing else."""
     none, bad = F.array().cast("array<string>"), F.array(F.lit("zz"))
-    log = score_log(spark, sf).withColumns({"codes": F.array_repeat(F.lit("x"), F.col("n_pred").cast("int")), "invalid_codes": F.when(F.col("record_id") % 26 == 0, bad).otherwise(none), "raw": F.lit(""), "line": F.lit(1), "cost": F.col("cost").cast("double"), "turns": F.col("turns").cast("int")})
-    again = log.where("record_id % 5 = 0").withColumns({"codes": none, "invalid_codes": none, "cost": F.col("cost") + 1, "error": F.lit(None).cast("string"), "line": F.lit(2)})
     k = F.col("record_id") % 4
-    lost = log.where("record_id % 3 = 0").withColumns({"codes": none, "invalid_codes": F.when(F.col("record_id") % 2 == 0, bad).otherwise(none), "cost": F.lit(0.0), "turns": F.lit(0), "error": F.when(k == 0, "Timeout").when(k == 1, "no JSON").otherwise("gone"), "line": F.lit(3)})
-    return log.unionByName(again).unionByName(lost)
+    own = {"codes": F.array_repeat(F.lit("x"), F.col("n_pred").cast("int")), "invalid_codes": F.when(F.col("record_id") % 26 == 0, bad).otherwise(none), "cost": F.col("cost").cast("double"), "turns": F.col("turns").cast("int"), "error": F.col("error"), "line": F.lit(1)}
+    again = own | {"codes": none, "invalid_codes": none, "cost": own["cost"] + 1, "error": F.lit(None).cast("string"), "line": F.lit(2)}
+    lost = own | {"codes": none, "invalid_codes": F.when(F.col("record_id") % 2 == 0, bad).otherwise(none), "cost": F.lit(0.0), "turns": F.lit(0), "error": F.when(k == 0, "Timeout").when(k == 1, "no JSON").otherwise("gone"), "line": F.lit(3)}
+    row = lambda fields: F.struct(*[v.alias(c) for c, v in fields.items()])
+    rows = F.array_compact(F.array(row(own), F.when(F.col("record_id") % 5 == 0, row(again)), F.when(F.col("record_id") % 3 == 0, row(lost))))
+    log = score_log(spark, sf).select("record_id", "source_id", "correct", "n_pred", "latency", F.lit("").alias("raw"), F.explode(rows).alias("x"))
+    return log.select("*", "x.*").drop("x")
 
 
 @query("scrub_predictions", _TWO + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN n_pred > 0 THEN 1 ELSE 0 END DESC, cost DESC, line) AS rn FROM k WHERE NOT gone) SELECT record_id, line FROM r WHERE rn = 1")

@@ -29,6 +29,9 @@ VIEWS = {
     "transfer": """SELECT code AS old_code, concat(substr(code, 1, 6), '0') AS new_code FROM {eval_long} WHERE substr(code, 7, 1) = '2' AND substr(code, 1, 1) IN ('A', 'B', 'C') GROUP BY code""",
 }
 NEEDS = {"eval_lines": [], "eval_pred": ["eval_lines"], "eval_long": ["eval_lines", "eval_pred"], "eval_records": ["eval_lines", "eval_pred", "eval_long"], "doc_records": [], "codebook": ["eval_lines", "eval_pred", "eval_long"], "transfer": ["eval_lines", "eval_pred", "eval_long"]}
+#: Tasks for each range that lines are read in: so a task of the join, and of what follows it by record, holds a bounded
+#: part whatever the input. Without a number, small shuffled rows are put together into few tasks, whose lists are large.
+TASKS = 4
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -43,6 +46,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     names = {n for n in [*TABLES, *VIEWS] if "{" + n + "}" in sql}
     frames = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in names}
+    if name == "eval_lines":
+        n = TASKS * frames["lineitem"].select("l_orderkey").rdd.getNumPartitions()
+        frames |= {t: frames[t].repartition(n, k) for t, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
     return spark.sql(sql.replace('AS "row"', "AS `row`"), **frames)
 
 

@@ -101,3 +101,14 @@ def test_scrub_prefers_codes_then_cost(spark):
 def test_unknown_mode_raises(spark):
     with pytest.raises(ValueError):
         M.filter_metrics(spark.range(1).withColumn("metric", F.lit("n")), "most")
+
+
+def test_lines_are_dealt_over_tasks_and_a_log_is_read_once(spark):
+    from codeloom.plans.evaluation import _attempts
+    from codeloom.plans.views import TASKS, table, view
+
+    sf = "/root/testdata/sf0.001"
+    n = TASKS * table(spark, sf, "lineitem").rdd.getNumPartitions()
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert f", {n}), REPARTITION_BY_NUM" in plan(view(spark, sf, "eval_lines"))
+    assert "Union" not in plan(_attempts(spark, sf))
