@@ -5,6 +5,10 @@ length 1. The weights of all classes minimise the mean logistic loss plus l2 / 2
 BFGS: one pass over the rows gives the loss and the gradient of every class, as sums of the tasks that are added up by
 blocks of classes. So a fit of 245 classes takes as many jobs as one of two.
 
+Rows are counted by bucket once and dealt evenly over as many tasks as the session runs together, so what a pass
+shuffles (a gradient a task) doesn't grow with the rows. What labels give to loss and gradient is linear in the weights
+and summed once; the first gradient, where all weights are 0, needs no scores.
+
 The driver holds classes times features numbers (MOST at most) and a few such vectors of the past; rows stay where they
 are. Rows without terms or with a null label are negative examples of all classes; labels that aren't asked for too.
 """
@@ -22,8 +26,8 @@ from pyspark.sql import types as T
 
 from codeloom.operators.ordering import settled
 
-#: Classes times features, and the rows of a dense block.
-MOST, ROWS = 1 << 25, 256
+#: Classes times features, the rows of a block, and the numbers of its matrices.
+MOST, ROWS, CELLS = 1 << 25, 1024, 1 << 21
 #: Classes whose sums travel together, and the steps that BFGS remembers.
 BLOCK, MEMORY = 32, 8
 
@@ -44,46 +48,84 @@ def _buckets(text: Column, features: int) -> Column:
     return F.transform(F.coalesce(terms(text), F.array().cast("array<string>")), lambda x: F.pmod(F.xxhash64(x), F.lit(features)).cast("int"))
 
 
-def inverse_frequencies(rows: DataFrame, features: int) -> np.ndarray:
-    """log((1 + rows) / (1 + rows with the bucket)) + 1 of each bucket, from column `terms`."""
-    counts = rows.select(F.explode(F.array_distinct("terms")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket
-    n = np.zeros(features)
-    n[[r["b"] for r in counts]] = [r["n"] for r in counts]
-    return np.log((1 + rows.count()) / (1 + n)) + 1
+def _counted(lists: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the distinct buckets of each row, in order."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    key, count = np.unique(row * features + lists.flatten().to_numpy(), return_counts=True)
+    return *divmod(key, features), count
+
+
+def _packed(rows: DataFrame, features: int) -> DataFrame:
+    """Rows (terms, ys) with their distinct buckets and the counts in place of the terms."""
+    lists = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                row, bucket, count = _counted(part.column(0), features)
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                own = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (bucket, count)]
+                yield pa.RecordBatch.from_arrays([*own, part.column(1).cast(lists)], ["buckets", "counts", "ys"])
+
+    return rows.mapInArrow(run, "buckets array<int>, counts array<int>, ys array<int>")
+
+
+class _Block:
+    """Vectors of length 1 (0 for rows without terms) of some rows: as they are for few classes, else a matrix of the buckets that occur."""
+
+    def __init__(self, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray, classes: int | None = None):
+        value = count * idf[bucket]
+        value /= np.maximum(np.sqrt(np.bincount(row, value * value, minlength=n)), 1e-300)[row]
+        self.row, self.bucket, self.value, self.n = row, bucket, value, n
+        self.sparse = classes is not None and 4 * classes * len(bucket) < n * len(idf)
+        if not self.sparse:
+            held = np.bincount(bucket, minlength=len(idf)) > 0
+            self.used = np.flatnonzero(held)
+            self.matrix = np.zeros((n, len(self.used)))
+            self.matrix[row, (np.cumsum(held) - 1)[bucket]] = value
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """rows x classes."""
+        if self.sparse:
+            return np.stack([np.bincount(self.row, self.value * w[self.bucket], minlength=self.n) for w in weights], axis=1)
+        return self.matrix @ (weights if len(self.used) == weights.shape[1] else weights[:, self.used]).T
+
+    def add(self, shares: np.ndarray, to: np.ndarray) -> None:
+        """Adds to each class (row of `to`) the rows' vectors times their shares in it."""
+        if self.sparse:
+            for k, own in enumerate(to):
+                own += np.bincount(self.bucket, self.value * shares[self.row, k], minlength=len(own))
+        elif len(self.used) == to.shape[1]:
+            to += shares.T @ self.matrix
+        else:
+            to[:, self.used] += shares.T @ self.matrix
 
 
 def _dense(lists: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets that occur, rows x those buckets): TF-IDF vectors of length 1 (0 for rows without terms)."""
-    flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    used, column = np.unique(flat, return_inverse=True)
-    out = np.zeros((len(lists), len(used)))
-    np.add.at(out, (np.repeat(np.arange(len(lists)), np.diff(offs)), column), 1.0)
-    out *= idf[used]
-    return used, out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+    b = _Block(*_counted(lists, len(idf)), len(lists), idf)
+    return b.used, b.matrix
 
 
-def _summed(rows: DataFrame, model: Model, n: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss, gradient of weights, gradient of bias), each a mean over n rows, of rows (terms, ys: numbers of the row's classes)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST numbers at most
-    k, size = model.weights.shape
+def _height(classes: int, features: int) -> int:
+    return max(64, min(ROWS, CELLS // max(classes, features)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], height: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(rows, row, bucket, count, ys) of packed rows, so many at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, height):
+            part = batch.slice(i, height)
+            row = np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy()))
+            yield part.num_rows, row, part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy(), part.column(2)
+
+
+def _added(rows: DataFrame, sums) -> dict[int, np.ndarray]:
+    """Sums by number, over all tasks; `sums` gives (number, vector) for the batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        loss, gw, gb = np.zeros(k), np.zeros((k, size)), np.zeros(k)
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                used, x = _dense(part.column(0), m.idf)
-                y = np.zeros((part.num_rows, k))
-                ys = part.column(1)
-                y[np.repeat(np.arange(len(ys)), np.diff(ys.offsets.to_numpy())), ys.flatten().to_numpy()] = 1
-                s = x @ m.weights[:, used].T + m.bias
-                loss += (np.logaddexp(0, s) - y * s).sum(axis=0)
-                r = 1 / (1 + np.exp(-np.clip(s, -500, 500))) - y
-                gw[:, used] += r.T @ x
-                gb += r.sum(axis=0)
-        for b in range(0, k, BLOCK):
-            own = np.concatenate([a[b : b + BLOCK].ravel() for a in (loss, gb, gw)])
+        for b, own in sums(batches):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["block", "sums"])
 
     def add(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +135,82 @@ def _summed(rows: DataFrame, model: Model, n: int) -> tuple[float, np.ndarray, n
                 total = total + np.frombuffer(raw)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
 
-    each = rows.mapInArrow(run, "block int, sums binary")
-    loss, gw, gb = 0.0, np.zeros((k, size)), np.zeros(k)
-    for r in each.groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # classes times features numbers
-        own, b = np.frombuffer(bytes(r["sums"])), r["block"]
+    each = rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary")
+    return {r["block"]: np.frombuffer(bytes(r["sums"])) for r in each.collect()}  # classes times features numbers
+
+
+def inverse_frequencies(rows: DataFrame, features: int) -> tuple[np.ndarray, int]:
+    """log((1 + rows) / (1 + rows with the bucket)) + 1 of each bucket, and the number of packed rows."""
+
+    def sums(batches):
+        held = np.zeros(features + 1)
+        for n, _, bucket, _, _ in _parts(batches, ROWS):
+            held[:-1] += np.bincount(bucket, minlength=features)
+            held[-1] += n
+        yield 0, held
+
+    held = _added(rows, sums).get(0, np.zeros(features + 1))
+    return np.log((1 + held[-1]) / (1 + held[:-1])) + 1, int(held[-1])
+
+
+def _blocks(each: np.ndarray, rows: np.ndarray):
+    """Vectors of a number a class, and of a row a class, by blocks of classes."""
+    for b in range(0, len(each), BLOCK):
+        yield b, np.concatenate([each[b : b + BLOCK].ravel(), rows[b : b + BLOCK].ravel()])
+
+
+def _unblocked(found: dict[int, np.ndarray], k: int, size: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two arrays of _blocks again, the first with `each` numbers a class."""
+    first, second = np.zeros((k, each)), np.zeros((k, size))
+    for b in range(0, k, BLOCK):
         c = min(BLOCK, k - b)
-        loss += own[:c].sum()
-        gb[b : b + c], gw[b : b + c] = own[c : 2 * c], own[2 * c :].reshape(c, size)
-    return loss / n, gw / n, gb / n
+        first[b : b + c], second[b : b + c] = found[b][: c * each].reshape(c, each), found[b][c * each :].reshape(c, size)
+    return first, second
+
+
+def _labelled(rows: DataFrame, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of each class, sum of their vectors, sum of all vectors)."""
+    size = len(idf)
+
+    def sums(batches):
+        number, own, every = np.zeros(k), np.zeros(k * size), np.zeros(size)
+        for n, row, bucket, count, ys in _parts(batches, ROWS):
+            b = _Block(row, bucket, count, n, idf, 0)
+            every += np.bincount(bucket, b.value, minlength=size)
+            y, of = ys.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(ys.offsets.to_numpy()))
+            number += np.bincount(y, minlength=k)
+            begin, width = np.searchsorted(row, of), np.bincount(row, minlength=n)[of]
+            at = np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())  # a row's terms, for each of its classes
+            np.add.at(own, np.repeat(y.astype(np.int64), width) * size + bucket[at], b.value[at])
+        yield from _blocks(number, own.reshape(k, size))
+        yield -1, every
+
+    found = _added(rows, sums)
+    number, own = _unblocked(found, k, size, 1)
+    return number[:, 0], own, found[-1]
+
+
+def _summed(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums over packed rows, as if none had a class: (loss, gradient of weights, gradient of bias)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST numbers at most
+    k, size = model.weights.shape
+
+    def sums(batches):
+        m = shared.value
+        both, gw = np.zeros((k, 2)), np.zeros((k, size))
+        for n, row, bucket, count, _ in _parts(batches, _height(k, size)):
+            b = _Block(row, bucket, count, n, m.idf, k)
+            s = b.scores(m.weights) + m.bias
+            e = np.exp(-np.abs(s))
+            both[:, 0] += (np.maximum(s, 0) + np.log1p(e)).sum(axis=0)
+            p = np.where(s >= 0, 1, e) / (1 + e)
+            both[:, 1] += p.sum(axis=0)
+            b.add(p, gw)
+        yield from _blocks(both, gw)
+
+    both, gw = _unblocked(_added(rows, sums), k, size, 2)
+    shared.destroy()
+    return float(both[:, 0].sum()), gw, both[:, 1]
 
 
 def minimised(evaluate, start: np.ndarray, passes: int, tolerance: float) -> np.ndarray:
@@ -140,18 +250,23 @@ def fit(train: DataFrame, codes: Sequence, text: str, label: str, features: int
     own = F.col(label) if isinstance(train.schema[label].dataType, T.ArrayType) else F.array(label)
     number = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, i)])
     ys = F.array_distinct(F.array_compact(F.transform(F.coalesce(own, F.array()), lambda c: F.try_element_at(number, c))))
-    rows = settled(train.select(_buckets(F.col(text), features).alias("terms"), ys.alias("ys")))
-    n = rows.count()
-    model = Model(codes, np.zeros((len(codes), features)), np.zeros(len(codes)), inverse_frequencies(rows, features))
-    size = model.weights.size
+    packed = _packed(train.select(_buckets(F.col(text), features).alias("terms"), ys.alias("ys")), features)
+    rows = settled(packed.repartition(train.sparkSession.sparkContext.defaultParallelism))
+    idf, n = inverse_frequencies(rows, features)
+    k, size = len(codes), len(codes) * features
+    model = Model(codes, np.zeros((k, features)), np.zeros(k), idf)
+    number, own, every = (v / n for v in _labelled(rows, idf, k)) if n else (None, None, None)
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w = x[:size].reshape(model.weights.shape)
-        loss, gw, gb = _summed(rows, Model(codes, w, x[size:], model.idf), n)
-        return loss + l2 / 2 * float(x[:size] @ x[:size]), np.concatenate([(gw + l2 * w).ravel(), gb])
+        w, bias = x[:size].reshape(k, features), x[size:]
+        if x.any():
+            loss, gw, gb = (v / n for v in _summed(rows, Model(codes, w, bias, idf)))
+        else:  # all scores are 0
+            loss, gw, gb = k * np.log(2), np.tile(every / 2, (k, 1)), np.full(k, 0.5)
+        return loss - float(x[:size] @ own.ravel() + bias @ number) + l2 / 2 * float(x[:size] @ x[:size]), np.concatenate([(gw - own + l2 * w).ravel(), gb - number])
 
     if n:
-        found = minimised(evaluate, np.zeros(size + len(codes)), passes, tolerance)
+        found = minimised(evaluate, np.zeros(size + k), passes, tolerance)
         model.weights, model.bias = found[:size].reshape(model.weights.shape), found[size:]
     return model
 
@@ -166,11 +281,12 @@ def topk(test: DataFrame, model: Model, text: str, id_col: str, k: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array([str(m.codes[i]) for i in order])
+        height = _height(*m.weights.shape)
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                used, x = _dense(part.column(1), m.idf)
-                s = np.round((x @ m.weights[:, used].T + m.bias)[:, order], 6)
+            for i in range(0, batch.num_rows, height):
+                part = batch.slice(i, height)
+                b = _Block(*_counted(part.column(1), features), part.num_rows, m.idf, len(m.codes))
+                s = np.round((b.scores(m.weights) + m.bias)[:, order], 6)
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(part.num_rows), best.shape[1])
                 place = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), part.num_rows)

@@ -30,8 +30,10 @@ def plain(text: Column) -> Column:
 def terms(text: Column) -> Column:
     """Words of two or more letters or digits of the plain text, and pairs of neighbours."""
     words = F.regexp_extract_all(plain(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1)), F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    less = lambda w: F.greatest(F.lit(0), F.size(w) - 1)
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), less(w)), F.slice(w, 2, less(w)), lambda a, b: F.concat_ws(" ", a, b))
+    # The array of one binds the words, which would be found again at each use otherwise.
+    return F.transform(F.array(words), lambda w: F.concat(w, pairs(w)))[0]
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_features: int | None = None, grams: Column | None = None) -> DataFrame:

@@ -70,3 +70,32 @@ def test_intervals_of_micro_and_macro(spark):
     assert V.metric_intervals(d.limit(0), F.col("g"), 5).count() == 0
     table = spark.createDataFrame([("x", "f", 0.9, 0.8, 0.95), ("y", "f", 0.5, 0.4, 0.6), ("z", "f", 0.85, 0.7, 0.9)], "s string, figure string, value double, low double, high double")
     assert {r.s: r["distinct"] for r in V.overlaps(table, "s").collect()} == {"x": False, "y": True, "z": False}
+
+
+def test_rows_are_dealt_over_the_sessions_tasks(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"word{i % 7} common", f"c{i % 3}") for i in range(60)], "id long, text string, y string").repartition(40)
+    parts = []
+    settled = linear.settled
+    monkeypatch.setattr(linear, "settled", lambda df: parts.append((out := settled(df)).rdd.getNumPartitions()) or out)
+    linear.fit(d, ["c0", "c1", "c2"], "text", "y", 64, passes=3)
+    assert parts == [spark.sparkContext.defaultParallelism]
+
+
+def test_words_are_found_once_a_text(spark):
+    plan = spark.createDataFrame([("a bc de",)], "text string").select(T.terms(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    got = spark.createDataFrame([("Às ab, cd",), ("ab",), ("",), (None,)], "text string").select(T.terms(F.col("text")).alias("t")).collect()
+    assert [r.t for r in got] == [["as", "ab", "cd", "as ab", "ab cd"], ["ab"], [], None]
+
+
+def test_sparse_and_dense_blocks_agree():
+    rng = np.random.default_rng(2)
+    row, bucket, count = linear._counted(pa.array([[3, 3, 1], [], [5, 7, 5], [0]], pa.list_(pa.int32())), 8)
+    assert list(zip(row.tolist(), bucket.tolist(), count.tolist(), strict=True)) == [(0, 1, 1), (0, 3, 2), (2, 5, 2), (2, 7, 1), (3, 0, 1)]
+    idf, w, shares = rng.random(8) + 1, rng.random((3, 8)), rng.random((4, 3))
+    sparse, dense = linear._Block(row, bucket, count, 4, idf, 0), linear._Block(row, bucket, count, 4, idf)
+    assert sparse.sparse and not dense.sparse and np.allclose(sparse.scores(w), dense.scores(w))
+    sums = [np.zeros((3, 8)), np.zeros((3, 8))]
+    for b, to in zip((sparse, dense), sums, strict=True):
+        b.add(shares, to)
+    assert np.allclose(*sums) and sums[0].any()
