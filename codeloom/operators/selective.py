@@ -30,7 +30,7 @@ def curve(df: DataFrame, score: str, correct: str, id_col: str, by: Sequence[str
     """
     slim = df.select(*by, F.col(id_col).alias("_id"), F.col(score).alias("_score"), F.col(correct).cast("double").alias("_hit"))
     r = ranked(slim, [F.col("_score").desc(), F.col("_id").asc()], {"hits": F.col("_hit")}, by)
-    total = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    total = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # from ranked rows, which are settled
     joined = on_slices(r, total, by)
     accuracy = F.col("hits") / F.col("rank")
     return joined.select(*by, F.col("_id").alias(id_col), F.col("_score").alias("score"), "rank", "n", (F.col("rank") / F.col("n")).alias("coverage"), accuracy.alias("accuracy"), (1 - accuracy).alias("risk"))

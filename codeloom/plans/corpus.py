@@ -16,7 +16,7 @@ from codeloom.operators import retrieval as T
 from codeloom.operators import scoring as O
 from codeloom.operators import selective as P2
 from codeloom.operators import splits as E
-from codeloom.operators.ordering import shared_folder
+from codeloom.operators.ordering import settled, shared_folder
 from codeloom.plans import prepare as P
 from codeloom.plans.prepare import Plan, split_counts
 from codeloom.plans.views import ctes, pairs, table, view
@@ -935,7 +935,7 @@ def streamed_scores(spark, sf):
 @query("split_bundle", LONG + "SELECT count(DISTINCT record_id) AS n, CAST(0 AS INTEGER) AS problems FROM eval_long")
 def split_bundle(spark, sf):
     root = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
-    d = view(spark, sf, "eval_records").select("record_id", "score", "correct")
+    d = settled(view(spark, sf, "eval_records").select("record_id", "score", "correct"))  # read by the curve and two writers
     curve = P2.rc_curve(P2.curve(d, "score", "correct", "record_id"), (0.5, 1.0))
     I.write_split_bundle(d.select("record_id", "correct"), d, curve, root)
     return spark.read.parquet(f"{root}/rows").agg(F.countDistinct("record_id").alias("n")).withColumn("problems", F.lit(len(I.bundle_problems(spark, root, "record_id"))))
