@@ -216,8 +216,10 @@ def is_real_source(spark, sf):
 k AS (SELECT m.*, c.code IS NOT NULL AS known FROM m LEFT JOIN codebook c ON m.code = c.code)
 SELECT record_id, string_agg(DISTINCT code, ',' ORDER BY code) AS label FROM k GROUP BY record_id HAVING bool_and(known)""")
 def harmonise(spark, sf):
-    d = pairs(spark, sf).select("record_id", F.col("gold").alias("y_codes"))
-    return C.harmonise(d, view(spark, sf, "codebook"), C.assert_functional(view(spark, sf, "transfer"))).select("record_id", F.array_join(F.array_sort("y_codes"), ",").alias("label"))
+    wide = settled(pairs(spark, sf).select("record_id", "source_id", "gold", "pred"))  # read for the records, the code book and the transfers
+    transfer = C.assert_functional(settled(view(spark, sf, "transfer", wide)))
+    d = wide.select("record_id", F.col("gold").alias("y_codes"))
+    return C.harmonise(d, view(spark, sf, "codebook", wide), transfer).select("record_id", F.array_join(F.array_sort("y_codes"), ",").alias("label"))
 
 
 @query("ambiguous_transfer", BOOK + ", t AS (SELECT * FROM transfer UNION ALL SELECT min(old_code), 'Z99.999' FROM transfer) SELECT old_code, string_agg(DISTINCT new_code, ',' ORDER BY new_code) AS targets FROM t GROUP BY old_code HAVING count(DISTINCT new_code) > 1")

@@ -39,13 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, wide: DataFrame | None = None) -> DataFrame:
+    """A derived view as a DataFrame; `wide` are the pairs to derive it from, if the caller has settled them."""
     if name in WIDE:
-        return WIDE[name](spark, sf_dir)
+        return WIDE[name](pairs(spark, sf_dir) if wide is None else wide)
     sql = VIEWS[name]
     names = {n for n in [*TABLES, *VIEWS] if "{" + n + "}" in sql}
-    frames = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in names}
+    frames = {n: view(spark, sf_dir, n, wide) if n in VIEWS else table(spark, sf_dir, n) for n in names}
     if name == "eval_lines":
         n = TASKS * frames["lineitem"].select("l_orderkey").rdd.getNumPartitions()
         frames |= {t: frames[t].repartition(n, k) for t, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
@@ -59,15 +59,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("record_id", "source_id").agg(F.array_sort(F.collect_set("gold_code")).alias("gold"), F.array_sort(F.collect_set("pred_code")).alias("pred"), score.alias("score"))
 
 
-def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _long(wide: DataFrame) -> DataFrame:
     flag = lambda c: F.array_contains(c, F.col("code")).cast("int")
-    each = pairs(spark, sf_dir).select("record_id", "source_id", "gold", "pred", F.explode(F.array_union("gold", "pred")).alias("code"))
+    each = wide.select("record_id", "source_id", "gold", "pred", F.explode(F.array_union("gold", "pred")).alias("code"))
     return each.select("record_id", "source_id", "code", flag("gold").alias("is_gold"), flag("pred").alias("is_pred"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(wide: DataFrame) -> DataFrame:
     size = lambda c: F.size(c).cast("long")
-    d = pairs(spark, sf_dir).withColumns({"n_gold": size("gold"), "n_pred": size("pred"), "tp": size(F.array_intersect("gold", "pred"))})
+    d = wide.withColumns({"n_gold": size("gold"), "n_pred": size("pred"), "tp": size(F.array_intersect("gold", "pred"))})
     correct = ((F.col("tp") == F.col("n_gold")) & (F.col("tp") == F.col("n_pred"))).cast("int")
     return d.select("record_id", "source_id", "n_gold", "n_pred", "tp", correct.alias("correct"), "score")
 
