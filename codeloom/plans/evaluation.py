@@ -11,7 +11,7 @@ from codeloom.operators import intervals as V
 from codeloom.operators import leakage as L
 from codeloom.operators import metrics as M
 from codeloom.operators import selective as P
-from codeloom.operators.ordering import on_slices
+from codeloom.operators.ordering import on_slices, settled
 from codeloom.plans.views import ctes, pairs, table, view
 
 QUERIES, ORACLES = {}, {}
@@ -621,7 +621,7 @@ m AS (SELECT slice, count(*) AS classes, round(avg(2.0::DOUBLE * tp / (g + p)),
 SELECT r.slice, count(*) AS n, round(avg(correct), 9) AS accuracy, round(2.0::DOUBLE * sum(tp) / (sum(n_gold) + sum(n_pred)), 9) AS micro_f1, max(classes) AS classes, max(macro_f1) AS macro_f1,
  round(sum(n_gold + n_pred - 2 * tp)::DOUBLE / count(*) / max(classes), 9) AS hamming_loss, round(avg(abs(n_gold - n_pred)), 9) AS count_mae, CAST(sum(correct) AS BIGINT) AS correct FROM nr r JOIN m ON r.slice IS NOT DISTINCT FROM m.slice GROUP BY r.slice""")
 def null_slice_metrics(spark, sf):
-    d = _nulled(pairs(spark, sf))
+    d = settled(_nulled(pairs(spark, sf)).select("slice", "gold", "pred"))  # read by all three
     figures = M.metric_set(d, ["slice"]).select("slice", "n", "accuracy", "micro_f1", "classes", "macro_f1")
     more = M.diagnostics(d, ["slice"]).select("slice", "hamming_loss", "count_mae")
     hits = M.per_source_accuracy(d, "slice").where("coalesce(slice, '') <> 'overall'").select("slice", "correct")
