@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -36,6 +37,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for rows that are read often: a reading takes only the columns it needs."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def on_slices(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """left joined with a frame of one row a slice; a null slice meets the null slice. Without slices, right is one row."""
     if not by:
@@ -45,9 +53,11 @@ def on_slices(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
     return left.join(own, test, how).drop(*[f"_on_{c}" for c in by])
 
 
-def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, by: Sequence[str] = (), parts: int | None = None, count: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds `rank` (from 1) in the given order, within each combination of `by`, and running sums (as doubles).
 
+    `count` names a column for the rows of the slice; `keep` the columns that stay besides `by` (all without it).
+
     Rows are range-partitioned by (by, order) and sorted inside the partitions, which is the one time they are
     shuffled; ranks and sums inside a partition are taken as its rows go by, and the last of each slice there (one
     small row for each partition and slice) are added up and joined. The ranges come from a sample, so the
@@ -58,20 +68,24 @@ def ranked(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | Non
     keys = [F.col(c).asc() for c in by] + list(order)
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumns({f"_v_{k}": v.cast("double") for k, v in sums.items()})
-    d = d.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    kept = df.columns if keep is None else list(dict.fromkeys([*by, *keep]))
+    values = [f"_v_{k}" for k in sums]
+    d = d.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*kept, *values, F.spark_partition_id().alias("_part"))
     names = ["rank", *sums]
-    schema = T.StructType([*d.schema.fields, T.StructField("_r_rank", T.LongType()), *[T.StructField(f"_r_{k}", T.DoubleType()) for k in sums]])
-    inside = settled(d.mapInArrow(_running(by, list(sums), schema.names), schema))
+    schema = T.StructType([*[f for f in d.schema.fields if f.name not in values], T.StructField("_r_rank", T.LongType()), *[T.StructField(f"_r_{k}", T.DoubleType()) for k in sums]])
+    inside = settled(d.mapInArrow(_running(by, list(sums), d.columns, schema.names), schema))
     totals = inside.groupBy("_part", *by).agg(F.max("_r_rank").alias("_t_rank"), *[F.max_by(f"_r_{k}", "_r_rank").alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *by, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names])
+    whole = [F.sum("_t_rank").over(Window.partitionBy(*by)).alias("_n")] if count else []
+    bases = totals.select("_part", *by, *whole, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names])
     bases = settled(bases)
     joined = on_slices(inside, F.broadcast(bases) if bases.count() <= BASES else bases, ["_part", *by])
-    return joined.select(*df.columns, *[(F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in names])
+    return joined.select(*kept, *[(F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in names], *([F.col("_n").alias(count)] if count else []))
 
 
-def _running(by: list[str], sums: list[str], names: list[str]):
-    """For sorted rows: adds the rank and the running sums within each run of equal `by` columns."""
+def _running(by: list[str], sums: list[str], names: list[str], out_names: list[str]):
+    """For sorted rows: the rank and the running sums within each run of equal `by` columns, in place of the sums' values."""
+    stay = [i for i, c in enumerate(names) if c in out_names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list | None = None
@@ -104,6 +118,6 @@ def _running(by: list[str], sums: list[str], names: list[str]):
                 totals[i] = float(v[-1])
                 out.append(pa.array(v))
             rank = int(ranks[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranks), *out], names)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in stay], pa.array(ranks), *out], out_names)
 
     return run

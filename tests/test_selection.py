@@ -76,3 +76,48 @@ def test_ranks_and_sums_across_partitions_slices_and_batches(spark):
     finally:
         ordering.BASES = 100_000
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_curves_of_slices_bring_no_slice_to_one_task(spark):
+    d = spark.range(900).select("id", (F.col("id") % 7 / 7).alias("x"), (F.col("id") % 2).alias("y"), F.expr("CASE WHEN id % 3 > 0 THEN id % 3 END").alias("s"))
+    for ids in (True, False):
+        points = P.curve(d, "x", "y", "id", ["s"], ids=ids)
+        assert ("score" in points.columns) is ids and {r[0] for r in points.select("n").distinct().collect()} == {300}
+        assert "Exchange hashpartitioning" not in points._jdf.queryExecution().executedPlan().toString()
+    assert P.curve(d, "x", "y", "id").agg(F.min("n"), F.max("n"), F.max("rank")).first()[:] == (900, 900, 900)
+
+
+def test_temperatures_in_few_rounds_of_unequal_scores_and_odd_slices(spark, monkeypatch):
+    import math
+    import random
+
+    rng, nan = random.Random(5), math.nan
+    rows = []
+    for s, t in ((1.0, 0.3), (2.0, 7.0), (nan, 30.0), (None, 1.0)):
+        for _ in range(600):
+            x = rng.gauss(0.5, 3)
+            rows.append((s, x, int(rng.random() < 1 / (1 + math.exp(-x / t)))))
+    rows += [(8.0, float(x), 0) for x in range(1, 9)] + [(9.0, 0.0, 1)] * 5 + [(7.0, None, 1), (1.0, None, 1), (1.0, 2.0, None)]
+    rounds, between = [], P._between
+    monkeypatch.setattr(P, "_between", lambda *a: rounds.append(1) or between(*a))
+    found = {str(k[0]): t for k, t in P.fit_temperatures(spark.createDataFrame(rows, "s double, x double, y int"), "x", "y", ["s"]).items()}
+    assert set(found) == {"1.0", "2.0", "nan", "None", "7.0", "8.0", "9.0"} and len(rounds) <= 5 * 4
+    assert found["7.0"] == found["8.0"] == 1.0 and abs(found["9.0"] - 0.05) < 1e-6
+    for s in ("1.0", "2.0", "nan", "None"):
+        own = [(x, y) for k, x, y in rows if str(k) == s and x is not None and y is not None]
+        low, high = 0.05, 50.0
+        gradient = lambda t: sum((1 / (1 + math.exp(min(700, -x / t))) - y) * x for x, y in own)  # noqa: B023, E731
+        while high - low > 1e-9:
+            mid = (low + high) / 2
+            low, high = (mid, high) if gradient(0.05) * gradient(mid) > 0 else (low, mid)
+        assert abs(found[s] - low) < 1e-6
+
+
+def test_accepted_shares_by_counts_of_the_ranks(spark):
+    d = spark.range(10).select(F.col("id").alias("record_id"), (-F.col("id")).cast("double").alias("x"))
+    for share, n in ((0.0, 0), (0.05, 1), (0.35, 3), (1.0, 10), (2, 10)):
+        out = P.defer_or_accept(d, "x", coverage=share)
+        assert out.columns == ["record_id", "x", "decision"]
+        assert sorted(r.record_id for r in out.where("decision = 'accept'").collect()) == list(range(n))
+    got = {r.coverage: (r.n_kept, r.value) for r in P.rc_metric(d, "x", "record_id", F.max("record_id"), (0.3, 1.0)).collect()}
+    assert got == {0.3: (3, 2), 1.0: (10, 9)}

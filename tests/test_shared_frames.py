@@ -22,3 +22,9 @@ def test_bundles_are_written_from_settled_records(spark, monkeypatch):
     monkeypatch.setattr(corpus.I, "write_split_bundle", lambda p, r, c, root: plans.extend(map(_plan, (p, r, c))) or write(p, r, c, root))
     QUERIES["split_bundle"](spark, SF)
     assert len(plans) == 3 and not any("Relation [" in p for p in plans)
+
+
+def test_codes_are_divided_as_doubles(spark):
+    from codeloom.plans.views import view
+
+    assert "decimal" not in _plan(view(spark, SF, "eval_lines").select("gold_code"))
