@@ -5,12 +5,16 @@ length 1. The weights of all classes minimise the mean logistic loss plus l2 / 2
 BFGS: one pass over the rows gives the loss and the gradient of every class, as sums of the tasks that are added up by
 blocks of classes. So a fit of 245 classes takes as many jobs as one of two.
 
-Rows are counted by bucket once and dealt evenly over as many tasks as the session runs together, so what a pass
+Classes are problems of their own: each has its own steps, and leaves the passes when it is done. A class begins at
+weights of 0 and the bias of its share, where loss, gradient and Hessian need no scores; that Hessian, of the rows'
+covariances (or variances, where covariances would cost more than a quarter of the passes), is what BFGS corrects.
+
+Rows are counted by bucket once and dealt in blocks over as many tasks as the session runs together, so what a pass
 shuffles (a gradient a task) doesn't grow with the rows. What labels give to loss and gradient is linear in the weights
-and summed once; the first gradient, where all weights are 0, needs no scores.
+and summed once. Passes multiply single floats unless the tolerance is below SINGLE; sums are of doubles.
 
-The driver holds classes times features numbers (MOST at most) and a few such vectors of the past; rows stay where they
-are. Rows without terms or with a null label are negative examples of all classes; labels that aren't asked for too.
+The driver holds classes times features numbers (MOST at most), a few such vectors of the past, and the covariances
+(FULL squared at most); rows stay where they are. Rows without terms or with a null label are negative examples of all classes; labels that aren't asked for too.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from codeloom.operators.ordering import settled
 MOST, ROWS, CELLS = 1 << 25, 1024, 1 << 21
 #: Classes whose sums travel together, and the steps that BFGS remembers.
 BLOCK, MEMORY = 32, 8
+#: Features that covariances are taken of, and the least tolerance that single floats are good for.
+FULL, SINGLE = 1 << 12, 1e-7
+#: A class isn't done before its gradient has come down to this share of the first, however rare it is.
+SHARE = 1e-3
 
 
 @dataclass
@@ -51,30 +59,46 @@ def _buckets(text: Column, features: int) -> Column:
 def _counted(lists: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, count) of the distinct buckets of each row, in order."""
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    key, count = np.unique(row * features + lists.flatten().to_numpy(), return_counts=True)
+    key = row * features + lists.flatten().to_numpy()
+    if len(lists) * features <= 4 * len(key):
+        held = np.bincount(key)
+        key = np.flatnonzero(held)
+        return *divmod(key, features), held[key]
+    key, count = np.unique(key, return_counts=True)
     return *divmod(key, features), count
 
 
+_NAMES = ["n", "sizes", "buckets", "counts", "marks", "ys"]
+
+
+def _zipped(v: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(np.ascontiguousarray(v, np.int32).tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _unzipped(v: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(v.as_py(), 4 * n, "zstd", asbytes=True), np.int32)
+
+
 def _packed(rows: DataFrame, features: int) -> DataFrame:
-    """Rows (terms, ys) with their distinct buckets and the counts in place of the terms."""
-    lists = pa.list_(pa.int32())
+    """Rows (terms, ys) as blocks of up to ROWS: the sizes of their lists of distinct buckets, the buckets and counts, and the same of ys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
+                n = part.num_rows
                 row, bucket, count = _counted(part.column(0), features)
-                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
-                own = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (bucket, count)]
-                yield pa.RecordBatch.from_arrays([*own, part.column(1).cast(lists)], ["buckets", "counts", "ys"])
+                ys = part.column(1)
+                own = [np.bincount(row, minlength=n), bucket, count, np.diff(ys.offsets.to_numpy()), ys.flatten().to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *map(_zipped, own)], _NAMES)
 
-    return rows.mapInArrow(run, "buckets array<int>, counts array<int>, ys array<int>")
+    return rows.mapInArrow(run, "n int, sizes binary, buckets binary, counts binary, marks binary, ys binary")
 
 
 class _Block:
     """Vectors of length 1 (0 for rows without terms) of some rows: as they are for few classes, else a matrix of the buckets that occur."""
 
-    def __init__(self, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray, classes: int | None = None):
+    def __init__(self, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray, classes: int | None = None, kind: type = float):
         value = count * idf[bucket]
         value /= np.maximum(np.sqrt(np.bincount(row, value * value, minlength=n)), 1e-300)[row]
         self.row, self.bucket, self.value, self.n = row, bucket, value, n
@@ -82,7 +106,7 @@ class _Block:
         if not self.sparse:
             held = np.bincount(bucket, minlength=len(idf)) > 0
             self.used = np.flatnonzero(held)
-            self.matrix = np.zeros((n, len(self.used)))
+            self.matrix = np.zeros((n, len(self.used)), kind)
             self.matrix[row, (np.cumsum(held) - 1)[bucket]] = value
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
@@ -112,13 +136,17 @@ def _height(classes: int, features: int) -> int:
     return max(64, min(ROWS, CELLS // max(classes, features)))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], height: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """(rows, row, bucket, count, ys) of packed rows, so many at a time."""
+def _parts(batches: Iterator[pa.RecordBatch], height: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row, bucket, count, row of each y, y) of packed rows, so many at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, height):
-            part = batch.slice(i, height)
-            row = np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy()))
-            yield part.num_rows, row, part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy(), part.column(2)
+        for n, *zipped in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in range(1, 6)], strict=True):
+            sizes, marks = _unzipped(zipped[0], n), _unzipped(zipped[3], n)
+            ends, to = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)]) for v in (sizes, marks))
+            bucket, count, y = _unzipped(zipped[1], int(ends[-1])), _unzipped(zipped[2], int(ends[-1])), _unzipped(zipped[4], int(to[-1]))
+            for i in range(0, n, height):
+                j = min(n, i + height)
+                row, of = (np.repeat(np.arange(j - i), v[i:j]) for v in (sizes, marks))
+                yield j - i, row, bucket[ends[i] : ends[j]], count[ends[i] : ends[j]], of, y[to[i] : to[j]]
 
 
 def _added(rows: DataFrame, sums) -> dict[int, np.ndarray]:
@@ -144,7 +172,7 @@ def inverse_frequencies(rows: DataFrame, features: int) -> tuple[np.ndarray, int
 
     def sums(batches):
         held = np.zeros(features + 1)
-        for n, _, bucket, _, _ in _parts(batches, ROWS):
+        for n, _, bucket, _, _, _ in _parts(batches, ROWS):
             held[:-1] += np.bincount(bucket, minlength=features)
             held[-1] += n
         yield 0, held
@@ -168,77 +196,108 @@ def _unblocked(found: dict[int, np.ndarray], k: int, size: int, each: int) -> tu
     return first, second
 
 
-def _labelled(rows: DataFrame, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of each class, sum of their vectors, sum of all vectors)."""
+def _labelled(rows: DataFrame, idf: np.ndarray, k: int, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of each class, sum of their vectors, sum of all vectors, sum of the squares of all: of their outer products if `full`)."""
     size = len(idf)
 
     def sums(batches):
         number, own, every = np.zeros(k), np.zeros(k * size), np.zeros(size)
-        for n, row, bucket, count, ys in _parts(batches, ROWS):
-            b = _Block(row, bucket, count, n, idf, 0)
-            every += np.bincount(bucket, b.value, minlength=size)
-            y, of = ys.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(ys.offsets.to_numpy()))
+        squares = np.zeros((size, size) if full else (1, size), np.float32 if full else float)  # of a start only: single floats will do
+        for n, row, bucket, count, of, y in _parts(batches, ROWS):
+            b = _Block(row, bucket, count, n, idf, None if full else 0, np.float32)
+            value = b.value
+            every += np.bincount(bucket, value, minlength=size)
+            if not full:
+                squares[0] += np.bincount(bucket, value * value, minlength=size)
+            elif len(b.used) == size:
+                squares += b.matrix.T @ b.matrix
+            else:
+                squares[np.ix_(b.used, b.used)] += b.matrix.T @ b.matrix
             number += np.bincount(y, minlength=k)
             begin, width = np.searchsorted(row, of), np.bincount(row, minlength=n)[of]
             at = np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())  # a row's terms, for each of its classes
-            np.add.at(own, np.repeat(y.astype(np.int64), width) * size + bucket[at], b.value[at])
+            np.add.at(own, np.repeat(y.astype(np.int64), width) * size + bucket[at], value[at])
         yield from _blocks(number, own.reshape(k, size))
         yield -1, every
+        for i in range(0, len(squares), ROWS):
+            yield -2 - i, squares[i : i + ROWS].ravel().astype(float)
 
     found = _added(rows, sums)
     number, own = _unblocked(found, k, size, 1)
-    return number[:, 0], own, found[-1]
+    squares = np.concatenate([found[-2 - i].reshape(-1, size) for i in range(0, size if full else 1, ROWS)])
+    return number[:, 0], own, found[-1], squares
 
 
-def _summed(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sums over packed rows, as if none had a class: (loss, gradient of weights, gradient of bias)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST numbers at most
-    k, size = model.weights.shape
+def _summed(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over packed rows for each class, as if no row had it: (loss, gradient of weights, gradient of bias)."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, bias, idf))  # MOST numbers at most
+    k, size = weights.shape
 
     def sums(batches):
-        m = shared.value
+        weights, bias, idf = shared.value
         both, gw = np.zeros((k, 2)), np.zeros((k, size))
-        for n, row, bucket, count, _ in _parts(batches, _height(k, size)):
-            b = _Block(row, bucket, count, n, m.idf, k)
-            s = b.scores(m.weights) + m.bias
+        for n, row, bucket, count, _, _ in _parts(batches, _height(k, size)):
+            b = _Block(row, bucket, count, n, idf, k, weights.dtype)
+            s = (b.scores(weights) + bias).astype(weights.dtype, copy=False)
             e = np.exp(-np.abs(s))
-            both[:, 0] += (np.maximum(s, 0) + np.log1p(e)).sum(axis=0)
+            both[:, 0] += (np.maximum(s, 0) + np.log1p(e)).sum(axis=0, dtype=float)
             p = np.where(s >= 0, 1, e) / (1 + e)
-            both[:, 1] += p.sum(axis=0)
+            both[:, 1] += p.sum(axis=0, dtype=float)
             b.add(p, gw)
         yield from _blocks(both, gw)
 
     both, gw = _unblocked(_added(rows, sums), k, size, 2)
     shared.destroy()
-    return float(both[:, 0].sum()), gw, both[:, 1]
-
-
-def minimised(evaluate, start: np.ndarray, passes: int, tolerance: float) -> np.ndarray:
-    """The place of the least value of a smooth convex function, by limited-memory BFGS; evaluate(x) gives (value, gradient)."""
-    x, (value, g) = start, evaluate(start)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    used = 1
-    while used < passes and np.abs(g).max(initial=0) > tolerance:
-        q, alphas = g.copy(), []
-        for s, y in reversed(past):
-            alphas.append((s @ q) / (s @ y))
-            q -= alphas[-1] * y
-        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, np.sqrt(g @ g))
-        for (s, y), a in zip(past, reversed(alphas), strict=True):
-            q += (a - (y @ q) / (s @ y)) * s
-        step = 1.0
-        while True:
-            new = x - step * q
-            new_value, new_g = evaluate(new)
-            used += 1
-            if new_value <= value - 1e-4 * step * (g @ q) or used >= passes:
-                break
-            step /= 2
-        if new_value > value:
+    return both[:, 0], gw, both[:, 1]
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray, passes: int, most: np.ndarray) -> np.ndarray:
+    """The places of the least values of smooth convex functions, one a row of x, by limited-memory BFGS.
+
+    evaluate(rows, x) gives (values, gradients), solve(rows, v) an approximate inverse Hessian times v; value and g are
+    those of the start. A row is done when no number of its gradient is over its `most`; it is evaluated `passes` times at most.
+    """
+    past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def direction(rows: np.ndarray) -> np.ndarray:
+        q, steps = g[rows], []
+        for of, s, y in reversed(past):
+            at = np.minimum(np.searchsorted(of, rows), len(of) - 1)
+            s, y = np.where((of[at] == rows)[:, None], s[at], 0), y[at]
+            sy = _dots(s, y)
+            rho = np.divide(1, sy, out=np.zeros(len(rows)), where=sy > 0)
+            a = rho * _dots(s, q)
+            q -= a[:, None] * y
+            steps.append((s, y, rho, a))
+        d = solve(rows, q)
+        for s, y, rho, a in reversed(steps):
+            d += (a - rho * _dots(y, d))[:, None] * s
+        return -d
+
+    on = fresh = np.flatnonzero(np.abs(g).max(axis=1, initial=0) > most)
+    d, step = np.zeros_like(x), np.ones(len(x))
+    for _ in range(passes):
+        if not len(on):
             break
-        if (new - x) @ (new_g - g) > 1e-18:
-            past = [*past, (new - x, new_g - g)][-MEMORY:]
-        x, value, g = new, new_value, new_g
+        d[fresh], step[fresh] = direction(fresh), 1
+        new = x[on] + step[on, None] * d[on]
+        new_value, new_g = evaluate(on, new)
+        slope, new_slope = _dots(g[on], d[on]), _dots(new_g, d[on])
+        # A convex function that still falls at the new place has fallen all the way; near the least value the sums' rounding
+        # hides a decrease, and there the slopes tell.
+        flat = (np.abs(new_slope) <= 0.8 * np.abs(slope)) & (new_value <= value[on] + 1e-6 * np.abs(value[on]))
+        good = (new_slope <= 0) | flat | (new_value <= value[on] + 1e-4 * step[on] * slope)
+        rows = on[good]
+        if len(rows):
+            past = [*past, (rows, new[good] - x[rows], new_g[good] - g[rows])][-MEMORY:]
+        x[rows], value[rows], g[rows] = new[good], new_value[good], new_g[good]
+        step[on[~good]] *= np.clip(slope / np.minimum(slope - new_slope, -1e-300), 0.1, 0.7)[~good]
+        still = np.abs(g[on]).max(axis=1) > most[on]
+        on, fresh = on[still], on[still & good]
     return x
 
 
@@ -253,22 +312,41 @@ def fit(train: DataFrame, codes: Sequence, text: str, label: str, features: int
     packed = _packed(train.select(_buckets(F.col(text), features).alias("terms"), ys.alias("ys")), features)
     rows = settled(packed.repartition(train.sparkSession.sparkContext.defaultParallelism))
     idf, n = inverse_frequencies(rows, features)
-    k, size = len(codes), len(codes) * features
-    model = Model(codes, np.zeros((k, features)), np.zeros(k), idf)
-    number, own, every = (v / n for v in _labelled(rows, idf, k)) if n else (None, None, None)
-
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, bias = x[:size].reshape(k, features), x[size:]
-        if x.any():
-            loss, gw, gb = (v / n for v in _summed(rows, Model(codes, w, bias, idf)))
-        else:  # all scores are 0
-            loss, gw, gb = k * np.log(2), np.tile(every / 2, (k, 1)), np.full(k, 0.5)
-        return loss - float(x[:size] @ own.ravel() + bias @ number) + l2 / 2 * float(x[:size] @ x[:size]), np.concatenate([(gw - own + l2 * w).ravel(), gb - number])
-
-    if n:
-        found = minimised(evaluate, np.zeros(size + k), passes, tolerance)
-        model.weights, model.bias = found[:size].reshape(model.weights.shape), found[size:]
-    return model
+    k = len(codes)
+    if not n:
+        return Model(codes, np.zeros((k, features)), np.zeros(k), idf)
+    full = features <= min(FULL, passes * k)  # the covariances cost as much as features / (4 k) passes: a quarter of them at most
+    number, own, every, squares = (v / n for v in _labelled(rows, idf, k, full))
+    share = np.clip(number, 0.5 / n, 1 - 0.5 / n)
+    curve = (share * (1 - share))[:, None]
+    if full:
+        spread, axes = np.linalg.eigh(squares - np.outer(every, every))
+    else:
+        spread, axes = squares[0] - every * every, None
+    spread = np.maximum(spread, 0)
+
+    def solve(which: np.ndarray, v: np.ndarray) -> np.ndarray:
+        # The Hessian at the start is curve * [[spread + every every', every], [every', 1]] + l2; the bias is eliminated.
+        w = v[:, :-1] - v[:, -1:] * every
+        scale = np.maximum(curve[which] * spread + l2, 1e-12)
+        w = w / scale if axes is None else (w @ axes / scale) @ axes.T
+        return np.hstack([w, v[:, -1:] / curve[which] - (w @ every)[:, None]])
+
+    kind = np.float32 if tolerance >= SINGLE else np.float64
+
+    def evaluate(which: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, bias = x[:, :-1], x[:, -1]
+        loss, gw, gb = (v / n for v in _summed(rows, w.astype(kind), bias.astype(kind), idf))
+        gw += l2 * w - own[which]
+        return loss - _dots(w, own[which]) - bias * number[which] + l2 / 2 * _dots(w, w), np.hstack([gw, (gb - number[which])[:, None]])
+
+    x = np.hstack([np.zeros((k, features)), np.log(share / (1 - share))[:, None]])
+    g = np.hstack([np.outer(share, every) - own, (share - number)[:, None]])
+    some = (number > 0) & (number < 1)
+    most = np.where(some, np.minimum(tolerance, SHARE * np.abs(g).max(axis=1)), tolerance)
+    value = -number * np.log(share) - (1 - number) * np.log1p(-share)
+    found = minimised(evaluate, solve, x, value, g, passes, most)
+    return Model(codes, found[:, :-1], found[:, -1], idf)
 
 
 def topk(test: DataFrame, model: Model, text: str, id_col: str, k: int) -> DataFrame:

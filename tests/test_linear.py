@@ -99,3 +99,47 @@ def test_sparse_and_dense_blocks_agree():
     for b, to in zip((sparse, dense), sums, strict=True):
         b.add(shares, to)
     assert np.allclose(*sums) and sums[0].any()
+
+
+def test_classes_are_done_in_few_passes_of_their_own(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [f"k{i:02d}" for i in range(24)]
+    rows = [(i, " ".join(rng.choices([f"{c}w{j}" for j in range(5)], k=6) + rng.choices([f"common{j}" for j in range(20)], k=6)), c) for i, c in enumerate(rng.choices(names[:-1], [1 / (1 + j) for j in range(23)], k=900))]
+    d = spark.createDataFrame(rows, "id long, text string, y string").repartition(3)
+    for features, codes, squared in ((64, names, 64), (512, names[:20], 1)):
+        asked, widths = [], []
+        summed, labelled = linear._summed, linear._labelled
+        monkeypatch.setattr(linear, "_summed", lambda *a, f=summed, to=asked: to.append(len(a[1])) or f(*a))
+        monkeypatch.setattr(linear, "_labelled", lambda *a, f=labelled, to=widths: to.append(len((out := f(*a))[3])) or out)
+        model = linear.fit(d, codes, "text", "y", features, 1e-2, passes=20)
+        monkeypatch.undo()
+        assert widths == [squared]  # covariances where they cost no more than a quarter of the passes, else variances
+        terms = {r.id: r.t for r in d.select("id", linear._buckets(F.col("text"), features).alias("t")).collect()}
+        x = np.zeros((len(rows), features))
+        for i in range(len(rows)):
+            np.add.at(x[i], terms[i], 1)
+        x *= model.idf
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = np.array([[r[2] == c for c in codes] for r in rows], float)
+        p = 1 / (1 + np.exp(-(x @ model.weights.T + model.bias)))
+        g = np.hstack([(p - y).T @ x / len(rows) + 1e-2 * model.weights, (p - y).mean(axis=0)[:, None]])
+        held = y.any(axis=0)
+        first = np.abs(np.outer(y.mean(axis=0), x.mean(axis=0)) - y.T @ x / len(rows)).max(axis=1)
+        assert (np.abs(g).max(axis=1)[held] <= np.minimum(2e-6, 2 * linear.SHARE * first[held])).all()
+        assert held.sum() == 20 + 3 * (features == 64) and len(asked) <= 20 and asked[0] == len(codes) and sum(asked) < 10 * len(codes), asked
+        assert np.isfinite(model.weights).all() and (model.bias[~held] < -5).all()
+
+
+def test_packed_rows_are_blocks(spark):
+    d = spark.createDataFrame([([i % 7, i % 5, 3] if i % 4 else [], [i % 3] if i % 2 else None) for i in range(2500)], "terms array<int>, ys array<int>").coalesce(1)
+    blocks = linear._packed(d.withColumn("ys", F.coalesce("ys", F.array().cast("array<int>"))), 8).toArrow().to_batches()
+    got = [x for x in linear._parts(iter(blocks), 100)]
+    assert sum(b.num_rows for b in blocks) == 3 and max(x[0] for x in got) == 100
+    i = 0
+    for n, row, bucket, count, of, y in got:
+        for r in range(n):
+            own = [i % 7, i % 5, 3] if i % 4 else []
+            assert {(b, own.count(b)) for b in own} == set(zip(bucket[row == r].tolist(), count[row == r].tolist(), strict=True))
+            assert y[of == r].tolist() == ([i % 3] if i % 2 else [])
+            i += 1
+    assert i == 2500
