@@ -490,9 +490,14 @@ FROM ch JOIN rk ON ch.g = rk.g AND ch.l = rk.l AND ch.rank = rk.rank GROUP BY dr
 
 @query("synthetic_multilabel", _SYNTH)
 def synthetic_multilabel(spark, sf):
-    d = view(spark, sf, "doc_records").select("record_id", "source_id", "label", "text")
-    n = max(1, round(d.count() * 0.5))
-    return A.synthesise(d, n, "label", "record_id", "text").drop("y_codes")
+    docs = table(spark, sf, "documents")
+
+    def made(change):
+        # Below the view's join, which would move all texts where labels are too many to be broadcast.
+        return view(spark, sf, "doc_records", documents=docs.withColumn("text", change(F.col("text")))).select("record_id", "source_id", "label", "text")
+
+    n = max(1, round(view(spark, sf, "doc_records").count() * 0.5))
+    return A.synthesise(made, n, "label", "record_id", "text", texts=docs.select(F.col("doc_id").alias("record_id"), "text")).drop("y_codes")
 
 
 @query("inject_codebook", ctes("codebook", "doc_records") + "SELECT false AS injected, count(*) AS n, count(DISTINCT label) AS labels FROM doc_records UNION ALL SELECT true, 4 * count(*), count(*) FROM codebook")

@@ -41,13 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, wide: DataFrame | None = None) -> DataFrame:
-    """A derived view as a DataFrame; `wide` are the pairs to derive it from, if the caller has settled them."""
+def view(spark: SparkSession, sf_dir: str, name: str, wide: DataFrame | None = None, **given: DataFrame) -> DataFrame:
+    """A derived view as a DataFrame; `wide` are the pairs to derive it from, if the caller has settled them, `given` frames in place of tables."""
     if name in WIDE:
         return WIDE[name](pairs(spark, sf_dir) if wide is None else wide)
     sql = VIEWS[name]
     names = {n for n in [*TABLES, *VIEWS] if "{" + n + "}" in sql}
-    frames = {n: view(spark, sf_dir, n, wide) if n in VIEWS else table(spark, sf_dir, n) for n in names}
+    frames = {n: view(spark, sf_dir, n, wide, **given) if n in VIEWS else given[n] if n in given else table(spark, sf_dir, n) for n in names}
     if name == "eval_lines":
         n = TASKS * frames["lineitem"].select("l_orderkey").rdd.getNumPartitions()
         frames |= {t: frames[t].repartition(n, k) for t, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
