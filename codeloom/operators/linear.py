@@ -164,7 +164,7 @@ def _added(rows: DataFrame, sums) -> dict[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
 
     each = rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary")
-    return {r["block"]: np.frombuffer(bytes(r["sums"])) for r in each.collect()}  # classes times features numbers
+    return {r["block"]: np.frombuffer(r["sums"]) for r in each.collect()}  # classes times features numbers
 
 
 def inverse_frequencies(rows: DataFrame, features: int) -> tuple[np.ndarray, int]:
@@ -192,7 +192,8 @@ def _unblocked(found: dict[int, np.ndarray], k: int, size: int, each: int) -> tu
     first, second = np.zeros((k, each)), np.zeros((k, size))
     for b in range(0, k, BLOCK):
         c = min(BLOCK, k - b)
-        first[b : b + c], second[b : b + c] = found[b][: c * each].reshape(c, each), found[b][c * each :].reshape(c, size)
+        own = found.pop(b)
+        first[b : b + c], second[b : b + c] = own[: c * each].reshape(c, each), own[c * each :].reshape(c, size)
     return first, second
 
 
@@ -224,8 +225,10 @@ def _labelled(rows: DataFrame, idf: np.ndarray, k: int, full: bool) -> tuple[np.
 
     found = _added(rows, sums)
     number, own = _unblocked(found, k, size, 1)
-    squares = np.concatenate([found[-2 - i].reshape(-1, size) for i in range(0, size if full else 1, ROWS)])
-    return number[:, 0], own, found[-1], squares
+    squares = np.zeros((size, size) if full else (1, size), np.float32 if full else float)
+    for i in range(0, len(squares), ROWS):
+        squares[i : i + ROWS] = found.pop(-2 - i).reshape(-1, size)
+    return number[:, 0], own, found[-1].copy(), squares
 
 
 def _summed(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,19 +255,20 @@ def _summed(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, idf: np.ndar
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", a, b)
+    return np.einsum("ij,ij->i", a, b, dtype=float)
 
 
-def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray, passes: int, most: np.ndarray) -> np.ndarray:
+def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray, passes: int, most: np.ndarray, kind: type = float) -> np.ndarray:
     """The places of the least values of smooth convex functions, one a row of x, by limited-memory BFGS.
 
     evaluate(rows, x) gives (values, gradients), solve(rows, v) an approximate inverse Hessian times v; value and g are
     those of the start. A row is done when no number of its gradient is over its `most`; it is evaluated `passes` times at most.
+    Steps are remembered as floats of a `kind`, and directions made for a few rows at a time: such arrays are what the driver holds.
     """
     past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def direction(rows: np.ndarray) -> np.ndarray:
-        q, steps = g[rows], []
+        q, steps = g[rows], []  # a copy
         for of, s, y in reversed(past):
             at = np.minimum(np.searchsorted(of, rows), len(of) - 1)
             s, y = np.where((of[at] == rows)[:, None], s[at], 0), y[at]
@@ -279,11 +283,13 @@ def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray,
         return -d
 
     on = fresh = np.flatnonzero(np.abs(g).max(axis=1, initial=0) > most)
-    d, step = np.zeros_like(x), np.ones(len(x))
+    d, step = np.zeros(x.shape, kind), np.ones(len(x))
     for _ in range(passes):
         if not len(on):
             break
-        d[fresh], step[fresh] = direction(fresh), 1
+        step[fresh] = 1
+        for i in range(0, len(fresh), 4 * BLOCK):
+            d[fresh[i : i + 4 * BLOCK]] = direction(fresh[i : i + 4 * BLOCK])
         new = x[on] + step[on, None] * d[on]
         new_value, new_g = evaluate(on, new)
         slope, new_slope = _dots(g[on], d[on]), _dots(new_g, d[on])
@@ -293,7 +299,7 @@ def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray,
         good = (new_slope <= 0) | flat | (new_value <= value[on] + 1e-4 * step[on] * slope)
         rows = on[good]
         if len(rows):
-            past = [*past, (rows, new[good] - x[rows], new_g[good] - g[rows])][-MEMORY:]
+            past = [*past, (rows, (new[good] - x[rows]).astype(kind), (new_g[good] - g[rows]).astype(kind))][-MEMORY:]
         x[rows], value[rows], g[rows] = new[good], new_value[good], new_g[good]
         step[on[~good]] *= np.clip(slope / np.minimum(slope - new_slope, -1e-300), 0.1, 0.7)[~good]
         still = np.abs(g[on]).max(axis=1) > most[on]
@@ -316,36 +322,45 @@ def fit(train: DataFrame, codes: Sequence, text: str, label: str, features: int
     if not n:
         return Model(codes, np.zeros((k, features)), np.zeros(k), idf)
     full = features <= min(FULL, passes * k)  # the covariances cost as much as features / (4 k) passes: a quarter of them at most
-    number, own, every, squares = (v / n for v in _labelled(rows, idf, k, full))
+    number, own, every, squares = _labelled(rows, idf, k, full)
+    for v in (number, own, every, squares):
+        v /= n
+    kind = np.float32 if tolerance >= SINGLE else np.float64
     share = np.clip(number, 0.5 / n, 1 - 0.5 / n)
     curve = (share * (1 - share))[:, None]
     if full:
-        spread, axes = np.linalg.eigh(squares - np.outer(every, every))
+        squares = squares.astype(kind, copy=False)
+        squares -= np.outer(every, every).astype(kind)
+        spread, axes = np.linalg.eigh(squares)
     else:
         spread, axes = squares[0] - every * every, None
-    spread = np.maximum(spread, 0)
+    spread, squares = np.maximum(spread, 0), None
 
     def solve(which: np.ndarray, v: np.ndarray) -> np.ndarray:
         # The Hessian at the start is curve * [[spread + every every', every], [every', 1]] + l2; the bias is eliminated.
         w = v[:, :-1] - v[:, -1:] * every
         scale = np.maximum(curve[which] * spread + l2, 1e-12)
-        w = w / scale if axes is None else (w @ axes / scale) @ axes.T
+        w = w / scale if axes is None else (w.astype(kind) @ axes / scale).astype(kind) @ axes.T
         return np.hstack([w, v[:, -1:] / curve[which] - (w @ every)[:, None]])
 
-    kind = np.float32 if tolerance >= SINGLE else np.float64
-
     def evaluate(which: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, bias = x[:, :-1], x[:, -1]
-        loss, gw, gb = (v / n for v in _summed(rows, w.astype(kind), bias.astype(kind), idf))
-        gw += l2 * w - own[which]
-        return loss - _dots(w, own[which]) - bias * number[which] + l2 / 2 * _dots(w, w), np.hstack([gw, (gb - number[which])[:, None]])
+        loss, gw, gb = _summed(rows, w.astype(kind), bias.astype(kind), idf)
+        out = np.empty_like(x)
+        out[:, :-1], out[:, -1] = gw, gb
+        del gw
+        out /= n
+        out[:, :-1] += l2 * w
+        out[:, :-1] -= own[which]
+        out[:, -1] -= number[which]
+        return loss / n - _dots(w, own[which]) - bias * number[which] + l2 / 2 * _dots(w, w), out
 
     x = np.hstack([np.zeros((k, features)), np.log(share / (1 - share))[:, None]])
     g = np.hstack([np.outer(share, every) - own, (share - number)[:, None]])
     some = (number > 0) & (number < 1)
     most = np.where(some, np.minimum(tolerance, SHARE * np.abs(g).max(axis=1)), tolerance)
     value = -number * np.log(share) - (1 - number) * np.log1p(-share)
-    found = minimised(evaluate, solve, x, value, g, passes, most)
+    found = minimised(evaluate, solve, x, value, g, passes, most, kind)
     return Model(codes, found[:, :-1], found[:, -1], idf)
 
 
