@@ -282,7 +282,8 @@ def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray,
             d += (a - rho * _dots(y, d))[:, None] * s
         return -d
 
-    on = fresh = np.flatnonzero(np.abs(g).max(axis=1, initial=0) > most)
+    over = lambda: np.maximum(g.max(axis=1), -g.min(axis=1)) > most
+    on = fresh = np.flatnonzero(over())
     d, step = np.zeros(x.shape, kind), np.ones(len(x))
     for _ in range(passes):
         if not len(on):
@@ -290,20 +291,27 @@ def minimised(evaluate, solve, x: np.ndarray, value: np.ndarray, g: np.ndarray,
         step[fresh] = 1
         for i in range(0, len(fresh), 4 * BLOCK):
             d[fresh[i : i + 4 * BLOCK]] = direction(fresh[i : i + 4 * BLOCK])
-        new = x[on] + step[on, None] * d[on]
+        new = x[on]
+        new += d[on] * step[on, None].astype(kind)
         new_value, new_g = evaluate(on, new)
-        slope, new_slope = _dots(g[on], d[on]), _dots(new_g, d[on])
+        slope, new_slope = _dots(g, d)[on], _dots(new_g, d[on])
         # A convex function that still falls at the new place has fallen all the way; near the least value the sums' rounding
         # hides a decrease, and there the slopes tell.
         flat = (np.abs(new_slope) <= 0.8 * np.abs(slope)) & (new_value <= value[on] + 1e-6 * np.abs(value[on]))
         good = (new_slope <= 0) | flat | (new_value <= value[on] + 1e-4 * step[on] * slope)
-        rows = on[good]
-        if len(rows):
-            past = [*past, (rows, (new[good] - x[rows]).astype(kind), (new_g[good] - g[rows]).astype(kind))][-MEMORY:]
-        x[rows], value[rows], g[rows] = new[good], new_value[good], new_g[good]
+        rows, at = on[good], np.flatnonzero(good)
+        s, y = (np.empty((len(rows), x.shape[1]), kind) for _ in range(2))
+        for i in range(0, len(rows), 4 * BLOCK):
+            few, r, j = slice(i, i + 4 * BLOCK), rows[i : i + 4 * BLOCK], at[i : i + 4 * BLOCK]
+            s[few], y[few] = new[j] - x[r], new_g[j] - g[r]
+            x[r], g[r] = new[j], new_g[j]
+        value[rows] = new_value[good]
+        del new, new_g
         step[on[~good]] *= np.clip(slope / np.minimum(slope - new_slope, -1e-300), 0.1, 0.7)[~good]
-        still = np.abs(g[on]).max(axis=1) > most[on]
+        still = over()[on]
         on, fresh = on[still], on[still & good]
+        past = [(of[(m := np.isin(of, on))], s[m], y[m]) for of, s, y in ([*past, (rows, s, y)] if len(rows) else past)[-MEMORY:]]
+        past = [p for p in past if len(p[0])]
     return x
 
 
@@ -351,9 +359,10 @@ def fit(train: DataFrame, codes: Sequence, text: str, label: str, features: int
         del gw
         out /= n
         out[:, :-1] += l2 * w
-        out[:, :-1] -= own[which]
+        labelled = own if len(which) == k else own[which]
+        out[:, :-1] -= labelled
         out[:, -1] -= number[which]
-        return loss / n - _dots(w, own[which]) - bias * number[which] + l2 / 2 * _dots(w, w), out
+        return loss / n - _dots(w, labelled) - bias * number[which] + l2 / 2 * _dots(w, w), out
 
     x = np.hstack([np.zeros((k, features)), np.log(share / (1 - share))[:, None]])
     g = np.hstack([np.outer(share, every) - own, (share - number)[:, None]])
